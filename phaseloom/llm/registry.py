@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from phaseloom.llm import decontaminate, line_dedup
+from phaseloom.llm import bpe, decontaminate, line_dedup
 
 _MODULES = {
+    "op6_bpe": bpe,
     "op5_decontaminate": decontaminate,
     "op8_line_dedup": line_dedup,
 }
