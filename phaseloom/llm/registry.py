@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from phaseloom.llm import bpe, decontaminate, line_dedup
+from phaseloom.llm import bpe, decontaminate, line_dedup, quality, toxicity
 
 _MODULES = {
     "op6_bpe": bpe,
+    "op2_quality_rules": quality,
+    "op3_toxicity": toxicity,
     "op5_decontaminate": decontaminate,
     "op8_line_dedup": line_dedup,
 }
