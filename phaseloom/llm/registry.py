@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from phaseloom.llm import bpe, decontaminate, line_dedup, quality, toxicity
+from phaseloom.llm import bpe, decontaminate, line_dedup, near_dedup, quality, toxicity
 
 _MODULES = {
     "op6_bpe": bpe,
@@ -10,6 +10,7 @@ _MODULES = {
     "op3_toxicity": toxicity,
     "op5_decontaminate": decontaminate,
     "op8_line_dedup": line_dedup,
+    "op10_near_dedup": near_dedup,
 }
 
 
