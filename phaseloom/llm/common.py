@@ -50,3 +50,13 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     path = shared_dir(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread_join(many: DataFrame, few: DataFrame, keys: list[str], by: Column, how: str = "inner", ways: int = 16) -> DataFrame:
+    """Join on keys where one key may hold a large part of many's rows: they are dealt to so many places by another value.
+
+    few, which has one row a key, is repeated for each place.
+    """
+    left = many.withColumn("__place", F.pmod(F.xxhash64(by), F.lit(ways)).cast("int"))
+    right = few.withColumn("__place", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
+    return left.join(right, [*keys, "__place"], how).drop("__place")

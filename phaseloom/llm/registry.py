@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from phaseloom.llm import bpe, decontaminate, line_dedup, near_dedup, quality, toxicity
+from phaseloom.llm import bpe, decontaminate, line_dedup, near_dedup, quality, toxicity, warc
 
 _MODULES = {
     "op6_bpe": bpe,
     "op2_quality_rules": quality,
     "op3_toxicity": toxicity,
+    "op4_warc": warc,
     "op5_decontaminate": decontaminate,
     "op8_line_dedup": line_dedup,
     "op10_near_dedup": near_dedup,
