@@ -108,21 +108,25 @@ class _Scan:
         """piece: what follows a magic number; head: the bytes before the first magic of a file."""
         if head:
             return
-        raw = MAGIC + piece
-        if self.unpack is not None and self.feed(raw):
-            return
-        self.unpack, self.raw, self.text = zlib.decompressobj(31), [], []
-        if not self.feed(raw) and self.whole:
-            self.fragment(raw)  # no member starts here: the rest of one from the range before
+        todo = [MAGIC + piece]
+        while todo:
+            raw = todo.pop(0)
+            if self.unpack is None:
+                self.unpack, self.raw, self.text = zlib.decompressobj(31), [], []
+            if not self.feed(raw):  # no member starts with the first of these; one may with the others
+                first, *rest = [*self.raw, raw]
+                self.unpack = None
+                if self.whole:
+                    self.fragment(first)  # the rest of a member from the range before
+                todo = rest + todo
 
     def feed(self, raw: bytes) -> bool:
         try:
             text = self.unpack.decompress(raw)
         except zlib.error:
-            self.unpack = None
             return False
-        if not self.raw and len(text) >= 7 and not text.startswith(b"WARC/1."):
-            self.unpack = None
+        begun = b"".join([*self.text, text]) if sum(map(len, self.text)) < 7 else b"WARC/1."
+        if begun[:7] != b"WARC/1."[: len(begun)]:
             return False
         self.raw.append(raw)
         self.text.append(text)
@@ -136,7 +140,9 @@ class _Scan:
 
     def end(self) -> list[tuple]:
         if self.unpack is not None and self.raw:
-            self.fragment(b"".join(self.raw))  # the rest is in the ranges after
+            # the rest is in the ranges after
+            for raw in [b"".join(self.raw)] if sum(map(len, self.text)) >= 7 else self.raw:
+                self.fragment(raw)
         return self.out
 
 
