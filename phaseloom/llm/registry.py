@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from phaseloom.llm import bpe, decontaminate, line_dedup, near_dedup, quality, toxicity, warc
+from phaseloom.llm import bpe, decontaminate, html_extract, line_dedup, lm_score, near_dedup, quality, toxicity, warc
 
 _MODULES = {
     "op6_bpe": bpe,
+    "op1_html_extract": html_extract,
+    "op9_lm_score": lm_score,
     "op2_quality_rules": quality,
     "op3_toxicity": toxicity,
     "op4_warc": warc,
