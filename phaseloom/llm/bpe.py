@@ -152,9 +152,9 @@ class BpeCodec:
             return self.pieces(text)
         return self.first[head] + b"".join(map(self.later.__getitem__, rest))
 
-    def encode(self, text: str) -> np.ndarray:
-        """Ids as 32-bit integers. Strings of special tokens in a text become those tokens."""
-        if self.breaks is None or not self.breaks.search(text):
+    def encode(self, text: str, special: bool = True) -> np.ndarray:
+        """Ids as 32-bit integers. With special, strings of special tokens in a text become those tokens."""
+        if not special or self.breaks is None or not self.breaks.search(text):
             return np.frombuffer(self.plain(text), np.int32)
         out, at = [], 0
         for m in self.breaks.finditer(text):
@@ -190,12 +190,12 @@ def shared_vocabulary(spark: SparkSession, path: str | None = None):  # noqa: AN
         return spark.sparkContext.broadcast(f.read())
 
 
-def tokenize(docs: DataFrame, vocabulary: str | None = None, text_col: str = "text", decoded: bool = False) -> DataFrame:
+def tokenize(docs: DataFrame, vocabulary: str | None = None, text_col: str = "text", decoded: bool = False, special: bool = True) -> DataFrame:
     """docs with ids (array of int) and, if asked for, decoded (the ids turned back into text).
 
     vocabulary: path of a byte-level BPE JSON file. A null text is encoded as an empty one: no ids, decoded "". Columns
     of docs named ids or decoded are replaced; all others are kept as they are. Rows keep their number; equal texts give
-    equal ids.
+    equal ids. special: strings of special tokens in a text become those tokens.
     """
     docs = docs.drop("ids", "decoded")
     spec = shared_vocabulary(docs.sparkSession, vocabulary)
@@ -206,7 +206,7 @@ def tokenize(docs: DataFrame, vocabulary: str | None = None, text_col: str = "te
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
-                ids = [codec.encode(t or "") for t in batch.column(text_col).to_pylist()]
+                ids = [codec.encode(t or "", special) for t in batch.column(text_col).to_pylist()]
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 out = [*batch.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)])))]
                 names = [*batch.schema.names, "ids"]

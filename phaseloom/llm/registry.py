@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from phaseloom.llm import bpe, decontaminate, html_extract, line_dedup, lm_score, near_dedup, quality, toxicity, warc
+from phaseloom.llm import bpe, decontaminate, html_extract, line_dedup, lm_score, near_dedup, quality, token_counts, toxicity, warc
 
 _MODULES = {
     "op6_bpe": bpe,
@@ -11,6 +11,7 @@ _MODULES = {
     "op2_quality_rules": quality,
     "op3_toxicity": toxicity,
     "op4_warc": warc,
+    "op7_token_counts": token_counts,
     "op5_decontaminate": decontaminate,
     "op8_line_dedup": line_dedup,
     "op10_near_dedup": near_dedup,
@@ -18,7 +19,9 @@ _MODULES = {
 
 
 def queries() -> dict:
-    return {name: m.query for name, m in _MODULES.items()}
+    import corpus_pipeline
+
+    return {name: m.query for name, m in _MODULES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
