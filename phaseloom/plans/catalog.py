@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from phaseloom.plans import q_field
+from phaseloom.plans import q_field, q_signal
 
-_FAMILIES = [q_field]
+_FAMILIES = [q_field, q_signal]
 
 
 def queries() -> dict:
