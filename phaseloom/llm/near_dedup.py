@@ -7,9 +7,11 @@ union sketch of a pair (the K smallest values of both) estimates the similarity
 exactly. A pair with a true similarity of 0.8 fails the filter at 0.5 with a chance of about 1e-9; sets of up to K
 shingles are compared exactly by it.
 
-No list of over PAIRS nodes is expanded into all pairs. Its nodes are compared with one leader a round; nodes already
-in one component need no comparison with each other. What still lies in different components after ROUNDS rounds is
-compared exhaustively, so no link is lost.
+No list of over PAIRS nodes is expanded into all pairs. The nodes of such lists are listed anew by the rarest shingles of
+their full sets, as many as a partner must share one of; the places of a shared one in both sets bound the overlap, and
+pairs that cannot reach the similarity are left out. Lists that are still large are compared with one leader a round;
+nodes already in one component need no comparison with each other. What lies in different components after ROUNDS rounds
+is compared exhaustively, so no link is lost.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -131,6 +133,22 @@ def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int)
     return both.filter(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
 
 
+def _exact_prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(v, node, at, n): the rarest shingles of each full set, n - ceil(n * percent / 100) + 1 of them, with their places."""
+    entries = sets.select("node", F.explode("set").alias("v"))
+    df = entries.groupBy("v").agg(F.count("*").alias("df"))
+    rare = entries.join(df, "v").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("by")).withColumn("n", F.size("by"))
+    take = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
+    out = rare.select("node", "n", F.posexplode(F.slice("by", 1, take)).alias("at", "x")).filter("x.df > 1")
+    return out.select(F.col("x.v").alias("v"), "node", "at", "n")
+
+
+def _can_reach(percent: int, at: str, n: str, other_at: str, other_n: str) -> Column:
+    """Whether sets whose first shared shingle stands at these places can have the overlap that the similarity needs."""
+    most = 1 + F.least(F.col(n) - F.col(at) - 1, F.col(other_n) - F.col(other_at) - 1)
+    return (100 + percent) * most >= percent * (F.col(n) + F.col(other_n))
+
+
 def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -158,29 +176,34 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     sets = sketches(texts, size, "__id", "__text", full=True).select("sig", F.col("values").alias("set"))
     sets = stored(sets.join(wanted.select(F.col("as").alias("sig"), "node"), "sig").groupBy("node").agg(F.first("set").alias("set")), "sets")
 
-    small, large = lists.filter(F.col("size") <= PAIRS).select("v", "node"), lists.filter(F.col("size") > PAIRS).select("v", "node")
-    all_pairs = small.select("v", F.col("node").alias("a")).join(small.select("v", F.col("node").alias("b")), "v").filter("a < b").select("a", "b")
+    def all_pairs(members: DataFrame, *more: Column) -> DataFrame:
+        a, b = (members.select("v", *(F.col(c).alias(f"{c}_{x}") for c in members.columns if c != "v")) for x in ("a", "b"))
+        return a.join(b, "v").filter("node_a < node_b").filter(more[0] if more else F.lit(True)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
-    def with_leader(members: DataFrame, turn: int) -> DataFrame:
-        leader = members.groupBy("v").agg(F.min_by("node", F.struct(F.xxhash64(F.lit(turn), "node"), "node")).alias("leader"))
-        return members.join(leader, "v")
+    hot = lists.filter(F.col("size") > PAIRS).select("node").distinct()
+    exact = _exact_prefixes(sets.join(hot, "node"), percent)
+    exact = stored(exact.join(exact.groupBy("v").agg(F.count("*").alias("size")).filter("size > 1"), "v"), "exact")
+    large = exact.filter(F.col("size") > PAIRS).drop("size")
+    close = _can_reach(percent, "at_a", "n_a", "at_b", "n_b")
 
-    tried = stored(all_pairs.union(with_leader(large, 0).filter("node <> leader").select(*_ordered("node", "leader"))).distinct(), "pairs")
+    def with_leader(members: DataFrame, turn: int) -> DataFrame:
+        """Members that can reach the leader of their list: first the one whose shared shingles begin soonest, then any."""
+        by = F.struct("at", "node") if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "node"), "node")
+        leader = members.groupBy("v").agg(F.min_by(F.struct("node", "at", "n", "root"), by).alias("lead"))
+        led = members.join(leader, "v").select("node", "at", "n", "root", *(F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("node", "at", "n", "root")))
+        return led.filter("root <> lead_root").filter(_can_reach(percent, "at", "n", "lead_at", "lead_n")).select(*_ordered("node", "lead_node"))
+
+    few_pairs = all_pairs(lists.filter(F.col("size") <= PAIRS).select("v", "node")).union(all_pairs(exact.filter(F.col("size") <= PAIRS).drop("size"), close))
+    tried = stored(few_pairs.union(with_leader(large.withColumn("root", F.col("node")), 0)).distinct(), "pairs")
     links = stored(_verified(tried, few, sets, percent), "verified")
     roots = components(links)
     for turn in range(1, ROUNDS + 2):
-        at = large.join(roots, "node", "left").select("v", "node", F.coalesce("root", "node").alias("root"))
+        at = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         open_lists = at.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("v")
         at = stored(at.join(open_lists, "v"), "open")
         if at.isEmpty():
             break
-        if turn <= ROUNDS:
-            led = with_leader(at, turn)
-            top = at.select("v", F.col("node").alias("leader"), F.col("root").alias("top"))
-            pairs = led.join(top, ["v", "leader"]).filter("root <> top").select(*_ordered("node", "leader"))
-        else:
-            other = at.select("v", F.col("node").alias("b"), F.col("root").alias("other"))
-            pairs = at.join(other, "v").filter("node < b and root <> other").select(F.col("node").alias("a"), "b")
+        pairs = with_leader(at, turn) if turn <= ROUNDS else all_pairs(at, close & (F.col("root_a") != F.col("root_b")))
         new = stored(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         if new.isEmpty():
             continue
