@@ -40,13 +40,14 @@ def clamp(x: Column) -> Column:
 
 def m_score(features: list[Column], artifact: Column) -> Column:
     """Mean of the features there are (else 0.5), cut by up to 30 % for artifacts, between 0 and 1."""
-    penalty = F.coalesce(1 - F.least(artifact, F.lit(1.0)) * 0.3, F.lit(1.0))
+    penalty = F.when(artifact.isNull() | F.isnan(artifact), 1.0).otherwise(1 - F.least(artifact, F.lit(1.0)) * 0.3)
     return clamp(F.coalesce(known_mean(*features), F.lit(0.5)) * penalty)
 
 
 def mt_score(m: Column, q_abs: Column, f_dress: Column, quality: Column) -> Column:
     """0.6 of the m score and 0.4 of the mean of the topology features; the m score where there are none."""
-    t = known_mean(F.least(q_abs, F.lit(1.0)), F.least(f_dress, F.lit(1.0)), quality)
+    cut = lambda c: F.when(c.isNotNull() & ~F.isnan(c), F.least(c, F.lit(1.0)))
+    t = known_mean(cut(q_abs), cut(f_dress), quality)
     return F.when(t.isNull(), m).otherwise(clamp(m * 0.6 + t * 0.4))
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from phaseloom.plans import q_field, q_signal
+from phaseloom.plans import q_eval, q_field, q_signal, q_text
 
-_FAMILIES = [q_field, q_signal]
+_FAMILIES = [q_field, q_signal, q_eval, q_text]
 
 
 def queries() -> dict:
