@@ -56,10 +56,10 @@ def _features(spark, d):  # noqa: ANN001, ANN202
     return p.select("p_partkey", F.when(c("p_size") % 7 == 0, None).otherwise(c("p_size") / 50).alias("a"), F.when(c("p_size") % 5 == 0, None).otherwise(c("p_retailprice") / 2000).alias("b"), (c("p_partkey") % 13 / 10).alias("art"), F.when(c("p_partkey") % 11 == 0, None).otherwise(c("p_partkey") % 17 / 12).alias("q_abs"), (c("p_partkey") % 3 / 4).alias("f_dress"))
 
 
-@query("m4_scores", f"WITH {_PART_FEATURES}, m AS (SELECT *, greatest(0, least(1, coalesce((coalesce(a, 0) + coalesce(b, 0)) / nullif((a IS NOT NULL)::INT + (b IS NOT NULL)::INT, 0), 0.5) * (1 - least(art, 1) * 0.3))) AS m FROM f) SELECT p_partkey, round(m, 6) AS m_score, round(greatest(0, least(1, m * 0.6 + 0.4 * (CASE WHEN q_abs IS NULL THEN 0 ELSE least(q_abs, 1) END + least(f_dress, 1)) / (1 + (q_abs IS NOT NULL)::INT))), 6) AS mt_score FROM m")
+@query("m4_scores", f"WITH {_PART_FEATURES}, m AS (SELECT *, greatest(0, least(1, coalesce((coalesce(a, 0) + coalesce(b, 0)) / nullif((a IS NOT NULL)::INT + (b IS NOT NULL)::INT, 0), 0.5) * (1 - least(art, 1) * 0.3))) AS m FROM f) SELECT p_partkey, round(m, 9) AS m_score, round(greatest(0, least(1, m * 0.6 + 0.4 * (CASE WHEN q_abs IS NULL THEN 0 ELSE least(q_abs, 1) END + least(f_dress, 1)) / (1 + (q_abs IS NOT NULL)::INT))), 9) AS mt_score FROM m")
 def _m4(spark, d):  # noqa: ANN001, ANN202
     m = _features(spark, d).withColumn("m", ev.m_score([F.col("a"), F.col("b")], F.col("art")))
-    return m.select("p_partkey", rounded(F.col("m")).alias("m_score"), rounded(ev.mt_score(F.col("m"), F.col("q_abs"), F.col("f_dress"), F.lit(None).cast("double"))).alias("mt_score"))
+    return m.select("p_partkey", rounded(F.col("m"), 9).alias("m_score"), rounded(ev.mt_score(F.col("m"), F.col("q_abs"), F.col("f_dress"), F.lit(None).cast("double")), 9).alias("mt_score"))
 
 
 @query("m5_metrics", f"WITH {_SCORED}, v AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN score ELSE score * 0.6 + 0.2 END AS mt FROM scored), w AS (SELECT source, count(*) AS n, count(DISTINCT y) AS classes, avg(power(score - y, 2)) AS bm, avg(power(mt - y, 2)) AS bt FROM v GROUP BY source) SELECT source, n AS n_rows, CASE WHEN classes = 2 THEN 'ok' ELSE 'blocked: insufficient class variation' END AS state, CASE WHEN classes = 2 THEN round(bm, 6) END AS brier_m, CASE WHEN classes = 2 THEN round(bt, 6) END AS brier_mt FROM w")
