@@ -8,8 +8,8 @@ becomes an automaton: a state for each history, an arc for each pair seen, and a
 whose arcs are the words. One pass from left to right carries the state and adds up logarithms.
 
 The corpus model grows with the corpus and is never gathered in one place. Texts are cut into blocks of bounded size; a
-block's own distinct n-grams go, packed and dealt by hash, to be summed over all blocks, and only totals that differ from
-the block's own counts come back. Each block then builds the part of the automaton that its texts can reach.
+block's own distinct n-grams go, packed and dealt by hash, to be summed over all blocks, and only the totals come back, in the order of the
+block's keys. Each block then builds the part of the automaton that its texts can reach.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from phaseloom.llm.common import stored, table
 from phaseloom.llm.toxicity import held_out
 
 #: Bytes of text in a block; bounds the memory of a task.
-BLOCK = 10_000_000
+BLOCK = 7_000_000
 #: Distinct n-grams that a merging task holds, about.
 BUCKET = 3_000_000
 #: Added to each word's count; weight of the pair counts.
@@ -52,19 +52,16 @@ class Tokens:
 
 
 def tokens(texts: list[bytes]) -> Tokens:
-    parts = [t.lower().split() for t in texts]
-    sizes = np.array([len(p) + 1 for p in parts], np.int64)
-    ends = np.cumsum(sizes)
-    word = np.empty(int(ends[-1]) if len(ends) else 0, np.uint64)
-    at = 0
-    for p in parts:
-        word[at : at + len(p)] = np.fromiter(map(xxhash.xxh3_64_intdigest, p), np.uint64, len(p))
-        word[at + len(p)] = END
-        at += len(p) + 1
+    parts, end = [], np.array([END])
+    for t in texts:
+        words = t.lower().split()
+        parts += [np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), end]
+    sizes = np.array([len(p) + 1 for p in parts[::2]], np.int64)
+    word = np.concatenate([*parts, np.zeros(0, np.uint64)])
     before = np.append(END, word[:-1])[: len(word)]  # a text starts after an end
     pair = before * PAIR + word
     pair ^= pair >> np.uint64(29)
-    return Tokens(word, pair * PAIR, np.repeat(np.arange(len(parts)), sizes), sizes)
+    return Tokens(word, pair * PAIR, np.repeat(np.arange(len(sizes)), sizes), sizes)
 
 
 def counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,8 +116,20 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list
         yield part << 24 | number, ids, held, texts
 
 
-def _bytes(x: np.ndarray, kind: type) -> bytes:
-    return x.astype(kind).tobytes()
+def _planes(x: np.ndarray) -> bytes:
+    """Integers as planes of equally weighted bytes, which the shuffle's compression shrinks."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def _unplanes(raw: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(raw, np.uint8).reshape(size, -1).T.copy().view(kind).reshape(-1)
+
+
+def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where the buckets, equal ranges of the keys, begin and end among sorted keys."""
+    bounds = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
+    return np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
 
 
 def _count(buckets: int):  # noqa: ANN202
@@ -130,40 +139,42 @@ def _count(buckets: int):  # noqa: ANN202
             train = ~np.array(held, bool)[t.doc]
             for kind, all_keys in ((0, t.word), (1, t.pair)):
                 keys, n, _ = counted(all_keys, train)
-                bucket = (keys >> np.uint64(16)) % np.uint64(buckets)
-                order = np.argsort(bucket, kind="stable")
-                cut = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-                keys, n = keys[order], n[order]
+                cut = _cuts(keys, buckets)
+                steps = np.diff(keys, prepend=np.uint64(0))
                 for lo in range(0, buckets, 64):
                     full = [k for k in range(lo, min(lo + 64, buckets)) if cut[k] < cut[k + 1]]
+                    first = lambda k: np.concatenate([keys[cut[k] : cut[k] + 1], steps[cut[k] + 1 : cut[k + 1]]])  # noqa: B023, E731
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(full, pa.int32()), pa.array([kind] * len(full), pa.int32()), pa.array([block] * len(full), pa.int64()), pa.array([_bytes(keys[cut[k] : cut[k + 1]], np.uint64) for k in full], pa.binary()), pa.array([_bytes(n[cut[k] : cut[k + 1]], np.uint32) for k in full], pa.binary())],
+                        [pa.array(full, pa.int32()), pa.array([kind] * len(full), pa.int32()), pa.array([block] * len(full), pa.int64()), pa.array([_planes(first(k)) for k in full], pa.binary()), pa.array([_planes(n[cut[k] : cut[k + 1]].astype(np.uint32)) for k in full], pa.binary())],
                         names=["bucket", "kind", "block", "keys", "counts"],
                     )
 
     return run
 
 
-MERGED = "block long, kind int, keys binary, counts binary, n_tokens long, n_words long"
+MERGED = "block long, kind int, bucket int, size int, mark long, counts binary, n_tokens long, n_words long"
+
+
+def _mark(keys: np.ndarray) -> int:
+    return int(np.bitwise_xor.reduce(keys, initial=np.uint64(0)).view(np.int64))
 
 
 def _merge(key: tuple, part: pa.Table) -> pa.Table:
-    """Totals of one bucket: to each block those that differ from its own counts; block -1 has the sums for words."""
-    kind = int(key[1].as_py())
+    """Totals over all blocks of one bucket, for each block in the order of its keys; block -1 has the sums for words."""
+    bucket, kind = int(key[0].as_py()), int(key[1].as_py())
     blocks = part.column("block").to_pylist()
-    keys = [np.frombuffer(x, np.uint64) for x in part.column("keys").to_pylist()]
-    counts = [np.frombuffer(x, np.uint32) for x in part.column("counts").to_pylist()]
-    joined, own = np.concatenate(keys), np.concatenate(counts)
-    distinct, place = np.unique(joined, return_inverse=True)
-    total = np.bincount(place, own, len(distinct))
-    new, all_total = total[place] != own, total[place]
-    out, at = [(-1, kind, b"", b"", int(total.sum()) * (kind == 0), int((total > 0).sum()) * (kind == 0))], 0
-    for b, k in zip(blocks, keys, strict=True):
-        pick = new[at : at + len(k)]
-        if pick.any():
-            out.append((b, kind, _bytes(k[pick], np.uint64), _bytes(all_total[at : at + len(k)][pick], np.uint32), 0, 0))
-        at += len(k)
-    types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+    keys = [np.cumsum(_unplanes(x, np.uint64), dtype=np.uint64) for x in part.column("keys").to_pylist()]
+    own = np.concatenate([_unplanes(x, np.uint32) for x in part.column("counts").to_pylist()])
+    marks, sizes = [_mark(k) for k in keys], [len(k) for k in keys]
+    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+    del keys
+    total = np.bincount(place, own, len(distinct)).astype(np.int64)
+    every = total.astype(np.uint32)[place]
+    out, at = [(-1, kind, bucket, 0, 0, b"", int(total.sum()) * (kind == 0), int((total > 0).sum()) * (kind == 0))], 0
+    for b, n, mark in zip(blocks, sizes, marks, strict=True):
+        out.append((b, kind, bucket, n, mark, zstandard.compress(_planes(every[at : at + n]), 1), 0, 0))
+        at += n
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
     return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=[x.split()[0] for x in MERGED.split(", ")])
 
 
@@ -173,14 +184,12 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([ids]), pa.array([held], pa.list_(pa.bool_())), pa.array([[len(t) for t in texts]], pa.list_(pa.int32())), pa.array([packer.compress(b"".join(texts))], pa.binary())], names=["block", "ids", "held", "sizes", "packed"])
 
 
-def _score(total: int, vocabulary: int, id_type: pa.DataType):  # noqa: ANN202
+def _score(total: int, vocabulary: int, buckets: int, id_type: pa.DataType):  # noqa: ANN202
     names = ["id", "held_out", "n_tokens", "n_known", "base_score", "score"]
     types = [id_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if left.num_rows != 1:  # the sums' own block
-            assert left.num_rows == 0 and right.column("block")[0].as_py() == -1, "the table was scanned in another order than before"
-            return pa.table([pa.array([], t) for t in types], names=names)
+        assert left.num_rows == 1, "the table was scanned in another order than before"
         row = left.to_pylist()[0]
         raw = zstandard.ZstdDecompressor().decompress(row["packed"])
         ends = np.cumsum([0, *row["sizes"]]).tolist()
@@ -189,12 +198,13 @@ def _score(total: int, vocabulary: int, id_type: pa.DataType):  # noqa: ANN202
         counts, places = [], []
         for kind, all_keys in ((0, t.word), (1, t.pair)):
             keys, n, place = counted(all_keys, train)
-            for k, x, y in zip(right.column("kind").to_pylist(), right.column("keys").to_pylist(), right.column("counts").to_pylist(), strict=True):
-                if k == kind and x:
-                    other = np.frombuffer(x, np.uint64)
-                    at = np.searchsorted(keys, other)
-                    assert (keys[np.minimum(at, len(keys) - 1)] == other).all(), "the table was scanned in another order than before"
-                    n[at] = np.frombuffer(y, np.uint32)
+            sizes = np.diff(_cuts(keys, buckets))
+            at = np.concatenate([[0], np.cumsum(sizes)])
+            for k, bucket, size, mark, packed in zip(*(right.column(c).to_pylist() for c in ("kind", "bucket", "size", "mark", "counts")), strict=True):
+                if k == kind:
+                    mine = slice(at[bucket], at[bucket + 1])
+                    assert size == sizes[bucket] and mark == _mark(keys[mine]), "the table was scanned in another order than before"
+                    n[mine] = _unplanes(zstandard.decompress(packed), np.uint32)
             counts.append(n)
             places.append(place)
         word, pair = places
@@ -230,8 +240,8 @@ def lm_scores(docs: DataFrame, mod: int = 10, id_col: str = "doc_id", text_col:
     packed = source.mapInArrow(_pack, T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("held", T.ArrayType(T.BooleanType())), T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("packed", T.BinaryType())]))
     schema = T.StructType([T.StructField("id", id_type), T.StructField("held_out", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known")), *(T.StructField(c, T.DoubleType()) for c in ("base_score", "score"))])
     arrow_id = pa.schema([pa.field("x", pa.string() if isinstance(id_type, T.StringType) else pa.int32() if isinstance(id_type, T.IntegerType) else pa.int64())]).field("x").type
-    totals = merged.filter("block >= 0").select("block", "kind", "keys", "counts")
-    out = packed.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(_score(total, vocabulary, arrow_id), schema)
+    totals = merged.filter("block >= 0").select("block", "kind", "bucket", "size", "mark", "counts")
+    out = packed.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(_score(total, vocabulary, buckets, arrow_id), schema)
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
