@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phaseloom.llm.common import ASCII_SPACE, ascii_lower, table
+from phaseloom.llm.common import ASCII_SPACE, ascii_lower, spread_join, table
 
 
 def line_key(line: Column) -> Column:
@@ -40,7 +40,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, id_col:
         .select("id", "mark", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
     )
     shared = lines.groupBy("h1", "h2").agg(F.countDistinct("id").alias("n"), F.min("id").alias("first")).filter(F.col("n") >= min_docs).drop("n")
-    dropped = lines.join(shared, ["h1", "h2"]).filter(~F.col("id").eqNullSafe(F.col("first"))).groupBy("id", "mark").agg(F.collect_set("pos").alias("gone"))
+    dropped = spread_join(lines, shared, ["h1", "h2"], F.col("mark")).filter(~F.col("id").eqNullSafe(F.col("first"))).groupBy("id", "mark").agg(F.collect_set("pos").alias("gone"))
     joined = base.join(dropped, F.col(id_col).eqNullSafe(dropped["id"]) & (F.col(mark) == dropped["mark"]), "left")
     parts = _lines(F.col(text_col))
     kept = joined.withColumn("__parts", parts).withColumn("n_lines", F.size("__parts").cast("long"))
