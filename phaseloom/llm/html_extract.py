@@ -247,7 +247,7 @@ class TreeModel:
         return np.exp(belief[:, 1] - total), pair, float(total[~inner].sum())
 
 
-def train_model(f: Forest, rounds: int = 250, l2: float = 2e-4) -> TreeModel:
+def train_model(f: Forest, rounds: int = 350, l2: float = 3e-5) -> TreeModel:
     """Adam on the log-likelihood of the labels; its gradient is observed minus expected counts."""
     y, inner = f.label.astype(float), f.parent >= 0
     model = TreeModel(np.zeros(len(FEATURES)), np.zeros((2, 2)))
@@ -315,8 +315,8 @@ def layouts(count: int = 160, seed: int = 11) -> list[str]:
 
     out = []
     for _ in range(count):
-        tag = pick("article", "article", "main", "section", "div", "div")
-        names = pick("post", "entry-content", "article-body", "story", "content", "post-body", "text") if tag == "div" else pick("", "post", "content")
+        tag = pick("article", "article", "article", "main", "section", "div", "div", "div")
+        names = pick("post", "entry-content", "article-body", "story", "content", "post-body", "text") if tag in ("div", "section") else pick("", "", "post", "content")
         content = f'<{tag}{mark(names) if names else ""} data-label="1">{inside()}</{tag}>'
         nav = lambda: pick(f"<nav>{items()}</nav>", f'<div{mark(pick("menu", "navbar", "navigation", "breadcrumbs"))}>{items()}</div>', f'<ul{mark("menu")}>' + many(lambda: f"<li>{link()}", 3, 8) + "</ul>")
         header = lambda: pick("", f"<header>{words(3)}{nav()}</header>", f'<div{mark(pick("header", "masthead", "top-banner"))}><h2>{words(2)}</h2><p>{sentence()}</p></div>')
