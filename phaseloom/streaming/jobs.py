@@ -122,3 +122,25 @@ SQL = {
     "st7_backfill": "SELECT user_id AS subject_id, count(*) AS n_rows FROM events GROUP BY ALL",
     "st8_late_records": "SELECT event_type, count(*) AS n, CAST(count(*) FILTER (WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 20 DAY) AS BIGINT) AS n_late FROM events GROUP BY ALL",
 }
+
+
+def change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id, n_changes): how often a user's event type differs from the one before; the last type is kept as state.
+
+    Events of one batch are ordered by time within a user; a later batch goes on from the stored type.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def update(key: tuple, batches, state: GroupState):  # noqa: ANN001, ANN202
+        last, n = state.get if state.exists else (None, 0)
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        for kind in rows["event_type"]:
+            n += last is not None and kind != last
+            last = kind
+        state.update((last, int(n)))
+        yield pd.DataFrame({"user_id": [key[0]], "n_changes": [int(n)]})
+
+    e = feed(spark, sf_dir).select("user_id", "event_id", "ts", "event_type")
+    out = e.groupBy("user_id").applyInPandasWithState(update, "user_id long, n_changes long", "last string, n long", "update", GroupStateTimeout.NoTimeout)
+    return _latest(gathered(out), ["user_id"])
