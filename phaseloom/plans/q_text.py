@@ -108,14 +108,14 @@ def _x12(spark, d):  # noqa: ANN001, ANN202
 def _x10(spark, d):  # noqa: ANN001, ANN202
     e = table(spark, d, "embeddings")
     q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("e"))
-    return e.crossJoin(F.broadcast(q)).select("query_id", "vec_id", rounded(rt.cosine(F.col("e"), F.col("embedding")), 5).alias("similarity"))
+    return rt.against_all(e, q, "query_id").select("query_id", "vec_id", rounded(rt.cosine(F.col("e"), F.col("embedding")), 5).alias("similarity"))
 
 
 @query("t2_cosine_top_k", "WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id, round(list_cosine_similarity(CAST(e AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS s FROM embeddings, q WHERE vec_id <> query_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, rank, s AS similarity FROM r WHERE rank <= 10")
 def _t2(spark, d):  # noqa: ANN001, ANN202
     e = table(spark, d, "embeddings")
     q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("e"))
-    s = e.crossJoin(F.broadcast(q)).filter("vec_id <> query_id").select("query_id", "vec_id", F.round(rt.cosine(F.col("e"), F.col("embedding")), 6).alias("s"))
+    s = rt.against_all(e, q, "query_id").filter("vec_id <> query_id").select("query_id", "vec_id", F.round(rt.cosine(F.col("e"), F.col("embedding")), 6).alias("s"))
     return rt.top_k(s, "query_id", "s", "vec_id", 10).select("query_id", "vec_id", F.col("rank").cast("long"), F.col("s").alias("similarity"))
 
 

@@ -71,3 +71,11 @@ def test_sliding_windows_are_full(spark):
 def test_refractory_gap(spark):
     h = spark.createDataFrame([("a", i) for i in (1, 2, 3, 4, 9, 11)], "k string, n int")
     assert sorted(r.n for r in wn.refractory(h, ["k"], "n", 3).collect()) == [1, 4, 9]
+
+
+def test_search_in_blocks_meets_every_row(spark):
+    from phaseloom.operators.retrieval import against_all
+
+    rows, queries = spark.range(7).withColumnRenamed("id", "r"), spark.range(11).withColumnRenamed("id", "q")
+    for block in (100, 3):
+        assert sorted((x.r, x.q) for x in against_all(rows, queries, "q", block).collect()) == [(r, q) for r in range(7) for q in range(11)]
