@@ -28,7 +28,7 @@ from phaseloom.llm.common import table
 #: Fixed by the byte-level format: how a text is cut into pre-tokens.
 PRETOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries a worker keeps of each cache before it starts anew; bounds memory, not results.
-CACHE = 600_000
+CACHE = 350_000
 #: Rows that leave the worker at once.
 ROWS = 512
 

@@ -80,7 +80,13 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 12, rate: floa
     """Adagrad on the logistic loss, both classes weighing the same in sum."""
     rng = np.random.default_rng(seed)
     model = FactorizationMachine(0.0, np.zeros(BUCKETS), np.zeros((BUCKETS, FACTORS)))
-    count = lambda label: np.bincount(np.concatenate([*(r for r, y in zip(rows, labels, strict=True) if y == label), np.zeros(0, np.int32)]), minlength=BUCKETS)
+    def count(label: int) -> np.ndarray:
+        total = np.zeros(BUCKETS, np.int32)
+        for r, y in zip(rows, labels, strict=True):
+            if y == label:
+                total[r] += 1  # a row's buckets are distinct
+        return total
+
     positive = labels.mean() if len(labels) else 0.0
     if not 0 < positive < 1:  # nothing to tell apart
         model.bias = -4.0 if positive == 0 else 4.0
@@ -135,9 +141,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             rows = [terms.of(t).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("__id"), b.column("y"), pa.array(rows, pa.binary())], names=["id", "y", "items"])
 
-    found = chosen.mapInArrow(run, T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("y", T.IntegerType()), T.StructField("items", T.BinaryType())])).toArrow()
-    rows = sorted(zip(found["id"].to_pylist(), found["y"].to_pylist(), found["items"].to_pylist(), strict=True))
-    return fit([np.frombuffer(x, np.int32) for _, _, x in rows], np.array([y for _, y, _ in rows], np.int64))
+    found = chosen.mapInArrow(run, T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("y", T.IntegerType()), T.StructField("items", T.BinaryType())])).withColumn("size", F.octet_length("items")).toArrow()
+    found = found.combine_chunks()
+    order = np.lexsort((found["size"].to_numpy(), found["id"].to_numpy(zero_copy_only=False)))
+    rows = [np.frombuffer(found["items"][int(i)].as_buffer(), np.int32) for i in order]
+    return fit(rows, found["y"].to_numpy()[order].astype(np.int64))
 
 
 def score(docs: DataFrame, model: FactorizationMachine, text_col: str = "text") -> DataFrame:
