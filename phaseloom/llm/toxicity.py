@@ -27,10 +27,12 @@ MAX_TRAIN = 12_000
 #: Hashed terms; the model holds BUCKETS * (FACTORS + 1) floats, 9.4 MB.
 BUCKETS = 1 << 18
 FACTORS = 8
-#: A term counts if so many training texts have it and its shares among the two classes differ by so many standard
-#: errors; others keep weight 0, so that the many neutral words of a long text add no noise.
+#: Terms of fewer training texts are not learnt.
 MIN_TEXTS = 4
-MIN_Z = 4.0
+#: Every other term is learnt, with steps shortened by its evidence so that the many neutral words of a long text add
+#: little noise: to half where its shares among the classes differ by HALF_Z standard errors or, for its factors, where
+#: the squared pull of the pairs (FACTORS by chance) is HALF_PULL.
+HALF_Z, HALF_PULL = 4.0, 40.0
 #: Beside each word, its first letters count, to so many.
 STEMS = (4, 5)
 TERM = re.compile(r"[^\W\d_]+")
@@ -76,10 +78,61 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(self.raw(np.concatenate([*rows, np.zeros(0, np.int32)]), ends)[0], -30, 30)))
 
 
+class _Batch:
+    """Some rows as a matrix of rows by used terms, kept as its ones and laid out for BLOCK terms at a time."""
+
+    BLOCK = 1 << 12
+
+    def __init__(self, pick: np.ndarray, rows: list[np.ndarray], place: np.ndarray, space: np.ndarray):
+        items = [x[x >= 0] for x in (place[rows[i]] for i in pick)]
+        flat = np.concatenate(items)
+        by = np.argsort(flat, kind="stable")
+        self.pick, self.space = pick, space  # space holds zeros between uses
+        self.used, self.term = np.unique(flat[by], return_inverse=True)
+        self.term = self.term.astype(np.int32)
+        self.ends = np.searchsorted(self.term, np.arange(len(self.used) + 1))
+        self.row = np.repeat(np.arange(len(pick), dtype=np.int16), [len(x) for x in items])[by]
+
+    def _blocks(self) -> Iterator[tuple[slice, np.ndarray]]:
+        for lo in range(0, len(self.used), self.BLOCK):
+            hi = min(lo + self.BLOCK, len(self.used))
+            part = slice(self.ends[lo], self.ends[hi])
+            at = self.term[part] - lo, self.row[part]
+            self.space[at] = 1
+            yield slice(lo, hi), self.space[: hi - lo, : len(self.pick)]
+            self.space[at] = 0
+
+    def by_row(self, of_terms: np.ndarray) -> np.ndarray:
+        """Sums over each row's terms."""
+        out = np.zeros((len(self.pick), of_terms.shape[1]))
+        for part, ones in self._blocks():
+            out += ones.T @ of_terms[part]
+        return out
+
+    def by_term(self, of_rows: np.ndarray) -> np.ndarray:
+        """Sums over each used term's rows."""
+        return np.concatenate([np.zeros((0, of_rows.shape[1]), np.float32), *(ones @ of_rows for _, ones in self._blocks())])
+
+
+def _shrunk(evidence: np.ndarray, half: float) -> np.ndarray:
+    """From 0 for no evidence to 1, one half where it equals half; never cut off."""
+    return evidence**4 / (evidence**4 + half**4)
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 12, rate: float = 0.1, l2: float = 2e-4, batch: int = 256, seed: int = 7) -> FactorizationMachine:
-    """Adagrad on the logistic loss, both classes weighing the same in sum."""
+    """Adagrad on the logistic loss over all terms of MIN_TEXTS texts, both classes weighing the same in sum; a term's steps are as long as its evidence.
+
+    The evidence for a weight is how far the term's shares among the two classes lie apart. That for its factors is also
+    the pull on them over an epoch, set against the same pull with random signs: it comes from the pairs, so a term that
+    tells nothing alone is learnt from what it tells beside others. Each epoch may raise it.
+    """
     rng = np.random.default_rng(seed)
     model = FactorizationMachine(0.0, np.zeros(BUCKETS), np.zeros((BUCKETS, FACTORS)))
+    positive = labels.mean() if len(labels) else 0.0
+    if not 0 < positive < 1:  # nothing to tell apart
+        model.bias = -4.0 if positive == 0 else 4.0
+        return model
+
     def count(label: int) -> np.ndarray:
         total = np.zeros(BUCKETS, np.int32)
         for r, y in zip(rows, labels, strict=True):
@@ -87,41 +140,52 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 12, rate: floa
                 total[r] += 1  # a row's buckets are distinct
         return total
 
-    positive = labels.mean() if len(labels) else 0.0
-    if not 0 < positive < 1:  # nothing to tell apart
-        model.bias = -4.0 if positive == 0 else 4.0
-        return model
     n1, n0 = (labels == 1).sum(), (labels == 0).sum()
     with_1, with_0 = count(1), count(0)
+    terms = np.flatnonzero(with_1 + with_0 >= MIN_TEXTS)
+    with_1, with_0 = with_1[terms], with_0[terms]
     share = (with_1 + with_0) / (n1 + n0)
-    z = (with_1 / n1 - with_0 / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
-    telling = (with_1 + with_0 >= MIN_TEXTS) & (np.abs(z) >= MIN_Z)
-    model.factors[telling] = rng.normal(0, 0.01, (int(telling.sum()), FACTORS))
+    z = np.abs(with_1 / n1 - with_0 / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
+    alone = _shrunk(z, HALF_Z)
+    beside = alone
+    place = np.full(BUCKETS, -1, np.int32)
+    place[terms] = np.arange(len(terms))
+    # The bias starts at the share of toxic texts, so that a text of which nothing is known goes with the larger class.
+    model.bias = float(np.log(positive / (1 - positive)))
     weight = np.where(labels == 1, 0.5 / positive, 0.5 / (1 - positive))
-    rows = [r[telling[r]] for r in rows]
-    gw, gv, gb = np.full(BUCKETS, 1e-6), np.full((BUCKETS, FACTORS), 1e-6), 1e-6
-    for epoch in range(epochs):
-        order = rng.permutation(len(rows))
-        for lo in range(0, len(order), batch):
-            pick = order[lo : lo + batch]
-            ends = np.cumsum([0, *(len(rows[i]) for i in pick)])
-            items = np.concatenate([rows[i] for i in pick])
-            if not len(items):
-                continue
-            out, mean = model.raw(items, ends)
-            error = weight[pick] * (1 / (1 + np.exp(-np.clip(out, -30, 30))) - labels[pick]) / len(pick)
-            of = np.repeat(np.arange(len(pick)), np.diff(ends))
-            gb += error.sum() ** 2
-            model.bias -= rate * error.sum() / np.sqrt(gb)
-            used, at = np.unique(items, return_inverse=True)
-            e = error[of]
-            grad = np.bincount(at, e, len(used)) + l2 * model.weights[used]
-            gw[used] += grad**2
-            model.weights[used] -= rate * grad / np.sqrt(gw[used])
-            slope = e[:, None] * (mean[of] - model.factors[items])
-            grad = np.stack([np.bincount(at, slope[:, k], len(used)) for k in range(FACTORS)], 1) + l2 * model.factors[used]
-            gv[used] += grad**2
-            model.factors[used] -= 0.4 * rate * grad / np.sqrt(gv[used])
+    order = rng.permutation(len(rows))
+    space = np.zeros((_Batch.BLOCK, batch), np.float32)
+    batches = [_Batch(order[lo : lo + batch], rows, place, space) for lo in range(0, len(order), batch)]
+    # A term's factors and, last, its weight; the sums of their squared slopes; how long its steps are.
+    theta = np.column_stack([rng.normal(0, 0.01, (len(terms), FACTORS)), np.zeros(len(terms))]).astype(np.float32)
+    seen = np.full(theta.shape, 1e-6, np.float32)
+    step = np.repeat(alone[:, None], FACTORS + 1, 1).astype(np.float32) * np.float32(rate)
+    step[:, :FACTORS] *= 0.4
+    total = 1e-6
+    for _ in range(epochs):
+        pulls = np.zeros((len(terms), 2 * FACTORS), np.float32)
+        for k in rng.permutation(len(batches)):
+            b = batches[k]
+            now = theta.take(b.used, 0)
+            v = now[:, :FACTORS]
+            sums = b.by_row(np.column_stack([now, np.einsum("ij,ij->i", v, v)]))
+            mean = sums[:, :FACTORS]
+            out = model.bias + sums[:, FACTORS] + 0.5 * ((mean**2).sum(1) - sums[:, FACTORS + 1])
+            error = weight[b.pick] * (1 / (1 + np.exp(-np.clip(out, -30, 30))) - labels[b.pick]) / len(b.pick)
+            total += error.sum() ** 2
+            model.bias -= rate * error.sum() / np.sqrt(total)
+            slope = error[:, None] * mean
+            by_term = b.by_term(np.column_stack([slope, error, slope**2]).astype(np.float32))
+            grad = by_term[:, : FACTORS + 1]
+            grad[:, :FACTORS] -= grad[:, FACTORS:] * v
+            pulls[b.used] = pulls.take(b.used, 0) + np.delete(by_term, FACTORS, 1)
+            grad += np.float32(l2) * now
+            past = seen.take(b.used, 0) + grad**2
+            seen[b.used] = past
+            theta[b.used] = now - step.take(b.used, 0) * grad / np.sqrt(past)
+        beside = np.maximum(beside, _shrunk((pulls[:, :FACTORS] ** 2 / np.maximum(pulls[:, FACTORS:], 1e-30)).sum(1), HALF_PULL))
+        step[:, :FACTORS] = 0.4 * rate * beside[:, None]
+    model.bias, model.weights[terms], model.factors[terms] = float(model.bias), theta[:, FACTORS], theta[:, :FACTORS]
     return model
 
 

@@ -29,3 +29,21 @@ def test_rows(spark):
     assert all((r.score >= 0.5) == (r.doc_id % 2 == 1) for r in rows if r.doc_id is not None and r.doc_id < 200)
     assert [r.score >= 0.5 for r in rows if r.doc_id is None] == [True]
     assert toxicity.score(docs.limit(0), toxicity.train(docs, labels.limit(0))).count() == 0
+
+
+def test_pairs_without_marginals_are_learnt_from_few_labels():
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("bcdfghjklm"), 7)) for _ in range(60)]
+    mixed = [(a, b) for _ in range(200) for a in ("fool", "fine") for b in ("tribe", "team")]
+    texts = [" ".join([*rng.choice(words, 12), a, b]) for a, b in mixed]
+    y = np.array([int((a == "fool") == (b == "tribe")) for a, b in mixed])
+    rows = [toxicity.Terms().of(t) for t in texts]
+    model = toxicity.fit(rows[:400], y[:400])
+    assert ((model.score(rows[400:]) >= 0.5) == (y[400:] == 1)).mean() > 0.95
+
+
+def test_bias_is_learnt_where_no_term_tells():
+    texts = [f"only{chr(97 + i)} word{chr(97 + i)}" for i in range(20)]
+    rows = [toxicity.Terms().of(t) for t in texts] + [np.zeros(0, np.int32)] * 4
+    model = toxicity.fit(rows, np.array([1] * 3 + [0] * 21))
+    assert (model.score(rows) < 0.5).all()
