@@ -8,7 +8,7 @@ from phaseloom.operators import phase_metrics as pm
 from phaseloom.operators import surrogates as sg
 from phaseloom.operators import tracking as tk
 from phaseloom.operators import field_topology as ft
-from phaseloom.plans.views import field, phase, rounded, sql, table, windowed
+from phaseloom.plans.views import channel_windows, field, phase, rounded, sql, table, windowed
 from phaseloom.streaming import jobs
 
 QUERIES = {}
@@ -35,12 +35,12 @@ def _v1b(spark, d):  # noqa: ANN001, ANN202
 
 @query("v1_phase_randomize")
 def _v1c(spark, d):  # noqa: ANN001, ANN202
-    return sg.surrogates(windowed(spark, d), KEY, 1, "v1")
+    return sg.surrogates(channel_windows(spark, d), KEY, 1, "v1")
 
 
 @query("v2_adjusted_surrogates")
 def _v2(spark, d):  # noqa: ANN001, ANN202
-    return sg.surrogates(windowed(spark, d), KEY, 2, "v2", kind="iaaft")
+    return sg.surrogates(channel_windows(spark, d), KEY, 2, "v2", kind="iaaft")
 
 
 @query("v3_surrogate_gate")
@@ -52,12 +52,12 @@ def _v3(spark, d):  # noqa: ANN001, ANN202
 
 @query("q1_analytic_signal")
 def _q1(spark, d):  # noqa: ANN001, ANN202
-    return sg.analytic_signal(windowed(spark, d), [*KEY, "channel"], 2, 5)
+    return sg.analytic_signal(channel_windows(spark, d), [*KEY, "channel"], 2, 5)
 
 
 @query("q14_lempel_ziv")
 def _q14(spark, d):  # noqa: ANN001, ANN202
-    return sg.lempel_ziv(windowed(spark, d), [*KEY, "channel"])
+    return sg.lempel_ziv(channel_windows(spark, d), [*KEY, "channel"])
 
 
 @query("c5_lagged_predictability")

@@ -36,6 +36,13 @@ def windowed(spark: SparkSession, sf_dir: str, length: int = 16) -> DataFrame:
     return s.withColumn("__n", full).filter(F.col("__n") == CHANNELS * length).drop("__n")
 
 
+def channel_windows(spark: SparkSession, sf_dir: str, length: int = 16) -> DataFrame:
+    """(recording_id, w, channel, k, v): each channel's own complete windows, whether or not the others have them."""
+    s = samples(spark, sf_dir).select("recording_id", F.floor(F.col("n") / length).cast("int").alias("w"), "channel", (F.col("n") % length).cast("int").alias("k"), "v")
+    full = F.count("*").over(W.partitionBy("recording_id", "w", "channel"))
+    return s.withColumn("__n", full).filter(F.col("__n") == length).drop("__n")
+
+
 def phase(spark: SparkSession, sf_dir: str, length: int = 16) -> DataFrame:
     """windowed() with theta, the value as a phase, and amp."""
     return windowed(spark, sf_dir, length).select("recording_id", "w", "channel", "k", wrap_phase(F.col("v")).alias("theta"), F.abs("v").alias("amp"))
