@@ -144,8 +144,8 @@ def _a8(spark, d):  # noqa: ANN001, ANN202
 
 
 @query("a9_bootstrap_interval", None)
-def _a9(spark, d):  # noqa: ANN001, ANN202
-    return ev.bootstrap_mean(table(spark, d, "customer"), ["c_mktsegment"], "c_custkey", "c_acctbal", 100, "boot")
+def _a9(spark, d, replicates=2_000):  # noqa: ANN001, ANN202
+    return ev.bootstrap_mean(table(spark, d, "customer"), ["c_mktsegment"], "c_custkey", "c_acctbal", replicates, "boot")
 
 
 @query("a10_cohens_d", f"WITH {_COHORT}, g AS (SELECT status, segment, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM cohort WHERE segment IN ('BUILDING', 'FURNITURE') GROUP BY ALL) SELECT a.status, round((a.m - b.m) / (sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2)) + 1e-12), 6) AS d FROM g a JOIN g b USING (status) WHERE a.segment = 'BUILDING' AND b.segment = 'FURNITURE'")
