@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,16 +28,11 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
-def fold(col: str, *more: str) -> Column:
-    """remainder helper: crc32 of an id written as text."""
-    return F.crc32(F.col(col).cast("string").cast("binary"))
-
-
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new path in the folder that driver and executors share.
 
-    The folder is the session's spark.checkpoint.dir; where that is unset (tests on one machine) a temporary folder is
-    made and set as the context's checkpoint folder.
+    The folder is the session's spark.checkpoint.dir; where that is unset and Spark runs on one machine, as in tests, a
+    temporary folder is made and set as the context's checkpoint folder. On a cluster that is an error.
     """
     return f"{checkpoint_root(spark)}/phaseloom-{what}-{uuid.uuid4().hex}"
 
@@ -40,6 +40,8 @@ def shared_dir(spark: SparkSession, what: str) -> str:
 def checkpoint_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(root)
     return root
@@ -60,3 +62,21 @@ def spread_join(many: DataFrame, few: DataFrame, keys: list[str], by: Column, ho
     left = many.withColumn("__place", F.pmod(F.xxhash64(by), F.lit(ways)).cast("int"))
     right = few.withColumn("__place", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
     return left.join(right, [*keys, "__place"], how).drop("__place")
+
+
+def slices(batch: pa.RecordBatch, column: str | int, most: int = 4_000_000, rows: int = 5_000) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most `most` bytes in the named column and so many rows; a longer value is a part of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right"))
+        upto = min(max(upto, at + 1), at + rows)
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
+def give_back() -> None:
+    """Hand unused memory back at the end of a task: a worker that is used again keeps its size otherwise."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
