@@ -54,6 +54,17 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as none of the columns has it, in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def spread_join(many: DataFrame, few: DataFrame, keys: list[str], by: Column, how: str = "inner", ways: int = 16) -> DataFrame:
     """Join on keys where one key may hold a large part of many's rows: they are dealt to so many places by another value.
 

@@ -20,17 +20,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from phaseloom.llm.common import table
+from phaseloom.llm.common import give_back, slices, table
 
 #: Given pages that label themselves and are used for training, at most: those with the smallest hashes of their ids.
 MAX_TRAIN = 250
-#: Pages whose messages are passed together.
-PAGES = 200
+#: Bytes of the pages whose messages are passed together.
+BYTES = 3_000_000
 
 # Fixed sets of HTML: elements without content, with content that is never text of the page, and block elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("script style noscript template textarea select option button svg iframe object canvas audio video head title math".split())
 RAW = frozenset("script style noscript template textarea svg iframe title".split())
+SELF_CLOSING = frozenset({"svg"})  # elements of another namespace, where a slash before > ends the element
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -58,7 +59,11 @@ FEATURES = ["bias", *(f"tag:{g}" for g in TAG_GROUPS), *(f"key:{k}" for k in KEY
 _AT = {f: i for i, f in enumerate(FEATURES)}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|data-label)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: Marks the parts of built-in layouts; read while training only.
+_LABEL = re.compile(r'phaseloom-content="([01])"')
+#: Stands for the block of elements whose content is never text of the page.
+MUTED = -2
 
 
 @dataclass
@@ -73,19 +78,20 @@ class Tree:
     label: list[int] = field(default_factory=list)
 
 
-def _attributes(source: str) -> tuple[str, str | None]:
-    words, label = [], None
+def _attributes(source: str) -> str:
+    words = []
     for m in _ATTR.finditer(source):
         value = m[2] or m[3] or m[4] or ""
-        if m[1].lower() == "data-label":
-            label = value
-        else:
-            words.append("hidden" if "hidden" in m[1].lower() and value != "false" else value)
-    return " ".join(words), label
+        words.append("hidden" if "hidden" in m[1].lower() and value != "false" else value)
+    return " ".join(words)
 
 
-def parse(source: str) -> Tree:
-    """A forgiving parse: unclosed and misnested elements end where a browser would end most of them."""
+def parse(source: str, labelled: bool = False) -> Tree:
+    """A forgiving parse: unclosed and misnested elements end where a browser would end most of them.
+
+    The content of buttons, menus of choices, embedded objects and media is left out. labelled: read the labels of
+    built-in layouts.
+    """
     tree = Tree([-1], ["html"], [""], [], [0], [0])
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements; inline ones stand for the block they are in
     links, at, n = 0, 0, len(source)
@@ -99,6 +105,8 @@ def parse(source: str) -> Tree:
 
     def say(piece: str) -> None:
         node = stack[-1][1]
+        if node == MUTED:
+            return
         tree.text.append((node, piece))
         if links:
             tree.linked[node] += len(piece.strip())
@@ -122,12 +130,12 @@ def parse(source: str) -> Tree:
                 if stack[k][0] == name:
                     close(k)
                     break
-                if name not in BLOCK and stack[k][0] in BLOCK:
+                if name not in BLOCK and name not in DROPPED and stack[k][0] in BLOCK:
                     break
             continue
         attrs = m[3] if m[2] else m[6]
-        if name in RAW or name in DROPPED and name != "head":
-            if name in RAW and not attrs.endswith("/"):
+        if name in RAW:
+            if name not in SELF_CLOSING or not attrs.endswith("/"):
                 end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(source, at)
                 at = end.end() if end else n
             continue
@@ -137,6 +145,9 @@ def parse(source: str) -> Tree:
             if name in ("br", "hr"):
                 tree.text.append((-1, ""))
             continue
+        if name in DROPPED:
+            stack.append((name, MUTED))
+            continue
         if name in BLOCK:
             ends = IMPLIED_END.get(name, set())
             for k in range(len(stack) - 1, 0, -1):
@@ -144,15 +155,18 @@ def parse(source: str) -> Tree:
                     close(k)
                     if name not in ends:
                         break
-                elif stack[k][0] in SCOPE:
+                elif stack[k][0] in SCOPE or stack[k][1] == MUTED:
                     break
-            marks, label = _attributes(attrs) if attrs else ("", None)
-            above = stack[-1][1]
+            marks, above = _attributes(attrs) if attrs else "", stack[-1][1]
+            if above == MUTED:
+                stack.append((name, MUTED))
+                continue
+            label = _LABEL.search(attrs) if labelled and attrs else None
             tree.parent.append(above)
             tree.tag.append(name)
             tree.marks.append(marks)
             tree.linked.append(0)
-            tree.label.append(tree.label[above] if label is None else int(label))
+            tree.label.append(tree.label[above] if label is None else int(label[1]))
             tree.text.append((-1, ""))
             stack.append((name, len(tree.tag) - 1))
         elif not attrs.endswith("/"):
@@ -295,7 +309,7 @@ def extract(trees: list[Tree], model: TreeModel) -> list[str]:
 
 
 def layouts(count: int = 160, seed: int = 11) -> list[str]:
-    """Pages in varied layouts whose parts carry data-label: 1 for content, 0 for the rest."""
+    """Pages in varied layouts whose parts carry labels: 1 for content, 0 for the rest."""
     rng = np.random.default_rng(seed)
     pick = lambda *xs: xs[int(rng.integers(len(xs)))]
     words = lambda n: " ".join("".join(pick(*"abcdefghijklmnoprstuvw") for _ in range(int(rng.integers(2, 9)))) for _ in range(n)).capitalize()
@@ -310,14 +324,14 @@ def layouts(count: int = 160, seed: int = 11) -> list[str]:
     def inside() -> str:
         p = lambda: pick(f"<p>{para()}</p>", f"<p>{para()}", f"<p><b>{words(2)}</b> {para()} {link()} {sentence()}</p>", f"<p><b>{sentence()}<br>", f"<div>{para()}</div>")
         extra = lambda: pick(f"<h2>{words(3)}</h2>", f"<blockquote>{pick('', '<p>')}{para()}</blockquote>", "<ul>" + many(lambda: f"<li>{sentence()}</li>", 2, 5) + "</ul>", f"<pre>{words(8)}</pre>", f"<table><tr><td>{words(2)}</td><td>{words(2)}</td></tr></table>", f"<figure><img src=x><figcaption>{sentence()}</figcaption></figure>", "")
-        noise = lambda: pick("", "", "", f'<div data-label="0"{mark(pick("advert", "ad", "ads", "ad-slot", "sponsored", "promo"))}>{para()}</div>', f'<aside data-label="0">{para()}</aside>', f'<div data-label="0"{mark(pick("share", "social-share"))}>{items(2, 4)}</div>', f'<div data-label="0"{mark("related")}><h3>{words(2)}</h3>{items(2, 5)}</div>')
+        noise = lambda: pick("", "", "", f'<div phaseloom-content="0"{mark(pick("advert", "ad", "ads", "ad-slot", "sponsored", "promo"))}>{para()}</div>', f'<aside phaseloom-content="0">{para()}</aside>', f'<div phaseloom-content="0"{mark(pick("share", "social-share"))}>{items(2, 4)}</div>', f'<div phaseloom-content="0"{mark("related")}><h3>{words(2)}</h3>{items(2, 5)}</div>')
         return pick(f"<h1>{words(5)}</h1>", f"<h1>{sentence()}</h1>", f"<header><h1>{words(4)}</h1></header>") + many(lambda: p() + extra() + noise(), 1, 8)
 
     out = []
     for _ in range(count):
         tag = pick("article", "article", "article", "main", "section", "div", "div", "div")
         names = pick("post", "entry-content", "article-body", "story", "content", "post-body", "text") if tag in ("div", "section") else pick("", "", "post", "content")
-        content = f'<{tag}{mark(names) if names else ""} data-label="1">{inside()}</{tag}>'
+        content = f'<{tag}{mark(names) if names else ""} phaseloom-content="1">{inside()}</{tag}>'
         nav = lambda: pick(f"<nav>{items()}</nav>", f'<div{mark(pick("menu", "navbar", "navigation", "breadcrumbs"))}>{items()}</div>', f'<ul{mark("menu")}>' + many(lambda: f"<li>{link()}", 3, 8) + "</ul>")
         header = lambda: pick("", f"<header>{words(3)}{nav()}</header>", f'<div{mark(pick("header", "masthead", "top-banner"))}><h2>{words(2)}</h2><p>{sentence()}</p></div>')
         side = lambda: pick(f"<aside{plain('sidebar')}><h3>{words(2)}</h3>{items()}<p>{para()}</p></aside>", f'<div{mark(pick("sidebar", "widget", "right-rail"))}><h3>{words(2)}</h3><p>{para()}</p>{items()}</div>')
@@ -332,32 +346,66 @@ def layouts(count: int = 160, seed: int = 11) -> list[str]:
         some = lambda *fs: "".join(f() for f in fs if rng.random() < 0.5)
         wrap = pick(("", ""), ('<div class="wrapper">', "</div>"), ('<div id="page"><div class="container">', "</div></div>"), ("<main>", "</main>"), ('<div class="row">', "</div>"))
         parts = some(notice, header, nav, ad) + wrap[0] + some(nav, ad, side, form) + content + some(comments, comments, side, ad, form) + wrap[1] + some(side, notice, comments) + some(footer, footer)
-        out.append(f'<!DOCTYPE html><html><head><title>{words(4)}</title><style>p{{x:y}}</style></head><body data-label="0">{parts}<script>var a="<p>";</script></body></html>')
+        out.append(f'<!DOCTYPE html><html><head><title>{words(4)}</title><style>p{{x:y}}</style></head><body phaseloom-content="0">{parts}<script>var a="<p>";</script></body></html>')
     return out
 
 
 def self_labelled(source: str) -> Tree | None:
-    """A page with exactly one <article>, which is its content."""
+    """A page with exactly one <article>, which is its content but for parts of it that name themselves something else."""
     tree = parse(source)
     where = [i for i, t in enumerate(tree.tag) if t == "article"]
     if len(where) != 1:
         return None
+    other = [k for k, name in zip(_KEY, KEYWORDS, strict=True) if name not in ("content", "header")]
     for i, p in enumerate(tree.parent):
-        tree.label[i] = int(i == where[0] or p >= 0 and tree.label[p])
+        is_other = tree.tag[i] in ("nav", "aside", "form", "footer", "menu", "dialog") or tree.marks[i] and any(k.search(tree.marks[i]) for k in other)
+        tree.label[i] = int(i == where[0] or p >= 0 and tree.label[p] and not is_other)
     return tree
 
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max_train: int = MAX_TRAIN) -> TreeModel:
-    """Fit on the layouts and on at most max_train of the given pages; a quarter of the layouts with content tags masked."""
-    ids = pages.select(F.col(id_col).alias("id")).filter(F.col("id").isNotNull()).orderBy(F.xxhash64("id"), "id").limit(max_train)
-    rows = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).join(F.broadcast(ids.distinct()), "id").select("id", F.substring("html", 1, 200_000).alias("html")).orderBy("id").limit(max_train).collect()
-    given = [t for r in rows if r["html"] and (t := self_labelled(r["html"]))]
-    return train_model(training_forest(given))
+    """Fit on the layouts and on at most max_train of the given pages; a quarter of the layouts with content tags masked.
+
+    The pages are those with the smallest hashes of their ids; rows with a null id or html teach nothing. They are parsed
+    whole, on the executors; the driver gets a byte for each feature of their nodes.
+    """
+    rows = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).filter(F.col("id").isNotNull() & F.col("html").isNotNull())
+    ids = rows.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(max_train)
+    chosen = rows.join(F.broadcast(ids), "id").groupBy("id").agg(F.min("html").alias("html"))  # one page for each id
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, "html", BYTES):
+                for i, source in zip(b.column("id"), b.column("html").to_pylist(), strict=True):
+                    if tree := self_labelled(source):
+                        f = forest([tree])
+                        packed = [pa.array([x.tobytes()], pa.binary()) for x in (f.parent.astype(np.int32), f.features.astype(np.uint8), f.label.astype(np.uint8))]
+                        yield pa.RecordBatch.from_arrays([pa.array([i.as_py()], b.column("id").type), *packed], names=["id", "parent", "features", "label"])
+
+    schema = T.StructType([T.StructField("id", pages.schema[id_col].dataType), *(T.StructField(c, T.BinaryType()) for c in ("parent", "features", "label"))])
+    given = []
+    for r in chosen.mapInArrow(run, schema).orderBy("id").collect():  # max_train rows at most
+        parent = np.frombuffer(r["parent"], np.int32).astype(np.int64)
+        given.append(Forest(parent, _levels(parent), np.frombuffer(r["features"], np.uint8).reshape(len(parent), -1).astype(float), np.frombuffer(r["label"], np.uint8).astype(int)))
+    return train_model(_training(given))
+
+
+def _levels(parent: np.ndarray) -> list[np.ndarray]:
+    """Nodes at each depth; a node's parent comes before it."""
+    depth = np.zeros(len(parent), int)
+    for i, p in enumerate(parent.tolist()):
+        if p >= 0:
+            depth[i] = depth[p] + 1
+    return [np.flatnonzero(depth == d) for d in range(int(depth.max(initial=0)) + 1)] if len(parent) else []
 
 
 def training_forest(given: list[Tree]) -> Forest:
-    known = [parse(x) for x in layouts()]
-    return _joined([forest(known[::4], True), *(forest(known[k::4]) for k in (1, 2, 3)), forest(given)])
+    return _training([forest(given)])
+
+
+def _training(given: list[Forest]) -> Forest:
+    known = [parse(x, labelled=True) for x in layouts()]
+    return _joined([forest(known[::4], True), *(forest(known[k::4]) for k in (1, 2, 3)), *given])
 
 
 def _joined(parts: list[Forest]) -> Forest:
@@ -372,16 +420,16 @@ def _joined(parts: list[Forest]) -> Forest:
 
 
 def main_text(pages: DataFrame, model: TreeModel, html_col: str = "html") -> DataFrame:
-    """pages with main_text; a null or empty page has an empty one. A column of that name is replaced."""
+    """pages with main_text, one row for each row; a null or empty page has an empty one. A column of that name is replaced."""
     pages = pages.drop("main_text")
     schema = T.StructType([*pages.schema.fields, T.StructField("main_text", T.StringType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, PAGES):
-                b = whole.slice(at, PAGES)
+            for b in slices(whole, html_col, BYTES):
                 out = extract([parse(x or "") for x in b.column(html_col).to_pylist()], model)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, "main_text"])
+        give_back()
 
     return pages.mapInArrow(run, schema)
 

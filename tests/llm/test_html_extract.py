@@ -55,8 +55,29 @@ def test_broken_markup(model):
         assert isinstance(one(model, page), str)
 
 
+def test_content_of_controls_and_objects_is_left_out(model):
+    inner = f"{PARA}<button>Subscribe <div>now</div></button><select><option>One<option selected>Two</select><object data=x>no</object><canvas>no</canvas><audio src=a>no</audio><video>no</video> still here"
+    page = f'<body><article><h1>Head</h1><p>{inner}<script src=/a/>var no;</script> end.</p><table><tr><td data-label="Price">Costs 5.</td></tr></table><p>{PARA}</article></body>'
+    assert one(model, page) == f"Head {PARA} still here end. Costs 5. {PARA}"
+
+
+def test_parts_of_an_article_that_name_themselves_otherwise():
+    tree = he.self_labelled(f'<article><p>{PARA}</p><div class="comments"><p>hi</p></div><aside>x</aside><div class="body-text">y</div></article>')
+    assert [x for t, x in zip(tree.tag, tree.label, strict=True) if t != "html"] == [1, 1, 0, 0, 0, 1]
+
+
+def test_training_on_rows(spark):
+    page = f"<body><nav><ul><li><a href=/>Home</a></li></ul></nav><article><p>{PARA}</p></article></body>"
+    rows = [(i, page, "x") for i in range(30)] + [(1, page, "y"), (None, page, "z"), (40, None, "z"), (41, "", "z"), (42, "<article><p>" + "long text. " * 60_000 + "</article>", "z")]
+    pages = spark.createDataFrame(rows, "page_id long, html string, features string")
+    model = he.train(pages)
+    got = {r.page_id: r.main_text for r in he.main_text(pages, model).collect() if r.page_id}
+    assert got[5] == PARA and got[42] == ("long text. " * 60_000).strip() and got[40] == got[41] == ""
+    assert he.train(pages.limit(0)).unary.shape == model.unary.shape
+
+
 def test_held_out_layouts(model):
-    trees = [he.parse(x) for x in he.layouts(120, seed=5)]
+    trees = [he.parse(x, labelled=True) for x in he.layouts(120, seed=5)]
     f = he.forest(trees)
     assert ((model.infer(f)[0] >= 0.5) == f.label).mean() > 0.97
 
