@@ -11,12 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phaseloom.llm.common import ascii_lower, table
+from phaseloom.llm.common import ascii_lower, spread_join, stored, table, unused
 
 #: Separators of words: ASCII characters that are no digits and, after lower-casing, no letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Benchmarks with up to so many distinct windows are broadcast (well under 200 MB); larger ones are joined by shuffle.
-BROADCAST_WINDOWS = 500_000
+#: Benchmarks with up to so many distinct windows, of so many bytes with their item ids, are broadcast; larger ones are
+#: joined by shuffle.
+BROADCAST_WINDOWS, BROADCAST_BYTES = 500_000, 100_000_000
 
 
 def words(text: Column) -> Column:
@@ -43,8 +44,9 @@ def benchmark_windows(bench: DataFrame, n: int = 10, id_col: str = "item_id", te
     return b.select("item", "len", F.explode(grams).alias("gram")).groupBy("len", "gram").agg(F.collect_set("item").alias("items"))
 
 
-def _small(df: DataFrame, broadcast: bool) -> DataFrame:
-    return F.broadcast(df) if broadcast else df
+def _lookup(many: DataFrame, few: DataFrame, keys: list[str], small: bool) -> DataFrame:
+    """Left join of many with few, which has one row a key: broadcast if it is small, else with hot keys dealt to several places."""
+    return many.join(F.broadcast(few), keys, "left") if small else spread_join(many, few, keys, F.struct("id", "mark", "p"), "left")
 
 
 def contamination(docs: DataFrame, bench: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -54,9 +56,10 @@ def contamination(docs: DataFrame, bench: DataFrame, n: int = 10, id_col: str =
     come from. Rows that repeat another row's id and text each get a row. Null texts have no words;
     null ids stay null; benchmark items without words have no windows. Other columns of docs are not read.
     """
-    windows = benchmark_windows(bench, n).persist()
-    size = {r["len"]: r["n"] for r in windows.groupBy("len").agg(F.count("*").alias("n")).collect()}  # n rows at most
-    small = sum(size.values()) <= BROADCAST_WINDOWS
+    windows = stored(benchmark_windows(bench, n), "windows")
+    weight = F.octet_length("gram") + F.aggregate("items", F.lit(0), lambda s, x: s + F.octet_length(x) + 16)
+    size = {r["len"]: (r["n"], r["bytes"]) for r in windows.groupBy("len").agg(F.count("*").alias("n"), F.sum(weight).alias("bytes")).collect()}  # n rows at most
+    small = sum(k for k, _ in size.values()) <= BROADCAST_WINDOWS and sum(b for _, b in size.values()) <= BROADCAST_BYTES
     base = _with_words(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("__t")), "__t")
     base = base.withColumn("n_words", F.size("__words"))
 
@@ -72,7 +75,7 @@ def contamination(docs: DataFrame, bench: DataFrame, n: int = 10, id_col: str =
         starts = F.when(F.col("n_words") >= length, F.sequence(F.lit(0), F.col("n_words") - g, F.lit(step)))
         return F.coalesce(F.transform(starts, gram), F.array().cast("array<struct<len:int,p:int,anchor:bigint,near:array<string>>>"))
 
-    row = F.array(F.struct(F.lit(0).alias("len"), F.lit(-1).alias("p"), F.lit(None).cast("bigint").alias("anchor"), F.lit(None).cast("array<string>").alias("near")))
+    row = F.array(F.struct(F.lit(0).alias("len"), F.lit(-1).alias("p"), F.xxhash64("id", "mark").alias("anchor"), F.lit(None).cast("array<string>").alias("near")))
     scan = base.select("id", "mark", "n_words", F.explode(F.concat(row, *[anchors(k) for k in sorted(size)])).alias("a")).select("id", "mark", "n_words", "a.*")
     known = None
     for k in sorted(size):
@@ -83,17 +86,17 @@ def contamination(docs: DataFrame, bench: DataFrame, n: int = 10, id_col: str =
         scan = scan.filter(F.col("p") == -1)
         hits = scan.select("id", "mark", "n_words", F.lit(True).alias("self"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), F.lit(None).cast("array<string>").alias("items"))
     else:
-        found = scan.join(_small(known.distinct(), small), "anchor", "left").filter((F.col("p") == -1) | F.col("known"))
+        found = _lookup(scan, known.distinct(), ["anchor"], small).filter((F.col("p") == -1) | F.col("known"))
         # the aligned gram at p lies inside the windows that start at p-step+1 .. p
         step = F.col("len") - F.floor((F.col("len") + 1) / 2).cast("int") + 1
         first = F.greatest(F.col("p") - step + 1, F.lit(0))
         last = F.least(F.col("p"), F.col("n_words") - F.col("len"))
         starts = F.when(F.col("p") == -1, F.array(F.lit(-1))).otherwise(F.when(first <= last, F.sequence(first, last)))
         tries = found.withColumn("first", first).withColumn("start", F.explode(starts))
-        gram = F.when(F.col("p") >= 0, F.array_join(F.slice("near", F.col("start") - F.col("first") + 1, F.greatest("len", F.lit(1))), " "))
-        tries = tries.select("id", "mark", "n_words", "len", "start", gram.alias("gram"), (F.col("p") == -1).alias("self"))
-        target = windows.select(F.col("len").alias("len2"), F.col("gram").alias("gram2"), "items")
-        hits = tries.join(_small(target, small), (F.col("len") == F.col("len2")) & (F.col("gram") == F.col("gram2")), "left").filter(F.col("self") | F.col("items").isNotNull())
+        # a document's own row has length 0 and a gram of its own, so that it finds nothing and is dealt evenly
+        gram = F.when(F.col("p") >= 0, F.array_join(F.slice("near", F.col("start") - F.col("first") + 1, F.greatest("len", F.lit(1))), " ")).otherwise(F.col("anchor").cast("string"))
+        tries = tries.select("id", "mark", "p", "n_words", "len", "start", gram.alias("gram"), (F.col("p") == -1).alias("self"))
+        hits = _lookup(tries, windows, ["len", "gram"], small).filter(F.col("self") | F.col("items").isNotNull())
         hits = hits.select("id", "mark", "n_words", "self", F.when(~F.col("self"), F.col("start")).alias("start"), F.when(~F.col("self"), F.col("start") + F.col("len")).alias("end"), "items")
     span = F.when(F.col("start").isNotNull(), F.sequence(F.col("start"), F.col("end") - 1))
     per_doc = hits.groupBy("id", "mark").agg(
@@ -108,15 +111,17 @@ def decontaminate(docs: DataFrame, bench: DataFrame, n: int = 10, id_col: str =
     remove="documents" drops each document with a hit; "spans" drops the hit words, keeping the other words of those
     documents in normalised form, one space between them.
     """
-    found = contamination(docs, bench, n, id_col, text_col).filter(F.size("hit_words") > 0).select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__mark"), "hit_words").distinct()
-    keyed = docs.withColumn("__mark0", F.xxhash64(text_col))
-    on = keyed[id_col].eqNullSafe(found["__id"]) & (keyed["__mark0"] == found["__mark"])
+    own_id, own_mark, mark, hit, all_words, parts = unused(docs.columns, "own_id", "own_mark", "mark", "hit_words", "words", "parts")
+    found = contamination(docs, bench, n, id_col, text_col).filter(F.size("hit_words") > 0)
+    found = found.select(F.col(id_col).alias(own_id), F.col("text_hash").alias(own_mark), F.col("hit_words").alias(hit)).distinct()
+    keyed = docs.withColumn(mark, F.xxhash64(text_col))
+    on = F.col(id_col).eqNullSafe(F.col(own_id)) & (F.col(mark) == F.col(own_mark))
     if remove == "documents":
         return keyed.join(found, on, "left_anti").select(*docs.columns)
-    both = keyed.join(found, on, "left").withColumn("__parts", words(F.col(text_col))).withColumn("__words", _trimmed(F.col("__parts")))
-    every = F.sequence(F.lit(0), F.size("__words") - 1)
-    rest = F.array_join(F.transform(F.array_except(every, "hit_words"), lambda i: F.get("__words", i)), " ")
-    return both.withColumn(text_col, F.when(F.col("hit_words").isNull(), F.col(text_col)).otherwise(rest)).select(*docs.columns)
+    both = keyed.join(found, on, "left").withColumn(parts, words(F.col(text_col))).withColumn(all_words, _trimmed(F.col(parts)))
+    every = F.sequence(F.lit(0), F.size(all_words) - 1)
+    rest = F.array_join(F.transform(F.array_except(every, hit), lambda i: F.get(all_words, i)), " ")
+    return both.withColumn(text_col, F.when(F.col(hit).isNull(), F.col(text_col)).otherwise(rest)).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

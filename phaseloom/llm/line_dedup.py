@@ -1,8 +1,9 @@
 """Line deduplication across documents, with DataFrame functions only.
 
-Lines are exploded, normalised and hashed to 128 bits; documents are counted per hash; lines whose hash is found in too
-many documents are dropped from every document but the one with the smallest id; the rest is joined again by position.
-Only (hash, id, position) rows are shuffled by line; texts move once, when the dropped positions come back to them.
+Lines are exploded, normalised and hashed to 128 bits once, and stored as (hash, id, position) rows; documents are
+counted per hash; lines whose hash is found in too many documents are dropped from every document but the one with the
+smallest id; the rest is joined again by position. The lines of a hash are dealt to several places by their documents, so
+a line that all documents share loads no task. Texts move once, when the dropped positions come back to them.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phaseloom.llm.common import ASCII_SPACE, ascii_lower, spread_join, table
+from phaseloom.llm.common import ASCII_SPACE, ascii_lower, spread_join, stored, table, unused
 
 
 def line_key(line: Column) -> Column:
@@ -30,8 +31,8 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, id_col:
     loses the lines that other documents share. Columns of docs that are named n_lines, n_dropped or kept_text are
     replaced.
     """
-    out_cols = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")]
-    mark = "__text_hash"
+    out_cols = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped", "kept_text")]
+    mark, own_id, own_mark, gone, parts = unused([*docs.columns, "n_lines", "n_dropped", "kept_text"], "mark", "own_id", "own_mark", "gone", "parts")
     base = docs.select(*out_cols).withColumn(mark, F.xxhash64(F.col(text_col)))
     lines = (
         base.select(F.col(id_col).alias("id"), F.col(mark).alias("mark"), F.posexplode(_lines(F.col(text_col))).alias("pos", "line"))
@@ -39,14 +40,15 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, id_col:
         .filter(F.char_length("key") >= min_chars)
         .select("id", "mark", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
     )
+    lines = stored(lines, "lines")
     shared = lines.groupBy("h1", "h2").agg(F.countDistinct("id").alias("n"), F.min("id").alias("first")).filter(F.col("n") >= min_docs).drop("n")
-    dropped = spread_join(lines, shared, ["h1", "h2"], F.col("mark")).filter(~F.col("id").eqNullSafe(F.col("first"))).groupBy("id", "mark").agg(F.collect_set("pos").alias("gone"))
-    joined = base.join(dropped, F.col(id_col).eqNullSafe(dropped["id"]) & (F.col(mark) == dropped["mark"]), "left")
-    parts = _lines(F.col(text_col))
-    kept = joined.withColumn("__parts", parts).withColumn("n_lines", F.size("__parts").cast("long"))
-    kept = kept.withColumn("n_dropped", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda i: F.get("__parts", i)), "\n"))
+    dropped = spread_join(lines, shared, ["h1", "h2"], F.struct("id", "pos")).filter(~F.col("id").eqNullSafe(F.col("first")))
+    dropped = dropped.groupBy(F.col("id").alias(own_id), F.col("mark").alias(own_mark)).agg(F.collect_set("pos").alias(gone))
+    joined = base.join(dropped, F.col(id_col).eqNullSafe(F.col(own_id)) & (F.col(mark) == F.col(own_mark)), "left")
+    kept = joined.withColumn(parts, _lines(F.col(text_col))).withColumn("n_lines", F.size(parts).cast("long"))
+    kept = kept.withColumn("n_dropped", F.coalesce(F.size(gone), F.lit(0)).cast("long"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone))
+    text = F.when(F.col(gone).isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
     return kept.withColumn("kept_text", text).select(*out_cols, "n_lines", "n_dropped", "kept_text")
 
 

@@ -33,10 +33,11 @@ def test_line_dedup(spark):
     pool = ["Common Line ÄÖ number one", "common line äö number one", "  COMMON LINE ÄÖ NUMBER ONE\t", "short", "", "another shared line here", "x" * 10, "x" * 9]
     rows = [(i, "\n".join(rng.choice([*pool, f"own line {rng.random()}"]) for _ in range(rng.randrange(1, 9)))) for i in range(60)]
     rows += [(None, "another shared line here\nmine"), (None, None), (5, None), (6, ""), (7, "\n\n"), (61, "another shared line here\n" * 3000), (62, rows[3][1]), (3, rows[3][1]), (3, "Another shared line here")]
-    df = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, n_lines int, kept_text string")
+    df = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, n_lines int, kept_text string").selectExpr("*", "1 AS id", "2 AS mark", "3 AS GONE", "4 AS h1", "5 AS _mark", "6 AS parts")
     got = sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in ld.line_dedup(df).collect()), key=repr)
     assert got == brute_lines(rows)
     assert ld.line_dedup(df.limit(0)).count() == 0
+    assert ld.line_dedup(df).columns == ["doc_id", "text", "id", "mark", "GONE", "h1", "_mark", "parts", "n_lines", "n_dropped", "kept_text"]
 
 
 def words(t):
@@ -85,3 +86,16 @@ def test_removal(spark):
     assert sorted(r.doc_id for r in dc.decontaminate(docs, bench).collect()) == [2, 3]
     got = {r.doc_id: (r.text, r.spans) for r in dc.decontaminate(docs, bench, remove="spans").collect()}
     assert got == {1: ("start end", "a"), 2: ("clean Text.", "b"), 3: (None, "c")}
+    more = docs.selectExpr("*", "1 AS hit_words", "2 AS words", "3 AS mark", "4 AS own_id", "5 AS items")
+    assert {r.doc_id: (r.text, r.hit_words, r.items) for r in dc.decontaminate(more, bench, remove="spans").collect()}[1] == ("start end", 1, 5)
+    assert dc.decontaminate(more, bench).columns == more.columns
+
+
+def test_shuffled_lookup_gives_the_same(spark, monkeypatch):
+    passage = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(i, f"{passage} {i} tail {passage}" if i % 3 else "clean text") for i in range(90)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, passage), (2, "clean text")], "item_id long, text string")
+    rows = lambda: sorted((r.doc_id, r.n_words, tuple(r.hit_words), tuple(r.items)) for r in dc.contamination(docs, bench).collect())
+    want = rows()
+    monkeypatch.setattr(dc, "BROADCAST_WINDOWS", 0)
+    assert rows() == want and len(want) == 90
