@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phaseloom.llm.common import shared_dir, spread_join, table
+from phaseloom.llm.common import give_back, shared_dir, slices, spread_join, table
 
 #: Fixed by the gzip format: the first three bytes of a member, and an empty member.
 MAGIC = b"\x1f\x8b\x08"
@@ -50,20 +50,36 @@ def member(page_id: str | None, url: str | None, digest: str, size: int, refers_
     return packer.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
 
 
-def parsed(record: bytes) -> tuple | None:
-    """Columns of RECORD from an unpacked member; None where it is no whole WARC record."""
-    head, _, rest = record.partition(b"\r\n\r\n")
-    if not head.startswith(b"WARC/1."):
-        return None
-    fields = dict(x.split(": ", 1) for x in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
-    size = int(fields.get("Content-Length", "-1"))
-    if size < 0 or len(rest) < size:
-        return None
-    payload = rest[:size].partition(b"\r\n\r\n")[2]
-    of = lambda name: _unclean(v[10:-1]) if (v := fields.get(name)) is not None else None
-    url, kind = fields.get("WARC-Target-URI"), fields.get("WARC-Type")
-    refers = of("WARC-Refers-To")
-    return (of("WARC-Record-ID"), None if url is None else _unclean(url), kind, refers, int(fields.get("X-Payload-Length", len(payload))), fields.get("WARC-Payload-Digest", "").removeprefix("sha256:"), None if kind == "revisit" else payload)
+def _number(value: str | None, otherwise: int) -> int:
+    return int(value) if value is not None and value.isascii() and value.isdigit() else otherwise
+
+
+def records(unpacked: bytes) -> Iterator[tuple]:
+    """Columns of RECORD for each whole WARC record of an unpacked member."""
+    at = 0
+    while unpacked[at : at + 7] == b"WARC/1.":
+        blank = unpacked.find(b"\r\n\r\n", at)
+        if blank < 0:
+            return
+        lines = [x.partition(":") for x in unpacked[at:blank].decode("utf-8", "replace").split("\r\n")[1:]]
+        fields = {name.strip().lower(): value.strip() for name, colon, value in reversed(lines) if colon}
+        size, at = _number(fields.get("content-length"), -1), blank + 4
+        if size < 0 or len(unpacked) < at + size:
+            return
+        block, at = unpacked[at : at + size], at + size
+        yield _columns(fields, block)
+        while unpacked[at : at + 2] == b"\r\n":
+            at += 2
+
+
+def _columns(fields: dict[str, str], block: bytes) -> tuple:
+    of = lambda name: _unclean(v.strip("<>").removeprefix("urn:page:")) if (v := fields.get(name)) is not None else None
+    is_http = fields.get("content-type", "application/http" if block.startswith(b"HTTP/") else "").lower().startswith("application/http")
+    payload = block.partition(b"\r\n\r\n")[2] if is_http else block
+    url, kind = fields.get("warc-target-uri"), fields.get("warc-type")
+    size = _number(fields.get("x-payload-length"), len(payload))
+    digest = fields.get("warc-payload-digest", "").removeprefix("sha256:")
+    return (of("warc-record-id"), None if url is None else _unclean(url), kind, of("warc-refers-to"), size, digest, None if kind == "revisit" else payload)
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 100) -> None:
@@ -82,9 +98,10 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                out = [member(*(x[k] for k in ("id", "url", "digest", "size", "first", "payload"))) for x in whole.slice(at, 500).to_pylist()]
+            for batch in slices(whole, "payload"):
+                out = [member(*(x[k] for k in ("id", "url", "digest", "size", "first", "payload"))) for x in batch.to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
+        give_back()
 
     packed = rows.mapInArrow(run, "member binary").select(F.col("member").cast("string"))
     packed.write.option("lineSep", EMPTY.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
@@ -131,8 +148,7 @@ class _Scan:
         self.raw.append(raw)
         self.text.append(text)
         if self.unpack.eof:
-            found = parsed(b"".join(self.text))
-            if found:
+            for found in records(b"".join(self.text)):
                 self.whole = False  # from here on, what does not decode belongs to no member
                 self.out.append((*found, None, None, None, None))
             self.unpack = None
@@ -154,7 +170,10 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """One row for each record of the gzipped archives under path, with the columns of RECORD; payload is null for revisits.
 
-    Members that are damaged or hold no WARC record are passed over; empty files give no rows.
+    Members that are damaged or hold no WARC record are passed over, and so is the rest of a member from a record with a
+    missing or malformed length on; a member may hold several records. Header names count in any case. Empty files give
+    no rows. Nearly all records are whole within the pieces of one range: the second, small part of the plan decodes the
+    ranges once more and keeps only what lies across false magic numbers at their borders.
     """
     raw = spark.read.option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
     pieces = raw.select(F.col("value").cast("binary").alias("piece"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))

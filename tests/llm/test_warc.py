@@ -58,6 +58,13 @@ def test_magic_numbers_inside_members(spark, tmp_path):
     spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def test_records_of_other_writers():
+    text = b"WARC/1.0\r\nwarc-type: response\r\nWARC-RECORD-ID:<urn:uuid:1>\r\nContent-Type: text/plain\r\ncontent-length: 4\r\n\r\na\r\n\r\r\n\r\n"
+    other = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: abc\r\n\r\nx\r\n\r\n"
+    assert [(r[0], r[2], r[6]) for r in warc.records(text + text + other + text)] == [("urn:uuid:1", "response", b"a\r\n\r")] * 2
+    assert list(warc.records(b"")) == list(warc.records(b"WARC/1.0\r\nContent-Length: 99\r\n\r\nshort")) == []
+
+
 def test_empty_table(spark):
     path = shared_dir(spark, "warc-test")
     warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), path)
