@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -43,6 +44,20 @@ def test_any_ranges(spark, tmp_path):
         assert sorted(got) == sorted(w for w in want if w[1] == 50256)
     spark.conf.unset("spark.sql.files.maxPartitionBytes")
     spark.conf.unset("spark.sql.files.openCostInBytes")
+    for width, end in ((2, 0x5050), (4, 0)):  # bytes that overlap themselves
+        with pytest.raises(ValueError, match="overlap"):
+            token_counts.token_counts(spark, str(tmp_path / f"{width}-{end}"), end, width)
+
+
+def test_empty_table_and_wide_ids(spark):
+    path = shared_dir(spark, "tokens-test")
+    docs = spark.createDataFrame([("one two",)], "text string")
+    token_counts.write_tokens(docs.limit(0), path)
+    assert token_counts.token_counts(spark, path).count() == 0
+    with pytest.raises(ValueError, match="fit"):
+        token_counts.write_tokens(docs, shared_dir(spark, "tokens-test"), end_id=70_000)
+    with pytest.raises(Exception, match="does not fit"):
+        token_counts.write_tokens(docs, shared_dir(spark, "tokens-test"), end_id=200, width=1)
 
 
 def test_written_files(spark):
