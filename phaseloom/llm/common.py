@@ -75,6 +75,28 @@ def spread_join(many: DataFrame, few: DataFrame, keys: list[str], by: Column, ho
     return left.join(right, [*keys, "__place"], how).drop("__place")
 
 
+def hot_join(many: DataFrame, few: DataFrame, key: str, by: Column, limit: int, how: str = "inner", size: str = "", ways: int = 16) -> DataFrame:
+    """Join on a key of which few has one row; keys with over limit rows in many are dealt to several places by a value of many.
+
+    Only the keys over limit, of which there are many's rows / limit at most, are broadcast: the caller's limit is what
+    bounds them. size: a column of few that holds a key's rows in many, if it has one.
+    """
+    counts = few.select(key, F.col(size).alias("__n")) if size else many.groupBy(key).agg(F.count("*").alias("__n"))
+    hot = F.broadcast(counts.filter(F.col("__n") > limit).select(key, F.lit(True).alias("__hot")))
+    left = many.join(hot, key, "left").withColumn("__place", F.when(F.col("__hot"), F.pmod(F.xxhash64(by), F.lit(ways)).cast("int")).otherwise(0)).drop("__hot")
+    places = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(ways - 1))).otherwise(F.array(F.lit(0)))
+    right = few.join(hot, key, "left").withColumn("__place", F.explode(places)).drop("__hot")
+    return left.join(right, [key, "__place"], how).drop("__place")
+
+
+#: Keys with more than this share of all rows are dealt to several places; it bounds their number.
+HOT_SHARE, HOT_LEAST = 5_000, 500
+
+
+def hot_limit(rows: int) -> int:
+    return max(HOT_LEAST, rows // HOT_SHARE)
+
+
 def slices(batch: pa.RecordBatch, column: str | int, most: int = 4_000_000, rows: int = 5_000) -> Iterator[pa.RecordBatch]:
     """The batch in parts of at most `most` bytes in the named column and so many rows; a longer value is a part of its own."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)

@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phaseloom.llm.common import stored
+from phaseloom.llm.common import hot_join, hot_limit, stored
 
 
-def _flat(parents: DataFrame) -> DataFrame:
+def _renamed(df: DataFrame, to: DataFrame, key: str, limit: int) -> DataFrame:
+    """df with new, what to(node, root) has for the key, or null; a key of a large part of all rows is dealt to several places."""
+    counts = df.groupBy(key).agg(F.count("*").alias("held"))
+    few = counts.join(to.select(F.col("node").alias(key), F.col("root").alias("new")), key)
+    return hot_join(df, few, key, F.struct(*df.columns), limit, "left", "held").drop("held")
+
+
+def _flat(parents: DataFrame, limit: int) -> DataFrame:
     """(node, root): follow parents, which are smaller than their nodes, to the end by pointer jumping."""
     at = parents
     while True:
-        up = at.select(F.col("node").alias("root"), F.col("root").alias("higher"))
-        new = stored(at.join(up, "root", "left").select("node", F.coalesce("higher", "root").alias("root"), F.col("higher").isNotNull().alias("moved")), "jump")
+        new = stored(_renamed(at, at, "root", limit).withColumnRenamed("new", "higher").select("node", F.coalesce("higher", "root").alias("root"), F.col("higher").isNotNull().alias("moved")), "jump")
         at = new.drop("moved")
         if new.filter("moved").isEmpty():
             return at
@@ -28,12 +34,12 @@ def components(links: DataFrame) -> DataFrame:
     rest = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "links")
     loops = links.filter("a = b").select(F.col("a").alias("node"))
     roots = stored(rest.select(F.col("a").alias("node")).union(rest.select("b")).union(loops).distinct().withColumn("root", F.col("node")), "roots")
+    limit = hot_limit(roots.count())
     while not rest.isEmpty():
         parents = rest.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
-        flat = _flat(parents)
-        to = flat.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        roots = stored(roots.join(to, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
-        left, right = flat.select(F.col("node").alias("a"), F.col("root").alias("x")), flat.select(F.col("node").alias("b"), F.col("root").alias("y"))
-        moved = rest.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("x", "a").alias("p"), F.coalesce("y", "b").alias("q"))
+        flat = _flat(parents, limit)
+        roots = stored(_renamed(roots, flat, "root", limit).select("node", F.coalesce("new", "root").alias("root")), "roots")
+        moved = _renamed(rest, flat, "a", limit).withColumnRenamed("new", "x")
+        moved = _renamed(moved, flat, "b", limit).select(F.coalesce("x", "a").alias("p"), F.coalesce("new", "b").alias("q"))
         rest = stored(moved.filter("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "links")
     return roots

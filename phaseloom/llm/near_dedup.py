@@ -11,7 +11,8 @@ No list of over PAIRS nodes is expanded into all pairs. The nodes of such lists
 their full sets, as many as a partner must share one of; the places of a shared one in both sets bound the overlap, and
 pairs that cannot reach the similarity are left out. Lists that are still large are compared with one leader a round;
 nodes already in one component need no comparison with each other. What lies in different components after ROUNDS rounds
-is compared exhaustively, so no link is lost.
+is compared exhaustively, block against block. Joins on a shingle, a set or a component deal those that hold a large part
+of all rows to several places.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from phaseloom.llm.common import stored, table
+from phaseloom.llm.common import give_back, hot_join, hot_limit, slices, stored, table
 from phaseloom.llm.components import components
 
 K = 64
@@ -35,9 +36,12 @@ AGREE = 0.5
 #: Lists of up to so many nodes give all their pairs at once.
 PAIRS = 24
 ROUNDS = 3
+#: Members of a list that are compared exhaustively at once, where that is needed at the end.
+BLOCK = 256
 #: Fixed odd multiplier of the polynomial over word hashes, and the finalizer's constants.
 MULTIPLIER, MIX_1, MIX_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-CHARS = 3_000_000
+#: Bytes of text whose shingles are hashed at once.
+BYTES = 3_000_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -70,17 +74,6 @@ def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
     return out
 
 
-def _blocks(texts: list[str | None]) -> Iterator[slice]:
-    at = 0
-    while at < len(texts):
-        upto, n = at, 0
-        while upto < len(texts) and (upto == at or n < CHARS):
-            n += len(texts[upto] or "")
-            upto += 1
-        yield slice(at, upto)
-        at = upto
-
-
 def _lists(parts: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*parts, np.zeros(0, np.int64)])))
@@ -97,47 +90,47 @@ def sketches(docs: DataFrame, size: int, id_col: str, text_col: str, full: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for cut in _blocks(texts):
-                sets = shingle_sets(texts[cut], size)
-                part = b.slice(cut.start, cut.stop - cut.start)
+            for part in slices(b, "text", BYTES):
+                sets = shingle_sets(part.column("text").to_pylist(), size)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array([_signature(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), _lists(sets if full else [s[:K] for s in sets])],
                     names=["id", "mark", "sig", "n", "values"],
                 )
+        give_back()
 
     return source.mapInArrow(run, schema)
 
 
-def _prefixes(nodes: DataFrame) -> DataFrame:
+def _prefixes(nodes: DataFrame, limit: int) -> DataFrame:
     """(v, node): the rarest sketch values of nodes that can have a partner."""
     entries = nodes.select("node", F.size("values").alias("k"), F.explode("values").alias("v"))
     shared = entries.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
     need = F.ceil(F.col("k") * AGREE).cast("int")
-    rare = entries.join(shared, "v").groupBy("node").agg(F.first("k").alias("k"), F.array_sort(F.collect_list(F.struct("df", "v"))).alias("by"))
+    rare = hot_join(entries, shared, "v", F.col("node"), limit, size="df").groupBy("node").agg(F.first("k").alias("k"), F.array_sort(F.collect_list(F.struct("df", "v"))).alias("by"))
     # values that no other sketch has would come first, and count as passed over
     take = F.col("k") - need + 1 - (F.col("k") - F.size("by"))
     return rare.filter(F.size("by") >= need).select("node", F.explode(F.slice("by", 1, F.greatest(take, F.lit(0)))).alias("x")).select(F.col("x.v").alias("v"), "node")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose union sketches agree enough and whose full sets reach the similarity."""
+def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, limit: int) -> DataFrame:
+    """The pairs (a, b) whose union sketches agree enough and whose full sets reach the similarity; a node of many pairs is dealt to several places."""
+    attach = lambda df, few, key: hot_join(df, few, key, F.struct("a", "b"), limit)
     left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("values").alias("sa"))
     right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("values").alias("sb"))
-    near = pairs.join(left, "a").join(right, "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    near = attach(attach(pairs, left, "a"), right, "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
     agree = F.size(F.array_intersect(union, F.array_intersect("sa", "sb")))
     near = near.withColumn("union", union).filter(agree >= AGREE * F.size("union")).select("a", "b", "na", "nb")
-    both = near.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    both = attach(attach(near, sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a"), sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     both = both.select("a", "b", "na", "nb", F.size(F.array_intersect("x", "y")).alias("i"))
     return both.filter(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
 
 
-def _exact_prefixes(sets: DataFrame, percent: int) -> DataFrame:
+def _exact_prefixes(sets: DataFrame, percent: int, limit: int) -> DataFrame:
     """(v, node, at, n): the rarest shingles of each full set, n - ceil(n * percent / 100) + 1 of them, with their places."""
     entries = sets.select("node", F.explode("set").alias("v"))
     df = entries.groupBy("v").agg(F.count("*").alias("df"))
-    rare = entries.join(df, "v").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("by")).withColumn("n", F.size("by"))
+    rare = hot_join(entries, df, "v", F.col("node"), limit, size="df").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("by")).withColumn("n", F.size("by"))
     take = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
     out = rare.select("node", "n", F.posexplode(F.slice("by", 1, take)).alias("at", "x")).filter("x.df > 1")
     return out.select(F.col("x.v").alias("v"), "node", "at", "n")
@@ -163,11 +156,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     Other columns of docs are not read.
     """
     rows = stored(sketches(docs, size, id_col, text_col), "sketches")
-    nodes = rows.filter("n > 0").groupBy("sig").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("values").alias("values"))
+    total = rows.agg(F.count("*").alias("rows"), F.sum(F.size("values")).alias("entries"), F.sum("n").alias("shingles")).first()
+    limit, entry_limit, shingle_limit = (hot_limit(x or 0) for x in total)
+    nodes = rows.filter("n > 0").groupBy("sig").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("values").alias("values"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbers are fixed once written
-    lists = _prefixes(nodes)
+    lists = _prefixes(nodes, entry_limit)
     sizes = lists.groupBy("v").agg(F.count("*").alias("size")).filter("size > 1")
-    lists = stored(lists.join(sizes, "v"), "lists")
+    lists = stored(hot_join(lists, sizes, "v", F.col("node"), entry_limit, size="size"), "lists")
     live = lists.select("node").distinct()
     few = stored(nodes.join(live, "node"), "live")
     wanted = few.select(F.col("first").alias("want"), F.col("sig").alias("as"), "node")
@@ -180,43 +175,53 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         a, b = (members.select("v", *(F.col(c).alias(f"{c}_{x}") for c in members.columns if c != "v")) for x in ("a", "b"))
         return a.join(b, "v").filter("node_a < node_b").filter(more[0] if more else F.lit(True)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
+    def block_pairs(members: DataFrame) -> DataFrame:
+        """All pairs of members of a list, block against block: no task gets a whole list."""
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        own = members.withColumn("of", blocks).withColumn("mine", F.pmod(F.xxhash64(F.lit(3), "node"), "of").cast("int"))
+        a, b = (own.select("v", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "at", "n", "root", "of", "mine"))) for x in ("a", "b"))
+        a = a.withColumn("mine_b", F.explode(F.sequence(F.lit(0), F.col("of_a") - 1))).filter("mine_a <= mine_b")
+        b = b.withColumn("mine_a", F.explode(F.sequence(F.lit(0), F.col("of_b") - 1))).filter("mine_a <= mine_b")
+        return a.join(b, ["v", "mine_a", "mine_b"]).filter("mine_a < mine_b or node_a < node_b")
+
     hot = lists.filter(F.col("size") > PAIRS).select("node").distinct()
-    exact = _exact_prefixes(sets.join(hot, "node"), percent)
-    exact = stored(exact.join(exact.groupBy("v").agg(F.count("*").alias("size")).filter("size > 1"), "v"), "exact")
+    exact = _exact_prefixes(sets.join(hot, "node"), percent, shingle_limit)
+    exact = stored(hot_join(exact, exact.groupBy("v").agg(F.count("*").alias("size")).filter("size > 1"), "v", F.col("node"), shingle_limit, size="size"), "exact")
     large = exact.filter(F.col("size") > PAIRS).drop("size")
     close = _can_reach(percent, "at_a", "n_a", "at_b", "n_b")
 
     def with_leader(members: DataFrame, turn: int) -> DataFrame:
         """Members that can reach the leader of their list: first the one whose shared shingles begin soonest, then any."""
         by = F.struct("at", "node") if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "node"), "node")
-        leader = members.groupBy("v").agg(F.min_by(F.struct("node", "at", "n", "root"), by).alias("lead"))
-        led = members.join(leader, "v").select("node", "at", "n", "root", *(F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("node", "at", "n", "root")))
+        leader = members.groupBy("v").agg(F.min_by(F.struct("node", "at", "n", "root"), by).alias("lead"), F.count("*").alias("held"))
+        led = hot_join(members, leader, "v", F.col("node"), shingle_limit, size="held").select("node", "at", "n", "root", *(F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("node", "at", "n", "root")))
         return led.filter("root <> lead_root").filter(_can_reach(percent, "at", "n", "lead_at", "lead_n")).select(*_ordered("node", "lead_node"))
 
     few_pairs = all_pairs(lists.filter(F.col("size") <= PAIRS).select("v", "node")).union(all_pairs(exact.filter(F.col("size") <= PAIRS).drop("size"), close))
     tried = stored(few_pairs.union(with_leader(large.withColumn("root", F.col("node")), 0)).distinct(), "pairs")
-    links = stored(_verified(tried, few, sets, percent), "verified")
+    links = stored(_verified(tried, few, sets, percent, limit), "verified")
     roots = components(links)
     for turn in range(1, ROUNDS + 2):
         at = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_lists = at.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("v")
-        at = stored(at.join(open_lists, "v"), "open")
+        open_lists = at.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).filter("lo < hi").select("v", "size")
+        at = stored(hot_join(at, open_lists, "v", F.col("node"), shingle_limit, size="size"), "open")
         if at.isEmpty():
             break
-        pairs = with_leader(at, turn) if turn <= ROUNDS else all_pairs(at, close & (F.col("root_a") != F.col("root_b")))
+        pairs = with_leader(at, turn) if turn <= ROUNDS else block_pairs(at).filter(close & (F.col("root_a") != F.col("root_b"))).select(*_ordered("node_a", "node_b"))
         new = stored(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         if new.isEmpty():
             continue
         tried = tried.union(new)
-        found = stored(_verified(new, few, sets, percent), "verified")
+        found = stored(_verified(new, few, sets, percent, limit), "verified")
         if not found.isEmpty():
             links = links.union(found)
             roots = components(links)
 
-    named = nodes.join(roots, "node", "left").select("sig", "first", F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component"))
-    by_sig = named.join(least, "root").select("sig", "component")
-    out = rows.join(by_sig, "sig", "left").withColumn("component_id", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component")))
+    named = nodes.join(roots, "node", "left").select("sig", "first", "copies", F.coalesce("root", "node").alias("root"))
+    least = named.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("held"))
+    by_sig = hot_join(named, least, "root", F.col("sig"), limit, size="held").select("sig", "copies", "component")
+    rows = rows.select("id", "mark", "n", F.when(F.col("n") > 0, F.col("sig")).otherwise(F.unhex(F.hex(F.xxhash64("id", "mark")))).alias("sig"))
+    out = hot_join(rows, by_sig, "sig", F.struct("id", "mark"), limit, "left", "copies").withColumn("component_id", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component")))
     return out.select(F.col("id").alias(id_col), F.col("mark").alias("text_hash"), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
