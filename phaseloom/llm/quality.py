@@ -3,7 +3,7 @@
 A suffix array of each text's words is built by prefix doubling with numpy, many texts at once; ranks of 1, 2, 4, ...
 words give the longest common prefix of neighbours, whose intervals are the maximal repeated substrings. Their spans are
 united; a text fails if repeats cover too much of it or one of them is too long. Texts are read where they lie: no
-shuffle, and memory is bounded by WORDS plus the longest text.
+shuffle, and memory is bounded by BYTES plus the longest text.
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from phaseloom.llm.common import table
+from phaseloom.llm.common import give_back, slices, table
 
-#: Words whose suffixes are sorted at once.
-WORDS = 400_000
+#: Bytes of texts whose suffixes are sorted at once.
+BYTES = 2_400_000
 SPACE, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 
 
@@ -125,17 +125,11 @@ def quality(docs: DataFrame, text_col: str = "text", max_covered: float = 0.4, m
     schema = T.StructType([*docs.schema.fields, *(T.StructField(f, T.LongType(), False) for f in FIELDS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column(text_col).to_pylist()]
-            at = 0
-            while at < len(texts):
-                upto, n = at, 0
-                while upto < len(texts) and (upto == at or n + len(texts[upto]) <= 6 * WORDS):
-                    n += len(texts[upto])
-                    upto += 1
-                found = profile(texts[at:upto])
-                yield pa.RecordBatch.from_arrays([*batch.slice(at, upto - at).columns, *(pa.array(found[f]) for f in FIELDS)], names=[*batch.schema.names, *FIELDS])
-                at = upto
+        for whole in batches:
+            for batch in slices(whole, text_col, BYTES):
+                found = profile([t or "" for t in batch.column(text_col).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[f]) for f in FIELDS)], names=[*batch.schema.names, *FIELDS])
+        give_back()
 
     out = docs.mapInArrow(run, schema)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
