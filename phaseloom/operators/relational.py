@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from phaseloom.sources.readers import checkpointed
+
 
 class JoinContractError(ValueError):
     """A strict join met duplicate keys or rows without a partner."""
@@ -85,10 +87,22 @@ def interval_masks(events: DataFrame, t: str, condition: str, lo: float, hi: flo
 
 
 def median_nearest(points: DataFrame, keys: list[str], row: str) -> DataFrame:
-    """(keys, n, median_nn): median over points of the distance to the nearest other point of their group."""
+    """(keys, n, median_nn): median over points of the distance to the nearest other point of their group.
+
+    Points are dealt to square cells, about four points each, and look in their own and the eight around it.
+    """
     a, b = points, points.select(*keys, F.col(row).alias("__o"), F.col("x").alias("__x"), F.col("y").alias("__y"))
-    d = a.join(b, keys).filter(F.col(row) != F.col("__o")).groupBy(*keys, row).agg(F.min(F.sqrt((F.col("x") - F.col("__x")) ** 2 + (F.col("y") - F.col("__y")) ** 2)).alias("d"))
-    return d.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile("d", 0.5).alias("median_nn"))
+    d = F.sqrt((F.col("x") - F.col("__x")) ** 2 + (F.col("y") - F.col("__y")) ** 2)
+    span = points.groupBy(*keys).agg(F.min("x").alias("__x0"), F.min("y").alias("__y0"), (F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")) * 2 / F.sqrt(F.count("*"))).alias("__w"))
+    cell = lambda c, o: F.when(F.col("__w") > 0, F.floor((F.col(c) - F.col(o)) / F.col("__w"))).otherwise(0)
+    placed = lambda df, x, y: df.join(span, keys).withColumn("__i", cell(x, "__x0")).withColumn("__j", cell(y, "__y0"))
+    here, there = placed(a, "x", "y").select(*keys, row, "x", "y", "__i", "__j", "__w"), placed(b, "__x", "__y").drop("__x0", "__y0", "__w")
+    near = here.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(8)))).withColumn("__i", F.col("__i") + F.col("__s") % 3 - 1).withColumn("__j", F.col("__j") + F.floor(F.col("__s") / 3) - 1)
+    best = near.join(there, [*keys, "__i", "__j"]).filter(F.col(row) != F.col("__o")).groupBy(*keys, row).agg(F.min(d).alias("d"), F.first("__w").alias("__w"))
+    # a neighbour within one cell's width is the nearest; points without one, few in all but odd layouts, look at their whole group
+    far = points.join(best.filter("d <= __w").select(*keys, row), [*keys, row], "left_anti").join(b, keys).filter(F.col(row) != F.col("__o")).groupBy(*keys, row).agg(F.min(d).alias("d"))
+    every = best.filter("d <= __w").select(*keys, row, "d").unionByName(far)
+    return every.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile("d", 0.5).alias("median_nn"))
 
 
 def dangling(rows: DataFrame, fk: str, parents: DataFrame, pk: str, row: str, name: str) -> DataFrame:
@@ -117,9 +131,18 @@ def first_wins(df: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def ranked(df: DataFrame, score: str, tie: str, name: str) -> DataFrame:
-    """df with its place by falling score, from a distributed sort: places within ranges of the score, then a prefix sum."""
-    s = df.repartitionByRange(F.desc(score), F.asc(tie)).sortWithinPartitions(F.desc(score), F.asc(tie)).withColumn("__part", F.spark_partition_id())
+    """df with its place by falling score, from a distributed sort: places within ranges of the score, then a prefix sum.
+
+    The ranged table is written once, so that both uses of its partition numbers see the same ranges.
+    """
+    s = checkpointed(df.repartitionByRange(F.desc(score), F.asc(tie)).withColumn("__part", F.spark_partition_id()), "ranged")
     s = s.withColumn("__in", F.row_number().over(W.partitionBy("__part").orderBy(F.desc(score), tie)))
     sizes = s.groupBy("__part").agg(F.count("*").alias("__n"))
     before = sizes.select("__part", (F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).alias("__before"))
     return s.join(F.broadcast(before), "__part").withColumn(name, (F.col("__in") + F.col("__before")).cast("long")).drop("__part", "__in", "__before")
+
+
+def dealt_join(many: DataFrame, few: DataFrame, key: str, by: Column, ways: int = 8) -> DataFrame:
+    """Inner join where a key may hold a large part of many: its rows are dealt to so many places, few is repeated for each."""
+    left = many.withColumn("__place", F.pmod(F.xxhash64(by), F.lit(ways)).cast("int"))
+    return left.join(few.withColumn("__place", F.explode(F.sequence(F.lit(0), F.lit(ways - 1)))), [key, "__place"]).drop("__place")

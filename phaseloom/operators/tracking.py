@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from phaseloom.sources.readers import checkpointed
+
 
 def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
     """Pairs of rows and columns of least total cost, by shortest augmenting paths with potentials."""
@@ -39,9 +41,10 @@ def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
 
 
 def frame_links(points: DataFrame, keys: list[str], frame: str, max_dist: float) -> DataFrame:
-    """(keys, id_from, id_to): least-cost matches between each frame and the next within max_dist.
+    """(keys, id_from, id_to): least-cost matches between each frame and the next, of which those over max_dist are dropped.
 
-    points(keys, frame, id, x, y): each pair of frames is one group, so pairs are matched in parallel.
+    points(keys, frame, id, x, y): each pair of frames is one group, so pairs are matched in parallel. The assignment is
+    made on the distances as they are; the limit only rejects matches afterwards.
     """
     both = points.select(*keys, F.col(frame).alias("pair"), F.lit(0).alias("side"), "id", "x", "y").unionByName(points.select(*keys, (F.col(frame) - 1).alias("pair"), F.lit(1).alias("side"), "id", "x", "y"))
 
@@ -50,17 +53,23 @@ def frame_links(points: DataFrame, keys: list[str], frame: str, max_dist: float)
         out = []
         if len(a) and len(b):
             d = np.hypot(a["x"].to_numpy()[:, None] - b["x"].to_numpy(), a["y"].to_numpy()[:, None] - b["y"].to_numpy())
-            out = [(a["id"].iloc[i], b["id"].iloc[j]) for i, j in assignment(np.where(d <= max_dist, d, 1e6)) if d[i, j] <= max_dist]
+            out = [(a["id"].iloc[i], b["id"].iloc[j]) for i, j in assignment(d) if d[i, j] <= max_dist]
         return pd.DataFrame(out, columns=["id_from", "id_to"]).assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, "id_from", "id_to"]]
 
     types = dict(points.dtypes)
     return both.groupBy(*keys, "pair").applyInPandas(run, ", ".join([*(f"{k} {types[k]}" for k in keys), f"id_from {types['id']}", f"id_to {types['id']}"]))
 
 
-def tracks(points: DataFrame, links: DataFrame, longest: int) -> DataFrame:
-    """points with track, the id of the first point of their track; pointer jumping over tracks of up to longest frames."""
-    at = points.select("id").join(links.select(F.col("id_to").alias("id"), "id_from"), "id", "left").select("id", F.coalesce("id_from", "id").alias("root"))
-    for _ in range(max(1, int(np.ceil(np.log2(max(longest, 2)))))):
+def tracks(points: DataFrame, links: DataFrame) -> DataFrame:
+    """points with track, the id of the first point of their track.
+
+    Pointer jumping: each round doubles the reach, until no pointer moves; tracks may be of any length. Rounds are
+    checkpointed, so lineage does not grow and lost executors cost one round.
+    """
+    at = checkpointed(points.select("id").join(links.select(F.col("id_to").alias("id"), "id_from"), "id", "left").select("id", F.coalesce("id_from", "id").alias("root")))
+    while True:
         up = at.select(F.col("id").alias("root"), F.col("root").alias("higher"))
-        at = at.join(up, "root").select("id", F.col("higher").alias("root"))
-    return points.join(at.withColumnRenamed("root", "track"), "id")
+        new = checkpointed(at.join(up, "root").select("id", F.col("higher").alias("root"), (F.col("higher") != F.col("root")).alias("moved")))
+        at = new.drop("moved")
+        if new.filter("moved").isEmpty():
+            return points.join(at.withColumnRenamed("root", "track"), "id")

@@ -73,7 +73,7 @@ def _c9(spark, d):  # noqa: ANN001, ANN202
 @query("j9_worldlines")
 def _j9(spark, d):  # noqa: ANN001, ANN202
     p = ft.defects(field(spark, d), ["t", "z"]).select("z", "t", F.concat_ws("-", "t", "z", "i", "j").alias("id"), F.col("i").cast("double").alias("x"), F.col("j").cast("double").alias("y"))
-    return tk.tracks(p, tk.frame_links(p, ["z"], "t", 3.0), 64)
+    return tk.tracks(p, tk.frame_links(p, ["z"], "t", 3.0))
 
 
 @query("a16_dataset_clusters")
@@ -93,7 +93,8 @@ def _m10(spark, d):  # noqa: ANN001, ANN202
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    docs = table(spark, d, "documents").select("doc_id", F.log1p("n_chars").alias("size"), F.size(F.split("text", "\n")).alias("lines"), F.count_if(F.lit(True)).over(_by_source()).alias("peers"))
+    docs = table(spark, d, "documents").select("doc_id", F.log1p("n_chars").alias("size"), F.size(F.split("text", "\n")).alias("lines"), "source")
+    docs = docs.join(docs.groupBy("source").agg(F.count("*").alias("peers")), "source")
     x = docs.join(table(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(2)))
     x = VectorAssembler(inputCols=["size", "lines", "peers"], outputCol="features").transform(x)
     parts = []
@@ -103,14 +104,9 @@ def _m10(spark, d):  # noqa: ANN001, ANN202
     return parts[0].union(parts[1]).select("doc_id", "fold", "label", rounded(vector_to_array("probability")[1]).alias("score"))
 
 
-def _by_source():  # noqa: ANN202
-    from pyspark.sql import Window as W
-
-    return W.partitionBy("source")
-
-
 for _name, _job in {
     "st1_sensor_ingest": jobs.sensor_ingest, "st2_idempotent_log": jobs.idempotent_log, "st3_windowed_metrics": jobs.windowed_metrics, "st3_sliding_metrics": jobs.sliding_metrics,
     "st4_sessions": jobs.sessions, "st6_latency": jobs.latency, "st7_backfill": jobs.backfill, "st8_late_records": jobs.late_records,
+    "st8_late_side_output": jobs.late_side_output, "st5_trailing_drops": jobs.trailing_drops,
 }.items():
     QUERIES[_name] = (_job, jobs.SQL.get(_name))

@@ -9,6 +9,7 @@ from phaseloom.functions import exprs as x
 from phaseloom.operators import contracts as ct
 from phaseloom.operators import retrieval as rt
 from phaseloom.plans.views import rounded, table
+from phaseloom.sources.readers import checkpointed
 
 QUERIES = {}
 
@@ -60,9 +61,10 @@ _POSTS = (
 )
 
 
-def _index(spark, d):  # noqa: ANN001, ANN202
-    docs = table(spark, d, "documents")
-    posts = rt.postings(docs, "doc_id", "text")
+def _index(spark, d, docs=None):  # noqa: ANN001, ANN202
+    """Postings, written once, and the statistics that come from them."""
+    docs = table(spark, d, "documents") if docs is None else docs
+    posts = checkpointed(rt.postings(docs, "doc_id", "text"), "postings")
     n = docs.agg(F.count("*").alias("n"))
     stats = rt.term_statistics(posts, n)
     length = posts.agg(F.sum("tf").alias("total")).crossJoin(n).select((F.col("total") / F.col("n")).alias("avg_dl"))
@@ -74,52 +76,86 @@ def _x8(spark, d):  # noqa: ANN001, ANN202
     return _index(spark, d)[1].select("term", "df", rounded(F.col("idf")).alias("idf"))
 
 
-_QUERIES = "q AS (SELECT conv_id AS query_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations WHERE role = 'user' AND turn <= 1 AND conv_id % 4 = 0 GROUP BY conv_id), qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(list_filter(" + _TOK + ", lambda t: length(t) > 1)) AS term FROM q) GROUP BY ALL)"
+_QUERIES = "q AS (SELECT conv_id AS query_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations WHERE role = 'user' AND conv_id % 50 = 0 GROUP BY conv_id), qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(list_filter(" + _TOK + ", lambda t: length(t) > 1)) AS term FROM q) GROUP BY ALL)"
 _SCORES = f"WITH {_POSTS}, {_QUERIES}, s AS (SELECT query_id, doc_id, sum(times * idf * tf * CAST(2.5 AS DOUBLE) / (tf + CAST(1.5 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * dl / avg_dl))) AS score FROM posts JOIN qt USING (term) JOIN stats USING (term), len_ GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 8) DESC, doc_id) AS rank FROM s)"
 
 
+def _questions(spark, d):  # noqa: ANN001, ANN202
+    """The user's turns of every conversation whose id is divisible by 50."""
+    c = table(spark, d, "conversations").filter("role = 'user' AND conv_id % 50 = 0")
+    return c.groupBy(F.col("conv_id").alias("query_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]), " ").alias("text"))
+
+
 def _bm25(spark, d):  # noqa: ANN001, ANN202
-    c = table(spark, d, "conversations").filter("role = 'user' AND turn <= 1 AND conv_id % 4 = 0")
-    q = c.groupBy(F.col("conv_id").alias("query_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]), " ").alias("text"))
-    s = rt.bm25(*_index(spark, d), q)
+    s = rt.bm25(*_index(spark, d), _questions(spark, d))
     return rt.top_k(s.withColumn("by", F.round("score", 8)), "query_id", "by", "id", 5)
 
 
+@query("x9_bm25_scores", f"{_SCORES} SELECT query_id, doc_id, round(score, 5) AS score FROM s")
+def _x9(spark, d):  # noqa: ANN001, ANN202
+    s = rt.bm25(*_index(spark, d), _questions(spark, d))
+    return s.select("query_id", F.col("id").alias("doc_id"), rounded(F.col("score"), 5).alias("score"))
+
+
 @query("t1_bm25_top_k", f"{_SCORES} SELECT query_id, doc_id, rank, round(score, 5) AS score FROM r WHERE rank <= 5 AND score > 0")
 def _t1(spark, d):  # noqa: ANN001, ANN202
     return _bm25(spark, d).filter("score > 0").select("query_id", F.col("id").alias("doc_id"), F.col("rank").cast("long"), rounded(F.col("score"), 5).alias("score"))
 
 
-@query("x11_retrieval_coverage", f"{_SCORES}, k AS (SELECT query_id, doc_id FROM r WHERE rank <= 5 AND score > 0) SELECT query_id, count(*) AS n_sources, count(DISTINCT source) AS n_distinct, count(DISTINCT source) >= 3 AS passed FROM k JOIN documents USING (doc_id) GROUP BY query_id")
+_CHUNKS = r"chunk AS (SELECT * FROM (SELECT doc_id, source, lang, part, regexp_replace(substring(text, part * 1050 + 1, 1200), '^\s+|\s+$', '', 'g') AS text FROM (SELECT doc_id, source, lang, text, unnest(range(0, CASE WHEN length(text) <= 1200 THEN 1 ELSE CAST(ceil((length(text) - 1200) / 1050) AS BIGINT) + 1 END)) AS part FROM documents)) WHERE text <> ''), piece AS (SELECT doc_id || '/' || part AS doc_id, source, lang, text, 'chk_' || sha256(doc_id || '|' || part)[1:16] AS chunk_id FROM chunk)"
+_PIECES = f"WITH {_CHUNKS}, {_SCORES.removeprefix('WITH ').replace('documents', 'piece')}, k AS (SELECT query_id, rank, piece.* FROM r JOIN piece USING (doc_id) WHERE rank <= 5 AND score > 0)"
+
+
+def _retrieved(spark, d):  # noqa: ANN001, ANN202
+    """The five best chunks of each question, with their texts."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang")
+    c = rt.chunks(table(spark, d, "documents"), "doc_id", "text").join(docs.withColumnRenamed("doc_id", "id"), "id")
+    c = checkpointed(c.select(F.concat(F.col("id").cast("string"), F.lit("/"), F.col("part").cast("string")).alias("doc_id"), "chunk_id", "source", "lang", F.col("chunk").alias("text")), "chunks")
+    s = rt.bm25(*_index(spark, d, c), _questions(spark, d))
+    best = rt.top_k(s.withColumn("by", F.round("score", 8)), "query_id", "by", "id", 5).filter("score > 0")
+    return best.select("query_id", "rank", F.col("id").alias("doc_id")).join(c, "doc_id")
+
+
+#: The line above each chunk of a prompt; documents have no headings, so their heading path is the root.
+_HEADER = "--- [{lang}] {source} | (root) ---"
+#: What an assembled prompt must hold, and what it must not: the fixed terms of the check.
+_MUST, _MUST_NOT = ["[", "the"], ["idiot", "<script"]
+
+
+@query("x11_retrieval_coverage", f"{_PIECES}, c AS (SELECT query_id, count(*) AS n_sources, count(DISTINCT source) AS n_distinct, lower(string_agg('--- [' || lang || '] ' || source || ' | (root) ---' || chr(10) || text, chr(10) || chr(10) ORDER BY rank)) AS prompt FROM k GROUP BY query_id), f AS (SELECT query_id, n_sources, n_distinct, list_filter(list_concat([CASE WHEN n_sources < 3 THEN 'min_sources' END], [CASE WHEN NOT contains(prompt, t) THEN 'missing ' || t END FOR t IN ['[', 'the']], [CASE WHEN contains(prompt, t) THEN 'found ' || t END FOR t IN ['idiot', '<script']]), lambda x: x IS NOT NULL) AS failures FROM c) SELECT query_id, n_sources, n_distinct, array_to_string(failures, '; ') AS failures, len(failures) = 0 AS passed FROM f")
 def _x11(spark, d):  # noqa: ANN001, ANN202
-    k = _bm25(spark, d).filter("score > 0").select("query_id", F.col("id").alias("doc_id"))
-    g = k.join(table(spark, d, "documents").select("doc_id", "source"), "doc_id").groupBy("query_id")
-    return g.agg(F.count("*").alias("n_sources"), F.countDistinct("source").alias("n_distinct"), (F.countDistinct("source") >= 3).alias("passed"))
+    k = _retrieved(spark, d)
+    c = k.groupBy("query_id").agg(F.count("*").alias("n_sources"), F.countDistinct("source").alias("n_distinct"))
+    c = c.join(rt.context(k, "query_id", "rank", _HEADER, "text"), "query_id").withColumn("prompt", F.lower("context"))
+    checks = [F.when(F.col("n_sources") < 3, F.lit("min_sources"))]
+    checks += [F.when(~F.contains("prompt", F.lit(t)), F.lit(f"missing {t}")) for t in _MUST] + [F.when(F.contains("prompt", F.lit(t)), F.lit(f"found {t}")) for t in _MUST_NOT]
+    c = c.withColumn("failures", F.filter(F.array(*checks), lambda x: x.isNotNull()))
+    return c.select("query_id", "n_sources", "n_distinct", F.array_join("failures", "; ").alias("failures"), (F.size("failures") == 0).alias("passed"))
 
 
-@query("x12_context", f"{_SCORES} SELECT query_id, string_agg('[' || rank || '] ' || source || ': ' || substring(d.text, 1, 40), chr(10) ORDER BY rank) AS context FROM r JOIN documents d USING (doc_id) WHERE rank <= 5 AND score > 0 GROUP BY query_id")
+@query("x12_context", f"{_PIECES} SELECT query_id, string_agg('--- [' || lang || '] ' || source || ' | (root) ---' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context, '## Sources used' || chr(10) || string_agg('- **' || source || '** (`' || doc_id || '`)' || chr(10) || '  - chunk `' || chunk_id || '` — (root)', chr(10) ORDER BY rank) AS sources FROM k GROUP BY query_id")
 def _x12(spark, d):  # noqa: ANN001, ANN202
-    k = _bm25(spark, d).filter("score > 0").select("query_id", F.col("id").alias("doc_id"), "rank")
-    k = k.join(table(spark, d, "documents").select("doc_id", "source", F.substring("text", 1, 40).alias("head")), "doc_id")
-    return rt.context(k, "query_id", "rank", "source", "head")
+    k = _retrieved(spark, d)
+    return rt.context(k, "query_id", "rank", _HEADER, "text").join(rt.source_list(k, "query_id", "rank"), "query_id")
 
 
 @query("x10_cosine", "WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 50 = 0) SELECT query_id, vec_id, round(list_cosine_similarity(CAST(e AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 5) + 0.0 AS similarity FROM embeddings, q")
 def _x10(spark, d):  # noqa: ANN001, ANN202
-    e = table(spark, d, "embeddings")
-    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("e"))
-    return rt.against_all(e, q, "query_id").select("query_id", "vec_id", rounded(rt.cosine(F.col("e"), F.col("embedding")), 5).alias("similarity"))
+    s = rt.cosine_scores(table(spark, d, "embeddings"), "vec_id", "embedding", "vec_id % 50 = 0")
+    return s.select("query_id", "vec_id", rounded(F.col("similarity"), 5).alias("similarity"))
 
 
 @query("t2_cosine_top_k", "WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id, round(list_cosine_similarity(CAST(e AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS s FROM embeddings, q WHERE vec_id <> query_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, rank, s AS similarity FROM r WHERE rank <= 10")
 def _t2(spark, d):  # noqa: ANN001, ANN202
-    e = table(spark, d, "embeddings")
-    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("e"))
-    s = rt.against_all(e, q, "query_id").filter("vec_id <> query_id").select("query_id", "vec_id", F.round(rt.cosine(F.col("e"), F.col("embedding")), 6).alias("s"))
+    s = rt.cosine_scores(table(spark, d, "embeddings"), "vec_id", "embedding", "vec_id % 50 = 0")
+    s = s.filter("vec_id <> query_id").select("query_id", "vec_id", F.round("similarity", 6).alias("s"))
     return rt.top_k(s, "query_id", "s", "vec_id", 10).select("query_id", "vec_id", F.col("rank").cast("long"), F.col("s").alias("similarity"))
 
 
-@query("x1_heading_sections", None)
+_LEVELS = range(1, 7)
+
+
+@query("x1_heading_sections", r"WITH p AS (SELECT page_id, string_split(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style)[ >].*?</(script|style)>', ' ', 'g'), '(?i)<h([1-6])([ >])', chr(1) || '\1\2', 'g'), chr(1)) AS parts FROM pages), s AS (SELECT page_id, generate_subscripts(parts, 1) - 1 AS section, unnest(parts) AS part FROM p), t AS (SELECT page_id, section, CASE WHEN section > 0 THEN CAST(part[1:1] AS INTEGER) ELSE 0 END AS level, CASE WHEN section > 0 THEN trim(regexp_replace(regexp_replace(regexp_extract(part, '(?is)^[1-6][^>]*>(.*?)</h', 1), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) END AS heading, trim(regexp_replace(regexp_replace(CASE WHEN section > 0 THEN regexp_extract(part, '(?is)</h[1-6]>(.*)$', 1) ELSE part END, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS body FROM s), w AS (SELECT *, " + ", ".join(f"max(CASE WHEN level = {k} THEN section END) OVER u AS p{k}, max(CASE WHEN level BETWEEN 1 AND {k} - 1 THEN section END) OVER u AS q{k}, arg_max(heading, section) FILTER (WHERE level = {k}) OVER u AS h{k}" for k in _LEVELS) + " FROM t WINDOW u AS (PARTITION BY page_id ORDER BY section ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT page_id AS id, CAST(section AS INTEGER) AS section, level, CASE WHEN level = 0 THEN '(root)' ELSE array_to_string(list_filter([" + ", ".join(f"CASE WHEN p{k} > coalesce(q{k}, 0) THEN h{k} END" for k in _LEVELS) + "], lambda x: x IS NOT NULL), ' > ') END AS heading_path, body FROM w WHERE body <> ''")
 def _x1(spark, d):  # noqa: ANN001, ANN202
     return rt.heading_sections(table(spark, d, "pages"), "page_id", "html")
 

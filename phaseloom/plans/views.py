@@ -23,10 +23,17 @@ def rounded(col: Column, digits: int = 6) -> Column:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(recording_id, channel, n, v): one series for each event type and channel."""
+    """(recording_id, channel, n, v): one series for each event type and channel.
+
+    Samples are numbered within days and the samples of the days before are added, so that no task gets a whole series.
+    """
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("recording_id"), (F.col("user_id") % CHANNELS).alias("channel"), "ts", "event_id", F.col("value").alias("v"))
-    n = F.row_number().over(W.partitionBy("recording_id", "channel").orderBy("ts", "event_id")) - 1
-    return e.select("recording_id", "channel", n.alias("n"), "v")
+    e = e.withColumn("day", F.to_date("ts"))
+    series = ["recording_id", "channel", "day"]
+    days = e.groupBy(*series).agg(F.count("*").alias("held"))
+    days = days.withColumn("before", F.coalesce(F.sum("held").over(W.partitionBy("recording_id", "channel").orderBy("day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("held")
+    n = F.row_number().over(W.partitionBy(*series).orderBy("ts", "event_id")) - 1
+    return e.withColumn("i", n).join(days, series).select("recording_id", "channel", (F.col("i") + F.col("before")).cast("int").alias("n"), "v")
 
 
 def windowed(spark: SparkSession, sf_dir: str, length: int = 16) -> DataFrame:

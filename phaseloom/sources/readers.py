@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,3 +69,24 @@ def as_markdown(records: DataFrame, title: str, fields: list[str]) -> DataFrame:
     """(title, markdown): one document for each record."""
     lines = [F.concat(F.lit(f"- {f}: "), F.coalesce(F.col(f).cast("string"), F.lit("n/a"))) for f in fields]
     return records.select(F.col(title).alias("title"), F.concat_ws("\n", F.concat(F.lit("# "), F.col(title).cast("string")), *lines).alias("markdown"))
+
+
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A new path in the folder that driver and executors share: the session's spark.checkpoint.dir.
+
+    Where it is unset and Spark runs on one machine, as in tests, a temporary folder is used; on a cluster that is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(root)
+    return f"{root}/phaseloom-{what}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame, what: str = "table") -> DataFrame:
+    """df, written to the shared folder and read again: its lineage ends there."""
+    path = shared_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

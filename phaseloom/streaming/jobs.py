@@ -6,17 +6,16 @@ that driver and executors share.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from phaseloom.sources.readers import checkpointed, shared_path
 
-def _shared(spark: SparkSession, what: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{root}/phaseloom-{what}-{uuid.uuid4().hex}"
+
+_shared = shared_path
 
 
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +39,7 @@ def gathered(out: DataFrame, fold: Callable[[DataFrame], DataFrame] = lambda x:
     path = _shared(spark, "stream")
 
     def put(batch: DataFrame, number: int) -> None:
-        fold(batch).withColumn("__batch", F.lit(number)).write.mode("append").parquet(path)
+        fold(batch).write.mode("overwrite").parquet(f"{path}/__batch={number}")  # a batch that is run again replaces itself
 
     out.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", _shared(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(path)
@@ -83,9 +82,20 @@ def sliding_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(user_id, start, n): bursts of a user's events with gaps of under six hours, as far as the watermark has closed them."""
-    w = feed(spark, sf_dir).withWatermark("ts", "1 hour").groupBy("user_id", F.session_window("ts", "6 hours").alias("s"))
-    return drained(w.agg(F.count("*").alias("n")).select("user_id", F.date_format("s.start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("start"), "n"))
+    """(user_id, start, n): bursts of a user's events with gaps of under six hours.
+
+    The stream gives the sessions that the watermark has closed; when it has been drained, those still open are taken
+    from the same feed as a batch.
+    """
+
+    def burst(e: DataFrame) -> DataFrame:
+        w = e.groupBy("user_id", F.session_window("ts", "6 hours").alias("s")).agg(F.count("*").alias("n"))
+        return w.select("user_id", F.date_format("s.start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("start"), "n")
+
+    closed = drained(burst(feed(spark, sf_dir).withWatermark("ts", "1 hour")))
+    whole = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    every = checkpointed(burst(whole), "sessions")  # an anti join may not be pushed below the merging of sessions
+    return closed.unionByName(every.join(closed.select("user_id", "start"), ["user_id", "start"], "left_anti"))
 
 
 def latency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,15 +113,35 @@ def backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def late_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_type, n, n_late): records that lie more than 20 days behind the newest one of their batch or before."""
-    seen: dict[str, int] = {}
+    return _late(spark, sf_dir)[0]
 
-    def mark(batch: DataFrame) -> DataFrame:
-        newest = batch.agg(F.max(F.unix_micros("ts"))).first()[0]
-        seen["max"] = max(seen.get("max", 0), newest or 0)
-        return batch.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.unix_micros("ts") < seen["max"] - 20 * 86_400_000_000).alias("n_late"))
 
-    rows = gathered(feed(spark, sf_dir).select("event_type", "ts"), mark)
-    return rows.groupBy("event_type").agg(F.sum("n").alias("n"), F.sum("n_late").alias("n_late"))
+def late_side_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, event_type, days_late): the late records themselves."""
+    return _late(spark, sf_dir)[1]
+
+
+def _late(spark: SparkSession, sf_dir: str, days: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Counts and late records. The newest time of each batch is stored beside its counts: a job that starts again reads it there."""
+    counts, late = _shared(spark, "counts"), _shared(spark, "late")
+
+    def mark(batch: DataFrame, number: int) -> None:
+        times = batch.agg(F.max(F.unix_micros("ts")).alias("newest"))
+        if number:  # the batches before, of which each left one row
+            before = spark.read.parquet(f"{counts}/newest").filter(F.col("__batch") < number)
+            times = times.unionByName(before.select("newest")).agg(F.max("newest").alias("newest"))
+        times.write.mode("overwrite").parquet(f"{counts}/newest/__batch={number}")
+        newest = spark.read.parquet(f"{counts}/newest/__batch={number}")
+        behind = F.floor((F.col("newest") - F.unix_micros("ts")) / 86_400_000_000)
+        is_late = F.unix_micros("ts") < F.col("newest") - days * 86_400_000_000
+        rows = batch.crossJoin(F.broadcast(newest))  # one row
+        rows.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(is_late).alias("n_late")).write.mode("overwrite").parquet(f"{counts}/rows/__batch={number}")
+        rows.filter(is_late).select("event_id", "event_type", behind.alias("days_late")).write.mode("overwrite").parquet(f"{late}/__batch={number}")
+
+    e = feed(spark, sf_dir).select("event_id", "event_type", "ts")
+    e.writeStream.foreachBatch(mark).option("checkpointLocation", _shared(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    total = spark.read.parquet(f"{counts}/rows").groupBy("event_type").agg(F.sum("n").alias("n"), F.sum("n_late").alias("n_late"))
+    return total, spark.read.parquet(late).drop("__batch")
 
 
 SQL = {
@@ -120,27 +150,58 @@ SQL = {
     "st3_windowed_metrics": "SELECT event_type, strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, round(sqrt(power(avg(cos(value)), 2) + power(avg(sin(value)), 2)), 6) AS r FROM events GROUP BY ALL",
     "st3_sliding_metrics": "SELECT event_type, strftime(date_trunc('day', ts) - CAST(o AS INTEGER) * INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM events, range(2) r(o) GROUP BY ALL",
     "st7_backfill": "SELECT user_id AS subject_id, count(*) AS n_rows FROM events GROUP BY ALL",
+    "st4_sessions": "WITH g AS (SELECT user_id, ts, event_id, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS fresh FROM events), b AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, count(*) AS n FROM b GROUP BY user_id, burst",
+    "st8_late_side_output": "SELECT event_id, event_type, CAST(floor((epoch_us(m) - epoch_us(ts)) / 86400000000) AS BIGINT) AS days_late FROM events, (SELECT max(ts) AS m FROM events) WHERE ts < m - INTERVAL 20 DAY",
     "st8_late_records": "SELECT event_type, count(*) AS n, CAST(count(*) FILTER (WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 20 DAY) AS BIGINT) AS n_late FROM events GROUP BY ALL",
 }
 
 
 def change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(user_id, n_changes): how often a user's event type differs from the one before; the last type is kept as state.
+    """(user_id, n_changes): how often a user's event type differs from the one before.
+
+    Each batch is ordered by time within a user by a window; the last type of the batches before, one row a user and
+    batch, stands before its first event. A batch that is run again replaces its own rows.
+    """
+    path = _shared(spark, "changes")
+
+    def fold(batch: DataFrame, number: int) -> None:
+        by = W.partitionBy("user_id").orderBy("ts", "event_id")
+        rows = batch.withColumn("before", F.lag("event_type").over(by))
+        if number:
+            last = spark.read.parquet(path).filter(F.col("__batch") < number).groupBy("user_id").agg(F.max_by("last", "__batch").alias("stored"))
+            rows = rows.join(last, "user_id", "left").withColumn("before", F.coalesce("before", "stored"))
+        out = rows.groupBy("user_id").agg(F.count_if(F.col("before") != F.col("event_type")).alias("n"), F.max_by("event_type", F.struct("ts", "event_id")).alias("last"))
+        out.write.mode("overwrite").parquet(f"{path}/__batch={number}")
+
+    e = feed(spark, sf_dir).select("user_id", "event_id", "ts", "event_type")
+    e.writeStream.foreachBatch(fold).option("checkpointLocation", _shared(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path).groupBy("user_id").agg(F.sum("n").alias("n_changes"))
+
 
-    Events of one batch are ordered by time within a user; a later batch goes on from the stored type.
+def trailing_drops(spark: SparkSession, sf_dir: str, lag: int = 8, z: float = 1.0) -> DataFrame:
+    """(user_id, n_drops): how often a user's value falls z population deviations below the mean of its last `lag` values.
+
+    The last values of a user are kept as state between batches; a batch's rows come in pieces of bounded size and are
+    taken in order of time within the batch.
     """
+    import numpy as np
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def update(key: tuple, batches, state: GroupState):  # noqa: ANN001, ANN202
-        last, n = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for kind in rows["event_type"]:
-            n += last is not None and kind != last
-            last = kind
-        state.update((last, int(n)))
-        yield pd.DataFrame({"user_id": [key[0]], "n_changes": [int(n)]})
-
-    e = feed(spark, sf_dir).select("user_id", "event_id", "ts", "event_type")
-    out = e.groupBy("user_id").applyInPandasWithState(update, "user_id long, n_changes long", "last string, n long", "update", GroupStateTimeout.NoTimeout)
+        tail, n = state.get if state.exists else ([], 0)
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])  # one batch of one user
+        v = np.append(np.asarray(tail, float), rows["value"].to_numpy(float))
+        if len(v) > lag:
+            past = np.lib.stride_tricks.sliding_window_view(v, lag)[:-1]
+            drop = (v[lag:] - past.mean(1)) / (past.std(1) + 1e-12) < -z
+            n += int(drop.sum())
+        state.update((v[-lag:].tolist(), int(n)))
+        yield pd.DataFrame({"user_id": [key[0]], "n_drops": [int(n)]})
+
+    e = feed(spark, sf_dir).select("user_id", "event_id", "ts", "value")
+    out = e.groupBy("user_id").applyInPandasWithState(update, "user_id long, n_drops long", "tail array<double>, n long", "update", GroupStateTimeout.NoTimeout)
     return _latest(gathered(out), ["user_id"])
+
+
+SQL["st5_trailing_drops"] = "WITH w AS (SELECT user_id, value, avg(value) OVER t AS m, stddev_pop(value) OVER t AS s, count(*) OVER t AS c FROM events WINDOW t AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)) SELECT user_id, count(*) FILTER (WHERE c = 8 AND (value - m) / (s + 1e-12) < -1) AS n_drops FROM w GROUP BY user_id"
