@@ -23,14 +23,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from phaseloom.llm.common import table
+from phaseloom.llm.common import give_back, slices, table
 
 #: Fixed by the byte-level format: how a text is cut into pre-tokens.
 PRETOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries a worker keeps of each cache before it starts anew; bounds memory, not results.
-CACHE = 350_000
-#: Rows that leave the worker at once.
-ROWS = 512
+#: Bytes that a worker's caches of pieces take, about, and entries of its other caches, before the older half goes. They
+#: bound memory, not results, and are emptied at the end of each task.
+CACHE_BYTES = 40_000_000
+VERDICTS, EDGES = 150_000, 10_000
+#: What a cached piece takes beside its characters and ids.
+ENTRY = 190
 
 
 def byte_chars() -> dict[str, int]:
@@ -40,24 +42,32 @@ def byte_chars() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class _Chunks(dict):
-    """Ids, as packed 32-bit integers, of text chunks; fills itself. When it is full, what was used since stays."""
+class _Pieces(dict):
+    """Ids, as packed 32-bit integers, of pre-tokens that follow a prefix; fills itself. What was used lately stays."""
 
-    def __init__(self, prefix: str, codec: BpeCodec) -> None:
+    def __init__(self, prefix: str, codec: BpeCodec, most: int) -> None:
         super().__init__()
-        self.prefix, self.codec, self.old = prefix, codec, {}
+        self.prefix, self.codec, self.most = prefix, codec, most
+        self.old, self.room = {}, most // 2
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHE:
-            self.old = dict(self)
-            self.clear()
-        out = self.old.get(chunk)
+    def __missing__(self, key: str) -> bytes:
+        if self.prefix and not key.isalpha():  # no pre-token by itself
+            return self.codec.pieces(self.prefix + key)
+        out = self.old.get(key)
         if out is None:
-            out = self.codec.piece(self.prefix + chunk).tobytes() if chunk.isalpha() else self.codec.pieces(self.prefix + chunk)
-        if len(chunk) <= 64:
-            self[chunk] = out
+            out = self.codec.piece(self.prefix + key).tobytes()
+        if len(key) <= 64:
+            self.room -= ENTRY + len(key) + len(out)
+            if self.room < 0:
+                self.old, self.room = dict(self), self.most // 2
+                self.clear()
+            self[key] = out
         return out
 
+    def forget(self) -> None:
+        self.old, self.room = {}, self.most // 2
+        self.clear()
+
 
 class BpeCodec:
     """Encoder and decoder of one byte-level vocabulary, given as the text of its JSON file."""
@@ -72,26 +82,37 @@ class BpeCodec:
         for b, i in [*vocab.items(), *((t.encode(), i) for t, i in self.special.items())]:
             self.bytes_of[i] = b
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in j["model"]["merges"]]
-        self.rank: dict[tuple[int, int], int] = {}
+        self.rank: dict[int, int] = {}  # by both ids, packed
         self.parts: dict[int, tuple[int, int, int]] = {}
         for r, (a, b) in enumerate(merges):
             left, right = vocab[raw(a)], vocab[raw(b)]
-            self.rank[left, right] = r
+            self.rank[left << 32 | right] = r
             self.parts.setdefault(vocab[raw(a) + raw(b)], (left, right, r))
         self.tokens = ahocorasick.Automaton()
         for b, i in vocab.items():
             self.tokens.add_word(b.decode("latin-1"), (i, len(b)))
         self.tokens.make_automaton()
+        if missing := [b for b in range(256) if bytes([b]) not in vocab]:
+            raise ValueError(f"the vocabulary has no tokens for the bytes {missing}")
         self.cut = regex.compile(PRETOKEN)
         self.odd = re.compile(r" \s")
         self.breaks = regex.compile("|".join(regex.escape(s) for s in self.special)) if self.special else None
-        self.first, self.later = _Chunks("", self), _Chunks(" ", self)
+        self.first, self.later = _Pieces("", self, CACHE_BYTES // 8), _Pieces(" ", self, CACHE_BYTES * 7 // 8)
         self.fits: dict[int, bool] = {}
         self.edges: tuple[dict, dict] = ({}, {})
 
+    def forget(self) -> None:
+        """Empty the caches; the vocabulary's own tables stay."""
+        for cache in (self.fits, *self.edges):
+            cache.clear()
+        self.first.forget()
+        self.later.forget()
+
     def edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """Tokens that stand at an edge of the token while it is merged together, each with the rank of the merge that ends it."""
         if token not in self.edges[side]:
+            if len(self.edges[side]) >= EDGES:
+                self.edges[side].clear()
             out, at, until = [], token, len(self.rank)
             while True:
                 out.append((at, until))
@@ -108,40 +129,46 @@ class BpeCodec:
         Of equal ranks the left place merges first: a pair inside a comes before one across the seam, which comes before
         one inside b.
         """
-        if len(self.fits) >= CACHE:
+        if len(self.fits) >= VERDICTS:
             self.fits.clear()
-        rank, left = self.rank, self.edge(b, 1)
-        ok = not any((r := rank.get((x, y))) is not None and r < end_x and r <= end_y for x, end_x in self.edge(a, 0) for y, end_y in left)
+        rank, left, ok = self.rank.get, self.edge(b, 1), True
+        for x, end_x in self.edge(a, 0):
+            x <<= 32
+            for y, end_y in left:
+                r = rank(x | y)
+                if r is not None and r < end_x and r <= end_y:
+                    ok = False
+                    break
+            if not ok:
+                break
         self.fits[a << 32 | b] = ok
         return ok
 
     def piece(self, text: str) -> array:
         """Ids of one pre-token."""
         raw = text if text.isascii() else text.encode().decode("latin-1")
-        fits = self.fits
-        last, size_of = [-1] * (len(raw) + 1), [0] * (len(raw) + 1)
+        fits, known = self.fits.get, -1
+        last, size_of = [-1] * (len(raw) + 1), [0] * (len(raw) + 1)  # by the place of a prefix's last byte
         for end, (token, size) in self.tokens.iter(raw):
-            end += 1
-            if last[end] < 0:
-                if size != end:
-                    before = last[end - size]
-                    if (ok := fits.get(before << 32 | token)) is None:
-                        ok = self.compatible(before, token)
-                    if not ok:
-                        continue
-                last[end], size_of[end] = token, size
-        out, at = array("i"), len(raw)
-        while at:
+            if end == known:
+                continue
+            if size <= end:
+                before = last[end - size]
+                if (ok := fits(before << 32 | token)) is None:
+                    ok = self.compatible(before, token)
+                if not ok:
+                    continue
+            last[end], size_of[end], known = token, size, end
+        out, at = array("i"), len(raw) - 1
+        while at >= 0:
             out.append(last[at])
             at -= size_of[at]
         out.reverse()
         return out
 
     def pieces(self, text: str) -> bytes:
-        out = array("i")
-        for p in self.cut.findall(text):
-            out.extend(self.piece(p))
-        return out.tobytes()
+        found = self.cut.findall(text)
+        return b"".join([self.later[p[1:]] if p[0] == " " and p[1:].isalpha() else self.first[p] for p in found])
 
     def plain(self, text: str) -> bytes:
         """Ids of a text without special tokens. A space before a character that is no white space always starts a pre-token, so the parts between such spaces are independent."""
@@ -150,7 +177,7 @@ class BpeCodec:
         head, *rest = text.split(" ")
         if rest and not rest[-1]:  # a space at the end is a pre-token of its own
             return self.pieces(text)
-        return self.first[head] + b"".join(map(self.later.__getitem__, rest))
+        return self.pieces(head) + b"".join(map(self.later.__getitem__, rest))
 
     def encode(self, text: str, special: bool = True) -> np.ndarray:
         """Ids as 32-bit integers. With special, strings of special tokens in a text become those tokens."""
@@ -204,8 +231,7 @@ def tokenize(docs: DataFrame, vocabulary: str | None = None, text_col: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(spec)
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
+            for batch in slices(whole, text_col):
                 ids = [codec.encode(t or "", special) for t in batch.column(text_col).to_pylist()]
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 out = [*batch.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)])))]
@@ -213,6 +239,8 @@ def tokenize(docs: DataFrame, vocabulary: str | None = None, text_col: str = "te
                 if decoded:
                     out, names = [*out, pa.array([codec.decode(i) for i in ids], pa.string())], [*names, "decoded"]
                 yield pa.RecordBatch.from_arrays(out, names=names)
+        codec.forget()
+        give_back()
 
     return docs.mapInArrow(run, schema)
 

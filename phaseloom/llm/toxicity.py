@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from phaseloom.llm.common import table
+from phaseloom.llm.common import give_back, slices, table
 
 #: Labelled rows that the model is fitted on, at most: those whose ids have the smallest hashes.
 MAX_TRAIN = 12_000
@@ -36,8 +36,8 @@ HALF_Z, HALF_PULL = 4.0, 40.0
 #: Beside each word, its first letters count, to so many.
 STEMS = (4, 5)
 TERM = re.compile(r"[^\W\d_]+")
-#: Terms whose hashes a worker keeps before it starts anew.
-CACHE = 500_000
+#: Words whose hashes a worker keeps before it starts anew (some 20 MB).
+CACHE = 100_000
 
 
 class Terms(dict):
@@ -192,18 +192,20 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 12, rate: floa
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN) -> FactorizationMachine:
     """Fit on at most max_train labelled documents, those with the smallest hashes of their ids.
 
-    Rows with a null label, id or text teach nothing; ids labelled both ways count as toxic. The texts are turned into
-    buckets on the executors; the driver gets those of max_train texts at most.
+    Rows with a null label, id or text teach nothing; ids labelled both ways count as toxic, and an id that several rows
+    share teaches by the text that sorts first. The texts are turned into buckets on the executors; the driver gets those
+    of max_train texts at most. Other columns are not read.
     """
     pick = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("y"))
     pick = pick.orderBy(F.xxhash64("__id"), "__id").limit(max_train)
-    chosen = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(pick), "__id").filter(F.col("text").isNotNull())
+    chosen = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(pick), "__id").filter(F.col("text").isNotNull()).groupBy("__id", "y").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
-        for b in batches:
-            rows = [terms.of(t).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("__id"), b.column("y"), pa.array(rows, pa.binary())], names=["id", "y", "items"])
+        for whole in batches:
+            for b in slices(whole, "text"):
+                rows = [terms.of(t).tobytes() for t in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("__id"), b.column("y"), pa.array(rows, pa.binary())], names=["id", "y", "items"])
 
     found = chosen.mapInArrow(run, T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("y", T.IntegerType()), T.StructField("items", T.BinaryType())])).withColumn("size", F.octet_length("items")).toArrow()
     found = found.combine_chunks()
@@ -213,17 +215,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: FactorizationMachine, text_col: str = "text") -> DataFrame:
-    """docs with score, from 0 to 1; a null text scores as an empty one. A column of docs named score is replaced."""
+    """docs with score, from 0 to 1; a null text scores as an empty one, equal texts score alike. A column of docs named score is replaced."""
     docs = docs.drop("score")
     shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights.astype(np.float32), model.factors.astype(np.float32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, machine = Terms(), FactorizationMachine(*shared.value)
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
+            for b in slices(whole, text_col, 2_000_000):
                 out = machine.score([terms.of(t) for t in b.column(text_col).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], names=[*b.schema.names, "score"])
+        give_back()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType(), False)]))
 

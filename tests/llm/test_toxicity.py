@@ -47,3 +47,23 @@ def test_bias_is_learnt_where_no_term_tells():
     rows = [toxicity.Terms().of(t) for t in texts] + [np.zeros(0, np.int32)] * 4
     model = toxicity.fit(rows, np.array([1] * 3 + [0] * 21))
     assert (model.score(rows) < 0.5).all()
+
+
+def test_raw_score_is_the_sum_over_pairs():
+    rng = np.random.default_rng(5)
+    m = toxicity.FactorizationMachine(0.3, rng.normal(size=toxicity.BUCKETS), rng.normal(size=(toxicity.BUCKETS, toxicity.FACTORS)))
+    rows = [np.sort(rng.choice(toxicity.BUCKETS, n, replace=False)).astype(np.int32) for n in (0, 1, 2, 7, 40)]
+    got = m.raw(np.concatenate(rows), np.cumsum([0, *map(len, rows)]))[0]
+    for r, x in zip(rows, got, strict=True):
+        pairs = sum(m.factors[i] @ m.factors[j] for k, i in enumerate(r) for j in r[k + 1 :])
+        assert np.isclose(x, 0.3 + m.weights[r].sum() + pairs)
+
+
+def test_long_texts_ties_and_repeated_ids(spark):
+    long = "lovely " * 300_000
+    docs = spark.createDataFrame([(i, "you idiot" if i % 2 else "a lovely day") for i in range(60)] + [(70, long), (70, long), (1, "zzz other words")], "doc_id long, text string").selectExpr("*", "1 AS y", "2 AS items")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(70, 0), (70, 0)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == 63 and {r.score >= 0.5 for r in got if r.text == long} == {False}
+    assert len({r.score for r in got if r.text == "you idiot"}) == 1
