@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -51,32 +53,79 @@ def mt_score(m: Column, q_abs: Column, f_dress: Column, quality: Column) -> Colu
     return F.when(t.isNull(), m).otherwise(clamp(m * 0.6 + t * 0.4))
 
 
-def permutation_test(df: DataFrame, keys: list[str], row: str, value: str, group: str, first: str, permutations: int, seed: str) -> DataFrame:
-    """(keys, observed, exceed, n, p): two-sided test of the difference of group means.
+#: How the share of null statistics at least as extreme as the observed one is counted.
+EXTREME = {
+    "two-sided": lambda null, seen: F.abs(null) >= F.abs(seen) - 1e-9,
+    "greater": lambda null, seen: null >= seen - 1e-9,
+    "less": lambda null, seen: null <= seen + 1e-9,
+}
+
+
+def _difference_of_means(first: Column, rest: Column) -> Column:
+    return F.avg(first) - F.avg(rest)
+
+
+def _null_share(stats: DataFrame, keys: list[str], stat: str, alternative: str) -> DataFrame:
+    """(keys, observed, exceed, n, p) from one row a key and permutation; permutation 0 is the observed one."""
+    seen = stats.filter("perm = 0").select(*keys, F.col(stat).alias("observed"))
+    nulls = stats.filter("perm > 0")
+    nulls = nulls.join(seen, keys) if keys else nulls.crossJoin(F.broadcast(seen))  # one row
+    hit = EXTREME[alternative](F.col(stat), F.col("observed"))
+    return nulls.groupBy(*keys).agg(F.first("observed").alias("observed"), F.count_if(hit).alias("exceed"), F.count("*").alias("n"), ((F.count_if(hit) + 1) / (F.count("*") + 1)).alias("p"))
+
+
+def permutation_test(
+    df: DataFrame, keys: list[str], row: str, value: str, group: str, first: str, permutations: int, seed: str,
+    alternative: str = "two-sided", statistic: Callable[[Column, Column], Column] = _difference_of_means,
+) -> DataFrame:
+    """(keys, observed, exceed, n, p): label-shuffle test; statistic combines two columns, null outside their group, by aggregates.
 
     Each permutation orders the rows by a hash of (seed, permutation, row) and gives the first as many as the first group
-    has to it. Rows are exploded by permutation and partitioned by it.
+    has to it. The rows of a permutation are dealt to 256 ranges of the hash: whole ranges go to one side or the other by
+    a running count, only the range where the groups meet is sorted, so no task gets a whole permutation.
     """
-    size = W.partitionBy(*(keys or [F.lit(0)]))
-    rows = df.select(*keys, row, F.col(value).alias("v"), (F.col(group) == first).alias("is_first")).withColumn("n_first", F.count_if("is_first").over(size))
+    rows = df.select(*keys, row, F.col(value).alias("v"), (F.col(group) == first).alias("is_first"))
     p = rows.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations))))
-    order = F.when(F.col("perm") == 0, F.when(F.col("is_first"), "0").otherwise("1")).otherwise(F.sha2(F.concat_ws("|", F.lit(seed), F.col("perm").cast("string"), F.col(row).cast("string")), 256))
-    p = p.withColumn("r", F.row_number().over(W.partitionBy(*keys, "perm").orderBy(order, row)))
-    d = p.groupBy(*keys, "perm").agg((F.avg(F.when(F.col("r") <= F.col("n_first"), F.col("v"))) - F.avg(F.when(F.col("r") > F.col("n_first"), F.col("v")))).alias("diff"))
-    seen = F.max(F.when(F.col("perm") == 0, F.col("diff"))).over(size)
-    d = d.withColumn("observed", seen).filter("perm > 0")
-    hit = F.abs("diff") >= F.abs("observed") - 1e-9
-    return d.groupBy(*keys).agg(F.first("observed").alias("observed"), F.count_if(hit).alias("exceed"), F.count("*").alias("n"), ((F.count_if(hit) + 1) / (F.count("*") + 1)).alias("p"))
-
-
-def sign_flip_test(diffs: DataFrame, keys: list[str], subject: str, diff: str, permutations: int, seed: str) -> DataFrame:
+    by_label = F.when(F.col("is_first"), "0").otherwise("f")
+    p = p.withColumn("h", F.when(F.col("perm") == 0, by_label).otherwise(F.sha2(F.concat_ws("|", F.lit(seed), F.col("perm").cast("string"), F.col(row).cast("string")), 256)))
+    p = p.withColumn("range", F.conv(F.rpad(F.substring("h", 1, 2), 2, "0"), 16, 10).cast("int"))
+    sizes = p.groupBy(*keys, "perm", "range").agg(F.count("*").alias("held"), F.count_if("is_first").alias("firsts"))
+    at = W.partitionBy(*keys, "perm")
+    before = F.coalesce(F.sum("held").over(at.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*keys, "perm", "range", (F.sum("firsts").over(at) - before).alias("room"))
+    r = F.row_number().over(W.partitionBy(*keys, "perm", "range").orderBy("h", row))
+    dealt = p.withColumn("r", r).join(sizes, [*keys, "perm", "range"]).withColumn("side", F.col("r") <= F.col("room"))
+    d = dealt.groupBy(*keys, "perm").agg(statistic(F.when(F.col("side"), F.col("v")), F.when(~F.col("side"), F.col("v"))).alias("stat"))
+    return _null_share(d, keys, "stat", alternative)
+
+
+def sign_flip_test(diffs: DataFrame, keys: list[str], subject: str, diff: str, permutations: int, seed: str, alternative: str = "two-sided") -> DataFrame:
     """(keys, observed, exceed, n, p): paired test; each permutation flips the signs of subjects by a hash."""
     p = diffs.select(*keys, F.col(subject).alias("s"), F.col(diff).alias("d")).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations))))
     sign = F.when((F.col("perm") == 0) | (hash_unit(F.lit(seed), F.col("perm"), F.col("s")) < 0.5), 1.0).otherwise(-1.0)
-    m = p.groupBy(*keys, "perm").agg(F.avg(F.col("d") * sign).alias("m"))
-    m = m.withColumn("observed", F.max(F.when(F.col("perm") == 0, F.col("m"))).over(W.partitionBy(*(keys or [F.lit(0)])))).filter("perm > 0")
-    hit = F.abs("m") >= F.abs("observed") - 1e-9
-    return m.groupBy(*keys).agg(F.first("observed").alias("observed"), F.count_if(hit).alias("exceed"), F.count("*").alias("n"), ((F.count_if(hit) + 1) / (F.count("*") + 1)).alias("p"))
+    return _null_share(p.groupBy(*keys, "perm").agg(F.avg(F.col("d") * sign).alias("m")), keys, "m", alternative)
+
+
+def subject_blocked_test(df: DataFrame, subject: str, group: str, value: str, permutations: int, seed: str, alternative: str = "two-sided") -> DataFrame:
+    """One row (method, observed, exceed, n, p, effect): each subject counts once.
+
+    If any subject has both groups, their differences (first group by name minus second) are tested by sign flips, with
+    the paired effect mean / standard deviation; else subjects' means are shuffled between the groups, with Cohen's d.
+    Raises unless there are exactly two groups.
+    """
+    cells = df.groupBy(F.col(subject).alias("s"), F.col(group).cast("string").alias("g")).agg(F.avg(value).alias("v")).filter("v is not null")
+    names = sorted(r["g"] for r in cells.select("g").distinct().limit(3).collect())
+    if len(names) != 2:
+        raise ValueError(f"two groups are needed, there are {names}")
+    a, b = names
+    wide = cells.groupBy("s").agg((F.max(F.when(F.col("g") == a, F.col("v"))) - F.max(F.when(F.col("g") == b, F.col("v")))).alias("d")).filter("d is not null")
+    if not wide.isEmpty():
+        t = sign_flip_test(wide, [], "s", "d", permutations, seed, alternative).withColumn("method", F.lit("paired"))
+        effect = wide.agg((F.avg("d") / F.when(F.stddev_samp("d") > 0, F.stddev_samp("d"))).alias("effect"))
+    else:
+        t = permutation_test(cells, [], "s", "v", "g", a, permutations, seed, alternative).withColumn("method", F.lit("between"))
+        effect = cohens_d(cells, [], "v", "g", a, b).withColumnRenamed("d", "effect")
+    return t.crossJoin(F.broadcast(effect)).select("method", "observed", "exceed", "n", "p", "effect")  # one row each
 
 
 def cohens_d(df: DataFrame, keys: list[str], value: str, group: str, a: str, b: str) -> DataFrame:

@@ -107,3 +107,20 @@ def triangle_regions(triangle: DataFrame, sensor: DataFrame) -> DataFrame:
     v = triangle.select("tri_id", F.explode(F.array("v0", "v1", "v2")).alias("channel")).join(sensor.select("channel", "region"), "channel", "left")
     n = v.groupBy("tri_id", "region").agg(F.count("*").alias("n"))
     return n.groupBy("tri_id").agg(F.when(F.max(F.col("region").isNull()), F.lit(None)).otherwise(F.max_by(F.when(F.col("n") >= 2, F.col("region")), "n")).alias("region"))
+
+
+def majority_label(corners: DataFrame, key: str, label: str, size: int) -> DataFrame:
+    """(key, label): the label of most of the corners of each shape of `size` corners; null if a corner has none or no label has most."""
+    votes = corners.groupBy(key, label).agg(F.count("*").alias("n"))
+    g = votes.groupBy(key).agg(F.sum("n").alias("total"), F.count_if(F.col(label).isNull()).alias("lost"), F.max(F.when(2 * F.col("n") > size, F.col(label))).alias(label))
+    return g.filter(F.col("total") == size).select(key, F.when(F.col("lost") == 0, F.col(label)).alias(label))
+
+
+def valid_triangles(edges: DataFrame, keys: list[str], weight: str, least: float) -> DataFrame:
+    """(keys, n_triangles, n_valid, valid_share): triangles of three edges, and those whose mean absolute weight is over least."""
+    e = edges.select(*keys, "a", "b", F.abs(weight).alias("x"))
+    second = e.select(*keys, F.col("a").alias("b"), F.col("b").alias("c"), F.col("x").alias("y"))
+    third = e.select(*keys, "a", F.col("b").alias("c"), F.col("x").alias("z"))
+    t = e.join(second, [*keys, "b"]).join(third, [*keys, "a", "c"])
+    valid = F.count_if((F.col("x") + F.col("y") + F.col("z")) / 3 > least)
+    return t.groupBy(*keys).agg(F.count("*").alias("n_triangles"), valid.alias("n_valid"), (valid / F.count("*")).alias("valid_share"))

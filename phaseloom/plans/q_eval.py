@@ -197,7 +197,7 @@ def _a20(spark, d):  # noqa: ANN001, ANN202
 @query("v5_permutation_test", f"WITH {_COHORT}, s AS (SELECT subject, segment, avg(value) AS v FROM cohort WHERE segment IN ('BUILDING', 'FURNITURE') GROUP BY ALL), r AS (SELECT perm, v, row_number() OVER (PARTITION BY perm ORDER BY CASE WHEN perm = 0 THEN CASE WHEN segment = 'BUILDING' THEN '0' ELSE '1' END ELSE sha256('v5|' || perm || '|' || subject) END, subject) AS r, (SELECT count(*) FROM s WHERE segment = 'BUILDING') AS n FROM s, range(0, 51) p(perm)), d AS (SELECT perm, avg(v) FILTER (WHERE r <= n) - avg(v) FILTER (WHERE r > n) AS diff FROM r GROUP BY perm), o AS (SELECT diff AS observed FROM d WHERE perm = 0) SELECT round(observed, 4) AS observed, count(*) FILTER (WHERE abs(diff) >= abs(observed) - 1e-9) AS exceed, count(*) AS n, round((count(*) FILTER (WHERE abs(diff) >= abs(observed) - 1e-9) + 1) / (count(*) + 1), 6) AS p FROM d, o WHERE perm > 0 GROUP BY observed")
 def _v5(spark, d):  # noqa: ANN001, ANN202
     s = _cohort(spark, d).filter(F.col("segment").isin("BUILDING", "FURNITURE")).groupBy("subject", "segment").agg(F.avg("value").alias("v"))
-    t = ev.permutation_test(s.withColumn("one", F.lit(1)), ["one"], "subject", "v", "segment", "BUILDING", 50, "v5")
+    t = ev.permutation_test(s, [], "subject", "v", "segment", "BUILDING", 50, "v5")
     return t.select(rounded(F.col("observed"), 4).alias("observed"), "exceed", "n", rounded(F.col("p")).alias("p"))
 
 
