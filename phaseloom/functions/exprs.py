@@ -69,3 +69,55 @@ def first_blocker(*rules: tuple[Column, str], otherwise: str) -> Column:
 def all_blockers(*rules: tuple[Column, str]) -> Column:
     """The messages of all rules that hold, in order."""
     return F.array_compact(F.array(*[F.when(bad, F.lit(message)) for bad, message in rules]))
+
+
+def holds(text: Column, needles: list[str]) -> Column:
+    """Whether the text holds any of the needles."""
+    out = F.lit(False)
+    for n in needles:
+        out = out | F.contains(text, F.lit(n))
+    return out
+
+
+def labelled_share(text: Column, marks: list[str]) -> Column:
+    """Share of the sentences, cut at full stops, that hold a mark; 0 where there are none."""
+    parts = F.filter(F.transform(F.split(text, r"\.", -1), F.trim), lambda p: p != "")
+    return F.when(F.size(parts) == 0, 0.0).otherwise(F.size(F.filter(parts, lambda p: holds(p, marks))) / F.size(parts))
+
+
+def scalp_zone(channel: Column) -> Column:
+    """Coarse zone of an electrode by the naming of the 10-20 system: lobe by letters, side of temporal ones by the last digit."""
+    up, like = F.upper(channel), lambda p: F.rlike(channel, F.lit(p))
+    starts = lambda p: F.rlike(up, F.lit(p))
+    side = F.when(like("[13579][^0-9]*$"), "temporal_left").when(like("[02468][^0-9]*$"), "temporal_right").otherwise("temporal_middle")
+    return F.when(starts("^(T|FT|TP)"), side).when(starts("^[OI]"), "occipital").when(starts("^P"), "parietal").when(starts("^(C|FC)"), "central").when(starts("^(F|AF)"), "frontal")
+
+
+def count_json_strings(json: Column, needles: list[str]) -> Column:
+    """How many string values, at any depth of a JSON text, hold a needle."""
+    text = r'"(?:[^"\\]|\\.)*"'
+    values = F.regexp_extract_all(json, F.lit(rf":{text}|[\[,]{text}(?=[,\]])"), F.lit(0))
+    return F.size(F.filter(values, lambda v: holds(v, needles)))
+
+
+def ring_sum(values: str) -> Column:
+    """Sum of the absolute steps around the ring of an array's values."""
+    n = F.size(values)
+    return F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.abs(F.get(values, i) - F.get(values, (i + 1) % n))), F.lit(0.0), lambda s, x: s + x)
+
+
+def mean_pair_gap(values: str) -> Column:
+    """Mean absolute difference over all pairs, from the sorted values: the i-th of n counts 2 i - n + 1 times."""
+    n, ordered = F.size(values), F.array_sort(values)
+    total = F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(ordered, i) * (2 * i - n + 1)), F.lit(0.0), lambda s, x: s + x)
+    return total / (n * (n - 1) / 2)
+
+
+def choose_three(n: Column) -> Column:
+    """Number of triples among n."""
+    return F.floor(n * (n - 1) * (n - 2) / 6).cast("long")
+
+
+def even_grid(lo: Column, hi: Column, points: int) -> Column:
+    """Array of evenly spaced points from lo to hi, both included."""
+    return F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: lo + (hi - lo) * i / (points - 1))

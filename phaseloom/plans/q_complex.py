@@ -47,9 +47,9 @@ def _q11(spark, d):  # noqa: ANN001, ANN202
 @query(
     "q11_fractal_dimension",
     sql(
-        """, d AS (SELECT recording_id, w, channel, k, step, abs(CASE step WHEN 1 THEN lead(v, 1) OVER p WHEN 2 THEN lead(v, 2) OVER p WHEN 3 THEN lead(v, 3) OVER p ELSE lead(v, 4) OVER p END - v) AS d
+        """, d AS (SELECT recording_id, w, channel, k % step AS m, step, abs(CASE step WHEN 1 THEN lead(v, 1) OVER p WHEN 2 THEN lead(v, 2) OVER p WHEN 3 THEN lead(v, 3) OVER p ELSE lead(v, 4) OVER p END - v) AS d
           FROM windowed, range(1, 5) r(step) WINDOW p AS (PARTITION BY recording_id, w, channel, step ORDER BY k)),
-        l AS (SELECT recording_id, w, channel, step, k % step AS m, sum(d) * 15 / floor((15 - k % step) / step) / step / step AS l FROM d WHERE d IS NOT NULL GROUP BY ALL),
+        l AS (SELECT recording_id, w, channel, step, m, sum(d) * 15 / floor((15 - m) / step) / step / step AS l FROM d WHERE d IS NOT NULL GROUP BY recording_id, w, channel, step, m),
         n AS (SELECT recording_id, w, channel, step, avg(l) AS l FROM l GROUP BY ALL HAVING avg(l) > 0)
         SELECT recording_id, w, channel, round(regr_slope(ln(l), ln(1 / step)), 5) + 0.0 AS dimension FROM n GROUP BY ALL""",
         "windowed",
