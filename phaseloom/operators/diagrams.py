@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -28,3 +28,12 @@ def summary(diagram: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n_bars, n_open, total_persistence, mean_lifetime); bars that never die count as open only."""
     life = F.when(F.col("death") != float("inf"), F.col("death") - F.col("birth"))
     return diagram.groupBy(*keys).agg(F.count("*").alias("n_bars"), F.count_if(F.col("death") == float("inf")).alias("n_open"), F.sum(life).alias("total_persistence"), F.avg(life).alias("mean_lifetime"))
+
+
+def band_mass(diagram: DataFrame, keys: list[str], start: float, step: float, points: int, band: Column) -> DataFrame:
+    """(keys, band, mass, share): area under the first landscape layer by trapezoids, within bands of grid points given by g."""
+    top = _on_grid(diagram, start, step, points).groupBy(*keys, "g").agg(F.max(F.greatest(F.lit(0.0), F.least(F.col("at") - F.col("birth"), F.col("death") - F.col("at")))).alias("h"))
+    area = step / 2 * (F.col("h") + F.lead("h").over(W.partitionBy(*keys).orderBy("g")))
+    b = top.withColumn("area", area).filter("area is not null").groupBy(*keys, band.alias("band")).agg(F.sum("area").alias("mass"))
+    total = F.sum("mass").over(W.partitionBy(*keys))
+    return b.select(*keys, "band", "mass", (F.col("mass") / F.nullif(total, F.lit(0.0))).alias("share"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from phaseloom.plans import q_advanced, q_complex, q_eval, q_field, q_last, q_models, q_more, q_reports, q_signal, q_text
+from phaseloom.plans import q_advanced, q_complex, q_eval, q_field, q_last, q_models, q_more, q_nulls, q_reports, q_signal, q_text
 
-_FAMILIES = [q_field, q_signal, q_eval, q_text, q_advanced, q_more, q_last, q_models, q_complex, q_reports]
+_FAMILIES = [q_field, q_signal, q_eval, q_text, q_advanced, q_more, q_last, q_models, q_complex, q_reports, q_nulls]
 
 
 def queries() -> dict:

@@ -37,11 +37,11 @@ _ALIKE = " AND ".join(f"abs(list_extract(s, i + {o}) - list_extract(s, j + {o}))
         t AS (SELECT *, unnest(range(1, 15)) AS i FROM a), u AS (SELECT *, unnest(range(i + 1, 15)) AS j FROM t WHERE i < 14),
         c AS (SELECT recording_id, w, channel, count(*) FILTER (WHERE {" AND ".join(_ALIKE.split(" AND ")[:2])}) AS b, count(*) FILTER (WHERE {_ALIKE}) AS c FROM u GROUP BY ALL)
         SELECT recording_id, w, channel, CASE WHEN b > 0 AND c > 0 THEN round(-ln(c / b), 6) + 0.0 END AS entropy FROM c""",
-        "windowed",
+        "windowed@own",
     ),
 )
 def _q11(spark, d):  # noqa: ANN001, ANN202
-    return cx.sample_entropy(windowed(spark, d), CH).withColumn("entropy", rounded(F.col("entropy")))
+    return cx.sample_entropy(channel_windows(spark, d), CH).withColumn("entropy", rounded(F.col("entropy")))
 
 
 @query(
@@ -52,11 +52,11 @@ def _q11(spark, d):  # noqa: ANN001, ANN202
         l AS (SELECT recording_id, w, channel, step, m, sum(d) * 15 / floor((15 - m) / step) / step / step AS l FROM d WHERE d IS NOT NULL GROUP BY recording_id, w, channel, step, m),
         n AS (SELECT recording_id, w, channel, step, avg(l) AS l FROM l GROUP BY ALL HAVING avg(l) > 0)
         SELECT recording_id, w, channel, round(regr_slope(ln(l), ln(1 / step)), 5) + 0.0 AS dimension FROM n GROUP BY ALL""",
-        "windowed",
+        "windowed@own",
     ),
 )
 def _q11b(spark, d):  # noqa: ANN001, ANN202
-    return cx.fractal_dimension(windowed(spark, d), CH).withColumn("dimension", rounded(F.col("dimension"), 5))
+    return cx.fractal_dimension(channel_windows(spark, d), CH).withColumn("dimension", rounded(F.col("dimension"), 5))
 
 
 @query(
@@ -268,11 +268,11 @@ def _q4(spark, d):  # noqa: ANN001, ANN202
         t AS (SELECT recording_id, w, channel, string_agg(s, '' ORDER BY k) AS s FROM b GROUP BY ALL), x AS (SELECT DISTINCT recording_id, w, channel, s[CAST(i AS INTEGER):CAST(i + l - 1 AS INTEGER)] AS sub FROM t, range(1, 17) a(i), range(1, 5) c(l) WHERE i + l - 1 <= 16),
         z AS (SELECT recording_id, w, channel, count(*) / 16 AS lzc FROM x GROUP BY ALL)
         SELECT recording_id, w, channel, round(power, 2) AS spectral_power_proxy, round(entropy, 5) + 0.0 AS entropy_proxy, round(lzc, 6) AS lzc_proxy FROM p JOIN e USING (recording_id, w, channel) JOIN z USING (recording_id, w, channel)""",
-        "windowed",
+        "windowed@own",
     ),
 )
 def _q15(spark, d):  # noqa: ANN001, ANN202
-    w = windowed(spark, d)
+    w = channel_windows(spark, d)
     out = wn.power(w, CH).join(wn.rounded_entropy(w, CH), CH).join(wn.substring_diversity(w, CH), CH)
     return out.select(*CH, rounded(F.col("power"), 2).alias("spectral_power_proxy"), rounded(F.col("entropy"), 5).alias("entropy_proxy"), rounded(F.col("lzc")).alias("lzc_proxy"))
 

@@ -14,7 +14,7 @@ from phaseloom.operators import relational as rel
 from phaseloom.operators import windows as wn
 from phaseloom.plans.q_eval import _ASOF, _SCORED, _scored
 from phaseloom.plans.q_signal import _SPEC
-from phaseloom.plans.views import field, phase, rounded, sensor, sql, table, windowed
+from phaseloom.plans.views import channel_windows, field, phase, rounded, sensor, sql, table, windowed
 from phaseloom.sources import readers
 from phaseloom.streaming import jobs
 
@@ -65,9 +65,9 @@ def _j6(spark, d):  # noqa: ANN001, ANN202
     return rel.best_offset(p, s, ["user_id"], "event_id", "t", "s_t", 600.0, [-60.0, -37.0, 0.0, 30.0]).withColumnRenamed("offset", "offset_")
 
 
-@query("q7_spectral_phase", sql(_SPEC + ", a AS (SELECT recording_id, w, channel, f, atan2(im, re) AS th, re * re + im * im AS p FROM spec WHERE f BETWEEN 1 AND 4) SELECT recording_id, w, channel, CAST(f AS INTEGER) AS f, round(cos(th - lag(th) OVER (PARTITION BY recording_id, w, channel ORDER BY f)), 5) + 0.0 AS step FROM a", "windowed"))
+@query("q7_spectral_phase", sql(_SPEC + ", a AS (SELECT recording_id, w, channel, f, atan2(im, re) AS th, re * re + im * im AS p FROM spec WHERE f BETWEEN 1 AND 4) SELECT recording_id, w, channel, CAST(f AS INTEGER) AS f, round(cos(th - lag(th) OVER (PARTITION BY recording_id, w, channel ORDER BY f)), 5) + 0.0 AS step FROM a", "windowed@own"))
 def _q7(spark, d):  # noqa: ANN001, ANN202
-    a = wn.spectrum(windowed(spark, d), [*KEY, "channel"], 16).filter(F.col("f").between(1, 4)).withColumn("th", F.atan2("im", "re"))
+    a = wn.spectrum(channel_windows(spark, d), [*KEY, "channel"], 16).filter(F.col("f").between(1, 4)).withColumn("th", F.atan2("im", "re"))
     return a.select(*KEY, "channel", "f", rounded(F.cos(F.col("th") - F.lag("th").over(W.partitionBy(*KEY, "channel").orderBy("f"))), 5).alias("step"))
 
 
@@ -128,9 +128,9 @@ def _j15(spark, d):  # noqa: ANN001, ANN202
     return cl.lineages(_points(spark, d), ["z"], "t", 3.0)
 
 
-@query("e1_plugged_metric", sql(" SELECT recording_id, w, channel, round(max(v) - min(v), 6) AS value FROM windowed GROUP BY ALL", "windowed"))
+@query("e1_plugged_metric", sql(" SELECT recording_id, w, channel, round(max(v) - min(v), 6) AS value FROM windowed GROUP BY ALL", "windowed@own"))
 def _e1(spark, d):  # noqa: ANN001, ANN202
-    m = cl.plugged_metric(windowed(spark, d), [*KEY, "channel"], "range")
+    m = cl.plugged_metric(channel_windows(spark, d), [*KEY, "channel"], "range")
     return m.filter("error is null").select(*KEY, "channel", rounded(F.col("value")).alias("value"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from phaseloom.operators import phase_metrics as pm
 from phaseloom.operators import windows as wn
-from phaseloom.plans.views import _wrap, phase, rounded, samples, sensor, sql, triangle, windowed
+from phaseloom.plans.views import channel_windows, _wrap, phase, rounded, samples, sensor, sql, triangle, windowed
 
 QUERIES = {}
 KEY = ["recording_id", "w"]
@@ -95,20 +95,20 @@ def _q4(spark, d):  # noqa: ANN001, ANN202
     return m.select(*KEY, "k", rounded(top).alias("leading_value"))
 
 
-@query("q5_temporal_phase", sql(", m AS (SELECT recording_id, w, channel, k, CASE WHEN v - avg(v) OVER (PARTITION BY recording_id, w, channel) >= 0 THEN 0.0 ELSE pi() END AS th FROM windowed), s AS (SELECT recording_id, w, channel, th - lag(th) OVER (PARTITION BY recording_id, w, channel ORDER BY k) AS d FROM m) SELECT recording_id, w, channel, round(sum(d) / (2 * pi()), 6) + 0.0 AS q, round(sum(abs(d)) / (2 * pi()), 6) AS q_abs FROM s GROUP BY ALL", "windowed"))
+@query("q5_temporal_phase", sql(", m AS (SELECT recording_id, w, channel, k, CASE WHEN v - avg(v) OVER (PARTITION BY recording_id, w, channel) >= 0 THEN 0.0 ELSE pi() END AS th FROM windowed), s AS (SELECT recording_id, w, channel, th - lag(th) OVER (PARTITION BY recording_id, w, channel ORDER BY k) AS d FROM m) SELECT recording_id, w, channel, round(sum(d) / (2 * pi()), 6) + 0.0 AS q, round(sum(abs(d)) / (2 * pi()), 6) AS q_abs FROM s GROUP BY ALL", "windowed@own"))
 def _q5(spark, d):  # noqa: ANN001, ANN202
     th = F.when(F.col("v") - F.avg("v").over(W.partitionBy(*CH)) >= 0, 0.0).otherwise(F.pi())
-    s = windowed(spark, d).withColumn("th", th).withColumn("d", F.col("th") - F.lag("th").over(W.partitionBy(*CH).orderBy("k")))
+    s = channel_windows(spark, d).withColumn("th", th).withColumn("d", F.col("th") - F.lag("th").over(W.partitionBy(*CH).orderBy("k")))
     return s.groupBy(*CH).agg(rounded(F.sum("d") / (2 * F.pi())).alias("q"), rounded(F.sum(F.abs("d")) / (2 * F.pi())).alias("q_abs"))
 
 
 _SPEC = ", spec AS (SELECT recording_id, w, channel, f, sum(v * cos(2 * pi() * k * f / 16)) AS re, -sum(v * sin(2 * pi() * k * f / 16)) AS im FROM windowed, range(9) g(f) GROUP BY ALL)"
 
 
-@query("q1_band_phasors", sql(_SPEC + ", b AS (SELECT recording_id, w, channel, CASE WHEN f BETWEEN 1 AND 2 THEN 'slow' WHEN f BETWEEN 3 AND 5 THEN 'mid' WHEN f >= 6 THEN 'fast' END AS band, sum(re) AS re, sum(im) AS im, sum(re * re + im * im) AS power FROM spec WHERE f > 0 GROUP BY ALL) SELECT recording_id, w, channel, band, round(sqrt(re * re + im * im), 5) AS amp, round(power, 4) AS power FROM b", "windowed"))
+@query("q1_band_phasors", sql(_SPEC + ", b AS (SELECT recording_id, w, channel, CASE WHEN f BETWEEN 1 AND 2 THEN 'slow' WHEN f BETWEEN 3 AND 5 THEN 'mid' WHEN f >= 6 THEN 'fast' END AS band, sum(re) AS re, sum(im) AS im, sum(re * re + im * im) AS power FROM spec WHERE f > 0 GROUP BY ALL) SELECT recording_id, w, channel, band, round(sqrt(re * re + im * im), 5) AS amp, round(power, 4) AS power FROM b", "windowed@own"))
 def _q1(spark, d):  # noqa: ANN001, ANN202
     band = F.when(F.col("f").between(1, 2), "slow").when(F.col("f").between(3, 5), "mid").when(F.col("f") >= 6, "fast")
-    b = wn.spectrum(windowed(spark, d), CH, 16).filter("f > 0").groupBy(*CH, band.alias("band")).agg(F.sum("re").alias("re"), F.sum("im").alias("im"), F.sum("power").alias("power"))
+    b = wn.spectrum(channel_windows(spark, d), CH, 16).filter("f > 0").groupBy(*CH, band.alias("band")).agg(F.sum("re").alias("re"), F.sum("im").alias("im"), F.sum("power").alias("power"))
     return b.select(*CH, "band", rounded(F.sqrt(F.col("re") ** 2 + F.col("im") ** 2), 5).alias("amp"), rounded(F.col("power"), 4).alias("power"))
 
 
@@ -120,10 +120,10 @@ def _q6(spark, d):  # noqa: ANN001, ANN202
     return s.groupBy(*KEY).agg(rounded(part(5, 8) / (part(1, 4) + 1e-12), 5).alias("ratio"))
 
 
-@query("q8_band_power", sql(_SPEC + ", p AS (SELECT recording_id, w, channel, CASE WHEN f BETWEEN 1 AND 2 THEN 'slow' WHEN f BETWEEN 3 AND 5 THEN 'mid' ELSE 'fast' END AS band, sum(re * re + im * im) / 16 AS power FROM spec WHERE f > 0 GROUP BY ALL) SELECT recording_id, w, channel, band, round(power, 4) AS power, round(power / sum(power) OVER (PARTITION BY recording_id, w, channel), 5) AS share FROM p", "windowed"))
+@query("q8_band_power", sql(_SPEC + ", p AS (SELECT recording_id, w, channel, CASE WHEN f BETWEEN 1 AND 2 THEN 'slow' WHEN f BETWEEN 3 AND 5 THEN 'mid' ELSE 'fast' END AS band, sum(re * re + im * im) / 16 AS power FROM spec WHERE f > 0 GROUP BY ALL) SELECT recording_id, w, channel, band, round(power, 4) AS power, round(power / sum(power) OVER (PARTITION BY recording_id, w, channel), 5) AS share FROM p", "windowed@own"))
 def _q8(spark, d):  # noqa: ANN001, ANN202
     band = F.when(F.col("f").between(1, 2), "slow").when(F.col("f").between(3, 5), "mid").otherwise("fast")
-    p = wn.spectrum(windowed(spark, d), CH, 16).filter("f > 0").groupBy(*CH, band.alias("band")).agg((F.sum("power") / 16).alias("power"))
+    p = wn.spectrum(channel_windows(spark, d), CH, 16).filter("f > 0").groupBy(*CH, band.alias("band")).agg((F.sum("power") / 16).alias("power"))
     return p.select(*CH, "band", rounded(F.col("power"), 4).alias("power"), rounded(F.col("power") / F.sum("power").over(W.partitionBy(*CH)), 5).alias("share"))
 
 
@@ -137,39 +137,39 @@ def _q9(spark, d):  # noqa: ANN001, ANN202
     return x.select("recording_id", "a", "b", "f", rounded((F.col("re") ** 2 + F.col("im") ** 2) / (F.col("pa") * F.col("pb")), 5).alias("coherence"))
 
 
-@query("q10_aperiodic", sql(_SPEC + ", p AS (SELECT recording_id, channel, f, avg(re * re + im * im) AS p FROM spec WHERE f > 0 GROUP BY ALL) SELECT recording_id, channel, round(-regr_slope(log10(p), log10(f)), 5) + 0.0 AS exponent, round(regr_intercept(log10(p), log10(f)), 5) AS offset_, round(regr_r2(log10(p), log10(f)), 5) AS r2 FROM p GROUP BY ALL", "windowed"))
+@query("q10_aperiodic", sql(_SPEC + ", p AS (SELECT recording_id, channel, f, avg(re * re + im * im) AS p FROM spec WHERE f > 0 GROUP BY ALL) SELECT recording_id, channel, round(-regr_slope(log10(p), log10(f)), 5) + 0.0 AS exponent, round(regr_intercept(log10(p), log10(f)), 5) AS offset_, round(regr_r2(log10(p), log10(f)), 5) AS r2 FROM p GROUP BY ALL", "windowed@own"))
 def _q10(spark, d):  # noqa: ANN001, ANN202
-    p = wn.spectrum(windowed(spark, d), CH, 16).filter("f > 0").groupBy("recording_id", "channel", "f").agg(F.avg("power").alias("p"))
+    p = wn.spectrum(channel_windows(spark, d), CH, 16).filter("f > 0").groupBy("recording_id", "channel", "f").agg(F.avg("power").alias("p"))
     y, x = F.log10("p"), F.log10("f")
     return p.groupBy("recording_id", "channel").agg(rounded(-F.regr_slope(y, x), 5).alias("exponent"), rounded(F.regr_intercept(y, x), 5).alias("offset_"), rounded(F.regr_r2(y, x), 5).alias("r2"))
 
 
-@query("q11_permutation_entropy", sql(", l AS (SELECT recording_id, w, channel, v AS a, lead(v) OVER p AS b, lead(v, 2) OVER p AS c FROM windowed WINDOW p AS (PARTITION BY recording_id, w, channel ORDER BY k)), h AS (SELECT recording_id, w, channel, (CASE WHEN b < a THEN 4 ELSE 0 END) + (CASE WHEN c < a THEN 2 ELSE 0 END) + (CASE WHEN c < b THEN 1 ELSE 0 END) AS s, count(*) AS n FROM l WHERE c IS NOT NULL GROUP BY ALL), q AS (SELECT recording_id, w, channel, n / sum(n) OVER (PARTITION BY recording_id, w, channel) AS p FROM h) SELECT recording_id, w, channel, round(-sum(p * log2(p)) / log2(6), 6) + 0.0 AS entropy FROM q GROUP BY ALL", "windowed"))
+@query("q11_permutation_entropy", sql(", l AS (SELECT recording_id, w, channel, v AS a, lead(v) OVER p AS b, lead(v, 2) OVER p AS c FROM windowed WINDOW p AS (PARTITION BY recording_id, w, channel ORDER BY k)), h AS (SELECT recording_id, w, channel, (CASE WHEN b < a THEN 4 ELSE 0 END) + (CASE WHEN c < a THEN 2 ELSE 0 END) + (CASE WHEN c < b THEN 1 ELSE 0 END) AS s, count(*) AS n FROM l WHERE c IS NOT NULL GROUP BY ALL), q AS (SELECT recording_id, w, channel, n / sum(n) OVER (PARTITION BY recording_id, w, channel) AS p FROM h) SELECT recording_id, w, channel, round(-sum(p * log2(p)) / log2(6), 6) + 0.0 AS entropy FROM q GROUP BY ALL", "windowed@own"))
 def _q11(spark, d):  # noqa: ANN001, ANN202
-    return _r(wn.permutation_entropy(windowed(spark, d), CH), CH, "entropy")
+    return _r(wn.permutation_entropy(channel_windows(spark, d), CH), CH, "entropy")
 
 
-@query("q13_rounded_entropy", sql(", h AS (SELECT recording_id, w, channel, round(v, 1) AS bin, count(*) AS n FROM windowed GROUP BY ALL), q AS (SELECT recording_id, w, channel, n / sum(n) OVER (PARTITION BY recording_id, w, channel) AS p FROM h) SELECT recording_id, w, channel, round(-sum(p * log2(p)), 6) + 0.0 AS entropy FROM q GROUP BY ALL", "windowed"))
+@query("q13_rounded_entropy", sql(", h AS (SELECT recording_id, w, channel, round(v, 1) AS bin, count(*) AS n FROM windowed GROUP BY ALL), q AS (SELECT recording_id, w, channel, n / sum(n) OVER (PARTITION BY recording_id, w, channel) AS p FROM h) SELECT recording_id, w, channel, round(-sum(p * log2(p)), 6) + 0.0 AS entropy FROM q GROUP BY ALL", "windowed@own"))
 def _q13(spark, d):  # noqa: ANN001, ANN202
-    return _r(wn.rounded_entropy(windowed(spark, d), CH), CH, "entropy")
+    return _r(wn.rounded_entropy(channel_windows(spark, d), CH), CH, "entropy")
 
 
-@query("q13_binned_entropy", sql(", b AS (SELECT recording_id, w, channel, CASE WHEN max(v) OVER p > min(v) OVER p THEN least(floor((v - min(v) OVER p) / (max(v) OVER p - min(v) OVER p) * 10), 9) ELSE 0 END AS b FROM windowed WINDOW p AS (PARTITION BY recording_id, w, channel)), h AS (SELECT recording_id, w, channel, b, count(*) AS n FROM b GROUP BY ALL), q AS (SELECT recording_id, w, channel, n / sum(n) OVER (PARTITION BY recording_id, w, channel) AS p FROM h) SELECT recording_id, w, channel, round(-sum(p * log2(p)) / log2(10), 6) + 0.0 AS entropy FROM q GROUP BY ALL", "windowed"))
+@query("q13_binned_entropy", sql(", b AS (SELECT recording_id, w, channel, CASE WHEN max(v) OVER p > min(v) OVER p THEN least(floor((v - min(v) OVER p) / (max(v) OVER p - min(v) OVER p) * 10), 9) ELSE 0 END AS b FROM windowed WINDOW p AS (PARTITION BY recording_id, w, channel)), h AS (SELECT recording_id, w, channel, b, count(*) AS n FROM b GROUP BY ALL), q AS (SELECT recording_id, w, channel, n / sum(n) OVER (PARTITION BY recording_id, w, channel) AS p FROM h) SELECT recording_id, w, channel, round(-sum(p * log2(p)) / log2(10), 6) + 0.0 AS entropy FROM q GROUP BY ALL", "windowed@own"))
 def _q13b(spark, d):  # noqa: ANN001, ANN202
-    return _r(wn.binned_entropy(windowed(spark, d), CH), CH, "entropy")
+    return _r(wn.binned_entropy(channel_windows(spark, d), CH), CH, "entropy")
 
 
-@query("q14_substring_diversity", sql(", b AS (SELECT recording_id, w, channel, k, CASE WHEN v >= avg(v) OVER (PARTITION BY recording_id, w, channel) THEN '1' ELSE '0' END AS s FROM windowed), t AS (SELECT recording_id, w, channel, string_agg(s, '' ORDER BY k) AS s FROM b GROUP BY ALL), x AS (SELECT DISTINCT recording_id, w, channel, s[CAST(i AS INTEGER):CAST(i + l - 1 AS INTEGER)] AS sub FROM t, range(1, 17) a(i), range(1, 5) c(l) WHERE i + l - 1 <= 16) SELECT recording_id, w, channel, round(count(*) / 16, 6) AS lzc FROM x GROUP BY ALL", "windowed"))
+@query("q14_substring_diversity", sql(", b AS (SELECT recording_id, w, channel, k, CASE WHEN v >= avg(v) OVER (PARTITION BY recording_id, w, channel) THEN '1' ELSE '0' END AS s FROM windowed), t AS (SELECT recording_id, w, channel, string_agg(s, '' ORDER BY k) AS s FROM b GROUP BY ALL), x AS (SELECT DISTINCT recording_id, w, channel, s[CAST(i AS INTEGER):CAST(i + l - 1 AS INTEGER)] AS sub FROM t, range(1, 17) a(i), range(1, 5) c(l) WHERE i + l - 1 <= 16) SELECT recording_id, w, channel, round(count(*) / 16, 6) AS lzc FROM x GROUP BY ALL", "windowed@own"))
 def _q14(spark, d):  # noqa: ANN001, ANN202
-    return _r(wn.substring_diversity(windowed(spark, d), CH), CH, "lzc")
+    return _r(wn.substring_diversity(channel_windows(spark, d), CH), CH, "lzc")
 
 
-_LEVEL_M = sql(", p AS (SELECT recording_id, w, channel, avg(v * v) AS power FROM windowed GROUP BY ALL), h AS (SELECT recording_id, w, channel, round(v, 1) AS bin, count(*) AS n FROM windowed GROUP BY ALL), e AS (SELECT recording_id, w, channel, -sum(n / 16 * log2(n / 16)) AS entropy FROM h GROUP BY ALL), j AS (SELECT *, abs(v - lag(v) OVER (PARTITION BY recording_id, w, channel ORDER BY k)) AS jump FROM windowed), a AS (SELECT recording_id, w, channel, least(1.0, avg(jump) / (stddev_pop(v) + 1e-6)) AS art FROM j GROUP BY ALL) SELECT recording_id, w, channel, round(power, 2) AS spectral_power_proxy, round(entropy, 5) + 0.0 AS entropy_proxy, round(art, 5) AS artifact_score, CASE WHEN art >= 0.9 THEN 'artifact' ELSE 'ok' END AS feature_status FROM p JOIN e USING (recording_id, w, channel) JOIN a USING (recording_id, w, channel)", "windowed")
+_LEVEL_M = sql(", p AS (SELECT recording_id, w, channel, avg(v * v) AS power FROM windowed GROUP BY ALL), h AS (SELECT recording_id, w, channel, round(v, 1) AS bin, count(*) AS n FROM windowed GROUP BY ALL), e AS (SELECT recording_id, w, channel, -sum(n / 16 * log2(n / 16)) AS entropy FROM h GROUP BY ALL), j AS (SELECT *, abs(v - lag(v) OVER (PARTITION BY recording_id, w, channel ORDER BY k)) AS jump FROM windowed), a AS (SELECT recording_id, w, channel, least(1.0, avg(jump) / (stddev_pop(v) + 1e-6)) AS art FROM j GROUP BY ALL) SELECT recording_id, w, channel, round(power, 2) AS spectral_power_proxy, round(entropy, 5) + 0.0 AS entropy_proxy, round(art, 5) AS artifact_score, CASE WHEN art >= 0.9 THEN 'artifact' ELSE 'ok' END AS feature_status FROM p JOIN e USING (recording_id, w, channel) JOIN a USING (recording_id, w, channel)", "windowed@own")
 
 
 @query("q15_level_m_features", _LEVEL_M)
 def _q15(spark, d):  # noqa: ANN001, ANN202
-    w = windowed(spark, d)
+    w = channel_windows(spark, d)
     out = wn.power(w, CH).join(wn.rounded_entropy(w, CH), CH).join(wn.artifact(w, CH), CH)
     return out.select(*CH, rounded(F.col("power"), 2).alias("spectral_power_proxy"), rounded(F.col("entropy"), 5).alias("entropy_proxy"), rounded(F.col("artifact_score"), 5).alias("artifact_score"), F.when(F.col("artifact_score") >= 0.9, "artifact").otherwise("ok").alias("feature_status"))
 

@@ -79,6 +79,7 @@ _TRIANGLE = ", ".join(str(t) for t in TRIANGLES)
 VIEWS = {
     "samples": "SELECT event_type AS recording_id, user_id % 8 AS channel, row_number() OVER (PARTITION BY event_type, user_id % 8 ORDER BY ts, event_id) - 1 AS n, value AS v FROM events",
     "windowed": "SELECT recording_id, w, channel, k, v FROM (SELECT recording_id, CAST(n // 16 AS INTEGER) AS w, channel, CAST(n % 16 AS INTEGER) AS k, v, count(*) OVER (PARTITION BY recording_id, n // 16) AS c FROM samples) WHERE c = 128",
+    "windowed@own": "SELECT recording_id, w, channel, k, v FROM (SELECT recording_id, CAST(n // 16 AS INTEGER) AS w, channel, CAST(n % 16 AS INTEGER) AS k, v, count(*) OVER (PARTITION BY recording_id, channel, n // 16) AS c FROM samples) WHERE c = 16",
     "phase": f"SELECT recording_id, w, channel, k, {_wrap('v')} AS theta, abs(v) AS amp FROM windowed",
     "field": f"SELECT CAST(t AS INTEGER) AS t, z, i, j, {_wrap('s')} AS theta, amp FROM (SELECT year(l_shipdate) AS t, l_linenumber AS z, l_partkey % 8 AS i, l_suppkey % 8 AS j, sum(l_quantity) AS s, avg(l_discount) * 4 AS amp FROM lineitem GROUP BY ALL)",
     "sensor": f"SELECT * FROM (VALUES {_SENSOR}) s(channel, x, y, region)",
@@ -87,11 +88,11 @@ VIEWS = {
     "qzt": "SELECT t, z, CAST(rint_q AS INTEGER) AS q, q_abs FROM (SELECT t, z, round_even(sum(q), 0) AS rint_q, sum(abs(q)) AS q_abs FROM plaquette GROUP BY t, z)",
     "winding": f"SELECT p0.recording_id, p0.w, p0.k, tri_id, ({_wrap('p1.theta - p0.theta')} + {_wrap('p2.theta - p1.theta')} + {_wrap('p0.theta - p2.theta')}) / (2 * pi()) AS winding, (abs({_wrap('p1.theta - p0.theta')}) + abs({_wrap('p2.theta - p1.theta')}) + abs({_wrap('p0.theta - p2.theta')})) / 3 AS gap, least(p0.amp, p1.amp, p2.amp) AS low FROM triangle JOIN phase p0 ON p0.channel = v0 JOIN phase p1 ON p1.channel = v1 AND p1.recording_id = p0.recording_id AND p1.w = p0.w AND p1.k = p0.k JOIN phase p2 ON p2.channel = v2 AND p2.recording_id = p0.recording_id AND p2.w = p0.w AND p2.k = p0.k",
 }
-_NEEDS = {"windowed": ["samples"], "phase": ["windowed"], "plaquette": ["field"], "qzt": ["plaquette"], "winding": ["triangle", "phase"]}
+_NEEDS = {"windowed": ["samples"], "windowed@own": ["samples"], "phase": ["windowed"], "plaquette": ["field"], "qzt": ["plaquette"], "winding": ["triangle", "phase"]}
 
 
 def sql(body: str, *views: str) -> str:
-    """A statement over the named views; body may begin with further CTEs, each ended by a comma, after 'AND WITH'."""
+    """A statement over the named views; body may begin with further CTEs, each ended by a comma, after 'AND WITH'. A name with @ is another form of the view before it."""
     order: list[str] = []
 
     def need(name: str) -> None:
@@ -102,5 +103,5 @@ def sql(body: str, *views: str) -> str:
 
     for v in views:
         need(v)
-    ctes = ", ".join(f"{v} AS ({VIEWS[v]})" for v in order)
+    ctes = ", ".join(f"{v.split('@')[0]} AS ({VIEWS[v]})" for v in order)
     return f"WITH {ctes} {body}" if ctes else body
