@@ -29,8 +29,8 @@ from phaseloom.llm.common import give_back, slices, table
 PRETOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes that a worker's caches of pieces take, about, and entries of its other caches, before the older half goes. They
 #: bound memory, not results, and are emptied at the end of each task.
-CACHE_BYTES = 40_000_000
-VERDICTS, EDGES = 150_000, 10_000
+CACHE_BYTES = 56_000_000
+VERDICTS, EDGES = 200_000, 10_000
 #: What a cached piece takes beside its characters and ids.
 ENTRY = 190
 
@@ -98,16 +98,23 @@ class BpeCodec:
         self.odd = re.compile(r" \s")
         self.breaks = regex.compile("|".join(regex.escape(s) for s in self.special)) if self.special else None
         self.first, self.later = _Pieces("", self, CACHE_BYTES // 8), _Pieces(" ", self, CACHE_BYTES * 7 // 8)
-        self.fits: dict[int, bool] = {}
+        self.fits: list[dict[int, bool]] = [{} for _ in self.bytes_of]  # by the later token, then the one before it
+        self.n_fits = 0
         self.edges: tuple[dict, dict] = ({}, {})
 
     def forget(self) -> None:
         """Empty the caches; the vocabulary's own tables stay."""
-        for cache in (self.fits, *self.edges):
+        self.forget_verdicts()
+        for cache in self.edges:
             cache.clear()
         self.first.forget()
         self.later.forget()
 
+    def forget_verdicts(self) -> None:
+        for verdicts in self.fits:
+            verdicts.clear()
+        self.n_fits = 0
+
     def edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """Tokens that stand at an edge of the token while it is merged together, each with the rank of the merge that ends it."""
         if token not in self.edges[side]:
@@ -129,8 +136,9 @@ class BpeCodec:
         Of equal ranks the left place merges first: a pair inside a comes before one across the seam, which comes before
         one inside b.
         """
-        if len(self.fits) >= VERDICTS:
-            self.fits.clear()
+        if self.n_fits >= VERDICTS:
+            self.forget_verdicts()
+        self.n_fits += 1
         rank, left, ok = self.rank.get, self.edge(b, 1), True
         for x, end_x in self.edge(a, 0):
             x <<= 32
@@ -141,30 +149,32 @@ class BpeCodec:
                     break
             if not ok:
                 break
-        self.fits[a << 32 | b] = ok
+        self.fits[b][a] = ok
         return ok
 
     def piece(self, text: str) -> array:
         """Ids of one pre-token."""
         raw = text if text.isascii() else text.encode().decode("latin-1")
-        fits, known = self.fits.get, -1
-        last, size_of = [-1] * (len(raw) + 1), [0] * (len(raw) + 1)  # by the place of a prefix's last byte
+        fits, known = self.fits, -1
+        last, size_of = [-1] * len(raw), [0] * len(raw)  # by the place of a prefix's last byte
         for end, (token, size) in self.tokens.iter(raw):
-            if end == known:
-                continue
-            if size <= end:
-                before = last[end - size]
-                if (ok := fits(before << 32 | token)) is None:
-                    ok = self.compatible(before, token)
-                if not ok:
-                    continue
-            last[end], size_of[end], known = token, size, end
-        out, at = array("i"), len(raw) - 1
+            if end != known:
+                if size <= end:
+                    before = last[end - size]
+                    ok = fits[token].get(before)
+                    if ok is None:
+                        ok = self.compatible(before, token)
+                    if not ok:
+                        continue
+                last[end] = token
+                size_of[end] = size
+                known = end
+        out, at = [], len(raw) - 1
         while at >= 0:
             out.append(last[at])
             at -= size_of[at]
         out.reverse()
-        return out
+        return array("i", out)
 
     def pieces(self, text: str) -> bytes:
         found = self.cut.findall(text)
