@@ -35,7 +35,7 @@ def test_assignment_is_optimal():
 def test_tracks(spark):
     pts = [("z", 0, "a", 0.0, 0.0), ("z", 1, "b", 1.0, 0.0), ("z", 2, "c", 2.0, 0.0), ("z", 3, "d", 20.0, 0.0)]
     p = spark.createDataFrame(pts, "z string, t int, id string, x double, y double")
-    got = {r.id: r.track for r in tk.tracks(p, tk.frame_links(p, ["z"], "t", 3.0), 8).collect()}
+    got = {r.id: r.track for r in tk.tracks(p, tk.frame_links(p, ["z"], "t", 3.0)).collect()}
     assert got == {"a": "a", "b": "a", "c": "a", "d": "d"}
 
 
@@ -50,3 +50,19 @@ def test_surrogates_keep_the_spectrum():
 def test_plugged_metric(spark):
     df = spark.createDataFrame([(1, k, float(k)) for k in range(4)], "w int, k int, v double")
     assert cl.plugged_metric(df, ["w"], "range").collect()[0].value == 3.0
+
+
+def test_assignment_is_made_before_the_limit(spark):
+    """With these distances the least total cost takes (a, c) and (b, d); only the first is within the limit."""
+    pts = [("z", 0, "a", 0.0, 0.0), ("z", 0, "b", 2.6, 0.0), ("z", 1, "c", 0.1, 0.0), ("z", 1, "d", -2.5, 0.0)]
+    p = spark.createDataFrame(pts, "z string, t int, id string, x double, y double")
+    links = [(r.id_from, r.id_to) for r in tk.frame_links(p, ["z"], "t", 3.0).collect()]
+    cost = [[0.1, 2.5], [2.5, 5.1]]
+    best = min(([(0, 0), (1, 1)], [(0, 1), (1, 0)]), key=lambda m: sum(cost[i][j] for i, j in m))
+    assert sorted(links) == sorted(("ab"[i], "cd"[j]) for i, j in best if cost[i][j] <= 3.0)
+
+
+def test_long_tracks(spark):
+    pts = [("z", t, f"p{t:03d}", float(t), 0.0) for t in range(150)]
+    p = spark.createDataFrame(pts, "z string, t int, id string, x double, y double")
+    assert {r.track for r in tk.tracks(p, tk.frame_links(p, ["z"], "t", 3.0)).collect()} == {"p000"}
