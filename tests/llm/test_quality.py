@@ -44,3 +44,39 @@ def test_rows(spark):
     rows = {(r.doc_id, r.n_words, r.base_failed, r.kept) for r in quality.quality(docs).collect()}
     assert rows == {(1, 0, True, False), (None, 0, True, False), (2, 40, True, False), (3, 40, False, True)}
     assert quality.quality(docs.limit(0)).count() == 0
+
+
+def brute_profile(text, window=8, least=4):
+    """All counts of a text by plain loops over its words and lines."""
+    words = [w for w in "".join(" " if c in " \t\n\x0b\x0c\r" else c for c in text).split(" ") if w]
+    n, repeats = len(words), brute(words)
+    inside, covered = [False] * n, [False] * n
+    for i in range(n):
+        if repeats[i] >= window:
+            inside[i : i + window] = [True] * window
+        if repeats[i] >= least:
+            covered[i : i + repeats[i]] = [True] * repeats[i]
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if line.strip(" \t\n\x0b\x0c\r"):
+            dup += line in seen
+            seen.add(line)
+    return {
+        "n_words": n, "word_chars": sum(map(len, words)), "n_symbols": sum(c in "[#*$%&|<>]"[1:-1] for c in text), "n_dup_lines": dup,
+        "n_repeat_words": sum(inside), "covered_words": sum(covered), "longest_repeat": max(repeats, default=0),
+    }
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "b", "é", "#x", "\n", "a b c d e f g h\n", "\t", "|"]), max_size=40).map(" ".join), max_size=4))
+def test_profile_against_loops(texts):
+    got = quality.profile(texts)
+    for k, text in enumerate(texts):
+        assert {f: int(v[k]) for f, v in got.items()} == brute_profile(text)
+
+
+def test_long_texts_and_ties(spark):
+    long = " ".join(f"w{i}" for i in range(300_000))
+    docs = spark.createDataFrame([(1, long, 1), (2, long + " " + long, 2), (2, "tie tie", 3), (2, "tie tie", 3)], "doc_id long, text string, n_words int")
+    got = sorted((r.doc_id, r.n_words, r.longest_repeat, r.kept) for r in quality.quality(docs).collect())
+    assert got == [(1, 300_000, 0, True), (2, 2, 1, False), (2, 2, 1, False), (2, 600_000, 300_000, False)]
