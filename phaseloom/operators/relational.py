@@ -146,3 +146,16 @@ def dealt_join(many: DataFrame, few: DataFrame, key: str, by: Column, ways: int
     """Inner join where a key may hold a large part of many: its rows are dealt to so many places, few is repeated for each."""
     left = many.withColumn("__place", F.pmod(F.xxhash64(by), F.lit(ways)).cast("int"))
     return left.join(few.withColumn("__place", F.explode(F.sequence(F.lit(0), F.lit(ways - 1)))), [key, "__place"]).drop("__place")
+
+
+def probe_epochs(events: DataFrame, key: str, t: str, is_probe: Column, is_sample: Column, row: str, value: str, least: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """Probes with an epoch, from the probe before (not included) to their own, of `least` at least; and (row, n, total) of the samples in each.
+
+    Every sample goes to the next probe of its key in one pass over both, so none meets more than one probe.
+    """
+    marked = events.withColumn("__probe", F.when(is_probe, F.col(row)))
+    ahead = W.partitionBy(key).orderBy(t, F.col("__probe").isNotNull(), row).rowsBetween(0, W.unboundedFollowing)
+    samples = marked.filter(is_probe | is_sample).withColumn("__next", F.first("__probe", ignorenulls=True).over(ahead)).filter(is_sample & F.col("__next").isNotNull())
+    held = samples.groupBy(F.col("__next").alias(row)).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+    probes = events.filter(is_probe).withColumn("__p", F.lag(t).over(W.partitionBy(key).orderBy(t, row))).filter((F.col("__p").isNotNull()) & (F.col(t) - F.col("__p") >= least)).drop("__p")
+    return probes, held

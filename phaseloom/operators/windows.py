@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,10 +45,24 @@ def trailing_drops(series: DataFrame, keys: list[str], order: str, x: str, lag:
 
 
 def refractory(hits: DataFrame, keys: list[str], order: str, gap: int = 3) -> DataFrame:
-    """(keys, order): hits that are at least gap after the last one kept; a fold over each key's sorted hits."""
-    folded = hits.groupBy(*keys).agg(F.array_sort(F.collect_list(F.col(order).cast("long"))).alias("at"))
-    keep = F.aggregate("at", F.array().cast("array<bigint>"), lambda acc, i: F.when((F.size(acc) == 0) | (i - F.element_at(acc, -1) >= gap), F.concat(acc, F.array(i))).otherwise(acc))
-    return folded.select(*keys, F.explode(keep).alias(order))
+    """(keys, order): hits that are at least gap after the last one kept.
+
+    A hit that lies gap or more after the one before it is kept whatever came before, so the hits fall into islands that
+    are worked on apart; one group is one island of hits in close succession.
+    """
+    at = W.partitionBy(*keys).orderBy(order)
+    fresh = F.coalesce((F.col(order) - F.lag(order).over(at) >= gap).cast("int"), F.lit(1))
+    h = hits.select(*keys, F.col(order).cast("long").alias(order)).withColumn("__fresh", fresh).withColumn("__island", F.sum("__fresh").over(at)).drop("__fresh")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, last, keep = pdf.sort_values(order), None, []
+        for i in pdf[order]:
+            keep.append(last is None or i - last >= gap)
+            last = i if keep[-1] else last
+        return pdf[keep][[*keys, order]]
+
+    types = dict(h.dtypes)
+    return h.groupBy(*keys, "__island").applyInPandas(run, ", ".join(f"{k} {types[k]}" for k in [*keys, order]))
 
 
 def scaled(df: DataFrame, col: str, keys: list[str] | None = None) -> Column:

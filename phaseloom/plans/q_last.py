@@ -9,6 +9,7 @@ from phaseloom.functions import exprs as x
 from phaseloom.operators import clusters as cl
 from phaseloom.operators import evaluation as ev
 from phaseloom.operators import field_topology as ft
+from phaseloom.operators import nulls as nl
 from phaseloom.operators import phase_metrics as pm
 from phaseloom.operators import relational as rel
 from phaseloom.operators import windows as wn
@@ -101,11 +102,7 @@ def _v9(spark, d):  # noqa: ANN001, ANN202
 
 @query("v10_embedding_spread", "WITH e AS (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT a.label, count(*) AS n_pairs, round(avg(list_distance(a.e, b.e)), 5) AS mean_distance FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY a.label")
 def _v10(spark, d):  # noqa: ANN001, ANN202
-    # mean distances need every pair of a label: labels are few and their vectors are compared within the label only
-    e = table(spark, d, "embeddings")
-    b = e.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("f"))
-    far = F.sqrt(F.aggregate(F.zip_with("embedding", "f", lambda p, q: p.cast("double") - q.cast("double")), F.lit(0.0), lambda s, v: s + v * v))
-    return e.join(b, "label").filter("vec_id < b").groupBy("label").agg(F.count("*").alias("n_pairs"), rounded(F.avg(far), 5).alias("mean_distance"))
+    return nl.mean_distance(table(spark, d, "embeddings"), "label", "vec_id", "embedding").select("label", "n_pairs", rounded(F.col("mean_distance"), 5).alias("mean_distance"))
 
 
 @query("g10_betti_numbers")

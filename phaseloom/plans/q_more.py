@@ -208,11 +208,9 @@ _PROBES = "pr AS (SELECT user_id, epoch(ts) AS t, lag(epoch(ts)) OVER (PARTITION
 @query("j16_probe_epochs", f"WITH {_PROBES} SELECT pr.user_id, round(pr.t, 3) AS probe_t, count(e.event_id) AS n, round(avg(e.value), 6) AS mean_v FROM pr LEFT JOIN events e ON e.user_id = pr.user_id AND e.event_type = 'click' AND epoch(e.ts) > pr.p AND epoch(e.ts) <= pr.t WHERE pr.p IS NOT NULL AND pr.t - pr.p >= 1 GROUP BY ALL")
 def _j16(spark, d):  # noqa: ANN001, ANN202
     e = table(spark, d, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
-    by = W.partitionBy("user_id").orderBy("ts", "event_id")
-    pr = e.filter("event_type = 'purchase'").select("user_id", F.col("t").alias("probe_t"), F.lag("t").over(by).alias("p")).filter("p is not null and probe_t - p >= 1")
-    c = e.filter("event_type = 'click'").select(F.col("user_id").alias("u"), "t", "value")
-    j = pr.join(c, (F.col("u") == F.col("user_id")) & (F.col("t") > F.col("p")) & (F.col("t") <= F.col("probe_t")), "left")
-    return j.groupBy("user_id", rounded(F.col("probe_t"), 3).alias("probe_t")).agg(F.count("t").alias("n"), rounded(F.avg("value")).alias("mean_v"))
+    pr, clicks = rel.probe_epochs(e, "user_id", "t", F.col("event_type") == "purchase", F.col("event_type") == "click", "event_id", "value")
+    out = pr.join(clicks, "event_id", "left").groupBy("user_id", rounded(F.col("t"), 3).alias("probe_t"))
+    return out.agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"), rounded(F.sum("total") / F.sum("n")).alias("mean_v"))
 
 
 @query("v7_metric_report", f"WITH {_COHORT}, u AS (SELECT 'total' AS metric, segment, value AS v FROM cohort UNION ALL SELECT 'cents', segment, value % 100 FROM cohort), g AS (SELECT metric, segment, count(*) AS n, avg(v) AS m, var_samp(v) AS s FROM u WHERE segment IN ('BUILDING', 'FURNITURE') GROUP BY ALL) SELECT a.metric, round(a.m - b.m, 4) AS difference, round((a.m - b.m) / (sqrt(((a.n - 1) * a.s + (b.n - 1) * b.s) / (a.n + b.n - 2)) + 1e-12), 6) AS d FROM g a JOIN g b USING (metric) WHERE a.segment = 'BUILDING' AND b.segment = 'FURNITURE'")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from phaseloom.functions import exprs as x
 from phaseloom.operators import contracts as ct
+from phaseloom.operators import relational as rel
 from phaseloom.operators import retrieval as rt
 from phaseloom.plans.views import rounded, table
 from phaseloom.sources.readers import checkpointed, shared_path
@@ -462,13 +462,7 @@ _ASOF_SQL = """probes AS (SELECT user_id, event_id, value AS rating, epoch(ts) A
 )
 def _j16(spark, d):  # noqa: ANN001, ANN202
     e = table(spark, d, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
-    # each click goes to the next probe of its user, found by one pass over both, so no click meets more than one probe
-    line = e.filter("event_type in ('purchase', 'click')").withColumn("probe", F.when(F.col("event_type") == "purchase", F.struct("event_id", "t", F.col("value").alias("rating"))))
-    ahead = W.partitionBy("user_id").orderBy("t", F.col("probe").isNotNull(), "event_id").rowsBetween(0, W.unboundedFollowing)
-    line = line.withColumn("next", F.first("probe", ignorenulls=True).over(ahead))
-    clicks = line.filter("event_type = 'click' and next is not null").groupBy(F.col("next.event_id").alias("event_id")).agg(F.count("*").alias("n"), rounded(F.avg("value")).alias("mean_v"))
-    before = F.lag("t").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-    pr = e.filter("event_type = 'purchase'").withColumn("p", before).filter("p is not null and t - p >= 1")
+    pr, clicks = rel.probe_epochs(e, "user_id", "t", F.col("event_type") == "purchase", F.col("event_type") == "click", "event_id", "value")
     group = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("group_"))
     out = pr.join(group, "user_id", "left").join(clicks, "event_id", "left")
-    return out.select("event_id", "group_", rounded(F.col("value")).alias("rating"), F.coalesce("n", F.lit(0)).alias("n"), "mean_v")
+    return out.select("event_id", "group_", rounded(F.col("value")).alias("rating"), F.coalesce("n", F.lit(0)).alias("n"), rounded(F.col("total") / F.col("n")).alias("mean_v"))

@@ -48,7 +48,18 @@ def _w4(spark, d):  # noqa: ANN001, ANN202
     return z.select("recording_id", "channel", "n", rounded(F.col("z"), 4).alias("z"))
 
 
-@query("w4_refractory_drops", None)
+@query(
+    "w4_refractory_drops",
+    sql(
+        """, t AS (SELECT recording_id, channel, n, v, avg(v) OVER b AS mu, stddev_pop(v) OVER b AS sigma, count(v) OVER b AS c FROM samples
+          WINDOW b AS (PARTITION BY recording_id, channel ORDER BY n ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)),
+        h AS (SELECT recording_id, channel, n FROM t WHERE c = 5 AND sigma > 1e-9 AND (mu - v) / sigma > 2),
+        nxt AS (SELECT a.recording_id, a.channel, a.n, min(b.n) AS m FROM h a LEFT JOIN h b ON b.recording_id = a.recording_id AND b.channel = a.channel AND b.n >= a.n + 3 GROUP BY ALL),
+        kept AS (SELECT * FROM (WITH RECURSIVE k AS (SELECT recording_id, channel, min(n) AS n FROM h GROUP BY ALL UNION ALL SELECT nxt.recording_id, nxt.channel, nxt.m FROM k JOIN nxt USING (recording_id, channel, n) WHERE nxt.m IS NOT NULL) SELECT * FROM k))
+        SELECT recording_id, channel, n FROM kept""",
+        "samples",
+    ),
+)
 def _w4b(spark, d):  # noqa: ANN001, ANN202
     return wn.refractory(wn.trailing_drops(samples(spark, d), ["recording_id", "channel"], "n", "v", z=2.0), ["recording_id", "channel"], "n")
 
