@@ -28,7 +28,11 @@ def _v1(spark, d):  # noqa: ANN001, ANN202
     return sg.time_reverse(channel_windows(spark, d), KEY).select(*KEY, "channel", "k", "v")
 
 
-@query("v1_channel_shuffle", sql(", n AS (SELECT recording_id, w, channel, row_number() OVER (PARTITION BY recording_id, w ORDER BY sha256('s1|' || recording_id || '|' || w || '|' || channel)) - 1 AS new FROM (SELECT DISTINCT recording_id, w, channel FROM windowed)) SELECT recording_id, w, new AS channel, k, v FROM windowed JOIN n USING (recording_id, w, channel)", "windowed"))
+@query("v1_channel_shuffle", sql(
+        ", n AS (SELECT recording_id, w, channel, row_number() OVER (PARTITION BY recording_id, w ORDER BY sha256('s1|' || recording_id || '|' || w || '|' || "
+        "channel)) - 1 AS new FROM (SELECT DISTINCT recording_id, w, channel FROM windowed)) SELECT recording_id, w, new AS channel, k, v FROM windowed JOIN n "
+        "USING (recording_id, w, channel)"
+    , "windowed"))
 def _v1b(spark, d):  # noqa: ANN001, ANN202
     return sg.channel_shuffle(windowed(spark, d), KEY, "s1").select(*KEY, "channel", "k", "v")
 

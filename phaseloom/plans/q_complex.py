@@ -111,7 +111,10 @@ def _c5(spark, d):  # noqa: ANN001, ANN202
 @query(
     "c6_connectivity_row",
     sql(
-        ", p AS (SELECT a.recording_id, a.w, a.channel AS a, b.channel AS b, avg(cos(b.theta - a.theta)) AS c, avg(sin(b.theta - a.theta)) AS s, abs(avg(sign(sin(b.theta - a.theta)))) AS pli, avg(abs(sin(b.theta - a.theta))) AS m" + _PAIR + ")" + _CORR
+
+                ", p AS (SELECT a.recording_id, a.w, a.channel AS a, b.channel AS b, avg(cos(b.theta - a.theta)) AS c, avg(sin(b.theta - a.theta)) AS s, "
+                "abs(avg(sign(sin(b.theta - a.theta)))) AS pli, avg(abs(sin(b.theta - a.theta))) AS m"
+ + _PAIR + ")" + _CORR
         + """, q AS (SELECT recording_id, w, count(*) AS n_pairs, avg(sqrt(c * c + s * s)) AS plv, avg(pli) AS pli, avg(CASE WHEN m = 0 THEN 0.0 ELSE abs(s) / m END) AS wpli, count(*) FILTER (WHERE sqrt(c * c + s * s) > 0.5) AS n_locked FROM p GROUP BY ALL),
         r AS (SELECT recording_id, w, avg(abs(r)) AS r, count(*) FILTER (WHERE abs(r) * sqrt(14 / nullif(1 - r * r, 0)) > 2.144787) AS n_correlated FROM e GROUP BY ALL)
         SELECT recording_id, w, n_pairs, round(plv, 6) AS mean_plv, round(pli, 6) AS mean_pli, round(wpli, 6) AS mean_wpli, n_locked, round(r, 6) AS mean_abs_r, n_correlated FROM q JOIN r USING (recording_id, w)""",
@@ -195,7 +198,10 @@ _J10 = """lines AS (SELECT l_orderkey AS tri_id, n_regionkey AS label, n_nationk
   whole AS (SELECT tri_id, bool_or(unlabelled) AS lost FROM lines GROUP BY ALL HAVING count(*) = 3), votes AS (SELECT tri_id, label, count(*) AS n FROM lines GROUP BY ALL)"""
 
 
-@query("j10_order_triangles", f"WITH {_J10} SELECT w.tri_id, CASE WHEN NOT lost THEN max(CASE WHEN n >= 2 THEN label END) END AS region FROM whole w JOIN votes v ON v.tri_id = w.tri_id GROUP BY w.tri_id, lost")
+@query("j10_order_triangles",
+        f"WITH {_J10} SELECT w.tri_id, CASE WHEN NOT lost THEN max(CASE WHEN n >= 2 THEN label END) END AS region FROM whole w JOIN votes v ON v.tri_id = "
+        f"w.tri_id GROUP BY w.tri_id, lost"
+    )
 def _j10(spark, d):  # noqa: ANN001, ANN202
     s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), F.when(F.col("n_nationkey") % 7 != 0, F.col("n_regionkey")).alias("label"))
     corners = table(spark, d, "lineitem").filter("l_linenumber <= 3").select(F.col("l_orderkey").alias("tri_id"), "l_suppkey").join(s, "l_suppkey")
@@ -204,7 +210,10 @@ def _j10(spark, d):  # noqa: ANN001, ANN202
 
 @query(
     "n5_unassigned",
-    sql(_TR.replace("ELSE 'right' END", "WHEN count(*) FILTER (WHERE region = 'right' AND channel <> 7) >= 2 THEN 'right' END").replace("FROM (SELECT tri_id", "FROM (SELECT tri_id") + " SELECT recording_id, w, coalesce(region, 'unassigned') AS region, count(*) AS n, round(sum(winding), 6) + 0.0 AS net, round(sum(abs(winding)), 6) AS absolute FROM winding JOIN tr USING (tri_id) GROUP BY ALL", "winding", "sensor"),
+    sql(_TR.replace("ELSE 'right' END", "WHEN count(*) FILTER (WHERE region = 'right' AND channel <> 7) >= 2 THEN 'right' END").replace("FROM (SELECT tri_id", "FROM (SELECT tri_id") +
+            " SELECT recording_id, w, coalesce(region, 'unassigned') AS region, count(*) AS n, round(sum(winding), 6) + 0.0 AS net, round(sum(abs(winding)), 6) AS "
+            "absolute FROM winding JOIN tr USING (tri_id) GROUP BY ALL"
+        , "winding", "sensor"),
 )
 def _n5(spark, d):  # noqa: ANN001, ANN202
     corners = triangle(spark).select("tri_id", F.explode(F.array("v0", "v1", "v2")).alias("channel")).join(sensor(spark), "channel").withColumn("region", F.when((F.col("channel") != 7) | (F.col("region") == "left"), F.col("region")))

@@ -34,7 +34,11 @@ def _scored(spark, d):  # noqa: ANN001, ANN202
 _AUC = "(SELECT CASE WHEN count(*) FILTER (WHERE y = 1) = 0 OR count(*) FILTER (WHERE y = 0) = 0 THEN 0.5 END FROM s)"
 
 
-@query("m1_auc", f"WITH {_SCORED} SELECT p.source, round(CASE WHEN n IS NULL THEN 0.5 ELSE won / n END, 6) AS auc FROM (SELECT DISTINCT source FROM scored) p LEFT JOIN (SELECT a.source, sum(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0.0 END) AS won, count(*) AS n FROM scored a JOIN scored b ON a.source = b.source WHERE a.y = 1 AND b.y = 0 GROUP BY a.source) q USING (source)")
+@query("m1_auc",
+        f"WITH {_SCORED} SELECT p.source, round(CASE WHEN n IS NULL THEN 0.5 ELSE won / n END, 6) AS auc FROM (SELECT DISTINCT source FROM scored) p LEFT JOIN "
+        f"(SELECT a.source, sum(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0.0 END) AS won, count(*) AS n FROM scored a JOIN "
+        f"scored b ON a.source = b.source WHERE a.y = 1 AND b.y = 0 GROUP BY a.source) q USING (source)"
+    )
 def _m1(spark, d):  # noqa: ANN001, ANN202
     return ev.auc(_scored(spark, d), ["source"]).select("source", rounded(F.col("auc")).alias("auc"))
 
@@ -44,12 +48,19 @@ def _m2(spark, d):  # noqa: ANN001, ANN202
     return _scored(spark, d).groupBy("source").agg(rounded(ev.brier(F.col("score"), F.col("y"))).alias("brier"))
 
 
-@query("m3_ece", f"WITH {_SCORED}, b AS (SELECT source, least(floor(score * 5), 4) AS bin, count(*) AS n, avg(score) AS conf, avg(y) AS acc FROM scored GROUP BY ALL) SELECT source, round(sum(n * abs(conf - acc)) / sum(n), 6) AS ece FROM b GROUP BY source")
+@query("m3_ece",
+        f"WITH {_SCORED}, b AS (SELECT source, least(floor(score * 5), 4) AS bin, count(*) AS n, avg(score) AS conf, avg(y) AS acc FROM scored GROUP BY ALL) "
+        f"SELECT source, round(sum(n * abs(conf - acc)) / sum(n), 6) AS ece FROM b GROUP BY source"
+    )
 def _m3(spark, d):  # noqa: ANN001, ANN202
     return ev.ece(_scored(spark, d), ["source"]).select("source", rounded(F.col("ece")).alias("ece"))
 
 
-_PART_FEATURES = "f AS (SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_size / 50 END AS a, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_retailprice / 2000 END AS b, p_partkey % 13 / 10 AS art, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE p_partkey % 17 / 12 END AS q_abs, p_partkey % 3 / 4 AS f_dress FROM part)"
+_PART_FEATURES = (
+        "f AS (SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_size / 50 END AS a, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_retailprice / 2000 "
+        "END AS b, p_partkey % 13 / 10 AS art, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE p_partkey % 17 / 12 END AS q_abs, p_partkey % 3 / 4 AS f_dress FROM "
+        "part)"
+)
 
 
 def _features(spark, d):  # noqa: ANN001, ANN202
@@ -58,13 +69,22 @@ def _features(spark, d):  # noqa: ANN001, ANN202
     return p.select("p_partkey", F.when(c("p_size") % 7 == 0, None).otherwise(c("p_size") / 50).alias("a"), F.when(c("p_size") % 5 == 0, None).otherwise(c("p_retailprice") / 2000).alias("b"), (c("p_partkey") % 13 / 10).alias("art"), F.when(c("p_partkey") % 11 == 0, None).otherwise(c("p_partkey") % 17 / 12).alias("q_abs"), (c("p_partkey") % 3 / 4).alias("f_dress"))
 
 
-@query("m4_scores", f"WITH {_PART_FEATURES}, m AS (SELECT *, greatest(0, least(1, coalesce((coalesce(a, 0) + coalesce(b, 0)) / nullif((a IS NOT NULL)::INT + (b IS NOT NULL)::INT, 0), 0.5) * (1 - least(art, 1) * 0.3))) AS m FROM f) SELECT p_partkey, round(m, 9) AS m_score, round(greatest(0, least(1, m * 0.6 + 0.4 * (CASE WHEN q_abs IS NULL THEN 0 ELSE least(q_abs, 1) END + least(f_dress, 1)) / (1 + (q_abs IS NOT NULL)::INT))), 9) AS mt_score FROM m")
+@query("m4_scores",
+        f"WITH {_PART_FEATURES}, m AS (SELECT *, greatest(0, least(1, coalesce((coalesce(a, 0) + coalesce(b, 0)) / nullif((a IS NOT NULL)::INT + (b IS NOT "
+        f"NULL)::INT, 0), 0.5) * (1 - least(art, 1) * 0.3))) AS m FROM f) SELECT p_partkey, round(m, 9) AS m_score, round(greatest(0, least(1, m * 0.6 + 0.4 * "
+        f"(CASE WHEN q_abs IS NULL THEN 0 ELSE least(q_abs, 1) END + least(f_dress, 1)) / (1 + (q_abs IS NOT NULL)::INT))), 9) AS mt_score FROM m"
+    )
 def _m4(spark, d):  # noqa: ANN001, ANN202
     m = _features(spark, d).withColumn("m", ev.m_score([F.col("a"), F.col("b")], F.col("art")))
     return m.select("p_partkey", rounded(F.col("m"), 9).alias("m_score"), rounded(ev.mt_score(F.col("m"), F.col("q_abs"), F.col("f_dress"), F.lit(None).cast("double")), 9).alias("mt_score"))
 
 
-@query("m5_metrics", f"WITH {_SCORED}, v AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN score ELSE score * 0.6 + 0.2 END AS mt FROM scored), w AS (SELECT source, count(*) AS n, count(DISTINCT y) AS classes, avg(power(score - y, 2)) AS bm, avg(power(mt - y, 2)) AS bt FROM v GROUP BY source) SELECT source, n AS n_rows, CASE WHEN classes = 2 THEN 'ok' ELSE 'blocked: insufficient class variation' END AS state, CASE WHEN classes = 2 THEN round(bm, 6) END AS brier_m, CASE WHEN classes = 2 THEN round(bt, 6) END AS brier_mt FROM w")
+@query("m5_metrics",
+        f"WITH {_SCORED}, v AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN score ELSE score * 0.6 + 0.2 END AS mt FROM scored), w AS (SELECT source, count(*) AS "
+        f"n, count(DISTINCT y) AS classes, avg(power(score - y, 2)) AS bm, avg(power(mt - y, 2)) AS bt FROM v GROUP BY source) SELECT source, n AS n_rows, CASE "
+        f"WHEN classes = 2 THEN 'ok' ELSE 'blocked: insufficient class variation' END AS state, CASE WHEN classes = 2 THEN round(bm, 6) END AS brier_m, CASE "
+        f"WHEN classes = 2 THEN round(bt, 6) END AS brier_mt FROM w"
+    )
 def _m5(spark, d):  # noqa: ANN001, ANN202
     v = _scored(spark, d).withColumn("mt", F.when(F.col("doc_id") % 2 == 0, F.col("score")).otherwise(F.col("score") * 0.6 + 0.2))
     w = v.groupBy("source").agg(F.count("*").alias("n_rows"), F.countDistinct("y").alias("classes"), ev.brier(F.col("score"), F.col("y")).alias("bm"), ev.brier(F.col("mt"), F.col("y")).alias("bt"))
@@ -72,7 +92,12 @@ def _m5(spark, d):  # noqa: ANN001, ANN202
     return w.select("source", "n_rows", F.when(both, "ok").otherwise("blocked: insufficient class variation").alias("state"), F.when(both, rounded(F.col("bm"))).alias("brier_m"), F.when(both, rounded(F.col("bt"))).alias("brier_mt"))
 
 
-@query("m6_ablations", f"WITH {_SCORED}, a AS (SELECT * FROM (VALUES ('full', 1.0, 0.0), ('half', 0.5, 0.25), ('flat', 0.0, 0.5)) t(ablation, k, c)), s AS (SELECT ablation, score * CAST(k AS DOUBLE) + CAST(c AS DOUBLE) AS score, y FROM scored, a) SELECT ablation, count(*) AS n, round(avg(power(score - y, 2)), 6) AS brier, round((SELECT sum(CASE WHEN p.score > q.score THEN 1.0 WHEN p.score = q.score THEN 0.5 ELSE 0.0 END) / count(*) FROM s p, s q WHERE p.y = 1 AND q.y = 0 AND p.ablation = s.ablation AND q.ablation = s.ablation), 6) AS auc FROM s GROUP BY ablation")
+@query("m6_ablations",
+        f"WITH {_SCORED}, a AS (SELECT * FROM (VALUES ('full', 1.0, 0.0), ('half', 0.5, 0.25), ('flat', 0.0, 0.5)) t(ablation, k, c)), s AS (SELECT ablation, "
+        f"score * CAST(k AS DOUBLE) + CAST(c AS DOUBLE) AS score, y FROM scored, a) SELECT ablation, count(*) AS n, round(avg(power(score - y, 2)), 6) AS "
+        f"brier, round((SELECT sum(CASE WHEN p.score > q.score THEN 1.0 WHEN p.score = q.score THEN 0.5 ELSE 0.0 END) / count(*) FROM s p, s q WHERE p.y = 1 "
+        f"AND q.y = 0 AND p.ablation = s.ablation AND q.ablation = s.ablation), 6) AS auc FROM s GROUP BY ablation"
+    )
 def _m6(spark, d):  # noqa: ANN001, ANN202
     a = spark.createDataFrame([("full", 1.0, 0.0), ("half", 0.5, 0.25), ("flat", 0.0, 0.5)], "ablation string, k double, c double")
     s = _scored(spark, d).crossJoin(F.broadcast(a)).withColumn("score", F.col("score") * F.col("k") + F.col("c"))
@@ -80,7 +105,11 @@ def _m6(spark, d):  # noqa: ANN001, ANN202
     return b.join(ev.auc(s, ["ablation"]).select("ablation", rounded(F.col("auc")).alias("auc")), "ablation")
 
 
-@query("m7_reversed_null", f"WITH {_SCORED}, r AS (SELECT source, score, y, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS j FROM scored), n AS (SELECT a.source, a.score, b.y FROM r a JOIN r b ON a.source = b.source AND a.i = b.j) SELECT source, round(avg(power(score - y, 2)), 6) AS null_brier FROM n GROUP BY source")
+@query("m7_reversed_null",
+        f"WITH {_SCORED}, r AS (SELECT source, score, y, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i, row_number() OVER (PARTITION BY source "
+        f"ORDER BY doc_id DESC) AS j FROM scored), n AS (SELECT a.source, a.score, b.y FROM r a JOIN r b ON a.source = b.source AND a.i = b.j) SELECT source, "
+        f"round(avg(power(score - y, 2)), 6) AS null_brier FROM n GROUP BY source"
+    )
 def _m7(spark, d):  # noqa: ANN001, ANN202
     by = W.partitionBy("source")
     r = _scored(spark, d).withColumn("i", F.row_number().over(by.orderBy("doc_id"))).withColumn("j", F.row_number().over(by.orderBy(F.desc("doc_id"))))
@@ -88,7 +117,10 @@ def _m7(spark, d):  # noqa: ANN001, ANN202
     return n.groupBy("source").agg(rounded(ev.brier(F.col("score"), F.col("y"))).alias("null_brier"))
 
 
-@query("m9_contrasts", f"WITH {_SCORED}, c AS (SELECT * FROM (VALUES ('even', 0), ('odd', 1)) t(contrast, bit)) SELECT contrast, source, count(*) AS n, round(avg(power(score - y, 2)), 6) AS brier, round(avg(y), 6) AS base_rate FROM scored JOIN c ON doc_id % 2 = bit GROUP BY ALL")
+@query("m9_contrasts",
+        f"WITH {_SCORED}, c AS (SELECT * FROM (VALUES ('even', 0), ('odd', 1)) t(contrast, bit)) SELECT contrast, source, count(*) AS n, round(avg(power(score "
+        f"- y, 2)), 6) AS brier, round(avg(y), 6) AS base_rate FROM scored JOIN c ON doc_id % 2 = bit GROUP BY ALL"
+    )
 def _m9(spark, d):  # noqa: ANN001, ANN202
     c = spark.createDataFrame([("even", 0), ("odd", 1)], "contrast string, bit int")
     s = _scored(spark, d).withColumn("bit", (F.col("doc_id") % 2).cast("int")).join(F.broadcast(c), "bit")
@@ -116,17 +148,26 @@ def _a3(spark, d):  # noqa: ANN001, ANN202
 _METRICS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
-@query("a4_metric_summary", "WITH u AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, l_returnflag AS flag, {m} AS v FROM lineitem" for m in _METRICS) + ") SELECT metric, flag, count(*) AS n, round(avg(v), 4) AS mean_v, round(stddev_pop(v), 4) AS std_v, min(v) AS min_v, max(v) AS max_v FROM u GROUP BY ALL")
+@query("a4_metric_summary", "WITH u AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, l_returnflag AS flag, {m} AS v FROM lineitem" for m in _METRICS) +
+        ") SELECT metric, flag, count(*) AS n, round(avg(v), 4) AS mean_v, round(stddev_pop(v), 4) AS std_v, min(v) AS min_v, max(v) AS max_v FROM u GROUP BY "
+        "ALL"
+    )
 def _a4(spark, d):  # noqa: ANN001, ANN202
     return rel.metric_summary(table(spark, d, "lineitem"), ["l_returnflag"], _METRICS).withColumnRenamed("l_returnflag", "flag").select("metric", "flag", "n", rounded(F.col("mean_v"), 4).alias("mean_v"), rounded(F.col("std_v"), 4).alias("std_v"), "min_v", "max_v")
 
 
-@query("a5_leakage_report", f"WITH {_COHORT} SELECT status, count(*) AS n_rows, count(DISTINCT subject) AS n_subjects, count(*) = count(DISTINCT o_orderkey) AS unique_rows FROM cohort GROUP BY status")
+@query("a5_leakage_report",
+        f"WITH {_COHORT} SELECT status, count(*) AS n_rows, count(DISTINCT subject) AS n_subjects, count(*) = count(DISTINCT o_orderkey) AS unique_rows FROM "
+        f"cohort GROUP BY status"
+    )
 def _a5(spark, d):  # noqa: ANN001, ANN202
     return _cohort(spark, d).groupBy("status").agg(F.count("*").alias("n_rows"), F.countDistinct("subject").alias("n_subjects"), (F.count("*") == F.countDistinct("o_orderkey")).alias("unique_rows"))
 
 
-@query("a6_quality_report", "SELECT l_shipdate::DATE AS day, count(*) AS n, round(avg(l_discount), 6) AS mean_score, max(l_discount) AS max_score, count(*) FILTER (WHERE l_discount >= 0.08) AS n_high, count(*) FILTER (WHERE l_discount >= 0.08) > 0.5 * count(*) AS dominated FROM lineitem GROUP BY ALL")
+@query("a6_quality_report",
+        "SELECT l_shipdate::DATE AS day, count(*) AS n, round(avg(l_discount), 6) AS mean_score, max(l_discount) AS max_score, count(*) FILTER (WHERE "
+        "l_discount >= 0.08) AS n_high, count(*) FILTER (WHERE l_discount >= 0.08) > 0.5 * count(*) AS dominated FROM lineitem GROUP BY ALL"
+    )
 def _a6(spark, d):  # noqa: ANN001, ANN202
     high = F.count_if(F.col("l_discount") >= 0.08)
     return table(spark, d, "lineitem").groupBy(F.to_date("l_shipdate").alias("day")).agg(F.count("*").alias("n"), rounded(F.avg("l_discount")).alias("mean_score"), F.max("l_discount").alias("max_score"), high.alias("n_high"), (high > 0.5 * F.count("*")).alias("dominated"))
@@ -135,7 +176,10 @@ def _a6(spark, d):  # noqa: ANN001, ANN202
 _PROFILE = ["lang", "source", "doc_id"]
 
 
-@query("a7_column_profile", "WITH u AS (" + " UNION ALL ".join(f"SELECT '{c}' AS col, CAST({c} AS VARCHAR) AS v FROM documents" for c in _PROFILE) + ") SELECT col, count(*) AS n, count(*) FILTER (WHERE trim(v) <> '') AS n_filled, count(DISTINCT v) AS n_distinct, CASE WHEN count(DISTINCT v) = 2 THEN 'binary' WHEN count(DISTINCT v) <= 20 THEN 'categorical' ELSE 'free' END AS kind FROM u GROUP BY col")
+@query("a7_column_profile", "WITH u AS (" + " UNION ALL ".join(f"SELECT '{c}' AS col, CAST({c} AS VARCHAR) AS v FROM documents" for c in _PROFILE) +
+        ") SELECT col, count(*) AS n, count(*) FILTER (WHERE trim(v) <> '') AS n_filled, count(DISTINCT v) AS n_distinct, CASE WHEN count(DISTINCT v) = 2 THEN "
+        "'binary' WHEN count(DISTINCT v) <= 20 THEN 'categorical' ELSE 'free' END AS kind FROM u GROUP BY col"
+    )
 def _a7(spark, d):  # noqa: ANN001, ANN202
     return rel.column_profile(table(spark, d, "documents"), _PROFILE)
 
@@ -160,35 +204,58 @@ def _a9(spark, d, replicates=2_000):  # noqa: ANN001, ANN202
     return b.select("c_mktsegment", rounded(F.col("lo"), 4).alias("lo"), rounded(F.col("hi"), 4).alias("hi"))
 
 
-@query("a10_cohens_d", f"WITH {_COHORT}, g AS (SELECT status, segment, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM cohort WHERE segment IN ('BUILDING', 'FURNITURE') GROUP BY ALL) SELECT a.status, round((a.m - b.m) / (sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2)) + 1e-12), 6) AS d FROM g a JOIN g b USING (status) WHERE a.segment = 'BUILDING' AND b.segment = 'FURNITURE'")
+@query("a10_cohens_d",
+        f"WITH {_COHORT}, g AS (SELECT status, segment, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM cohort WHERE segment IN ('BUILDING', "
+        f"'FURNITURE') GROUP BY ALL) SELECT a.status, round((a.m - b.m) / (sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2)) + 1e-12), 6) AS d FROM g "
+        f"a JOIN g b USING (status) WHERE a.segment = 'BUILDING' AND b.segment = 'FURNITURE'"
+    )
 def _a10(spark, d):  # noqa: ANN001, ANN202
     return ev.cohens_d(_cohort(spark, d), ["status"], "value", "segment", "BUILDING", "FURNITURE").select("status", rounded(F.col("d")).alias("d"))
 
 
-@query("a11_anova", f"WITH {_COHORT}, g AS (SELECT status, segment, count(*) AS n, avg(value) AS m, var_pop(value) AS v FROM cohort GROUP BY ALL), h AS (SELECT *, sum(n * m) OVER (PARTITION BY status) / sum(n) OVER (PARTITION BY status) AS g FROM g), s AS (SELECT status, sum(n * power(m - g, 2)) AS b, sum(n * v) AS w, count(*) AS k, CAST(sum(n) AS BIGINT) AS n FROM h GROUP BY status) SELECT status, round((b / (k - 1)) / (w / (n - k)), 5) AS f, round(b / (b + w), 6) AS eta_squared, k AS n_groups, n FROM s")
+@query("a11_anova",
+        f"WITH {_COHORT}, g AS (SELECT status, segment, count(*) AS n, avg(value) AS m, var_pop(value) AS v FROM cohort GROUP BY ALL), h AS (SELECT *, sum(n * "
+        f"m) OVER (PARTITION BY status) / sum(n) OVER (PARTITION BY status) AS g FROM g), s AS (SELECT status, sum(n * power(m - g, 2)) AS b, sum(n * v) AS w, "
+        f"count(*) AS k, CAST(sum(n) AS BIGINT) AS n FROM h GROUP BY status) SELECT status, round((b / (k - 1)) / (w / (n - k)), 5) AS f, round(b / (b + w), 6) "
+        f"AS eta_squared, k AS n_groups, n FROM s"
+    )
 def _a11(spark, d):  # noqa: ANN001, ANN202
     return ev.anova(_cohort(spark, d), ["status"], "value", "segment").select("status", rounded(F.col("f"), 5).alias("f"), rounded(F.col("eta_squared")).alias("eta_squared"), "n_groups", "n")
 
 
-@query("a12_pivot", "SELECT l_returnflag AS flag, round(sum(l_quantity) FILTER (WHERE l_linestatus = 'O'), 4) AS o, round(sum(l_quantity) FILTER (WHERE l_linestatus = 'F'), 4) AS f FROM lineitem GROUP BY ALL")
+@query("a12_pivot",
+        "SELECT l_returnflag AS flag, round(sum(l_quantity) FILTER (WHERE l_linestatus = 'O'), 4) AS o, round(sum(l_quantity) FILTER (WHERE l_linestatus = "
+        "'F'), 4) AS f FROM lineitem GROUP BY ALL"
+    )
 def _a12(spark, d):  # noqa: ANN001, ANN202
     p = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).pivot("l_linestatus", ["O", "F"]).agg(rounded(F.sum("l_quantity"), 4))
     return p.withColumnsRenamed({"O": "o", "F": "f"})
 
 
-@query("a13_condition_counts", "SELECT source, count(*) AS n_seen, count(*) FILTER (WHERE n_chars >= 200) AS n_included, count(*) FILTER (WHERE n_chars < 200) AS n_withheld, count(*) FILTER (WHERE text LIKE '%***%') AS n_quarantined FROM documents GROUP BY source")
+@query("a13_condition_counts",
+        "SELECT source, count(*) AS n_seen, count(*) FILTER (WHERE n_chars >= 200) AS n_included, count(*) FILTER (WHERE n_chars < 200) AS n_withheld, "
+        "count(*) FILTER (WHERE text LIKE '%***%') AS n_quarantined FROM documents GROUP BY source"
+    )
 def _a13(spark, d):  # noqa: ANN001, ANN202
     return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n_seen"), F.count_if(F.col("n_chars") >= 200).alias("n_included"), F.count_if(F.col("n_chars") < 200).alias("n_withheld"), F.count_if(F.contains("text", F.lit("***"))).alias("n_quarantined"))
 
 
-@query("a14_priority_action", "WITH p AS (SELECT * FROM (VALUES ('1-URGENT', 1), ('2-HIGH', 2), ('3-MEDIUM', 3), ('4-NOT SPECIFIED', 4), ('5-LOW', 5)) t(action, priority)), a AS (SELECT o_custkey AS subject, o_orderpriority AS action, coalesce(priority, 9) AS priority FROM orders LEFT JOIN p ON action = o_orderpriority) SELECT subject, count(*) AS n, min(CAST(priority AS VARCHAR) || ' ' || action) AS first_action FROM a GROUP BY subject")
+@query("a14_priority_action",
+        "WITH p AS (SELECT * FROM (VALUES ('1-URGENT', 1), ('2-HIGH', 2), ('3-MEDIUM', 3), ('4-NOT SPECIFIED', 4), ('5-LOW', 5)) t(action, priority)), a AS "
+        "(SELECT o_custkey AS subject, o_orderpriority AS action, coalesce(priority, 9) AS priority FROM orders LEFT JOIN p ON action = o_orderpriority) "
+        "SELECT subject, count(*) AS n, min(CAST(priority AS VARCHAR) || ' ' || action) AS first_action FROM a GROUP BY subject"
+    )
 def _a14(spark, d):  # noqa: ANN001, ANN202
     p = spark.createDataFrame([("1-URGENT", 1), ("2-HIGH", 2), ("3-MEDIUM", 3), ("4-NOT SPECIFIED", 4), ("5-LOW", 5)], "action string, priority int")
     a = table(spark, d, "orders").select(F.col("o_custkey").alias("subject"), F.col("o_orderpriority").alias("action")).join(F.broadcast(p), "action", "left").withColumn("priority", F.coalesce("priority", F.lit(9)))
     return a.groupBy("subject").agg(F.count("*").alias("n"), F.min_by(F.concat_ws(" ", F.col("priority").cast("string"), "action"), F.struct("priority", "action")).alias("first_action"))
 
 
-@query("a17_duplicate_groups", "WITH k AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'n:' || p_brand || '|' || p_size ELSE 'd:' || p_type || '|' || p_size END AS key FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY p_partkey) AS r, first(p_partkey) OVER (PARTITION BY key ORDER BY p_partkey) AS kept FROM k) SELECT p_partkey, kept, r > 1 AS duplicate FROM r")
+@query("a17_duplicate_groups",
+        "WITH k AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'n:' || p_brand || '|' || p_size ELSE 'd:' || p_type || '|' || p_size END AS key FROM "
+        "part), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY p_partkey) AS r, first(p_partkey) OVER (PARTITION BY key ORDER BY p_partkey) AS "
+        "kept FROM k) SELECT p_partkey, kept, r > 1 AS duplicate FROM r"
+    )
 def _a17(spark, d):  # noqa: ANN001, ANN202
     p = table(spark, d, "part")
     doi = F.when(F.col("p_partkey") % 3 != 0, F.concat(F.lit("d:"), "p_type", F.lit("|"), F.col("p_size").cast("string")))
@@ -206,21 +273,39 @@ def _a20(spark, d):  # noqa: ANN001, ANN202
     return table(spark, d, "events").groupBy(F.col("event_type").alias("file")).agg(F.count("*").alias("n_rows"), F.countDistinct("user_id").alias("n_channels"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
-@query("v5_permutation_test", f"WITH {_COHORT}, s AS (SELECT subject, segment, avg(value) AS v FROM cohort WHERE segment IN ('BUILDING', 'FURNITURE') GROUP BY ALL), r AS (SELECT perm, v, row_number() OVER (PARTITION BY perm ORDER BY CASE WHEN perm = 0 THEN CASE WHEN segment = 'BUILDING' THEN '0' ELSE '1' END ELSE sha256('v5|' || perm || '|' || subject) END, subject) AS r, (SELECT count(*) FROM s WHERE segment = 'BUILDING') AS n FROM s, range(0, 51) p(perm)), d AS (SELECT perm, avg(v) FILTER (WHERE r <= n) - avg(v) FILTER (WHERE r > n) AS diff FROM r GROUP BY perm), o AS (SELECT diff AS observed FROM d WHERE perm = 0) SELECT round(observed, 4) AS observed, count(*) FILTER (WHERE abs(diff) >= abs(observed) - 1e-9) AS exceed, count(*) AS n, round((count(*) FILTER (WHERE abs(diff) >= abs(observed) - 1e-9) + 1) / (count(*) + 1), 6) AS p FROM d, o WHERE perm > 0 GROUP BY observed")
+@query("v5_permutation_test",
+        f"WITH {_COHORT}, s AS (SELECT subject, segment, avg(value) AS v FROM cohort WHERE segment IN ('BUILDING', 'FURNITURE') GROUP BY ALL), r AS (SELECT "
+        f"perm, v, row_number() OVER (PARTITION BY perm ORDER BY CASE WHEN perm = 0 THEN CASE WHEN segment = 'BUILDING' THEN '0' ELSE '1' END ELSE sha256('v5|' "
+        f"|| perm || '|' || subject) END, subject) AS r, (SELECT count(*) FROM s WHERE segment = 'BUILDING') AS n FROM s, range(0, 51) p(perm)), d AS (SELECT "
+        f"perm, avg(v) FILTER (WHERE r <= n) - avg(v) FILTER (WHERE r > n) AS diff FROM r GROUP BY perm), o AS (SELECT diff AS observed FROM d WHERE perm = 0) "
+        f"SELECT round(observed, 4) AS observed, count(*) FILTER (WHERE abs(diff) >= abs(observed) - 1e-9) AS exceed, count(*) AS n, round((count(*) FILTER "
+        f"(WHERE abs(diff) >= abs(observed) - 1e-9) + 1) / (count(*) + 1), 6) AS p FROM d, o WHERE perm > 0 GROUP BY observed"
+    )
 def _v5(spark, d):  # noqa: ANN001, ANN202
     s = _cohort(spark, d).filter(F.col("segment").isin("BUILDING", "FURNITURE")).groupBy("subject", "segment").agg(F.avg("value").alias("v"))
     t = ev.permutation_test(s, [], "subject", "v", "segment", "BUILDING", 50, "v5")
     return t.select(rounded(F.col("observed"), 4).alias("observed"), "exceed", "n", rounded(F.col("p")).alias("p"))
 
 
-@query("v6_paired_sign_flip", f"WITH {_COHORT}, s AS (SELECT subject, segment, avg(value) FILTER (WHERE status = 'O') - avg(value) FILTER (WHERE status = 'F') AS d FROM cohort GROUP BY ALL), k AS (SELECT * FROM s WHERE d IS NOT NULL), m AS (SELECT segment, perm, avg(d * CASE WHEN perm = 0 OR CAST('0x' || sha256('v6|' || perm || '|' || subject)[1:8] AS BIGINT) / 4294967296 < 0.5 THEN 1 ELSE -1 END) AS m FROM k, range(0, 51) p(perm) GROUP BY ALL), o AS (SELECT segment, m AS observed FROM m WHERE perm = 0) SELECT segment, round(observed, 4) AS observed, count(*) FILTER (WHERE abs(m) >= abs(observed) - 1e-9) AS exceed, count(*) AS n, round((count(*) FILTER (WHERE abs(m) >= abs(observed) - 1e-9) + 1) / (count(*) + 1), 6) AS p FROM m JOIN o USING (segment) WHERE perm > 0 GROUP BY segment, observed")
+@query("v6_paired_sign_flip",
+        f"WITH {_COHORT}, s AS (SELECT subject, segment, avg(value) FILTER (WHERE status = 'O') - avg(value) FILTER (WHERE status = 'F') AS d FROM cohort GROUP "
+        f"BY ALL), k AS (SELECT * FROM s WHERE d IS NOT NULL), m AS (SELECT segment, perm, avg(d * CASE WHEN perm = 0 OR CAST('0x' || sha256('v6|' || perm || "
+        f"'|' || subject)[1:8] AS BIGINT) / 4294967296 < 0.5 THEN 1 ELSE -1 END) AS m FROM k, range(0, 51) p(perm) GROUP BY ALL), o AS (SELECT segment, m AS "
+        f"observed FROM m WHERE perm = 0) SELECT segment, round(observed, 4) AS observed, count(*) FILTER (WHERE abs(m) >= abs(observed) - 1e-9) AS exceed, "
+        f"count(*) AS n, round((count(*) FILTER (WHERE abs(m) >= abs(observed) - 1e-9) + 1) / (count(*) + 1), 6) AS p FROM m JOIN o USING (segment) WHERE perm "
+        f"> 0 GROUP BY segment, observed"
+    )
 def _v6(spark, d):  # noqa: ANN001, ANN202
     s = _cohort(spark, d).groupBy("subject", "segment").agg((F.avg(F.when(F.col("status") == "O", F.col("value"))) - F.avg(F.when(F.col("status") == "F", F.col("value")))).alias("d")).filter("d is not null")
     t = ev.sign_flip_test(s, ["segment"], "subject", "d", 50, "v6")
     return t.select("segment", rounded(F.col("observed"), 4).alias("observed"), "exceed", "n", rounded(F.col("p")).alias("p"))
 
 
-@query("v4_null_summary", "WITH n AS (SELECT p_brand, p_type, avg(p_retailprice) AS v FROM part GROUP BY ALL), o AS (SELECT p_brand, max(v) AS observed FROM n GROUP BY ALL) SELECT p_brand, round(avg(v), 5) AS null_mean, round(stddev_pop(v), 5) AS null_std, round((observed - avg(v)) / nullif(stddev_pop(v), 0), 5) AS z FROM n JOIN o USING (p_brand) GROUP BY p_brand, observed")
+@query("v4_null_summary",
+        "WITH n AS (SELECT p_brand, p_type, avg(p_retailprice) AS v FROM part GROUP BY ALL), o AS (SELECT p_brand, max(v) AS observed FROM n GROUP BY ALL) "
+        "SELECT p_brand, round(avg(v), 5) AS null_mean, round(stddev_pop(v), 5) AS null_std, round((observed - avg(v)) / nullif(stddev_pop(v), 0), 5) AS z "
+        "FROM n JOIN o USING (p_brand) GROUP BY p_brand, observed"
+    )
 def _v4(spark, d):  # noqa: ANN001, ANN202
     n = table(spark, d, "part").groupBy("p_brand", "p_type").agg(F.avg("p_retailprice").alias("v"))
     n = n.withColumn("observed", F.max("v").over(W.partitionBy("p_brand")))
@@ -228,7 +313,11 @@ def _v4(spark, d):  # noqa: ANN001, ANN202
     return s.select("p_brand", *(rounded(F.col(c), 5).alias(c) for c in ("null_mean", "null_std", "z")))
 
 
-@query("v8_within_subject_effect", f"WITH {_COHORT}, b AS (SELECT subject, value - avg(value) OVER (PARTITION BY subject) AS y, (status = 'O')::INT - avg((status = 'O')::INT) OVER (PARTITION BY subject) AS x FROM cohort WHERE status IN ('O', 'F')) SELECT count(*) AS n, count(DISTINCT subject) AS n_subjects, round(sum(x * y) / sum(x * x), 4) AS effect FROM b")
+@query("v8_within_subject_effect",
+        f"WITH {_COHORT}, b AS (SELECT subject, value - avg(value) OVER (PARTITION BY subject) AS y, (status = 'O')::INT - avg((status = 'O')::INT) OVER "
+        f"(PARTITION BY subject) AS x FROM cohort WHERE status IN ('O', 'F')) SELECT count(*) AS n, count(DISTINCT subject) AS n_subjects, round(sum(x * y) / "
+        f"sum(x * x), 4) AS effect FROM b"
+    )
 def _v8(spark, d):  # noqa: ANN001, ANN202
     by = W.partitionBy("subject")
     c = _cohort(spark, d).filter(F.col("status").isin("O", "F")).withColumn("on", (F.col("status") == "O").cast("int"))
@@ -243,7 +332,11 @@ def _j1(spark, d):  # noqa: ANN001, ANN202
     return rel.strict_lookup(m, t, ["c_custkey"]).withColumnRenamed("c_custkey", "o_custkey").select("o_orderkey", "o_custkey", "c_mktsegment", "o_totalprice")
 
 
-@query("j2_join_quality", "SELECT (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)) AS n_missing, (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)) AS n_extra, (SELECT count(*) FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1)) AS n_left_duplicates, (SELECT count(*) FROM (SELECT c_custkey FROM customer GROUP BY 1 HAVING count(*) > 1)) AS n_right_duplicates")
+@query("j2_join_quality",
+        "SELECT (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)) AS n_missing, (SELECT count(*) FROM customer WHERE "
+        "c_custkey NOT IN (SELECT o_custkey FROM orders)) AS n_extra, (SELECT count(*) FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1)) AS "
+        "n_left_duplicates, (SELECT count(*) FROM (SELECT c_custkey FROM customer GROUP BY 1 HAVING count(*) > 1)) AS n_right_duplicates"
+    )
 def _j2(spark, d):  # noqa: ANN001, ANN202
     return rel.join_quality(table(spark, d, "orders").select(F.col("o_custkey").alias("k")), table(spark, d, "customer").select(F.col("c_custkey").alias("k")), ["k"])
 
@@ -257,12 +350,19 @@ def _meta(spark, d):  # noqa: ANN001, ANN202
     return la.select("doc_id", F.col("quality").cast("int").alias("value")).unionByName(la.filter("doc_id % 17 = 0").select("doc_id", flipped.cast("int").alias("value")))
 
 
-@query("j3_label_alignment", f"WITH {_META}, g AS (SELECT doc_id, count(DISTINCT value) AS n, max(value) AS v FROM meta GROUP BY doc_id) SELECT d.doc_id, CASE WHEN n IS NULL THEN 'no_match' WHEN n > 1 THEN 'conflicting_labels' WHEN v = 1 THEN 'aligned' WHEN v = 0 THEN 'aligned' ELSE 'unknown_value' END AS alignment_status, CASE WHEN n = 1 AND v IN (0, 1) THEN CAST(v AS INTEGER) END AS y FROM documents d LEFT JOIN g USING (doc_id)")
+@query("j3_label_alignment",
+        f"WITH {_META}, g AS (SELECT doc_id, count(DISTINCT value) AS n, max(value) AS v FROM meta GROUP BY doc_id) SELECT d.doc_id, CASE WHEN n IS NULL THEN "
+        f"'no_match' WHEN n > 1 THEN 'conflicting_labels' WHEN v = 1 THEN 'aligned' WHEN v = 0 THEN 'aligned' ELSE 'unknown_value' END AS alignment_status, "
+        f"CASE WHEN n = 1 AND v IN (0, 1) THEN CAST(v AS INTEGER) END AS y FROM documents d LEFT JOIN g USING (doc_id)"
+    )
 def _j3(spark, d):  # noqa: ANN001, ANN202
     return rel.align_labels(table(spark, d, "documents").select("doc_id"), _meta(spark, d), "doc_id", "value", [1], [0])
 
 
-@query("j4_target_injection", f"WITH {_META}, g AS (SELECT doc_id, CASE WHEN count(DISTINCT value) = 1 THEN CAST(min(value) AS INTEGER) END AS y, count(DISTINCT value) > 1 AS rejected FROM meta GROUP BY doc_id) SELECT d.doc_id, d.n_chars, g.y, coalesce(rejected, false) AS rejected FROM documents d LEFT JOIN g USING (doc_id)")
+@query("j4_target_injection",
+        f"WITH {_META}, g AS (SELECT doc_id, CASE WHEN count(DISTINCT value) = 1 THEN CAST(min(value) AS INTEGER) END AS y, count(DISTINCT value) > 1 AS "
+        f"rejected FROM meta GROUP BY doc_id) SELECT d.doc_id, d.n_chars, g.y, coalesce(rejected, false) AS rejected FROM documents d LEFT JOIN g USING (doc_id)"
+    )
 def _j4(spark, d):  # noqa: ANN001, ANN202
     return rel.inject_targets(table(spark, d, "documents").select("doc_id", "n_chars"), _meta(spark, d), "doc_id", "value")
 
@@ -276,7 +376,10 @@ def _j5(spark, d):  # noqa: ANN001, ANN202
 _ASOF = "s AS (SELECT user_id, epoch(ts) AS t FROM events WHERE event_type = 'click'), p AS (SELECT event_id, user_id, epoch(ts) + 37 AS t FROM events WHERE event_type = 'purchase')"
 
 
-@query("j6_nearest_join", f"WITH {_ASOF}, c AS (SELECT p.event_id, s.t AS s_t, abs(s.t - p.t) AS gap FROM p JOIN s ON s.user_id = p.user_id AND abs(s.t - p.t) <= 7200), r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY gap, s_t) AS r FROM c) SELECT event_id, round(gap, 3) AS gap FROM r WHERE r = 1")
+@query("j6_nearest_join",
+        f"WITH {_ASOF}, c AS (SELECT p.event_id, s.t AS s_t, abs(s.t - p.t) AS gap FROM p JOIN s ON s.user_id = p.user_id AND abs(s.t - p.t) <= 7200), r AS "
+        f"(SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY gap, s_t) AS r FROM c) SELECT event_id, round(gap, 3) AS gap FROM r WHERE r = 1"
+    )
 def _j6(spark, d):  # noqa: ANN001, ANN202
     e = table(spark, d, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
     s = e.filter("event_type = 'click'").select("user_id", F.col("t").alias("s_t"))
@@ -284,19 +387,31 @@ def _j6(spark, d):  # noqa: ANN001, ANN202
     return rel.nearest_join(p, s, ["user_id"], "event_id", "t", "s_t", 7200.0).select("event_id", rounded(F.col("gap"), 3).alias("gap"))
 
 
-@query("j7_trial_masks", "WITH e AS (SELECT user_id % 2 AS cond, epoch(ts) / 3600 AS t FROM events WHERE event_type = 'purchase'), m AS (SELECT DISTINCT cond, unnest(range(CAST(ceil(t + 1) AS BIGINT), CAST(floor(t + 3) AS BIGINT) + 1)) AS tr FROM e) SELECT tr, count(DISTINCT cond) AS n_conditions, CASE WHEN count(DISTINCT cond) = 1 THEN min(cond) END AS cond FROM m GROUP BY tr")
+@query("j7_trial_masks",
+        "WITH e AS (SELECT user_id % 2 AS cond, epoch(ts) / 3600 AS t FROM events WHERE event_type = 'purchase'), m AS (SELECT DISTINCT cond, "
+        "unnest(range(CAST(ceil(t + 1) AS BIGINT), CAST(floor(t + 3) AS BIGINT) + 1)) AS tr FROM e) SELECT tr, count(DISTINCT cond) AS n_conditions, CASE WHEN "
+        "count(DISTINCT cond) = 1 THEN min(cond) END AS cond FROM m GROUP BY tr"
+    )
 def _j7(spark, d):  # noqa: ANN001, ANN202
     e = table(spark, d, "events").filter("event_type = 'purchase'").select((F.col("user_id") % 2).alias("cond"), (F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9).alias("t"))
     return rel.interval_masks(e, "t", "cond", 1, 3)
 
 
-@query("j8_nearest_neighbour", "WITH p AS (SELECT vec_id, label, embedding[1] AS x, embedding[2] AS y FROM embeddings), n AS (SELECT a.label, a.vec_id, min(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2))) AS d FROM p a JOIN p b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY ALL) SELECT label, count(*) AS n, round(median(d), 5) AS median_nn FROM n GROUP BY label")
+@query("j8_nearest_neighbour",
+        "WITH p AS (SELECT vec_id, label, embedding[1] AS x, embedding[2] AS y FROM embeddings), n AS (SELECT a.label, a.vec_id, min(sqrt(power(a.x - b.x, 2) "
+        "+ power(a.y - b.y, 2))) AS d FROM p a JOIN p b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY ALL) SELECT label, count(*) AS n, "
+        "round(median(d), 5) AS median_nn FROM n GROUP BY label"
+    )
 def _j8(spark, d):  # noqa: ANN001, ANN202
     p = table(spark, d, "embeddings").select("vec_id", "label", F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"))
     return rel.median_nearest(p, ["label"], "vec_id").select("label", "n", rounded(F.col("median_nn"), 5).alias("median_nn"))
 
 
-@query("j12_integrity", "SELECT 'dangling_nation' AS violation, CAST(s_suppkey AS VARCHAR) AS id FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3) UNION ALL SELECT 'no_customer', CAST(n_nationkey AS VARCHAR) FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9000)")
+@query("j12_integrity",
+        "SELECT 'dangling_nation' AS violation, CAST(s_suppkey AS VARCHAR) AS id FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE "
+        "n_regionkey < 3) UNION ALL SELECT 'no_customer', CAST(n_nationkey AS VARCHAR) FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer "
+        "WHERE c_acctbal > 9000)"
+    )
 def _j12(spark, d):  # noqa: ANN001, ANN202
     n, s, c = (table(spark, d, t) for t in ("nation", "supplier", "customer"))
     a = rel.dangling(s, "s_nationkey", n.filter("n_regionkey < 3"), "n_nationkey", "s_suppkey", "dangling_nation")
@@ -315,7 +430,10 @@ def _j14(spark, d):  # noqa: ANN001, ANN202
     return table(spark, d, "orders").select("o_orderkey").join(li, "o_orderkey").groupBy("o_orderkey").agg(F.bool_or("risky").alias("risky"))
 
 
-@query("j11_channel_pairs", sql(" SELECT a.recording_id, a.channel AS a, b.channel AS b, count(*) AS n, round(sum(a.v * b.v), 4) AS dot FROM windowed a JOIN windowed b USING (recording_id, w, k) WHERE a.channel < b.channel GROUP BY ALL", "windowed"))
+@query("j11_channel_pairs", sql(
+        " SELECT a.recording_id, a.channel AS a, b.channel AS b, count(*) AS n, round(sum(a.v * b.v), 4) AS dot FROM windowed a JOIN windowed b USING "
+        "(recording_id, w, k) WHERE a.channel < b.channel GROUP BY ALL"
+    , "windowed"))
 def _j11(spark, d):  # noqa: ANN001, ANN202
     from phaseloom.operators import phase_metrics as pm
     from phaseloom.plans.views import windowed
@@ -331,7 +449,10 @@ def _u1(spark, d):  # noqa: ANN001, ANN202
     return a.unionByName(b, allowMissingColumns=True)
 
 
-@query("u2_key_difference", "SELECT 'left' AS side, c_custkey AS k FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders) UNION ALL SELECT 'right', o_custkey FROM (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer)")
+@query("u2_key_difference",
+        "SELECT 'left' AS side, c_custkey AS k FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders) UNION ALL SELECT 'right', o_custkey "
+        "FROM (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer)"
+    )
 def _u2(spark, d):  # noqa: ANN001, ANN202
     a, b = table(spark, d, "customer").select(F.col("c_custkey").alias("k")), table(spark, d, "orders").select(F.col("o_custkey").alias("k"))
     return a.subtract(b).select(F.lit("left").alias("side"), "k").union(b.subtract(a).select(F.lit("right").alias("side"), "k"))
@@ -384,7 +505,11 @@ def _f9(spark, d):  # noqa: ANN001, ANN202
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
-@query("p1_path_tokens", "SELECT page_id, coalesce(nullif(regexp_extract(url, 'example\\.([a-z]+)/', 1), ''), 'unknown') AS zone, coalesce(nullif(regexp_extract(url, '/(en|fr|de|es)/', 1), ''), 'unknown') AS lang, CASE WHEN url LIKE '%page=%' THEN 'paged' WHEN url LIKE '%#%' THEN 'anchor' WHEN url LIKE 'https:%' THEN 'secure' ELSE 'plain' END AS state FROM pages")
+@query("p1_path_tokens",
+        "SELECT page_id, coalesce(nullif(regexp_extract(url, 'example\\.([a-z]+)/', 1), ''), 'unknown') AS zone, coalesce(nullif(regexp_extract(url, "
+        "'/(en|fr|de|es)/', 1), ''), 'unknown') AS lang, CASE WHEN url LIKE '%page=%' THEN 'paged' WHEN url LIKE '%#%' THEN 'anchor' WHEN url LIKE 'https:%' "
+        "THEN 'secure' ELSE 'plain' END AS state FROM pages"
+    )
 def _p1(spark, d):  # noqa: ANN001, ANN202
     u = F.col("url")
     part = lambda p: F.coalesce(F.nullif(F.regexp_extract("url", p, 1), F.lit("")), F.lit("unknown"))
@@ -392,27 +517,39 @@ def _p1(spark, d):  # noqa: ANN001, ANN202
     return table(spark, d, "pages").select("page_id", part(r"example\.([a-z]+)/").alias("zone"), part(r"/(en|fr|de|es)/").alias("lang"), state.alias("state"))
 
 
-@query("p2_first_match_class", "SELECT p_partkey, CASE WHEN p_type LIKE '%BRASS%' THEN 'brass' WHEN p_type LIKE '%STEEL%' AND p_size > 25 THEN 'big_steel' WHEN p_type LIKE '%STEEL%' THEN 'steel' WHEN p_brand LIKE '%1' THEN 'brand_one' ELSE 'other' END AS class FROM part")
+@query("p2_first_match_class",
+        "SELECT p_partkey, CASE WHEN p_type LIKE '%BRASS%' THEN 'brass' WHEN p_type LIKE '%STEEL%' AND p_size > 25 THEN 'big_steel' WHEN p_type LIKE '%STEEL%' "
+        "THEN 'steel' WHEN p_brand LIKE '%1' THEN 'brand_one' ELSE 'other' END AS class FROM part"
+    )
 def _p2(spark, d):  # noqa: ANN001, ANN202
     c = F.col
     return table(spark, d, "part").select("p_partkey", F.when(F.contains("p_type", F.lit("BRASS")), "brass").when(F.contains("p_type", F.lit("STEEL")) & (c("p_size") > 25), "big_steel").when(F.contains("p_type", F.lit("STEEL")), "steel").when(c("p_brand").endswith("1"), "brand_one").otherwise("other").alias("class"))
 
 
-@query("p9_row_validation", "SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_size > 45 THEN 'size' END, CASE WHEN p_retailprice < 950 THEN 'price' END, CASE WHEN p_brand NOT LIKE 'Brand%' THEN 'brand' END], lambda e: e IS NOT NULL), ';') AS errors FROM part")
+@query("p9_row_validation",
+        "SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_size > 45 THEN 'size' END, CASE WHEN p_retailprice < 950 THEN 'price' END, CASE WHEN "
+        "p_brand NOT LIKE 'Brand%' THEN 'brand' END], lambda e: e IS NOT NULL), ';') AS errors FROM part"
+    )
 def _p9(spark, d):  # noqa: ANN001, ANN202
     c = F.col
     errors = x.all_blockers((c("p_size") > 45, "size"), (c("p_retailprice") < 950, "price"), (~c("p_brand").startswith("Brand"), "brand"))
     return table(spark, d, "part").select("p_partkey", F.array_join(errors, ";").alias("errors"))
 
 
-@query("p10_gate", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'blocked: negative balance' WHEN c_mktsegment = 'MACHINERY' THEN 'blocked: segment' WHEN n_regionkey > 2 THEN 'blocked: region' ELSE 'promoted' END AS status FROM customer JOIN nation ON n_nationkey = c_nationkey")
+@query("p10_gate",
+        "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'blocked: negative balance' WHEN c_mktsegment = 'MACHINERY' THEN 'blocked: segment' WHEN n_regionkey > "
+        "2 THEN 'blocked: region' ELSE 'promoted' END AS status FROM customer JOIN nation ON n_nationkey = c_nationkey"
+    )
 def _p10(spark, d):  # noqa: ANN001, ANN202
     c = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("n_nationkey") == F.col("c_nationkey"))
     status = x.first_blocker((F.col("c_acctbal") < 0, "blocked: negative balance"), (F.col("c_mktsegment") == "MACHINERY", "blocked: segment"), (F.col("n_regionkey") > 2, "blocked: region"), otherwise="promoted")
     return c.select("c_custkey", status.alias("status"))
 
 
-@query("p11_weighted_score", "SELECT p_partkey, round(0.5 * p_size / 50 + 0.3 * least(p_retailprice / 2000, 1) + 0.2 * (p_partkey % 10) / 10, 6) AS score, CASE WHEN p_size > 40 THEN 'high' WHEN p_size > 20 THEN 'mid' ELSE 'low' END AS class FROM part")
+@query("p11_weighted_score",
+        "SELECT p_partkey, round(0.5 * p_size / 50 + 0.3 * least(p_retailprice / 2000, 1) + 0.2 * (p_partkey % 10) / 10, 6) AS score, CASE WHEN p_size > 40 "
+        "THEN 'high' WHEN p_size > 20 THEN 'mid' ELSE 'low' END AS class FROM part"
+    )
 def _p11(spark, d):  # noqa: ANN001, ANN202
     c = F.col
     s = 0.5 * c("p_size") / 50 + 0.3 * F.least(c("p_retailprice") / 2000, F.lit(1.0)) + 0.2 * (c("p_partkey") % 10) / 10

@@ -58,7 +58,10 @@ def _s13(spark, d):  # noqa: ANN001, ANN202
     return readers.checked(table(spark, d, "labels"), ["doc_id", "quality", "toxic"]).select("doc_id", "quality", "toxic").dropna()
 
 
-@query("j6_best_offset", f"WITH {_ASOF}, o AS (SELECT * FROM (VALUES (-60), (-37), (0), (30)) t(o)), c AS (SELECT DISTINCT o, p.event_id FROM p, o, s WHERE s.user_id = p.user_id AND abs(s.t - (p.t + o)) <= 600) SELECT CAST(o AS DOUBLE) AS offset_, count(*) AS matched FROM c GROUP BY o")
+@query("j6_best_offset",
+        f"WITH {_ASOF}, o AS (SELECT * FROM (VALUES (-60), (-37), (0), (30)) t(o)), c AS (SELECT DISTINCT o, p.event_id FROM p, o, s WHERE s.user_id = "
+        f"p.user_id AND abs(s.t - (p.t + o)) <= 600) SELECT CAST(o AS DOUBLE) AS offset_, count(*) AS matched FROM c GROUP BY o"
+    )
 def _j6(spark, d):  # noqa: ANN001, ANN202
     e = table(spark, d, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
     s = e.filter("event_type = 'click'").select("user_id", F.col("t").alias("s_t"))
@@ -66,13 +69,21 @@ def _j6(spark, d):  # noqa: ANN001, ANN202
     return rel.best_offset(p, s, ["user_id"], "event_id", "t", "s_t", 600.0, [-60.0, -37.0, 0.0, 30.0]).withColumnRenamed("offset", "offset_")
 
 
-@query("q7_spectral_phase", sql(_SPEC + ", a AS (SELECT recording_id, w, channel, f, atan2(im, re) AS th, re * re + im * im AS p FROM spec WHERE f BETWEEN 1 AND 4) SELECT recording_id, w, channel, CAST(f AS INTEGER) AS f, round(cos(th - lag(th) OVER (PARTITION BY recording_id, w, channel ORDER BY f)), 5) + 0.0 AS step FROM a", "windowed@own"))
+@query("q7_spectral_phase", sql(_SPEC +
+        ", a AS (SELECT recording_id, w, channel, f, atan2(im, re) AS th, re * re + im * im AS p FROM spec WHERE f BETWEEN 1 AND 4) SELECT recording_id, w, "
+        "channel, CAST(f AS INTEGER) AS f, round(cos(th - lag(th) OVER (PARTITION BY recording_id, w, channel ORDER BY f)), 5) + 0.0 AS step FROM a"
+    , "windowed@own"))
 def _q7(spark, d):  # noqa: ANN001, ANN202
     a = wn.spectrum(channel_windows(spark, d), [*KEY, "channel"], 16).filter(F.col("f").between(1, 4)).withColumn("th", F.atan2("im", "re"))
     return a.select(*KEY, "channel", "f", rounded(F.cos(F.col("th") - F.lag("th").over(W.partitionBy(*KEY, "channel").orderBy("f"))), 5).alias("step"))
 
 
-@query("m8_residual_evaluation", f"WITH {_SCORED}, v AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN score ELSE score * 0.6 + 0.2 END AS mt FROM scored), b AS (SELECT count(*) AS n, avg(power(score - y, 2)) AS bm, avg(power(mt - y, 2)) AS bt, count(DISTINCT y) AS c FROM v) SELECT n AS n_joined, round(bm, 6) AS brier_m, round(bt, 6) AS brier_mt, CASE WHEN c < 2 THEN 'blocked: insufficient class variation' WHEN bt >= bm THEN 'blocked: no gain' ELSE 'promoted' END AS promotion_reason FROM b")
+@query("m8_residual_evaluation",
+        f"WITH {_SCORED}, v AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN score ELSE score * 0.6 + 0.2 END AS mt FROM scored), b AS (SELECT count(*) AS n, "
+        f"avg(power(score - y, 2)) AS bm, avg(power(mt - y, 2)) AS bt, count(DISTINCT y) AS c FROM v) SELECT n AS n_joined, round(bm, 6) AS brier_m, round(bt, "
+        f"6) AS brier_mt, CASE WHEN c < 2 THEN 'blocked: insufficient class variation' WHEN bt >= bm THEN 'blocked: no gain' ELSE 'promoted' END AS "
+        f"promotion_reason FROM b"
+    )
 def _m8(spark, d):  # noqa: ANN001, ANN202
     v = _scored(spark, d).withColumn("mt", F.when(F.col("doc_id") % 2 == 0, F.col("score")).otherwise(F.col("score") * 0.6 + 0.2))
     b = v.agg(F.count("*").alias("n_joined"), ev.brier(F.col("score"), F.col("y")).alias("bm"), ev.brier(F.col("mt"), F.col("y")).alias("bt"), F.countDistinct("y").alias("c"))
@@ -80,13 +91,22 @@ def _m8(spark, d):  # noqa: ANN001, ANN202
     return b.select("n_joined", rounded(F.col("bm")).alias("brier_m"), rounded(F.col("bt")).alias("brier_mt"), reason.alias("promotion_reason"))
 
 
-@query("d9_adapter_readiness", "WITH u AS (SELECT source, 'lang' AS col, lang AS v FROM documents UNION ALL SELECT source, 'parity', CAST(doc_id % 2 AS VARCHAR) FROM documents) SELECT source, col, count(DISTINCT v) AS n_distinct, CASE WHEN count(DISTINCT v) = 2 THEN 'draft' ELSE 'manual' END AS plan FROM u GROUP BY ALL")
+@query("d9_adapter_readiness",
+        "WITH u AS (SELECT source, 'lang' AS col, lang AS v FROM documents UNION ALL SELECT source, 'parity', CAST(doc_id % 2 AS VARCHAR) FROM documents) "
+        "SELECT source, col, count(DISTINCT v) AS n_distinct, CASE WHEN count(DISTINCT v) = 2 THEN 'draft' ELSE 'manual' END AS plan FROM u GROUP BY ALL"
+    )
 def _d9(spark, d):  # noqa: ANN001, ANN202
     u = table(spark, d, "documents").select("source", "lang", (F.col("doc_id") % 2).cast("string").alias("parity")).unpivot(["source"], ["lang", "parity"], "col", "v")
     return u.groupBy("source", "col").agg(F.countDistinct("v").alias("n_distinct"), F.when(F.countDistinct("v") == 2, "draft").otherwise("manual").alias("plan"))
 
 
-@query("v9_spin_contrast", sql(", m AS (SELECT recording_id, channel, avg(theta) AS v FROM phase GROUP BY ALL), rot AS (SELECT s, channel, cos(s * pi() / 4) * (x - 1.5) - sin(s * pi() / 4) * (y - 0.5) AS x, sin(s * pi() / 4) * (x - 1.5) + cos(s * pi() / 4) * (y - 0.5) AS y FROM sensor, range(8) r(s)), d AS (SELECT s, rot.channel, b.region, row_number() OVER (PARTITION BY s, rot.channel ORDER BY round(power(rot.x - (b.x - 1.5), 2) + power(rot.y - (b.y - 0.5), 2), 9), b.channel) AS r FROM rot, sensor b) SELECT recording_id, CAST(s AS INTEGER) AS s, round(avg(v) FILTER (WHERE region = 'left') - avg(v) FILTER (WHERE region = 'right'), 6) + 0.0 AS contrast FROM m JOIN d USING (channel) WHERE r = 1 GROUP BY ALL", "phase", "sensor"))
+@query("v9_spin_contrast", sql(
+        ", m AS (SELECT recording_id, channel, avg(theta) AS v FROM phase GROUP BY ALL), rot AS (SELECT s, channel, cos(s * pi() / 4) * (x - 1.5) - sin(s * "
+        "pi() / 4) * (y - 0.5) AS x, sin(s * pi() / 4) * (x - 1.5) + cos(s * pi() / 4) * (y - 0.5) AS y FROM sensor, range(8) r(s)), d AS (SELECT s, "
+        "rot.channel, b.region, row_number() OVER (PARTITION BY s, rot.channel ORDER BY round(power(rot.x - (b.x - 1.5), 2) + power(rot.y - (b.y - 0.5), 2), "
+        "9), b.channel) AS r FROM rot, sensor b) SELECT recording_id, CAST(s AS INTEGER) AS s, round(avg(v) FILTER (WHERE region = 'left') - avg(v) FILTER "
+        "(WHERE region = 'right'), 6) + 0.0 AS contrast FROM m JOIN d USING (channel) WHERE r = 1 GROUP BY ALL"
+    , "phase", "sensor"))
 def _v9(spark, d):  # noqa: ANN001, ANN202
     m = phase(spark, d).groupBy("recording_id", "channel").agg(F.avg("theta").alias("v"))
     se = sensor(spark)
@@ -100,7 +120,10 @@ def _v9(spark, d):  # noqa: ANN001, ANN202
     return j.groupBy("recording_id", "s").agg(rounded(mean("left") - mean("right")).alias("contrast"))
 
 
-@query("v10_embedding_spread", "WITH e AS (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT a.label, count(*) AS n_pairs, round(avg(list_distance(a.e, b.e)), 5) AS mean_distance FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY a.label")
+@query("v10_embedding_spread",
+        "WITH e AS (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT a.label, count(*) AS n_pairs, round(avg(list_distance(a.e, "
+        "b.e)), 5) AS mean_distance FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY a.label"
+    )
 def _v10(spark, d):  # noqa: ANN001, ANN202
     return nl.mean_distance(table(spark, d, "embeddings"), "label", "vec_id", "embedding").select("label", "n_pairs", rounded(F.col("mean_distance"), 5).alias("mean_distance"))
 
@@ -163,7 +186,10 @@ def _w12(spark, d):  # noqa: ANN001, ANN202
     return runs.groupBy("recording_id", "state").agg(F.sum("length").alias("n_samples"), F.count("*").alias("occurrences"), rounded(F.avg("length")).alias("mean_length"))
 
 
-@query("st5_change_points", "WITH l AS (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) SELECT user_id, count(*) FILTER (WHERE before IS NOT NULL AND before <> event_type) AS n_changes FROM l GROUP BY user_id")
+@query("st5_change_points",
+        "WITH l AS (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) SELECT "
+        "user_id, count(*) FILTER (WHERE before IS NOT NULL AND before <> event_type) AS n_changes FROM l GROUP BY user_id"
+    )
 def _st5(spark, d):  # noqa: ANN001, ANN202
     return jobs.change_points(spark, d)
 

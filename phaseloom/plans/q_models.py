@@ -124,7 +124,10 @@ def _state():  # noqa: ANN202
 _M5 = ["auc_m", "auc_mt", "ece_m", "ece_mt", "brier_m", "brier_mt"]
 
 
-@query("m5_residual_metrics", f"WITH {_TALL} SELECT dataset, n_rows, {_STATE} AS state, " + ", ".join(f"CASE WHEN classes = 2 THEN round({c}, 6) END AS {c}" for c in _M5) + ", CASE WHEN classes = 2 THEN round(auc_mt - auc_m, 6) + 0.0 END AS delta_auc, CASE WHEN classes = 2 THEN round(ece_mt - ece_m, 6) + 0.0 END AS delta_ece FROM state LEFT JOIN per USING (dataset)")
+@query("m5_residual_metrics", f"WITH {_TALL} SELECT dataset, n_rows, {_STATE} AS state, " + ", ".join(f"CASE WHEN classes = 2 THEN round({c}, 6) END AS {c}" for c in _M5) +
+        ", CASE WHEN classes = 2 THEN round(auc_mt - auc_m, 6) + 0.0 END AS delta_auc, CASE WHEN classes = 2 THEN round(ece_mt - ece_m, 6) + 0.0 END AS "
+        "delta_ece FROM state LEFT JOIN per USING (dataset)"
+    )
 def _m5(spark, d):  # noqa: ANN001, ANN202
     both = lambda c: F.when(F.col("classes") == 2, rounded(c))
     delta = [both(F.col(f"{c}_mt") - F.col(f"{c}_m")).alias(f"delta_{c}") for c in ("auc", "ece")]
@@ -175,7 +178,10 @@ def _nulls(spark, d):  # noqa: ANN001, ANN202
     return ev.auc(s.withColumn("score", wn.scaled(s, "raw", ["dataset"])), ["dataset"]).withColumnRenamed("auc", "null_auc")
 
 
-@query("m7_null_margin", f"WITH {_NULL} SELECT dataset, round(null_auc, 6) AS null_auc, round(auc_mt - auc_m, 6) + 0.0 AS delta_auc, round(null_auc - 0.5, 6) + 0.0 AS null_delta, auc_mt - auc_m > null_auc - 0.5 + {MARGIN} AS nulls_passed FROM nul JOIN per USING (dataset)")
+@query("m7_null_margin",
+        f"WITH {_NULL} SELECT dataset, round(null_auc, 6) AS null_auc, round(auc_mt - auc_m, 6) + 0.0 AS delta_auc, round(null_auc - 0.5, 6) + 0.0 AS "
+        f"null_delta, auc_mt - auc_m > null_auc - 0.5 + {MARGIN} AS nulls_passed FROM nul JOIN per USING (dataset)"
+    )
 def _m7(spark, d):  # noqa: ANN001, ANN202
     m = _metrics(spark, d).join(_nulls(spark, d), "dataset")
     delta, null = F.col("auc_mt") - F.col("auc_m"), F.col("null_auc") - 0.5
@@ -253,10 +259,16 @@ def _e2(spark, d):  # noqa: ANN001, ANN202
     return _shown(ev.permutation_test(_subjects(spark, d), [], "subject", "v", "g", "BUILDING", DRAWS, "e2", "greater", ratio))
 
 
-_PAIRED = f"{_COHORT}, wide AS (SELECT subject, avg(value) FILTER (WHERE status = 'F') - avg(value) FILTER (WHERE status = 'O') AS d FROM cohort WHERE status IN ('F', 'O') GROUP BY subject), diffs AS (SELECT * FROM wide WHERE d IS NOT NULL)"
+_PAIRED = (
+        f"{_COHORT}, wide AS (SELECT subject, avg(value) FILTER (WHERE status = 'F') - avg(value) FILTER (WHERE status = 'O') AS d FROM cohort WHERE status IN "
+        f"('F', 'O') GROUP BY subject), diffs AS (SELECT * FROM wide WHERE d IS NOT NULL)"
+)
 
 
-@query("v6_blocked_paired", f"WITH {_PAIRED}, s AS {_flip_sql('diffs', '', 'v6')}, t AS ({_share_sql('s', '', _HITS['two-sided'])}) SELECT 'paired' AS method, t.*, (SELECT round(avg(d) / stddev_samp(d), 6) + 0.0 FROM diffs) AS effect FROM t")
+@query("v6_blocked_paired",
+        f"WITH {_PAIRED}, s AS {_flip_sql('diffs', '', 'v6')}, t AS ({_share_sql('s', '', _HITS['two-sided'])}) SELECT 'paired' AS method, t.*, (SELECT "
+        f"round(avg(d) / stddev_samp(d), 6) + 0.0 FROM diffs) AS effect FROM t"
+    )
 def _v6(spark, d):  # noqa: ANN001, ANN202
     t = ev.subject_blocked_test(_cohort(spark, d).filter(F.col("status").isin("F", "O")), "subject", "status", "value", DRAWS, "v6")
     return _shown(t.withColumn("effect", rounded(F.col("effect"))), "method", "effect")
@@ -291,14 +303,20 @@ def _v7(spark, d):  # noqa: ANN001, ANN202
     return _shown(pooled.unionByName(blocked), "metric", "kind")
 
 
-@query("a10_paired_effect", f"WITH {_COHORT}, w AS (SELECT segment, subject, avg(value) FILTER (WHERE status = 'F') - avg(value) FILTER (WHERE status = 'O') AS d FROM cohort GROUP BY ALL) SELECT segment, count(d) AS n_pairs, round(avg(d) / nullif(stddev_samp(d), 0), 6) + 0.0 AS dz FROM w GROUP BY segment")
+@query("a10_paired_effect",
+        f"WITH {_COHORT}, w AS (SELECT segment, subject, avg(value) FILTER (WHERE status = 'F') - avg(value) FILTER (WHERE status = 'O') AS d FROM cohort GROUP "
+        f"BY ALL) SELECT segment, count(d) AS n_pairs, round(avg(d) / nullif(stddev_samp(d), 0), 6) + 0.0 AS dz FROM w GROUP BY segment"
+    )
 def _a10(spark, d):  # noqa: ANN001, ANN202
     mean = lambda s: F.avg(F.when(F.col("status") == s, F.col("value")))
     w = _cohort(spark, d).groupBy("segment", "subject").agg((mean("F") - mean("O")).alias("d"))
     return w.groupBy("segment").agg(F.count("d").alias("n_pairs"), rounded(F.avg("d") / F.when(F.stddev_samp("d") > 0, F.stddev_samp("d"))).alias("dz"))
 
 
-@query("a8_correlation_test", "WITH g AS (SELECT p_brand AS g, count(*) AS n, corr(p_size, p_retailprice) AS r FROM part GROUP BY ALL HAVING count(*) >= 3) SELECT g, n, round(r, 6) + 0.0 AS r, round(r * sqrt((n - 2) / (1 - r * r)), 5) + 0.0 AS t FROM g")
+@query("a8_correlation_test",
+        "WITH g AS (SELECT p_brand AS g, count(*) AS n, corr(p_size, p_retailprice) AS r FROM part GROUP BY ALL HAVING count(*) >= 3) SELECT g, n, round(r, 6) "
+        "+ 0.0 AS r, round(r * sqrt((n - 2) / (1 - r * r)), 5) + 0.0 AS t FROM g"
+    )
 def _a8(spark, d):  # noqa: ANN001, ANN202
     return pl.correlation_test(table(spark, d, "part"), ["p_brand"], "p_size", "p_retailprice").select(F.col("p_brand").alias("g"), "n", rounded(F.col("r")).alias("r"), rounded(F.col("t"), 5).alias("t"))
 

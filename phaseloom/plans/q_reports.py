@@ -63,8 +63,14 @@ def _p2(spark, d):  # noqa: ANN001, ANN202
     return _files(spark, d).select("doc_id", "stage", "evidence_state", "mode", "lane", "role", "priority")
 
 
-_CONTEXT_SQL = "CASE WHEN safety <> 'safe' THEN 'human_review_before_indexing' WHEN evidence_state = 'mock' THEN 'mock_data_only' WHEN evidence_state IN ('pending', 'review_required') THEN 'validation_pending' WHEN priority = 1 THEN 'ready_for_priority_indexing' ELSE 'standard' END"
-_NEXT_SQL = "CASE WHEN safety <> 'safe' THEN 'quarantine' WHEN evidence_state = 'mock' THEN 'index_with_provenance_label' WHEN evidence_state IN ('pending', 'review_required') THEN 'await_review_then_index' WHEN priority = 1 THEN 'index_first' ELSE 'index_in_batch' END"
+_CONTEXT_SQL = (
+        "CASE WHEN safety <> 'safe' THEN 'human_review_before_indexing' WHEN evidence_state = 'mock' THEN 'mock_data_only' WHEN evidence_state IN ('pending', "
+        "'review_required') THEN 'validation_pending' WHEN priority = 1 THEN 'ready_for_priority_indexing' ELSE 'standard' END"
+)
+_NEXT_SQL = (
+        "CASE WHEN safety <> 'safe' THEN 'quarantine' WHEN evidence_state = 'mock' THEN 'index_with_provenance_label' WHEN evidence_state IN ('pending', "
+        "'review_required') THEN 'await_review_then_index' WHEN priority = 1 THEN 'index_first' ELSE 'index_in_batch' END"
+)
 
 
 @query(
@@ -102,13 +108,20 @@ def _pack(spark, d):  # noqa: ANN001, ANN202
 _TAGS = {"dataset": "source", "stage": "stage", "evidence_state": "evidence_state", "mode": "mode", "chunk_role": "chunk_role", "claim_safety": "safety"}
 
 
-@query("x4_pack_chunks", f"{_PACK_SQL} SELECT 'chk_' || sha256(doc_id || '|' || part)[1:16] AS chunk_id, CAST(part AS INTEGER) AS part, sha256(chunk) AS content_hash, length(chunk) AS n_chars, chunk_role, concat_ws(',', " + ", ".join(f"'{t}:' || {c}" for t, c in _TAGS.items()) + ", 'priority:' || priority) AS tags, reason FROM k")
+@query("x4_pack_chunks",
+        f"{_PACK_SQL} SELECT 'chk_' || sha256(doc_id || '|' || part)[1:16] AS chunk_id, CAST(part AS INTEGER) AS part, sha256(chunk) AS content_hash, "
+        f"length(chunk) AS n_chars, chunk_role, concat_ws(',', "
+     + ", ".join(f"'{t}:' || {c}" for t, c in _TAGS.items()) + ", 'priority:' || priority) AS tags, reason FROM k")
 def _x4(spark, d):  # noqa: ANN001, ANN202
     tags = F.concat_ws(",", *[F.concat(F.lit(f"{t}:"), c) for t, c in _TAGS.items()], F.concat(F.lit("priority:"), F.col("priority").cast("string")))
     return _pack(spark, d).select("chunk_id", "part", F.sha2("chunk", 256).alias("content_hash"), F.char_length("chunk").cast("long").alias("n_chars"), "chunk_role", tags.alias("tags"), "reason")
 
 
-@query("a13_pack_counts", f"{_PACK_SQL} SELECT source, count(*) AS n_chunks, count(DISTINCT doc_id) AS n_artifacts, count(*) FILTER (WHERE reason = 'included') AS n_included, count(*) FILTER (WHERE reason = 'quarantined') AS n_quarantined, count(*) FILTER (WHERE reason = 'priority_excluded') AS n_excluded FROM k GROUP BY source")
+@query("a13_pack_counts",
+        f"{_PACK_SQL} SELECT source, count(*) AS n_chunks, count(DISTINCT doc_id) AS n_artifacts, count(*) FILTER (WHERE reason = 'included') AS n_included, "
+        f"count(*) FILTER (WHERE reason = 'quarantined') AS n_quarantined, count(*) FILTER (WHERE reason = 'priority_excluded') AS n_excluded FROM k GROUP BY "
+        f"source"
+    )
 def _a13(spark, d):  # noqa: ANN001, ANN202
     n = lambda r: F.count_if(F.col("reason") == r)
     return _pack(spark, d).groupBy("source").agg(F.count("*").alias("n_chunks"), F.countDistinct("doc_id").alias("n_artifacts"), n("included").alias("n_included"), n("quarantined").alias("n_quarantined"), n("priority_excluded").alias("n_excluded"))
@@ -117,24 +130,39 @@ def _a13(spark, d):  # noqa: ANN001, ANN202
 _WORDS = ["license", "copyright", "idiot", "the"]
 
 
-@query("x13_registry_rows", f"WITH {_FILES_SQL} SELECT doc_id, path, lane, octet_length(encode(text)) AS size_bytes, sha256(text) AS sha256, array_to_string(list_filter({_WORDS}, lambda p: contains(lower(text), p)), ';') AS keywords, CASE WHEN forbidden <> '' THEN 'replace ' || chr(39) || string_split(forbidden, ';')[1] || chr(39) ELSE '' END AS safe_rewrite FROM f3")
+@query("x13_registry_rows",
+        f"WITH {_FILES_SQL} SELECT doc_id, path, lane, octet_length(encode(text)) AS size_bytes, sha256(text) AS sha256, array_to_string(list_filter({_WORDS}, "
+        f"lambda p: contains(lower(text), p)), ';') AS keywords, CASE WHEN forbidden <> '' THEN 'replace ' || chr(39) || string_split(forbidden, ';')[1] || "
+        f"chr(39) ELSE '' END AS safe_rewrite FROM f3"
+    )
 def _x13(spark, d):  # noqa: ANN001, ANN202
     words = F.array_join(F.filter(F.array(*[F.lit(w) for w in _WORDS]), lambda w: F.contains(F.lower("text"), w)), ";")
     rewrite = F.when(F.col("forbidden") != "", F.concat(F.lit("replace '"), F.get(F.split("forbidden", ";"), F.lit(0)), F.lit("'"))).otherwise("")
     return _files(spark, d).select("doc_id", "path", "lane", F.octet_length("text").cast("long").alias("size_bytes"), F.sha2("text", 256).alias("sha256"), words.alias("keywords"), rewrite.alias("safe_rewrite"))
 
 
-@query("x13_lane_matrix", f"WITH {_FILES_SQL} SELECT lane, stage, count(*) AS n_files, count(*) FILTER (WHERE safety <> 'safe') AS n_risky, count(DISTINCT sha256(text)) AS n_distinct FROM f3 GROUP BY ALL")
+@query("x13_lane_matrix",
+        f"WITH {_FILES_SQL} SELECT lane, stage, count(*) AS n_files, count(*) FILTER (WHERE safety <> 'safe') AS n_risky, count(DISTINCT sha256(text)) AS "
+        f"n_distinct FROM f3 GROUP BY ALL"
+    )
 def _x13b(spark, d):  # noqa: ANN001, ANN202
     return _files(spark, d).groupBy("lane", "stage").agg(F.count("*").alias("n_files"), F.count_if(F.col("safety") != "safe").alias("n_risky"), F.countDistinct(F.sha2("text", 256)).alias("n_distinct"))
 
 
-@query("x14_manifest_with_excludes", f"WITH {_FILES_SQL} SELECT path, sha256(text) AS sha256 FROM files WHERE NOT (path LIKE 'src0/%' OR path LIKE '%.yaml' OR path LIKE '%/en/%\\_notes.txt' ESCAPE '\\')")
+@query("x14_manifest_with_excludes",
+        f"WITH {_FILES_SQL} SELECT path, sha256(text) AS sha256 FROM files WHERE NOT (path LIKE 'src0/%' OR path LIKE '%.yaml' OR path LIKE "
+        f"'%/en/%\\_notes.txt' ESCAPE '\\')"
+    )
 def _x14(spark, d):  # noqa: ANN001, ANN202
     return ct.hash_manifest(_files(spark, d), "path", "text", [r"^src0/", r"\.yaml$", r"/en/[^/]*_notes\.txt$"])
 
 
-@query("x15_cited_sources", "WITH a AS (SELECT conv_id, turn, text || CASE WHEN conv_id % 3 = 0 THEN '' ELSE chr(10) || '## Sources used' || chr(10) || '- `chk_' || conv_id || '` and `doc_' || turn || '`' || CASE WHEN conv_id % 5 = 0 THEN chr(10) || '## Notes' || chr(10) || '`not cited`' ELSE '' END END AS text FROM conversations WHERE role = 'assistant') SELECT conv_id, turn, array_to_string(regexp_extract_all(string_split(split_part(text, '## Sources used' || chr(10), 2), chr(10) || '##')[1], '`([^`]+)`', 1), ',') AS cited FROM a")
+@query("x15_cited_sources",
+        "WITH a AS (SELECT conv_id, turn, text || CASE WHEN conv_id % 3 = 0 THEN '' ELSE chr(10) || '## Sources used' || chr(10) || '- `chk_' || conv_id || '` "
+        "and `doc_' || turn || '`' || CASE WHEN conv_id % 5 = 0 THEN chr(10) || '## Notes' || chr(10) || '`not cited`' ELSE '' END END AS text FROM "
+        "conversations WHERE role = 'assistant') SELECT conv_id, turn, array_to_string(regexp_extract_all(string_split(split_part(text, '## Sources used' || "
+        "chr(10), 2), chr(10) || '##')[1], '`([^`]+)`', 1), ',') AS cited FROM a"
+    )
 def _x15(spark, d):  # noqa: ANN001, ANN202
     c = table(spark, d, "conversations").filter("role = 'assistant'")
     listed = F.concat(F.lit("\n## Sources used\n- `chk_"), F.col("conv_id").cast("string"), F.lit("` and `doc_"), F.col("turn").cast("string"), F.lit("`"), F.when(F.col("conv_id") % 5 == 0, "\n## Notes\n`not cited`").otherwise(""))
@@ -184,7 +212,11 @@ def _p12(spark, d):  # noqa: ANN001, ANN202
 _LICENCES = [("MIT", "safe_to_adapt"), ("ISC", "safe_to_adapt"), ("MPL-2.0", "manual_review"), ("GPL", "blocked")]
 
 
-@query("p12_licences", "WITH l AS (SELECT * FROM (VALUES " + ", ".join(str(v) for v in _LICENCES) + ") t(name, status)), s AS (SELECT s_suppkey, (['MIT', 'ISC', 'MPL-2.0', 'GPL', 'other'])[CAST(s_suppkey % 5 AS INTEGER) + 1] AS name FROM supplier) SELECT s_suppkey, coalesce(status, 'blocked') AS status, coalesce(status, 'blocked') = 'safe_to_adapt' AS can_copy, coalesce(status, 'blocked') <> 'safe_to_adapt' AS needs_review FROM s LEFT JOIN l USING (name)")
+@query("p12_licences", "WITH l AS (SELECT * FROM (VALUES " + ", ".join(str(v) for v in _LICENCES) +
+        ") t(name, status)), s AS (SELECT s_suppkey, (['MIT', 'ISC', 'MPL-2.0', 'GPL', 'other'])[CAST(s_suppkey % 5 AS INTEGER) + 1] AS name FROM supplier) "
+        "SELECT s_suppkey, coalesce(status, 'blocked') AS status, coalesce(status, 'blocked') = 'safe_to_adapt' AS can_copy, coalesce(status, 'blocked') <> "
+        "'safe_to_adapt' AS needs_review FROM s LEFT JOIN l USING (name)"
+    )
 def _p12b(spark, d):  # noqa: ANN001, ANN202
     name = F.get(F.array(*[F.lit(n) for n in ("MIT", "ISC", "MPL-2.0", "GPL", "other")]), (F.col("s_suppkey") % 5).cast("int"))
     s = table(spark, d, "supplier").select("s_suppkey", name.alias("name")).join(F.broadcast(spark.createDataFrame(_LICENCES, "name string, status string")), "name", "left")
@@ -207,14 +239,21 @@ def _p6(spark, d):  # noqa: ANN001, ANN202
     return c.select("s_suppkey", "channel", x.scalp_zone(F.col("channel")).alias("zone"))
 
 
-@query("f2_all_variants", "WITH q AS (SELECT p_brand, p_size % 5 - 2 AS q, p_partkey FROM part), m AS (SELECT p_brand, abs(avg(q)) AS net, avg(abs(q)) AS absolute, avg((abs(q) + 1 - abs(q)) / (abs(q) + 1e-6)) AS rows_ FROM q GROUP BY ALL) SELECT p_brand, round((absolute - net) / (net + 1e-12), 3) AS over_means, round(rows_, 1) AS per_row, round(CASE WHEN absolute = 0 THEN 0 ELSE (absolute - net) / absolute END, 6) AS share FROM m WHERE net > 1e-9")
+@query("f2_all_variants",
+        "WITH q AS (SELECT p_brand, p_size % 5 - 2 AS q, p_partkey FROM part), m AS (SELECT p_brand, abs(avg(q)) AS net, avg(abs(q)) AS absolute, avg((abs(q) "
+        "+ 1 - abs(q)) / (abs(q) + 1e-6)) AS rows_ FROM q GROUP BY ALL) SELECT p_brand, round((absolute - net) / (net + 1e-12), 3) AS over_means, round(rows_, "
+        "1) AS per_row, round(CASE WHEN absolute = 0 THEN 0 ELSE (absolute - net) / absolute END, 6) AS share FROM m WHERE net > 1e-9"
+    )
 def _f2(spark, d):  # noqa: ANN001, ANN202
     q = table(spark, d, "part").select("p_brand", (F.col("p_size") % 5 - 2).alias("q"))
     m = q.groupBy("p_brand").agg(F.abs(F.avg("q")).alias("net"), F.avg(F.abs("q")).alias("absolute"), F.avg(x.excess_winding(F.abs("q") + 1, F.col("q"), 1e-6)).alias("per_row")).filter("net > 1e-9")
     return m.select("p_brand", rounded(x.excess_winding(F.col("absolute"), F.col("net")), 3).alias("over_means"), rounded(F.col("per_row"), 1).alias("per_row"), rounded(x.excess_share(F.col("absolute"), F.col("net"))).alias("share"))
 
 
-@query("f8_path_parts", f"WITH {_FILES_SQL} SELECT doc_id, regexp_extract(path, '([^/]*)$', 1) AS name, regexp_extract(path, '([^/.]*)\\.[^/]*$', 1) AS stem, regexp_extract(path, '(\\.[a-z]+)$', 1) AS extension, regexp_extract(path, '_([a-z]+)(_[a-z]+)?\\.', 1) AS suffix FROM files")
+@query("f8_path_parts",
+        f"WITH {_FILES_SQL} SELECT doc_id, regexp_extract(path, '([^/]*)$', 1) AS name, regexp_extract(path, '([^/.]*)\\.[^/]*$', 1) AS stem, "
+        f"regexp_extract(path, '(\\.[a-z]+)$', 1) AS extension, regexp_extract(path, '_([a-z]+)(_[a-z]+)?\\.', 1) AS suffix FROM files"
+    )
 def _f8(spark, d):  # noqa: ANN001, ANN202
     part = lambda p: F.regexp_extract("path", p, 1)
     return _files(spark, d).select("doc_id", part("([^/]*)$").alias("name"), part(r"([^/.]*)\.[^/]*$").alias("stem"), part(r"(\.[a-z]+)$").alias("extension"), part(r"_([a-z]+)(_[a-z]+)?\.").alias("suffix"))
@@ -237,26 +276,43 @@ _MARKS, _CERTAIN = ["the ", "we "], ["certain", "proven"]
 
 @query(
     "f12_all_scores",
-    "WITH s AS (SELECT conv_id, turn, text, [trim(p) FOR p IN string_split(text, '.') IF trim(p) <> ''] AS parts FROM conversations WHERE role = 'assistant') SELECT conv_id, turn, CASE WHEN len(parts) = 0 THEN 0.0 ELSE round(len(list_filter(parts, lambda p: contains(p, 'the ') OR contains(p, 'we '))) / len(parts), 6) END AS labelled, CASE WHEN contains(text, 'http') THEN 1.0 ELSE 0.0 END AS sources_present, CASE WHEN contains(lower(text), 'certain') OR contains(lower(text), 'proven') THEN 0.0 ELSE 1.0 END AS no_certainty_leak FROM s",
+
+            "WITH s AS (SELECT conv_id, turn, text, [trim(p) FOR p IN string_split(text, '.') IF trim(p) <> ''] AS parts FROM conversations WHERE role = "
+            "'assistant') SELECT conv_id, turn, CASE WHEN len(parts) = 0 THEN 0.0 ELSE round(len(list_filter(parts, lambda p: contains(p, 'the ') OR contains(p, "
+            "'we '))) / len(parts), 6) END AS labelled, CASE WHEN contains(text, 'http') THEN 1.0 ELSE 0.0 END AS sources_present, CASE WHEN contains(lower(text), "
+            "'certain') OR contains(lower(text), 'proven') THEN 0.0 ELSE 1.0 END AS no_certainty_leak FROM s"
+,
 )
 def _f12(spark, d):  # noqa: ANN001, ANN202
     c = table(spark, d, "conversations").filter("role = 'assistant'")
     return c.select("conv_id", "turn", rounded(x.labelled_share(F.col("text"), _MARKS)).alias("labelled"), x.holds(F.col("text"), ["http"]).cast("double").alias("sources_present"), (~x.holds(F.lower("text"), _CERTAIN)).cast("double").alias("no_certainty_leak"))
 
 
-@query("f13_whole_vectors", "WITH e AS (SELECT vec_id, CAST(embedding[1:12] AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT vec_id, avg(abs(v[i] - v[j])) AS gap FROM e, range(1, 13) a(i), range(1, 13) b(j) WHERE i < j GROUP BY vec_id) SELECT vec_id, round(list_sum([abs(v[i] - v[i % 12 + 1]) FOR i IN range(1, 13)]), 4) AS ring, round(gap, 5) AS mean_gap, CAST(220 AS BIGINT) AS n_triples FROM e JOIN p USING (vec_id)")
+@query("f13_whole_vectors",
+        "WITH e AS (SELECT vec_id, CAST(embedding[1:12] AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT vec_id, avg(abs(v[i] - v[j])) AS gap FROM e, range(1, "
+        "13) a(i), range(1, 13) b(j) WHERE i < j GROUP BY vec_id) SELECT vec_id, round(list_sum([abs(v[i] - v[i % 12 + 1]) FOR i IN range(1, 13)]), 4) AS "
+        "ring, round(gap, 5) AS mean_gap, CAST(220 AS BIGINT) AS n_triples FROM e JOIN p USING (vec_id)"
+    )
 def _f13(spark, d):  # noqa: ANN001, ANN202
     e = table(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 12), lambda v: v.cast("double")).alias("v"))
     return e.select("vec_id", rounded(x.ring_sum("v"), 4).alias("ring"), rounded(x.mean_pair_gap("v"), 5).alias("mean_gap"), x.choose_three(F.size("v")).alias("n_triples"))
 
 
-@query("f15_even_grid", "WITH r AS (SELECT event_type, min(value) AS lo, max(value) AS hi FROM events GROUP BY ALL) SELECT event_type, CAST(i AS INTEGER) AS i, round(lo + (hi - lo) * i / 9, 6) AS point FROM r, range(10) g(i)")
+@query("f15_even_grid",
+        "WITH r AS (SELECT event_type, min(value) AS lo, max(value) AS hi FROM events GROUP BY ALL) SELECT event_type, CAST(i AS INTEGER) AS i, round(lo + (hi "
+        "- lo) * i / 9, 6) AS point FROM r, range(10) g(i)"
+    )
 def _f15(spark, d):  # noqa: ANN001, ANN202
     r = table(spark, d, "events").groupBy("event_type").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     return r.select("event_type", F.posexplode(x.even_grid(F.col("lo"), F.col("hi"), 10)).alias("i", "point")).withColumn("point", rounded(F.col("point")))
 
 
-@query("a20_alignment_counts", "WITH s AS (SELECT event_type AS file, user_id, count(*) AS n, min(ts) AS lo, max(ts) AS hi FROM events GROUP BY ALL), m AS (SELECT file, max(n) AS full_ FROM s GROUP BY ALL) SELECT file, count(*) AS n_channels, count(*) FILTER (WHERE n = full_) AS n_full, count(*) FILTER (WHERE n < 0.5 * full_) AS n_short, CASE WHEN count(*) FILTER (WHERE n < 0.5 * full_) > 0 THEN 'misaligned' ELSE 'aligned' END AS status FROM s JOIN m USING (file) GROUP BY file")
+@query("a20_alignment_counts",
+        "WITH s AS (SELECT event_type AS file, user_id, count(*) AS n, min(ts) AS lo, max(ts) AS hi FROM events GROUP BY ALL), m AS (SELECT file, max(n) AS "
+        "full_ FROM s GROUP BY ALL) SELECT file, count(*) AS n_channels, count(*) FILTER (WHERE n = full_) AS n_full, count(*) FILTER (WHERE n < 0.5 * full_) "
+        "AS n_short, CASE WHEN count(*) FILTER (WHERE n < 0.5 * full_) > 0 THEN 'misaligned' ELSE 'aligned' END AS status FROM s JOIN m USING (file) GROUP BY "
+        "file"
+    )
 def _a20(spark, d):  # noqa: ANN001, ANN202
     s = table(spark, d, "events").groupBy(F.col("event_type").alias("file"), "user_id").agg(F.count("*").alias("n"))
     s = s.join(s.groupBy("file").agg(F.max("n").alias("most")), "file")
@@ -302,13 +358,22 @@ def _profiles(spark, d):  # noqa: ANN001, ANN202
 
 @query(
     "d2_contract_drafts",
-    f"WITH {_D2_SQL} SELECT source, first_col AS explicit_label_column, CASE WHEN n_candidates = 0 THEN 'blocked_no_candidate_column' WHEN n_binary = 0 THEN 'blocked_needs_explicit_mapping' ELSE 'inactive_review_required' END AS status, coalesce(vals, '') AS unresolved_values, concat_ws(';', CASE WHEN n_candidates = 0 THEN 'explicit_label_column_required' END, CASE WHEN n_candidates > 1 THEN 'choose_label_column' END, CASE WHEN vals IS NOT NULL THEN 'declare_positive_and_negative_values' END, 'verify_join_keys') AS blockers FROM g",
+
+            f"WITH {_D2_SQL} SELECT source, first_col AS explicit_label_column, CASE WHEN n_candidates = 0 THEN 'blocked_no_candidate_column' WHEN n_binary = 0 "
+            f"THEN 'blocked_needs_explicit_mapping' ELSE 'inactive_review_required' END AS status, coalesce(vals, '') AS unresolved_values, concat_ws(';', CASE "
+            f"WHEN n_candidates = 0 THEN 'explicit_label_column_required' END, CASE WHEN n_candidates > 1 THEN 'choose_label_column' END, CASE WHEN vals IS NOT "
+            f"NULL THEN 'declare_positive_and_negative_values' END, 'verify_join_keys') AS blockers FROM g"
+,
 )
 def _d2(spark, d):  # noqa: ANN001, ANN202
     return ct.contract_drafts(_profiles(spark, d), "source")
 
 
-@query("d9_readiness_and_drafts", f"WITH {_D2_SQL} SELECT source, n_candidates, n_binary, CASE WHEN n_candidates = 0 THEN 'no_candidate_label_column' WHEN n_binary = 0 THEN 'needs_explicit_mapping' ELSE 'adapter_ready' END AS readiness, CASE WHEN n_candidates > 0 AND n_binary > 0 THEN 'draft for ' || source || ' on ' || first_col END AS draft FROM g")
+@query("d9_readiness_and_drafts",
+        f"WITH {_D2_SQL} SELECT source, n_candidates, n_binary, CASE WHEN n_candidates = 0 THEN 'no_candidate_label_column' WHEN n_binary = 0 THEN "
+        f"'needs_explicit_mapping' ELSE 'adapter_ready' END AS readiness, CASE WHEN n_candidates > 0 AND n_binary > 0 THEN 'draft for ' || source || ' on ' || "
+        f"first_col END AS draft FROM g"
+    )
 def _d9(spark, d):  # noqa: ANN001, ANN202
     g = _profiles(spark, d)
     ready = F.when(F.col("n_candidates") == 0, "no_candidate_label_column").when(F.col("n_binary") == 0, "needs_explicit_mapping").otherwise("adapter_ready")
@@ -321,7 +386,12 @@ _D3_SQL = """dec AS (SELECT c_custkey, CASE WHEN c_custkey % 17 = 0 THEN ' ' ELS
 
 @query(
     "d3_declarations",
-    f"WITH {_D3_SQL} SELECT c_custkey, concat_ws('; ', CASE WHEN trim(label_column) = '' THEN 'label column is empty' END, CASE WHEN positive = negative THEN 'values overlap' END, CASE WHEN scope = 'galaxy' THEN 'unsupported scope' END, CASE WHEN lower(trim(provenance)) = 'unknown' THEN 'provenance is unknown' END, CASE WHEN c_comment_len < 20 THEN 'justification is short' END) AS errors, CASE WHEN statuses IS NULL THEN 'no proposal' WHEN NOT contains(statuses, positive) THEN 'positive value not in data' ELSE 'consistent' END AS cross_check FROM dec LEFT JOIN seen USING (c_custkey)",
+
+            f"WITH {_D3_SQL} SELECT c_custkey, concat_ws('; ', CASE WHEN trim(label_column) = '' THEN 'label column is empty' END, CASE WHEN positive = negative "
+            f"THEN 'values overlap' END, CASE WHEN scope = 'galaxy' THEN 'unsupported scope' END, CASE WHEN lower(trim(provenance)) = 'unknown' THEN 'provenance is "
+            f"unknown' END, CASE WHEN c_comment_len < 20 THEN 'justification is short' END) AS errors, CASE WHEN statuses IS NULL THEN 'no proposal' WHEN NOT "
+            f"contains(statuses, positive) THEN 'positive value not in data' ELSE 'consistent' END AS cross_check FROM dec LEFT JOIN seen USING (c_custkey)"
+,
 )
 def _d3(spark, d):  # noqa: ANN001, ANN202
     k = F.col("c_custkey")
@@ -343,7 +413,12 @@ _D4_SQL = f"""{_FILES_SQL}, st AS (SELECT source, count(*) AS n_files, count(DIS
 
 @query(
     "d4_execution_matrix",
-    f"WITH {_D4_SQL} SELECT source, n_files > 0 AS has_data, n_contracts > 0 AS has_contract, n_metrics > 0 AS has_metrics, coalesce(classes, 0) = 2 AS has_targets, CASE WHEN n_contracts = 0 THEN 'write contract' WHEN coalesce(n_labels, 0) = 0 THEN 'collect labels' WHEN classes < 2 THEN 'add the other class' WHEN n_unsafe > 0.1 * n_files THEN 'review unsafe texts' WHEN n_metrics = 0 THEN 'compute metrics' ELSE 'run benchmark' END AS next_action FROM st LEFT JOIN lb USING (source)",
+
+            f"WITH {_D4_SQL} SELECT source, n_files > 0 AS has_data, n_contracts > 0 AS has_contract, n_metrics > 0 AS has_metrics, coalesce(classes, 0) = 2 AS "
+            f"has_targets, CASE WHEN n_contracts = 0 THEN 'write contract' WHEN coalesce(n_labels, 0) = 0 THEN 'collect labels' WHEN classes < 2 THEN 'add the "
+            f"other class' WHEN n_unsafe > 0.1 * n_files THEN 'review unsafe texts' WHEN n_metrics = 0 THEN 'compute metrics' ELSE 'run benchmark' END AS "
+            f"next_action FROM st LEFT JOIN lb USING (source)"
+,
 )
 def _d4(spark, d):  # noqa: ANN001, ANN202
     n = lambda c: F.count_if(c)
@@ -357,13 +432,23 @@ def _d4(spark, d):  # noqa: ANN001, ANN202
     return j.select("source", (F.col("n_files") > 0).alias("has_data"), (F.col("n_contracts") > 0).alias("has_contract"), (F.col("n_metrics") > 0).alias("has_metrics"), (F.col("classes") == 2).alias("has_targets"), action.alias("next_action"))
 
 
-@query("d5_evidence_packet", f"WITH {_FILES_SQL} SELECT stage AS artifact_type, regexp_extract(path, '(\\.[a-z]+)$', 1) AS extension, count(*) AS n, CAST(sum(octet_length(encode(text))) AS BIGINT) AS n_bytes, count(DISTINCT sha256(text)) AS n_distinct, count(*) FILTER (WHERE safety = 'safe') AS n_safe, min(path) AS first_path FROM f3 GROUP BY ALL")
+@query("d5_evidence_packet",
+        f"WITH {_FILES_SQL} SELECT stage AS artifact_type, regexp_extract(path, '(\\.[a-z]+)$', 1) AS extension, count(*) AS n, "
+        f"CAST(sum(octet_length(encode(text))) AS BIGINT) AS n_bytes, count(DISTINCT sha256(text)) AS n_distinct, count(*) FILTER (WHERE safety = 'safe') AS "
+        f"n_safe, min(path) AS first_path FROM f3 GROUP BY ALL"
+    )
 def _d5(spark, d):  # noqa: ANN001, ANN202
     g = _files(spark, d).groupBy(F.col("stage").alias("artifact_type"), F.regexp_extract("path", r"(\.[a-z]+)$", 1).alias("extension"))
     return g.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).cast("long").alias("n_bytes"), F.countDistinct(F.sha2("text", 256)).alias("n_distinct"), F.count_if(F.col("safety") == "safe").alias("n_safe"), F.min("path").alias("first_path"))
 
 
-_D7_SQL = "SELECT source, 'has_rows' AS check_name, count(*) >= 5 AS ok FROM documents GROUP BY source UNION ALL SELECT source, 'texts_filled', count(*) FILTER (WHERE coalesce(trim(text), '') = '') <= 0.1 * count(*) FROM documents GROUP BY source UNION ALL SELECT source, 'labels_cover', count(l.doc_id) >= 0.2 * count(*) FROM documents LEFT JOIN labels l USING (doc_id) GROUP BY source UNION ALL SELECT source, 'two_classes', count(DISTINCT toxic) = 2 FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source UNION ALL SELECT source, 'sizes_agree', count(*) FILTER (WHERE n_chars <> length(text)) = 0 FROM documents GROUP BY source"
+_D7_SQL = (
+        "SELECT source, 'has_rows' AS check_name, count(*) >= 5 AS ok FROM documents GROUP BY source UNION ALL SELECT source, 'texts_filled', count(*) FILTER "
+        "(WHERE coalesce(trim(text), '') = '') <= 0.1 * count(*) FROM documents GROUP BY source UNION ALL SELECT source, 'labels_cover', count(l.doc_id) >= "
+        "0.2 * count(*) FROM documents LEFT JOIN labels l USING (doc_id) GROUP BY source UNION ALL SELECT source, 'two_classes', count(DISTINCT toxic) = 2 "
+        "FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source UNION ALL SELECT source, 'sizes_agree', count(*) FILTER (WHERE n_chars <> "
+        "length(text)) = 0 FROM documents GROUP BY source"
+)
 
 
 def _checks(spark, d):  # noqa: ANN001, ANN202
@@ -389,7 +474,11 @@ def _d7b(spark, d):  # noqa: ANN001, ANN202
 # --- sources and sinks ---------------------------------------------------------------------------------------------------
 
 
-@query("s4_page_files", r"SELECT page_id, 'doc_' || sha256('page-' || page_id || '.md')[1:16] AS doc_key, coalesce(nullif(trim(url), ''), 'page-' || page_id) AS title, len(regexp_extract_all(coalesce(html, ''), '<h[1-6][ >]')) AS n_headings, length(coalesce(html, '')) AS n_chars, CASE WHEN contains(url, '/en/') THEN 'english' WHEN contains(url, 'blog') THEN 'blog' ELSE 'other' END AS kind FROM pages")
+@query("s4_page_files",
+        r"SELECT page_id, 'doc_' || sha256('page-' || page_id || '.md')[1:16] AS doc_key, coalesce(nullif(trim(url), ''), 'page-' || page_id) AS title, "
+        r"len(regexp_extract_all(coalesce(html, ''), '<h[1-6][ >]')) AS n_headings, length(coalesce(html, '')) AS n_chars, CASE WHEN contains(url, '/en/') THEN "
+        r"'english' WHEN contains(url, 'blog') THEN 'blog' ELSE 'other' END AS kind FROM pages"
+    )
 def _s4(spark, d):  # noqa: ANN001, ANN202
     path = shared_path(spark, "pages")
     body = F.concat(F.lit("# "), F.coalesce("url", F.lit("")), F.lit("\n"), F.coalesce("html", F.lit("")))
@@ -404,7 +493,11 @@ def _s4(spark, d):  # noqa: ANN001, ANN202
     )
 
 
-@query("s8_run_log", "SELECT 'run' AS kind, event_type AS name, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL UNION ALL SELECT 'metric', event_type || '.max', count(*), round(max(value), 4) FROM events GROUP BY event_type UNION ALL SELECT 'artifact', source, count(*), CAST(sum(n_chars) AS DOUBLE) FROM documents GROUP BY source UNION ALL SELECT 'sensor', CAST(user_id AS VARCHAR), count(*), round(sum(value), 4) FROM events GROUP BY user_id")
+@query("s8_run_log",
+        "SELECT 'run' AS kind, event_type AS name, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL UNION ALL SELECT 'metric', event_type "
+        "|| '.max', count(*), round(max(value), 4) FROM events GROUP BY event_type UNION ALL SELECT 'artifact', source, count(*), CAST(sum(n_chars) AS DOUBLE) "
+        "FROM documents GROUP BY source UNION ALL SELECT 'sensor', CAST(user_id AS VARCHAR), count(*), round(sum(value), 4) FROM events GROUP BY user_id"
+    )
 def _s8(spark, d):  # noqa: ANN001, ANN202
     path, e = shared_path(spark, "runs"), table(spark, d, "events")
     log = lambda kind, df, name, total: df.groupBy(name.alias("name")).agg(F.count("*").alias("n"), total.alias("total")).select(F.lit(kind).alias("kind"), "name", "n", "total")
@@ -420,7 +513,10 @@ def _s8(spark, d):  # noqa: ANN001, ANN202
 _TWO = "a AS (SELECT doc_id, lang AS v FROM documents WHERE doc_id % 10 <> 3), b AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN lang || '!' ELSE lang END AS v FROM documents WHERE doc_id % 10 <> 5)"
 
 
-@query("s9_upsert", f"WITH {_TWO} SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(b.v, a.v) AS v, CASE WHEN b.doc_id IS NULL THEN 'untouched' WHEN a.doc_id IS NULL THEN 'insert' WHEN a.v <> b.v THEN 'update' ELSE 'unchanged' END AS action FROM a FULL JOIN b ON a.doc_id = b.doc_id")
+@query("s9_upsert",
+        f"WITH {_TWO} SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(b.v, a.v) AS v, CASE WHEN b.doc_id IS NULL THEN 'untouched' WHEN a.doc_id IS NULL "
+        f"THEN 'insert' WHEN a.v <> b.v THEN 'update' ELSE 'unchanged' END AS action FROM a FULL JOIN b ON a.doc_id = b.doc_id"
+    )
 def _s9(spark, d):  # noqa: ANN001, ANN202
     docs = table(spark, d, "documents")
     path = shared_path(spark, "upsert")
@@ -429,7 +525,10 @@ def _s9(spark, d):  # noqa: ANN001, ANN202
     return checkpointed(ct.upsert(spark.read.parquet(path), incoming, "doc_id", "v"), "upserted")
 
 
-@query("s10_resumed_batch", "SELECT user_id AS subject, count(*) AS n_rows, round(sum(value), 4) AS total, CASE WHEN count(*) < 50 THEN 'error: too few rows' ELSE 'done' END AS status, CASE WHEN user_id % 3 = 0 THEN 1 ELSE 2 END AS run FROM events GROUP BY user_id")
+@query("s10_resumed_batch",
+        "SELECT user_id AS subject, count(*) AS n_rows, round(sum(value), 4) AS total, CASE WHEN count(*) < 50 THEN 'error: too few rows' ELSE 'done' END AS "
+        "status, CASE WHEN user_id % 3 = 0 THEN 1 ELSE 2 END AS run FROM events GROUP BY user_id"
+    )
 def _s10(spark, d):  # noqa: ANN001, ANN202
     e = table(spark, d, "events").select(F.col("user_id").alias("subject"), "value")
     path = shared_path(spark, "batch")
@@ -438,7 +537,11 @@ def _s10(spark, d):  # noqa: ANN001, ANN202
     return spark.read.parquet(path).select("subject", "n_rows", rounded(F.col("total"), 4).alias("total"), "status", "run")
 
 
-@query("s13_stage_inventory", "SELECT 'documents' AS stage, count(*) AS n_rows, count(*) FILTER (WHERE doc_id IS NULL OR text IS NULL) AS n_incomplete FROM documents UNION ALL SELECT 'labels', count(*), count(*) FILTER (WHERE quality IS NULL OR toxic IS NULL) FROM labels UNION ALL SELECT 'pages', count(*), count(*) FILTER (WHERE html IS NULL) FROM pages UNION ALL SELECT 'events', count(*), count(*) FILTER (WHERE ts IS NULL OR value IS NULL) FROM events")
+@query("s13_stage_inventory",
+        "SELECT 'documents' AS stage, count(*) AS n_rows, count(*) FILTER (WHERE doc_id IS NULL OR text IS NULL) AS n_incomplete FROM documents UNION ALL "
+        "SELECT 'labels', count(*), count(*) FILTER (WHERE quality IS NULL OR toxic IS NULL) FROM labels UNION ALL SELECT 'pages', count(*), count(*) FILTER "
+        "(WHERE html IS NULL) FROM pages UNION ALL SELECT 'events', count(*), count(*) FILTER (WHERE ts IS NULL OR value IS NULL) FROM events"
+    )
 def _s13(spark, d):  # noqa: ANN001, ANN202
     from phaseloom.sources.readers import checked
 
@@ -458,7 +561,11 @@ _ASOF_SQL = """probes AS (SELECT user_id, event_id, value AS rating, epoch(ts) A
 
 @query(
     "j16_rated_epochs",
-    f"WITH {_ASOF_SQL} SELECT pr.event_id, any_value(c_mktsegment) AS group_, round(any_value(rating), 6) AS rating, count(e.event_id) AS n, round(avg(e.value), 6) AS mean_v FROM pr LEFT JOIN customer ON c_custkey = pr.user_id LEFT JOIN events e ON e.user_id = pr.user_id AND e.event_type = 'click' AND epoch(e.ts) > pr.p AND epoch(e.ts) <= pr.t GROUP BY pr.event_id",
+
+            f"WITH {_ASOF_SQL} SELECT pr.event_id, any_value(c_mktsegment) AS group_, round(any_value(rating), 6) AS rating, count(e.event_id) AS n, "
+            f"round(avg(e.value), 6) AS mean_v FROM pr LEFT JOIN customer ON c_custkey = pr.user_id LEFT JOIN events e ON e.user_id = pr.user_id AND e.event_type = "
+            f"'click' AND epoch(e.ts) > pr.p AND epoch(e.ts) <= pr.t GROUP BY pr.event_id"
+,
 )
 def _j16(spark, d):  # noqa: ANN001, ANN202
     e = table(spark, d, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)

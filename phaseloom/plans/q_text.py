@@ -31,24 +31,41 @@ def _phrases(spark, d):  # noqa: ANN001, ANN202
     return table(spark, d, "benchmark").select(p.alias("phrase")).filter("phrase <> ''").distinct()
 
 
-@query("x2_chunks", r"WITH c AS (SELECT doc_id, text, unnest(range(0, CASE WHEN length(text) <= 1200 THEN 1 ELSE CAST(ceil((length(text) - 1200) / 1050) AS BIGINT) + 1 END)) AS part FROM documents), s AS (SELECT doc_id, CAST(part AS INTEGER) AS part, regexp_replace(substring(text, part * 1050 + 1, 1200), '^\s+|\s+$', '', 'g') AS chunk FROM c) SELECT doc_id, part, 'chk_' || sha256(doc_id || '|' || part)[1:16] AS chunk_id, length(chunk) AS n_chars FROM s WHERE chunk <> ''")
+@query("x2_chunks",
+        r"WITH c AS (SELECT doc_id, text, unnest(range(0, CASE WHEN length(text) <= 1200 THEN 1 ELSE CAST(ceil((length(text) - 1200) / 1050) AS BIGINT) + 1 "
+        r"END)) AS part FROM documents), s AS (SELECT doc_id, CAST(part AS INTEGER) AS part, regexp_replace(substring(text, part * 1050 + 1, 1200), "
+        r"'^\s+|\s+$', '', 'g') AS chunk FROM c) SELECT doc_id, part, 'chk_' || sha256(doc_id || '|' || part)[1:16] AS chunk_id, length(chunk) AS n_chars FROM "
+        r"s WHERE chunk <> ''"
+    )
 def _x2(spark, d):  # noqa: ANN001, ANN202
     c = rt.chunks(table(spark, d, "documents"), "doc_id", "text")
     return c.select(F.col("id").alias("doc_id"), "part", "chunk_id", F.char_length("chunk").cast("long").alias("n_chars"))
 
 
-@query("x5_phrase_scan", f"WITH {_PHRASES}, h AS (SELECT doc_id, string_agg(phrase, ';' ORDER BY phrase) AS hits FROM documents JOIN phrases ON contains({_FLAT}, phrase) GROUP BY doc_id) SELECT d.doc_id, CASE WHEN hits IS NULL THEN 'clean' ELSE 'flagged' END AS status, coalesce(hits, '') AS hits FROM documents d LEFT JOIN h USING (doc_id)")
+@query("x5_phrase_scan",
+        f"WITH {_PHRASES}, h AS (SELECT doc_id, string_agg(phrase, ';' ORDER BY phrase) AS hits FROM documents JOIN phrases ON contains({_FLAT}, phrase) GROUP "
+        f"BY doc_id) SELECT d.doc_id, CASE WHEN hits IS NULL THEN 'clean' ELSE 'flagged' END AS status, coalesce(hits, '') AS hits FROM documents d LEFT JOIN h "
+        f"USING (doc_id)"
+    )
 def _x5(spark, d):  # noqa: ANN001, ANN202
     s = rt.phrase_scan(table(spark, d, "documents"), _phrases(spark, d), "doc_id", "text")
     return s.select(F.col("id").alias("doc_id"), "status", F.array_join("hits", ";").alias("hits"))
 
 
-@query("x6_line_hits", f"WITH {_PHRASES}, l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, phrase, line[1:240] AS excerpt FROM l JOIN phrases ON contains({_FLAT.replace('text', 'line')}, phrase)")
+@query("x6_line_hits",
+        f"WITH {_PHRASES}, l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line_no, unnest(string_split(text, chr(10))) AS line "
+        f"FROM documents) SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, phrase, line[1:240] AS excerpt FROM l JOIN phrases ON "
+        f"contains({_FLAT.replace('text', 'line')}, phrase)"
+    )
 def _x6(spark, d):  # noqa: ANN001, ANN202
     return rt.line_hits(table(spark, d, "documents"), _phrases(spark, d), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
-@query("x7_numbered_claims", r"WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS claim_no, sha256(lower(trim(regexp_replace(line, '\s+', ' ', 'g')))) AS claim_hash, CASE WHEN length(line) > 200 THEN 'long' ELSE 'short' END AS tier FROM l WHERE contains(line, 'idiot') OR contains(line, '@')")
+@query("x7_numbered_claims",
+        r"WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line FROM documents) "
+        r"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS claim_no, sha256(lower(trim(regexp_replace(line, '\s+', ' ', 'g')))) AS "
+        r"claim_hash, CASE WHEN length(line) > 200 THEN 'long' ELSE 'short' END AS tier FROM l WHERE contains(line, 'idiot') OR contains(line, '@')"
+    )
 def _x7(spark, d):  # noqa: ANN001, ANN202
     return rt.claims(table(spark, d, "documents"), "doc_id", "text", ["idiot", "@"]).withColumnRenamed("id", "doc_id").select("doc_id", "claim_no", F.sha2(x.collapse(F.col("line")), 256).alias("claim_hash"), F.when(F.char_length("line") > 200, "long").otherwise("short").alias("tier"))
 
@@ -57,7 +74,10 @@ _TOK = r"regexp_split_to_array(lower(coalesce(text, '')), '[^\wÀ-ɏ]+')"
 _POSTS = (
     f"tok AS (SELECT doc_id, unnest(list_filter({_TOK}, lambda t: length(t) > 1)) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY doc_id, term), "
     "posts AS (SELECT doc_id, term, tf, sum(tf) OVER (PARTITION BY doc_id) AS dl FROM tf), nd AS (SELECT count(*) AS n FROM documents), dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term), "
-    "stats AS (SELECT term, df, ln((n - df + CAST(0.5 AS DOUBLE)) / (df + CAST(0.5 AS DOUBLE)) + 1) AS idf FROM dfs, nd), tot AS (SELECT sum(tf) AS total FROM tf), len_ AS (SELECT total / n AS avg_dl FROM tot, nd)"
+
+            "stats AS (SELECT term, df, ln((n - df + CAST(0.5 AS DOUBLE)) / (df + CAST(0.5 AS DOUBLE)) + 1) AS idf FROM dfs, nd), tot AS (SELECT sum(tf) AS total "
+            "FROM tf), len_ AS (SELECT total / n AS avg_dl FROM tot, nd)"
+
 )
 
 
@@ -76,8 +96,16 @@ def _x8(spark, d):  # noqa: ANN001, ANN202
     return _index(spark, d)[1].select("term", "df", rounded(F.col("idf")).alias("idf"))
 
 
-_QUERIES = "q AS (SELECT conv_id AS query_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations WHERE role = 'user' AND conv_id % 50 = 0 GROUP BY conv_id), qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(list_filter(" + _TOK + ", lambda t: length(t) > 1)) AS term FROM q) GROUP BY ALL)"
-_SCORES = f"WITH {_POSTS}, {_QUERIES}, s AS (SELECT query_id, doc_id, sum(times * idf * tf * CAST(2.5 AS DOUBLE) / (tf + CAST(1.5 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * dl / avg_dl))) AS score FROM posts JOIN qt USING (term) JOIN stats USING (term), len_ GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 8) DESC, doc_id) AS rank FROM s)"
+_QUERIES = (
+        "q AS (SELECT conv_id AS query_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations WHERE role = 'user' AND conv_id % 50 = 0 GROUP BY "
+        "conv_id), qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(list_filter("
+ + _TOK + ", lambda t: length(t) > 1)) AS term FROM q) GROUP BY ALL)"
+)
+_SCORES = (
+        f"WITH {_POSTS}, {_QUERIES}, s AS (SELECT query_id, doc_id, sum(times * idf * tf * CAST(2.5 AS DOUBLE) / (tf + CAST(1.5 AS DOUBLE) * (CAST(0.25 AS "
+        f"DOUBLE) + CAST(0.75 AS DOUBLE) * dl / avg_dl))) AS score FROM posts JOIN qt USING (term) JOIN stats USING (term), len_ GROUP BY ALL), r AS (SELECT *, "
+        f"row_number() OVER (PARTITION BY query_id ORDER BY round(score, 8) DESC, doc_id) AS rank FROM s)"
+)
 
 
 def _questions(spark, d):  # noqa: ANN001, ANN202
@@ -102,7 +130,12 @@ def _t1(spark, d):  # noqa: ANN001, ANN202
     return _bm25(spark, d).filter("score > 0").select("query_id", F.col("id").alias("doc_id"), F.col("rank").cast("long"), rounded(F.col("score"), 5).alias("score"))
 
 
-_CHUNKS = r"chunk AS (SELECT * FROM (SELECT doc_id, source, lang, part, regexp_replace(substring(text, part * 1050 + 1, 1200), '^\s+|\s+$', '', 'g') AS text FROM (SELECT doc_id, source, lang, text, unnest(range(0, CASE WHEN length(text) <= 1200 THEN 1 ELSE CAST(ceil((length(text) - 1200) / 1050) AS BIGINT) + 1 END)) AS part FROM documents)) WHERE text <> ''), piece AS (SELECT doc_id || '/' || part AS doc_id, source, lang, text, 'chk_' || sha256(doc_id || '|' || part)[1:16] AS chunk_id FROM chunk)"
+_CHUNKS = (
+        r"chunk AS (SELECT * FROM (SELECT doc_id, source, lang, part, regexp_replace(substring(text, part * 1050 + 1, 1200), '^\s+|\s+$', '', 'g') AS text FROM "
+        r"(SELECT doc_id, source, lang, text, unnest(range(0, CASE WHEN length(text) <= 1200 THEN 1 ELSE CAST(ceil((length(text) - 1200) / 1050) AS BIGINT) + 1 "
+        r"END)) AS part FROM documents)) WHERE text <> ''), piece AS (SELECT doc_id || '/' || part AS doc_id, source, lang, text, 'chk_' || sha256(doc_id || "
+        r"'|' || part)[1:16] AS chunk_id FROM chunk)"
+)
 _PIECES = f"WITH {_CHUNKS}, {_SCORES.removeprefix('WITH ').replace('documents', 'piece')}, k AS (SELECT query_id, rank, piece.* FROM r JOIN piece USING (doc_id) WHERE rank <= 5 AND score > 0)"
 
 
@@ -122,7 +155,13 @@ _HEADER = "--- [{lang}] {source} | (root) ---"
 _MUST, _MUST_NOT = ["[", "the"], ["idiot", "<script"]
 
 
-@query("x11_retrieval_coverage", f"{_PIECES}, c AS (SELECT query_id, count(*) AS n_sources, count(DISTINCT source) AS n_distinct, lower(string_agg('--- [' || lang || '] ' || source || ' | (root) ---' || chr(10) || text, chr(10) || chr(10) ORDER BY rank)) AS prompt FROM k GROUP BY query_id), f AS (SELECT query_id, n_sources, n_distinct, list_filter(list_concat([CASE WHEN n_sources < 3 THEN 'min_sources' END], [CASE WHEN NOT contains(prompt, t) THEN 'missing ' || t END FOR t IN ['[', 'the']], [CASE WHEN contains(prompt, t) THEN 'found ' || t END FOR t IN ['idiot', '<script']]), lambda x: x IS NOT NULL) AS failures FROM c) SELECT query_id, n_sources, n_distinct, array_to_string(failures, '; ') AS failures, len(failures) = 0 AS passed FROM f")
+@query("x11_retrieval_coverage",
+        f"{_PIECES}, c AS (SELECT query_id, count(*) AS n_sources, count(DISTINCT source) AS n_distinct, lower(string_agg('--- [' || lang || '] ' || source || "
+        f"' | (root) ---' || chr(10) || text, chr(10) || chr(10) ORDER BY rank)) AS prompt FROM k GROUP BY query_id), f AS (SELECT query_id, n_sources, "
+        f"n_distinct, list_filter(list_concat([CASE WHEN n_sources < 3 THEN 'min_sources' END], [CASE WHEN NOT contains(prompt, t) THEN 'missing ' || t END FOR "
+        f"t IN ['[', 'the']], [CASE WHEN contains(prompt, t) THEN 'found ' || t END FOR t IN ['idiot', '<script']]), lambda x: x IS NOT NULL) AS failures FROM "
+        f"c) SELECT query_id, n_sources, n_distinct, array_to_string(failures, '; ') AS failures, len(failures) = 0 AS passed FROM f"
+    )
 def _x11(spark, d):  # noqa: ANN001, ANN202
     k = _retrieved(spark, d)
     c = k.groupBy("query_id").agg(F.count("*").alias("n_sources"), F.countDistinct("source").alias("n_distinct"))
@@ -133,19 +172,31 @@ def _x11(spark, d):  # noqa: ANN001, ANN202
     return c.select("query_id", "n_sources", "n_distinct", F.array_join("failures", "; ").alias("failures"), (F.size("failures") == 0).alias("passed"))
 
 
-@query("x12_context", f"{_PIECES} SELECT query_id, string_agg('--- [' || lang || '] ' || source || ' | (root) ---' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context, '## Sources used' || chr(10) || string_agg('- **' || source || '** (`' || doc_id || '`)' || chr(10) || '  - chunk `' || chunk_id || '` — (root)', chr(10) ORDER BY rank) AS sources FROM k GROUP BY query_id")
+@query("x12_context",
+        f"{_PIECES} SELECT query_id, string_agg('--- [' || lang || '] ' || source || ' | (root) ---' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS "
+        f"context, '## Sources used' || chr(10) || string_agg('- **' || source || '** (`' || doc_id || '`)' || chr(10) || '  - chunk `' || chunk_id || '` — "
+        f"(root)', chr(10) ORDER BY rank) AS sources FROM k GROUP BY query_id"
+    )
 def _x12(spark, d):  # noqa: ANN001, ANN202
     k = _retrieved(spark, d)
     return rt.context(k, "query_id", "rank", _HEADER, "text").join(rt.source_list(k, "query_id", "rank"), "query_id")
 
 
-@query("x10_cosine", "WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 50 = 0) SELECT query_id, vec_id, round(list_cosine_similarity(CAST(e AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 5) + 0.0 AS similarity FROM embeddings, q")
+@query("x10_cosine",
+        "WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 50 = 0) SELECT query_id, vec_id, "
+        "round(list_cosine_similarity(CAST(e AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 5) + 0.0 AS similarity FROM embeddings, q"
+    )
 def _x10(spark, d):  # noqa: ANN001, ANN202
     s = rt.cosine_scores(table(spark, d, "embeddings"), "vec_id", "embedding", "vec_id % 50 = 0")
     return s.select("query_id", "vec_id", rounded(F.col("similarity"), 5).alias("similarity"))
 
 
-@query("t2_cosine_top_k", "WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id, round(list_cosine_similarity(CAST(e AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS s FROM embeddings, q WHERE vec_id <> query_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, rank, s AS similarity FROM r WHERE rank <= 10")
+@query("t2_cosine_top_k",
+        "WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id, "
+        "round(list_cosine_similarity(CAST(e AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS s FROM embeddings, q WHERE vec_id <> query_id), r AS (SELECT *, "
+        "row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, rank, s AS similarity FROM r WHERE rank <= "
+        "10"
+    )
 def _t2(spark, d):  # noqa: ANN001, ANN202
     s = rt.cosine_scores(table(spark, d, "embeddings"), "vec_id", "embedding", "vec_id % 50 = 0")
     s = s.filter("vec_id <> query_id").select("query_id", "vec_id", F.round("similarity", 6).alias("s"))
@@ -155,22 +206,44 @@ def _t2(spark, d):  # noqa: ANN001, ANN202
 _LEVELS = range(1, 7)
 
 
-@query("x1_heading_sections", r"WITH p AS (SELECT page_id, string_split(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style)[ >].*?</(script|style)>', ' ', 'g'), '(?i)<h([1-6])([ >])', chr(1) || '\1\2', 'g'), chr(1)) AS parts FROM pages), s AS (SELECT page_id, generate_subscripts(parts, 1) - 1 AS section, unnest(parts) AS part FROM p), t AS (SELECT page_id, section, CASE WHEN section > 0 THEN CAST(part[1:1] AS INTEGER) ELSE 0 END AS level, CASE WHEN section > 0 THEN trim(regexp_replace(regexp_replace(regexp_extract(part, '(?is)^[1-6][^>]*>(.*?)</h', 1), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) END AS heading, trim(regexp_replace(regexp_replace(CASE WHEN section > 0 THEN regexp_extract(part, '(?is)</h[1-6]>(.*)$', 1) ELSE part END, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS body FROM s), w AS (SELECT *, " + ", ".join(f"max(CASE WHEN level = {k} THEN section END) OVER u AS p{k}, max(CASE WHEN level BETWEEN 1 AND {k} - 1 THEN section END) OVER u AS q{k}, arg_max(heading, section) FILTER (WHERE level = {k}) OVER u AS h{k}" for k in _LEVELS) + " FROM t WINDOW u AS (PARTITION BY page_id ORDER BY section ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT page_id AS id, CAST(section AS INTEGER) AS section, level, CASE WHEN level = 0 THEN '(root)' ELSE array_to_string(list_filter([" + ", ".join(f"CASE WHEN p{k} > coalesce(q{k}, 0) THEN h{k} END" for k in _LEVELS) + "], lambda x: x IS NOT NULL), ' > ') END AS heading_path, body FROM w WHERE body <> ''")
+@query("x1_heading_sections",
+        r"WITH p AS (SELECT page_id, string_split(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style)[ >].*?</(script|style)>', ' ', 'g'), "
+        r"'(?i)<h([1-6])([ >])', chr(1) || '\1\2', 'g'), chr(1)) AS parts FROM pages), s AS (SELECT page_id, generate_subscripts(parts, 1) - 1 AS section, "
+        r"unnest(parts) AS part FROM p), t AS (SELECT page_id, section, CASE WHEN section > 0 THEN CAST(part[1:1] AS INTEGER) ELSE 0 END AS level, CASE WHEN "
+        r"section > 0 THEN trim(regexp_replace(regexp_replace(regexp_extract(part, '(?is)^[1-6][^>]*>(.*?)</h', 1), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) END "
+        r"AS heading, trim(regexp_replace(regexp_replace(CASE WHEN section > 0 THEN regexp_extract(part, '(?is)</h[1-6]>(.*)$', 1) ELSE part END, '<[^>]*>', ' "
+        r"', 'g'), '\s+', ' ', 'g')) AS body FROM s), w AS (SELECT *, "
+     + ", ".join(
+        f"max(CASE WHEN level = {k} THEN section END) OVER u AS p{k}, max(CASE WHEN level BETWEEN 1 AND {k} - 1 THEN section END) OVER u AS q{k}, "
+        f"arg_max(heading, section) FILTER (WHERE level = {k}) OVER u AS h{k}"
+     for k in _LEVELS) +
+        " FROM t WINDOW u AS (PARTITION BY page_id ORDER BY section ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT page_id AS id, CAST(section AS "
+        "INTEGER) AS section, level, CASE WHEN level = 0 THEN '(root)' ELSE array_to_string(list_filter(["
+     + ", ".join(f"CASE WHEN p{k} > coalesce(q{k}, 0) THEN h{k} END" for k in _LEVELS) + "], lambda x: x IS NOT NULL), ' > ') END AS heading_path, body FROM w WHERE body <> ''")
 def _x1(spark, d):  # noqa: ANN001, ANN202
     return rt.heading_sections(table(spark, d, "pages"), "page_id", "html")
 
 
-@query("x3_artifact_manifest", "SELECT doc_id, source || '/' || lang || '/' || doc_id || '.md' AS path, n_chars AS size, sha256(text) AS sha256, CASE WHEN n_chars > 5000 THEN 'large' WHEN n_chars > 500 THEN 'medium' ELSE 'small' END AS class, CASE WHEN text LIKE '%@%' THEN 'review' ELSE 'index' END AS action FROM documents")
+@query("x3_artifact_manifest",
+        "SELECT doc_id, source || '/' || lang || '/' || doc_id || '.md' AS path, n_chars AS size, sha256(text) AS sha256, CASE WHEN n_chars > 5000 THEN "
+        "'large' WHEN n_chars > 500 THEN 'medium' ELSE 'small' END AS class, CASE WHEN text LIKE '%@%' THEN 'review' ELSE 'index' END AS action FROM documents"
+    )
 def _x3(spark, d):  # noqa: ANN001, ANN202
     return ct.manifest(table(spark, d, "documents"))
 
 
-@query("x13_source_registry", "SELECT source, count(*) AS n_docs, count(DISTINCT sha256(text)) AS n_distinct, CAST(sum(n_chars) AS BIGINT) AS n_chars, bool_or(text LIKE '%idiot%') AS flagged FROM documents GROUP BY source")
+@query("x13_source_registry",
+        "SELECT source, count(*) AS n_docs, count(DISTINCT sha256(text)) AS n_distinct, CAST(sum(n_chars) AS BIGINT) AS n_chars, bool_or(text LIKE '%idiot%') "
+        "AS flagged FROM documents GROUP BY source"
+    )
 def _x13(spark, d):  # noqa: ANN001, ANN202
     return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n_docs"), F.countDistinct(F.sha2("text", 256)).alias("n_distinct"), F.sum("n_chars").alias("n_chars"), F.bool_or(F.contains("text", F.lit("idiot"))).alias("flagged"))
 
 
-_TWO = "a AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 10 <> 3), b AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN sha256(text || '!') ELSE sha256(text) END AS h FROM documents WHERE doc_id % 10 <> 5)"
+_TWO = (
+        "a AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 10 <> 3), b AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN sha256(text || '!') "
+        "ELSE sha256(text) END AS h FROM documents WHERE doc_id % 10 <> 5)"
+)
 
 
 def _two(spark, d):  # noqa: ANN001, ANN202
@@ -180,30 +253,47 @@ def _two(spark, d):  # noqa: ANN001, ANN202
     return a, b
 
 
-@query("x14_sync_plan", f"WITH {_TWO} SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'delete' WHEN a.doc_id IS NULL THEN 'add' WHEN a.h <> b.h THEN 'change' ELSE 'keep' END AS action FROM a FULL JOIN b ON a.doc_id = b.doc_id")
+@query("x14_sync_plan",
+        f"WITH {_TWO} SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'delete' WHEN a.doc_id IS NULL THEN 'add' WHEN a.h <> b.h "
+        f"THEN 'change' ELSE 'keep' END AS action FROM a FULL JOIN b ON a.doc_id = b.doc_id"
+    )
 def _x14(spark, d):  # noqa: ANN001, ANN202
     return ct.sync_plan(*_two(spark, d), "doc_id", "h", {"left": "delete", "right": "add", "changed": "change", "same": "keep"})
 
 
-@query("s9_upsert_plan", f"WITH {_TWO} SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'untouched' WHEN a.doc_id IS NULL THEN 'insert' WHEN a.h <> b.h THEN 'update' ELSE 'unchanged' END AS action FROM a FULL JOIN b ON a.doc_id = b.doc_id")
+@query("s9_upsert_plan",
+        f"WITH {_TWO} SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'untouched' WHEN a.doc_id IS NULL THEN 'insert' WHEN a.h "
+        f"<> b.h THEN 'update' ELSE 'unchanged' END AS action FROM a FULL JOIN b ON a.doc_id = b.doc_id"
+    )
 def _s9(spark, d):  # noqa: ANN001, ANN202
     return ct.sync_plan(*_two(spark, d), "doc_id", "h", {"left": "untouched", "right": "insert", "changed": "update", "same": "unchanged"})
 
 
-@query("s10_resumable_batch", "SELECT user_id AS subject_id, count(*) AS n_rows, CASE WHEN count(*) < 50 THEN 'error: too few rows' ELSE 'done' END AS status FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' AND value > 90) GROUP BY user_id")
+@query("s10_resumable_batch",
+        "SELECT user_id AS subject_id, count(*) AS n_rows, CASE WHEN count(*) < 50 THEN 'error: too few rows' ELSE 'done' END AS status FROM events WHERE "
+        "user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' AND value > 90) GROUP BY user_id"
+    )
 def _s10(spark, d):  # noqa: ANN001, ANN202
     e = table(spark, d, "events").withColumnRenamed("user_id", "subject_id")
     done = e.filter("event_type = 'signup' AND value > 90").select("subject_id")
     return ct.resume(e, done, "subject_id", 50)
 
 
-@query("x15_triggers", r"SELECT doc_id, regexp_matches(lower(text), '(license|copyright|https?://)') AS triggered, CAST(len(regexp_extract_all(text, 'https?://[^\s)]+')) AS INTEGER) AS n_links FROM documents")
+@query("x15_triggers",
+        r"SELECT doc_id, regexp_matches(lower(text), '(license|copyright|https?://)') AS triggered, CAST(len(regexp_extract_all(text, 'https?://[^\s)]+')) AS "
+        r"INTEGER) AS n_links FROM documents"
+    )
 def _x15(spark, d):  # noqa: ANN001, ANN202
     t = F.coalesce("text", F.lit(""))
     return table(spark, d, "documents").select("doc_id", F.rlike(F.lower(t), F.lit("(license|copyright|https?://)")).alias("triggered"), F.size(F.regexp_extract_all(t, F.lit(r"https?://[^\s)]+"), 0)).alias("n_links"))
 
 
-@query("x4_ingestion_pack", r"WITH c AS (SELECT doc_id, source, lang, text, unnest(range(0, CASE WHEN length(text) <= 1800 THEN 1 ELSE CAST(ceil((length(text) - 1800) / 1600) AS BIGINT) + 1 END)) AS part FROM documents), s AS (SELECT doc_id, source, lang, part, regexp_replace(substring(text, part * 1600 + 1, 1800), '^\s+|\s+$', '', 'g') AS chunk FROM c) SELECT source, count(*) AS n_chunks, count(*) FILTER (WHERE length(chunk) >= 100) AS n_included, count(*) FILTER (WHERE length(chunk) < 100) AS n_withheld, count(DISTINCT lang) AS n_tags FROM s WHERE chunk <> '' GROUP BY source")
+@query("x4_ingestion_pack",
+        r"WITH c AS (SELECT doc_id, source, lang, text, unnest(range(0, CASE WHEN length(text) <= 1800 THEN 1 ELSE CAST(ceil((length(text) - 1800) / 1600) AS "
+        r"BIGINT) + 1 END)) AS part FROM documents), s AS (SELECT doc_id, source, lang, part, regexp_replace(substring(text, part * 1600 + 1, 1800), "
+        r"'^\s+|\s+$', '', 'g') AS chunk FROM c) SELECT source, count(*) AS n_chunks, count(*) FILTER (WHERE length(chunk) >= 100) AS n_included, count(*) "
+        r"FILTER (WHERE length(chunk) < 100) AS n_withheld, count(DISTINCT lang) AS n_tags FROM s WHERE chunk <> '' GROUP BY source"
+    )
 def _x4(spark, d):  # noqa: ANN001, ANN202
     docs = table(spark, d, "documents")
     c = rt.chunks(docs, "doc_id", "text", 1800, 200).join(docs.select(F.col("doc_id").alias("id"), "source", "lang"), "id")
@@ -211,26 +301,41 @@ def _x4(spark, d):  # noqa: ANN001, ANN202
     return c.groupBy("source").agg(F.count("*").alias("n_chunks"), F.count_if(size >= 100).alias("n_included"), F.count_if(size < 100).alias("n_withheld"), F.countDistinct("lang").alias("n_tags"))
 
 
-@query("d1_stage_contracts", "WITH r AS (SELECT * FROM (VALUES ('documents', 'doc_id'), ('documents', 'text'), ('documents', 'license'), ('labels', 'quality'), ('labels', 'toxic')) t(stage, col)), p AS (SELECT table_name AS stage, column_name AS col FROM duckdb_columns() WHERE table_name IN ('documents', 'labels')) SELECT r.stage, count(*) AS n_required, count(*) FILTER (WHERE p.col IS NULL) AS n_missing, CASE WHEN count(*) FILTER (WHERE p.col IS NULL) = 0 THEN 'ok' ELSE 'error' END AS status FROM r LEFT JOIN p ON p.stage = r.stage AND p.col = r.col GROUP BY r.stage")
+@query("d1_stage_contracts",
+        "WITH r AS (SELECT * FROM (VALUES ('documents', 'doc_id'), ('documents', 'text'), ('documents', 'license'), ('labels', 'quality'), ('labels', "
+        "'toxic')) t(stage, col)), p AS (SELECT table_name AS stage, column_name AS col FROM duckdb_columns() WHERE table_name IN ('documents', 'labels')) "
+        "SELECT r.stage, count(*) AS n_required, count(*) FILTER (WHERE p.col IS NULL) AS n_missing, CASE WHEN count(*) FILTER (WHERE p.col IS NULL) = 0 THEN "
+        "'ok' ELSE 'error' END AS status FROM r LEFT JOIN p ON p.stage = r.stage AND p.col = r.col GROUP BY r.stage"
+    )
 def _d1(spark, d):  # noqa: ANN001, ANN202
     required = [("documents", "doc_id"), ("documents", "text"), ("documents", "license"), ("labels", "quality"), ("labels", "toxic")]
     return ct.stage_contracts(spark, {t: table(spark, d, t) for t in ("documents", "labels")}, required)
 
 
-@query("d2_contract_draft", "WITH g AS (SELECT source, count(DISTINCT lang) AS n, min(lang) AS lo, max(lang) AS hi FROM documents GROUP BY source) SELECT source, n AS n_values, CASE WHEN n = 2 THEN 'ready' WHEN n = 1 THEN 'blocked: one value' ELSE 'needs_review' END AS status, lo AS first_value FROM g")
+@query("d2_contract_draft",
+        "WITH g AS (SELECT source, count(DISTINCT lang) AS n, min(lang) AS lo, max(lang) AS hi FROM documents GROUP BY source) SELECT source, n AS n_values, "
+        "CASE WHEN n = 2 THEN 'ready' WHEN n = 1 THEN 'blocked: one value' ELSE 'needs_review' END AS status, lo AS first_value FROM g"
+    )
 def _d2(spark, d):  # noqa: ANN001, ANN202
     g = table(spark, d, "documents").groupBy("source").agg(F.countDistinct("lang").alias("n_values"), F.min("lang").alias("first_value"))
     return g.withColumn("status", F.when(F.col("n_values") == 2, "ready").when(F.col("n_values") == 1, "blocked: one value").otherwise("needs_review"))
 
 
-@query("d3_cross_check", "SELECT n_nationkey, CASE WHEN n_regionkey <> n_nationkey % 5 THEN 'mismatch' ELSE 'ok' END AS status, coalesce(c.n, 0) AS n_customers FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) c ON c_nationkey = n_nationkey")
+@query("d3_cross_check",
+        "SELECT n_nationkey, CASE WHEN n_regionkey <> n_nationkey % 5 THEN 'mismatch' ELSE 'ok' END AS status, coalesce(c.n, 0) AS n_customers FROM nation "
+        "LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) c ON c_nationkey = n_nationkey"
+    )
 def _d3(spark, d):  # noqa: ANN001, ANN202
     c = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"))
     n = table(spark, d, "nation").join(c, "n_nationkey", "left")
     return n.select("n_nationkey", F.when(F.col("n_regionkey") != F.col("n_nationkey") % 5, "mismatch").otherwise("ok").alias("status"), F.coalesce("n", F.lit(0)).alias("n_customers"))
 
 
-@query("d4_readiness_matrix", "WITH g AS (SELECT source, count(*) AS n_docs, count(l.doc_id) AS n_labels, count(DISTINCT lang) AS n_langs FROM documents LEFT JOIN labels l USING (doc_id) GROUP BY source) SELECT source, n_docs, n_labels, CASE WHEN n_labels = 0 THEN 'collect labels' WHEN n_langs < 2 THEN 'add languages' WHEN n_docs < 20 THEN 'add documents' ELSE 'run benchmark' END AS next_action FROM g")
+@query("d4_readiness_matrix",
+        "WITH g AS (SELECT source, count(*) AS n_docs, count(l.doc_id) AS n_labels, count(DISTINCT lang) AS n_langs FROM documents LEFT JOIN labels l USING "
+        "(doc_id) GROUP BY source) SELECT source, n_docs, n_labels, CASE WHEN n_labels = 0 THEN 'collect labels' WHEN n_langs < 2 THEN 'add languages' WHEN "
+        "n_docs < 20 THEN 'add documents' ELSE 'run benchmark' END AS next_action FROM g"
+    )
 def _d4(spark, d):  # noqa: ANN001, ANN202
     la = table(spark, d, "labels").select("doc_id", F.lit(1).alias("has"))
     g = table(spark, d, "documents").join(la, "doc_id", "left").groupBy("source").agg(F.count("*").alias("n_docs"), F.count("has").alias("n_labels"), F.countDistinct("lang").alias("n_langs"))
@@ -242,21 +347,33 @@ def _d5(spark, d):  # noqa: ANN001, ANN202
     return table(spark, d, "part").groupBy(F.col("p_brand").alias("artifact_type")).agg(F.count("*").alias("n"), rounded(F.sum("p_retailprice"), 2).alias("total"), F.max("p_size").alias("largest"))
 
 
-@query("d6_claim_matrix", "WITH r AS (SELECT * FROM (VALUES ('N1', 'supplier'), ('N2', 'supplier'), ('N2', 'customer')) t(req, kind)), have AS (SELECT DISTINCT s_nationkey AS nation, 'supplier' AS kind FROM supplier WHERE s_acctbal > 5000 UNION SELECT DISTINCT c_nationkey, 'customer' FROM customer WHERE c_acctbal > 9900) SELECT n_nationkey AS nation, req, count(*) AS n_required, count(*) FILTER (WHERE h.kind IS NULL) AS n_missing, count(*) FILTER (WHERE h.kind IS NULL) = 0 AS allowed FROM nation CROSS JOIN r LEFT JOIN have h ON h.nation = n_nationkey AND h.kind = r.kind GROUP BY ALL")
+@query("d6_claim_matrix",
+        "WITH r AS (SELECT * FROM (VALUES ('N1', 'supplier'), ('N2', 'supplier'), ('N2', 'customer')) t(req, kind)), have AS (SELECT DISTINCT s_nationkey AS "
+        "nation, 'supplier' AS kind FROM supplier WHERE s_acctbal > 5000 UNION SELECT DISTINCT c_nationkey, 'customer' FROM customer WHERE c_acctbal > 9900) "
+        "SELECT n_nationkey AS nation, req, count(*) AS n_required, count(*) FILTER (WHERE h.kind IS NULL) AS n_missing, count(*) FILTER (WHERE h.kind IS "
+        "NULL) = 0 AS allowed FROM nation CROSS JOIN r LEFT JOIN have h ON h.nation = n_nationkey AND h.kind = r.kind GROUP BY ALL"
+    )
 def _d6(spark, d):  # noqa: ANN001, ANN202
     have = table(spark, d, "supplier").filter("s_acctbal > 5000").select(F.col("s_nationkey").alias("nation"), F.lit("supplier").alias("kind")).union(table(spark, d, "customer").filter("c_acctbal > 9900").select("c_nationkey", F.lit("customer"))).distinct()
     req = spark.createDataFrame([("N1", "supplier"), ("N2", "supplier"), ("N2", "customer")], "req string, kind string")
     return ct.requirement_matrix(table(spark, d, "nation").select(F.col("n_nationkey").alias("nation")), req, have, "nation")
 
 
-@query("d7_check_table", "SELECT 'rows' AS check_name, count(*) > 0 AS ok FROM documents UNION ALL SELECT 'unique_ids', count(*) = count(DISTINCT doc_id) FROM documents UNION ALL SELECT 'no_null_text', count(*) FILTER (WHERE text IS NULL) = 0 FROM documents")
+@query("d7_check_table",
+        "SELECT 'rows' AS check_name, count(*) > 0 AS ok FROM documents UNION ALL SELECT 'unique_ids', count(*) = count(DISTINCT doc_id) FROM documents UNION "
+        "ALL SELECT 'no_null_text', count(*) FILTER (WHERE text IS NULL) = 0 FROM documents"
+    )
 def _d7(spark, d):  # noqa: ANN001, ANN202
     docs = table(spark, d, "documents")
     a = docs.agg((F.count("*") > 0).alias("rows"), (F.count("*") == F.countDistinct("doc_id")).alias("unique_ids"), (F.count_if(F.col("text").isNull()) == 0).alias("no_null_text"))
     return a.unpivot([], ["rows", "unique_ids", "no_null_text"], "check_name", "ok")
 
 
-@query("d8_ledger_report", "WITH s AS (SELECT n_nationkey AS claim, count(DISTINCT c_custkey) AS links, count(DISTINCT s_suppkey) AS falsifiers FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL) SELECT CASE WHEN falsifiers > 4 THEN 'contested' WHEN links > 60 THEN 'supported' ELSE 'open' END AS status, count(*) AS n_claims, CAST(sum(links) AS BIGINT) AS n_links FROM s GROUP BY ALL")
+@query("d8_ledger_report",
+        "WITH s AS (SELECT n_nationkey AS claim, count(DISTINCT c_custkey) AS links, count(DISTINCT s_suppkey) AS falsifiers FROM nation LEFT JOIN customer ON "
+        "c_nationkey = n_nationkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL) SELECT CASE WHEN falsifiers > 4 THEN 'contested' WHEN links > "
+        "60 THEN 'supported' ELSE 'open' END AS status, count(*) AS n_claims, CAST(sum(links) AS BIGINT) AS n_links FROM s GROUP BY ALL"
+    )
 def _d8(spark, d):  # noqa: ANN001, ANN202
     c = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("claim")).agg(F.count("*").alias("links"))
     s = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("claim")).agg(F.count("*").alias("falsifiers"))
@@ -274,13 +391,19 @@ def _f14(spark, d):  # noqa: ANN001, ANN202
     return table(spark, d, "documents").select("doc_id", F.array_join(x.phrase_hits(F.coalesce("text", F.lit("")), ["idiot", "scum", "trash"]), ";").alias("hits"))
 
 
-@query("f12_response_scores", r"SELECT conv_id, turn, round(len(list_filter(string_split(text, '.'), lambda s: contains(lower(s), 'the'))) / len(string_split(text, '.')), 6) AS labelled_share FROM conversations WHERE role = 'assistant'")
+@query("f12_response_scores",
+        r"SELECT conv_id, turn, round(len(list_filter(string_split(text, '.'), lambda s: contains(lower(s), 'the'))) / len(string_split(text, '.')), 6) AS "
+        r"labelled_share FROM conversations WHERE role = 'assistant'"
+    )
 def _f12(spark, d):  # noqa: ANN001, ANN202
     s = F.split("text", r"\.", -1)
     return table(spark, d, "conversations").filter("role = 'assistant'").select("conv_id", "turn", rounded(F.size(F.filter(s, lambda p: F.contains(F.lower(p), F.lit("the")))) / F.size(s)).alias("labelled_share"))
 
 
-_DIAGRAM = "diagram AS (SELECT p_brand AS id, p_size % 2 AS dim, p_retailprice / 1000 AS birth, CASE WHEN p_partkey % 97 = 0 THEN CAST('inf' AS DOUBLE) ELSE p_retailprice / 1000 + p_size / 50 END AS death FROM part)"
+_DIAGRAM = (
+        "diagram AS (SELECT p_brand AS id, p_size % 2 AS dim, p_retailprice / 1000 AS birth, CASE WHEN p_partkey % 97 = 0 THEN CAST('inf' AS DOUBLE) ELSE "
+        "p_retailprice / 1000 + p_size / 50 END AS death FROM part)"
+)
 
 
 def _diagram(spark, d):  # noqa: ANN001, ANN202
@@ -288,14 +411,20 @@ def _diagram(spark, d):  # noqa: ANN001, ANN202
     return table(spark, d, "part").select(F.col("p_brand").alias("id"), (F.col("p_size") % 2).alias("dim"), (F.col("p_retailprice") / 1000).alias("birth"), death.alias("death"))
 
 
-@query("g11_betti_curve", f"WITH {_DIAGRAM} SELECT id, dim, CAST(g AS INTEGER) AS g, count(*) FILTER (WHERE birth <= 0.8 + g * 0.1 AND death > 0.8 + g * 0.1) AS alive FROM diagram, range(0, 20) r(g) GROUP BY ALL")
+@query("g11_betti_curve",
+        f"WITH {_DIAGRAM} SELECT id, dim, CAST(g AS INTEGER) AS g, count(*) FILTER (WHERE birth <= 0.8 + g * 0.1 AND death > 0.8 + g * 0.1) AS alive FROM "
+        f"diagram, range(0, 20) r(g) GROUP BY ALL"
+    )
 def _g11(spark, d):  # noqa: ANN001, ANN202
     from phaseloom.operators.diagrams import betti_curve
 
     return betti_curve(_diagram(spark, d), ["id", "dim"], 0.8, 0.1, 20)
 
 
-@query("g12_diagram_summary", f"WITH {_DIAGRAM} SELECT id, dim, count(*) AS n_bars, count(*) FILTER (WHERE isinf(death)) AS n_open, round(sum(death - birth) FILTER (WHERE NOT isinf(death)), 6) AS total_persistence, round(avg(death - birth) FILTER (WHERE NOT isinf(death)), 6) AS mean_lifetime FROM diagram GROUP BY ALL")
+@query("g12_diagram_summary",
+        f"WITH {_DIAGRAM} SELECT id, dim, count(*) AS n_bars, count(*) FILTER (WHERE isinf(death)) AS n_open, round(sum(death - birth) FILTER (WHERE NOT "
+        f"isinf(death)), 6) AS total_persistence, round(avg(death - birth) FILTER (WHERE NOT isinf(death)), 6) AS mean_lifetime FROM diagram GROUP BY ALL"
+    )
 def _g12(spark, d):  # noqa: ANN001, ANN202
     from phaseloom.operators.diagrams import summary
 
@@ -303,7 +432,11 @@ def _g12(spark, d):  # noqa: ANN001, ANN202
     return s.select("id", "dim", "n_bars", "n_open", rounded(F.col("total_persistence")).alias("total_persistence"), rounded(F.col("mean_lifetime")).alias("mean_lifetime"))
 
 
-@query("g11_landscape", f"WITH {_DIAGRAM}, t AS (SELECT id, dim, CAST(g AS INTEGER) AS g, greatest(0, least(0.8 + g * 0.1 - birth, death - (0.8 + g * 0.1))) AS tent FROM diagram, range(0, 20) r(g)), k AS (SELECT *, row_number() OVER (PARTITION BY id, dim, g ORDER BY tent DESC) AS layer FROM t) SELECT id, dim, g, CAST(layer AS INTEGER) AS layer, round(tent, 6) AS height FROM k WHERE layer <= 2")
+@query("g11_landscape",
+        f"WITH {_DIAGRAM}, t AS (SELECT id, dim, CAST(g AS INTEGER) AS g, greatest(0, least(0.8 + g * 0.1 - birth, death - (0.8 + g * 0.1))) AS tent FROM "
+        f"diagram, range(0, 20) r(g)), k AS (SELECT *, row_number() OVER (PARTITION BY id, dim, g ORDER BY tent DESC) AS layer FROM t) SELECT id, dim, g, "
+        f"CAST(layer AS INTEGER) AS layer, round(tent, 6) AS height FROM k WHERE layer <= 2"
+    )
 def _g11b(spark, d):  # noqa: ANN001, ANN202
     from phaseloom.operators.diagrams import landscape
 

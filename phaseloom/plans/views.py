@@ -78,15 +78,34 @@ _SENSOR = ", ".join(f"({c}, CAST({x} AS DOUBLE), CAST({y} AS DOUBLE), '{r}')" fo
 _TRIANGLE = ", ".join(str(t) for t in TRIANGLES)
 VIEWS = {
     "samples": "SELECT event_type AS recording_id, user_id % 8 AS channel, row_number() OVER (PARTITION BY event_type, user_id % 8 ORDER BY ts, event_id) - 1 AS n, value AS v FROM events",
-    "windowed": "SELECT recording_id, w, channel, k, v FROM (SELECT recording_id, CAST(n // 16 AS INTEGER) AS w, channel, CAST(n % 16 AS INTEGER) AS k, v, count(*) OVER (PARTITION BY recording_id, n // 16) AS c FROM samples) WHERE c = 128",
-    "windowed@own": "SELECT recording_id, w, channel, k, v FROM (SELECT recording_id, CAST(n // 16 AS INTEGER) AS w, channel, CAST(n % 16 AS INTEGER) AS k, v, count(*) OVER (PARTITION BY recording_id, channel, n // 16) AS c FROM samples) WHERE c = 16",
+    "windowed":
+            "SELECT recording_id, w, channel, k, v FROM (SELECT recording_id, CAST(n // 16 AS INTEGER) AS w, channel, CAST(n % 16 AS INTEGER) AS k, v, count(*) "
+            "OVER (PARTITION BY recording_id, n // 16) AS c FROM samples) WHERE c = 128"
+,
+    "windowed@own":
+            "SELECT recording_id, w, channel, k, v FROM (SELECT recording_id, CAST(n // 16 AS INTEGER) AS w, channel, CAST(n % 16 AS INTEGER) AS k, v, count(*) "
+            "OVER (PARTITION BY recording_id, channel, n // 16) AS c FROM samples) WHERE c = 16"
+,
     "phase": f"SELECT recording_id, w, channel, k, {_wrap('v')} AS theta, abs(v) AS amp FROM windowed",
-    "field": f"SELECT CAST(t AS INTEGER) AS t, z, i, j, {_wrap('s')} AS theta, amp FROM (SELECT year(l_shipdate) AS t, l_linenumber AS z, l_partkey % 8 AS i, l_suppkey % 8 AS j, sum(l_quantity) AS s, avg(l_discount) * 4 AS amp FROM lineitem GROUP BY ALL)",
+    "field":
+            f"SELECT CAST(t AS INTEGER) AS t, z, i, j, {_wrap('s')} AS theta, amp FROM (SELECT year(l_shipdate) AS t, l_linenumber AS z, l_partkey % 8 AS i, "
+            f"l_suppkey % 8 AS j, sum(l_quantity) AS s, avg(l_discount) * 4 AS amp FROM lineitem GROUP BY ALL)"
+,
     "sensor": f"SELECT * FROM (VALUES {_SENSOR}) s(channel, x, y, region)",
     "triangle": f"SELECT * FROM (VALUES {_TRIANGLE}) t(tri_id, v0, v1, v2)",
-    "plaquette": f"SELECT a.t, a.z, a.i, a.j, ({_wrap('b.theta - a.theta')} + {_wrap('c.theta - b.theta')} + {_wrap('d.theta - c.theta')} + {_wrap('a.theta - d.theta')}) / (2 * pi()) AS q, (a.amp + b.amp + c.amp + d.amp) / 4 AS patch FROM field a JOIN field b ON b.t = a.t AND b.z = a.z AND b.i = a.i + 1 AND b.j = a.j JOIN field c ON c.t = a.t AND c.z = a.z AND c.i = a.i + 1 AND c.j = a.j + 1 JOIN field d ON d.t = a.t AND d.z = a.z AND d.i = a.i AND d.j = a.j + 1",
+    "plaquette":
+            f"SELECT a.t, a.z, a.i, a.j, ({_wrap('b.theta - a.theta')} + {_wrap('c.theta - b.theta')} + {_wrap('d.theta - c.theta')} + "
+            f"{_wrap('a.theta - d.theta')}) / (2 * pi()) AS q, (a.amp + b.amp + c.amp + d.amp) / 4 AS patch FROM field a JOIN field b ON b.t = a.t AND b.z = a.z "
+            f"AND b.i = a.i + 1 AND b.j = a.j JOIN field c ON c.t = a.t AND c.z = a.z AND c.i = a.i + 1 AND c.j = a.j + 1 JOIN field d ON d.t = a.t AND d.z = a.z "
+            f"AND d.i = a.i AND d.j = a.j + 1"
+,
     "qzt": "SELECT t, z, CAST(rint_q AS INTEGER) AS q, q_abs FROM (SELECT t, z, round_even(sum(q), 0) AS rint_q, sum(abs(q)) AS q_abs FROM plaquette GROUP BY t, z)",
-    "winding": f"SELECT p0.recording_id, p0.w, p0.k, tri_id, ({_wrap('p1.theta - p0.theta')} + {_wrap('p2.theta - p1.theta')} + {_wrap('p0.theta - p2.theta')}) / (2 * pi()) AS winding, (abs({_wrap('p1.theta - p0.theta')}) + abs({_wrap('p2.theta - p1.theta')}) + abs({_wrap('p0.theta - p2.theta')})) / 3 AS gap, least(p0.amp, p1.amp, p2.amp) AS low FROM triangle JOIN phase p0 ON p0.channel = v0 JOIN phase p1 ON p1.channel = v1 AND p1.recording_id = p0.recording_id AND p1.w = p0.w AND p1.k = p0.k JOIN phase p2 ON p2.channel = v2 AND p2.recording_id = p0.recording_id AND p2.w = p0.w AND p2.k = p0.k",
+    "winding":
+            f"SELECT p0.recording_id, p0.w, p0.k, tri_id, ({_wrap('p1.theta - p0.theta')} + {_wrap('p2.theta - p1.theta')} + {_wrap('p0.theta - p2.theta')}) / (2 * "
+            f"pi()) AS winding, (abs({_wrap('p1.theta - p0.theta')}) + abs({_wrap('p2.theta - p1.theta')}) + abs({_wrap('p0.theta - p2.theta')})) / 3 AS gap, "
+            f"least(p0.amp, p1.amp, p2.amp) AS low FROM triangle JOIN phase p0 ON p0.channel = v0 JOIN phase p1 ON p1.channel = v1 AND p1.recording_id = "
+            f"p0.recording_id AND p1.w = p0.w AND p1.k = p0.k JOIN phase p2 ON p2.channel = v2 AND p2.recording_id = p0.recording_id AND p2.w = p0.w AND p2.k = p0.k"
+,
 }
 _NEEDS = {"windowed": ["samples"], "windowed@own": ["samples"], "phase": ["windowed"], "plaquette": ["field"], "qzt": ["plaquette"], "winding": ["triangle", "phase"]}
 

@@ -145,13 +145,29 @@ def _late(spark: SparkSession, sf_dir: str, days: int = 20) -> tuple[DataFrame,
 
 
 SQL = {
-    "st1_sensor_ingest": "SELECT event_id, user_id AS sensor_id, round(value / 10 - CAST(props->>'$.k' AS INTEGER), 6) + 0.0 AS q, round(abs(value / 10 - CAST(props->>'$.k' AS INTEGER)), 6) AS q_abs FROM events",
+    "st1_sensor_ingest":
+            "SELECT event_id, user_id AS sensor_id, round(value / 10 - CAST(props->>'$.k' AS INTEGER), 6) + 0.0 AS q, round(abs(value / 10 - CAST(props->>'$.k' AS "
+            "INTEGER)), 6) AS q_abs FROM events"
+,
     "st2_idempotent_log": "SELECT DISTINCT sha256(event_id || '|' || event_type || '|' || user_id) AS event_hash, event_type FROM events",
-    "st3_windowed_metrics": "SELECT event_type, strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, round(sqrt(power(avg(cos(value)), 2) + power(avg(sin(value)), 2)), 6) AS r FROM events GROUP BY ALL",
-    "st3_sliding_metrics": "SELECT event_type, strftime(date_trunc('day', ts) - CAST(o AS INTEGER) * INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM events, range(2) r(o) GROUP BY ALL",
+    "st3_windowed_metrics":
+            "SELECT event_type, strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, round(sqrt(power(avg(cos(value)), 2) + "
+            "power(avg(sin(value)), 2)), 6) AS r FROM events GROUP BY ALL"
+,
+    "st3_sliding_metrics":
+            "SELECT event_type, strftime(date_trunc('day', ts) - CAST(o AS INTEGER) * INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM events, "
+            "range(2) r(o) GROUP BY ALL"
+,
     "st7_backfill": "SELECT user_id AS subject_id, count(*) AS n_rows FROM events GROUP BY ALL",
-    "st4_sessions": "WITH g AS (SELECT user_id, ts, event_id, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS fresh FROM events), b AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, count(*) AS n FROM b GROUP BY user_id, burst",
-    "st8_late_side_output": "SELECT event_id, event_type, CAST(floor((epoch_us(m) - epoch_us(ts)) / 86400000000) AS BIGINT) AS days_late FROM events, (SELECT max(ts) AS m FROM events) WHERE ts < m - INTERVAL 20 DAY",
+    "st4_sessions":
+            "WITH g AS (SELECT user_id, ts, event_id, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 1 ELSE 0 "
+            "END AS fresh FROM events), b AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM g) SELECT user_id, "
+            "strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, count(*) AS n FROM b GROUP BY user_id, burst"
+,
+    "st8_late_side_output":
+            "SELECT event_id, event_type, CAST(floor((epoch_us(m) - epoch_us(ts)) / 86400000000) AS BIGINT) AS days_late FROM events, (SELECT max(ts) AS m FROM "
+            "events) WHERE ts < m - INTERVAL 20 DAY"
+,
     "st8_late_records": "SELECT event_type, count(*) AS n, CAST(count(*) FILTER (WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 20 DAY) AS BIGINT) AS n_late FROM events GROUP BY ALL",
 }
 
