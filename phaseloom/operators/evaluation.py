@@ -162,3 +162,17 @@ def bootstrap_mean(df: DataFrame, keys: list[str], row: str, value: str, replica
     weight = sum(steps[1:], steps[0])
     m = r.withColumn("c", weight).groupBy(*keys, "rep").agg((F.sum(F.col("c") * F.col("v")) / F.sum("c")).alias("m"))
     return m.groupBy(*keys).agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
+
+
+def within_effect(rows: DataFrame, subject: str, x: str, y: str) -> DataFrame:
+    """One row (effect, n_subjects, se): slope within subjects and its cluster-robust error, from three sums of each subject.
+
+    A subject's score is what its centred rows leave of the normal equation; with the sums of squares and products of
+    every subject no second pass over the rows is needed.
+    """
+    n = F.count("*")
+    s = rows.groupBy(subject).agg((F.sum(F.col(x) * F.col(y)) - F.sum(x) * F.sum(y) / n).alias("xy"), (F.sum(F.col(x) * F.col(x)) - F.sum(x) * F.sum(x) / n).alias("xx"))
+    beta = s.agg((F.sum("xy") / F.sum("xx")).alias("effect"), F.sum("xx").alias("sxx"))
+    score = F.col("xy") - F.col("effect") * F.col("xx")
+    m = F.count("*")
+    return s.crossJoin(F.broadcast(beta)).agg(F.first("effect").alias("effect"), m.alias("n_subjects"), (F.sqrt(m / (m - 1) * F.sum(score * score)) / F.first("sxx")).alias("se"))  # beta is one row

@@ -285,6 +285,18 @@ def _v6b(spark, d):  # noqa: ANN001, ANN202
     return _shown(t.withColumn("effect", rounded(F.col("effect"))), "method", "effect")
 
 
+@query(
+    "v8_cluster_robust",
+    f"""WITH {_COHORT}, b AS (SELECT subject, value - avg(value) OVER p AS y, (status = 'O')::INT - avg((status = 'O')::INT) OVER p AS x FROM cohort WHERE status IN ('O', 'F') WINDOW p AS (PARTITION BY subject)),
+    f AS (SELECT sum(x * y) / sum(x * x) AS beta, sum(x * x) AS sxx FROM b), c AS (SELECT subject, sum(x * (y - beta * x)) AS score FROM b, f GROUP BY ALL)
+    SELECT round(any_value(beta), 4) + 0.0 AS effect, count(*) AS n_subjects, round(sqrt(count(*) / (count(*) - 1) * sum(score * score)) / any_value(sxx), 4) AS se FROM c, f""",
+)
+def _v8(spark, d):  # noqa: ANN001, ANN202
+    c = _cohort(spark, d).filter(F.col("status").isin("O", "F")).withColumn("on", (F.col("status") == "O").cast("int"))
+    t = ev.within_effect(c, "subject", "on", "value")
+    return t.select(rounded(F.col("effect"), 4).alias("effect"), "n_subjects", rounded(F.col("se"), 4).alias("se"))
+
+
 _METRICS = {"total": "value", "cents": "value % 100", "thousands": "floor(value / 1000)"}
 _TALL_METRICS = " UNION ALL ".join(f"SELECT '{m}' AS metric, o_orderkey AS row_, subject, segment AS g, {e} AS v FROM cohort WHERE segment IN ('BUILDING', 'FURNITURE')" for m, e in _METRICS.items())
 

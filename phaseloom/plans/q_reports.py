@@ -8,6 +8,7 @@ from phaseloom.functions import exprs as x
 from phaseloom.operators import contracts as ct
 from phaseloom.operators import relational as rel
 from phaseloom.operators import retrieval as rt
+from phaseloom.plans.q_text import _FLAT, _PHRASES, _phrases
 from phaseloom.plans.views import rounded, table
 from phaseloom.sources.readers import checkpointed, shared_path
 
@@ -573,3 +574,21 @@ def _j16(spark, d):  # noqa: ANN001, ANN202
     group = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("group_"))
     out = pr.join(group, "user_id", "left").join(clicks, "event_id", "left")
     return out.select("event_id", "group_", rounded(F.col("value")).alias("rating"), F.coalesce("n", F.lit(0)).alias("n"), rounded(F.col("total") / F.col("n")).alias("mean_v"))
+
+
+_MARKED = "marked AS (SELECT doc_id, unnest(string_split(CASE WHEN doc_id % 3 = 0 THEN '```' || chr(10) || text || chr(10) || '```' ELSE text END, chr(10))) AS line, generate_subscripts(string_split(CASE WHEN doc_id % 3 = 0 THEN '```' || chr(10) || text || chr(10) || '```' ELSE text END, chr(10)), 1) AS line_no FROM documents)"
+
+
+@query(
+    "x6_new_line_hits",
+    f"""WITH {_PHRASES}, {_MARKED}, d AS (SELECT *, sum(CASE WHEN starts_with(ltrim(line), '```') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS depth FROM marked),
+    h AS (SELECT doc_id, line_no, phrase, line[1:240] AS excerpt FROM d JOIN phrases ON contains({_FLAT.replace('text', 'line')}, phrase) WHERE depth % 2 = 0 AND NOT starts_with(ltrim(line), '```') AND NOT regexp_matches(line, '^\\s*#'))
+    SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, phrase, excerpt FROM h WHERE NOT EXISTS (SELECT 1 FROM marked m WHERE m.doc_id % 20 = 1 AND m.line[1:240] = h.excerpt)""",
+)
+def _x6(spark, d):  # noqa: ANN001, ANN202
+    fenced = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("```\n"), "text", F.lit("\n```"))).otherwise(F.col("text"))
+    docs = table(spark, d, "documents").select("doc_id", fenced.alias("text"))
+    hits = rt.line_hits(docs, _phrases(spark, d), "doc_id", "text")
+    lines = docs.select(F.col("doc_id").alias("id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("p", "line")).withColumn("line_no", F.col("p") + 1)
+    baseline = hits.filter("id % 20 = 1")  # findings that are known
+    return rt.new_line_hits(hits, lines, baseline, r"^\s*#").withColumnRenamed("id", "doc_id").select("doc_id", "line_no", "phrase", "excerpt")
