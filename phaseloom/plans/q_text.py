@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from phaseloom.functions import exprs as x
 from phaseloom.operators import contracts as ct
 from phaseloom.operators import retrieval as rt
-from phaseloom.plans.views import rounded, table
+from phaseloom.plans.views import rounded, table, texts
 from phaseloom.sources.readers import checkpointed
 
 QUERIES = {}
@@ -38,7 +38,7 @@ def _phrases(spark, d):  # noqa: ANN001, ANN202
         r"s WHERE chunk <> ''"
     )
 def _x2(spark, d):  # noqa: ANN001, ANN202
-    c = rt.chunks(table(spark, d, "documents"), "doc_id", "text")
+    c = rt.chunks(texts(spark, d), "doc_id", "text")
     return c.select(F.col("id").alias("doc_id"), "part", "chunk_id", F.char_length("chunk").cast("long").alias("n_chars"))
 
 
@@ -48,7 +48,7 @@ def _x2(spark, d):  # noqa: ANN001, ANN202
         f"USING (doc_id)"
     )
 def _x5(spark, d):  # noqa: ANN001, ANN202
-    s = rt.phrase_scan(table(spark, d, "documents"), _phrases(spark, d), "doc_id", "text")
+    s = rt.phrase_scan(texts(spark, d), _phrases(spark, d), "doc_id", "text")
     return s.select(F.col("id").alias("doc_id"), "status", F.array_join("hits", ";").alias("hits"))
 
 
@@ -58,7 +58,7 @@ def _x5(spark, d):  # noqa: ANN001, ANN202
         f"contains({_FLAT.replace('text', 'line')}, phrase)"
     )
 def _x6(spark, d):  # noqa: ANN001, ANN202
-    return rt.line_hits(table(spark, d, "documents"), _phrases(spark, d), "doc_id", "text").withColumnRenamed("id", "doc_id")
+    return rt.line_hits(texts(spark, d), _phrases(spark, d), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
 @query("x7_numbered_claims",
@@ -81,19 +81,11 @@ _POSTS = (
 )
 
 
-def _index(spark, d, docs=None):  # noqa: ANN001, ANN202
-    """Postings, written once, and the statistics that come from them."""
-    docs = table(spark, d, "documents") if docs is None else docs
-    posts = checkpointed(rt.postings(docs, "doc_id", "text"), "postings")
-    n = docs.agg(F.count("*").alias("n"))
-    stats = rt.term_statistics(posts, n)
-    length = posts.agg(F.sum("tf").alias("total")).crossJoin(n).select((F.col("total") / F.col("n")).alias("avg_dl"))
-    return posts, stats, length
-
-
 @query("x8_corpus_statistics", f"WITH {_POSTS} SELECT term, df, round(idf, 6) AS idf FROM stats")
 def _x8(spark, d):  # noqa: ANN001, ANN202
-    return _index(spark, d)[1].select("term", "df", rounded(F.col("idf")).alias("idf"))
+    docs = texts(spark, d)
+    stats = rt.term_statistics(rt.postings(docs, "doc_id", "text"), docs.agg(F.count("*").alias("n")))
+    return stats.select("term", "df", rounded(F.col("idf")).alias("idf"))
 
 
 _QUERIES = (
@@ -115,13 +107,13 @@ def _questions(spark, d):  # noqa: ANN001, ANN202
 
 
 def _bm25(spark, d):  # noqa: ANN001, ANN202
-    s = rt.bm25(*_index(spark, d), _questions(spark, d))
+    s = rt.search(texts(spark, d), _questions(spark, d), "doc_id", "text")
     return rt.top_k(s.withColumn("by", F.round("score", 8)), "query_id", "by", "id", 5)
 
 
 @query("x9_bm25_scores", f"{_SCORES} SELECT query_id, doc_id, round(score, 5) AS score FROM s")
 def _x9(spark, d):  # noqa: ANN001, ANN202
-    s = rt.bm25(*_index(spark, d), _questions(spark, d))
+    s = rt.search(texts(spark, d), _questions(spark, d), "doc_id", "text")
     return s.select("query_id", F.col("id").alias("doc_id"), rounded(F.col("score"), 5).alias("score"))
 
 
@@ -141,10 +133,10 @@ _PIECES = f"WITH {_CHUNKS}, {_SCORES.removeprefix('WITH ').replace('documents',
 
 def _retrieved(spark, d):  # noqa: ANN001, ANN202
     """The five best chunks of each question, with their texts."""
-    docs = table(spark, d, "documents").select("doc_id", "source", "lang")
-    c = rt.chunks(table(spark, d, "documents"), "doc_id", "text").join(docs.withColumnRenamed("doc_id", "id"), "id")
+    docs = texts(spark, d).select("doc_id", "source", "lang")
+    c = rt.chunks(texts(spark, d), "doc_id", "text").join(docs.withColumnRenamed("doc_id", "id"), "id")
     c = checkpointed(c.select(F.concat(F.col("id").cast("string"), F.lit("/"), F.col("part").cast("string")).alias("doc_id"), "chunk_id", "source", "lang", F.col("chunk").alias("text")), "chunks")
-    s = rt.bm25(*_index(spark, d, c), _questions(spark, d))
+    s = rt.search(c, _questions(spark, d), "doc_id", "text")
     best = rt.top_k(s.withColumn("by", F.round("score", 8)), "query_id", "by", "id", 5).filter("score > 0")
     return best.select("query_id", "rank", F.col("id").alias("doc_id")).join(c, "doc_id")
 
@@ -285,7 +277,7 @@ def _s10(spark, d):  # noqa: ANN001, ANN202
     )
 def _x15(spark, d):  # noqa: ANN001, ANN202
     t = F.coalesce("text", F.lit(""))
-    return table(spark, d, "documents").select("doc_id", F.rlike(F.lower(t), F.lit("(license|copyright|https?://)")).alias("triggered"), F.size(F.regexp_extract_all(t, F.lit(r"https?://[^\s)]+"), 0)).alias("n_links"))
+    return texts(spark, d).select("doc_id", F.rlike(F.lower(t), F.lit("(license|copyright|https?://)")).alias("triggered"), F.size(F.regexp_extract_all(t, F.lit(r"https?://[^\s)]+"), 0)).alias("n_links"))
 
 
 @query("x4_ingestion_pack",
@@ -295,7 +287,7 @@ def _x15(spark, d):  # noqa: ANN001, ANN202
         r"FILTER (WHERE length(chunk) < 100) AS n_withheld, count(DISTINCT lang) AS n_tags FROM s WHERE chunk <> '' GROUP BY source"
     )
 def _x4(spark, d):  # noqa: ANN001, ANN202
-    docs = table(spark, d, "documents")
+    docs = texts(spark, d)
     c = rt.chunks(docs, "doc_id", "text", 1800, 200).join(docs.select(F.col("doc_id").alias("id"), "source", "lang"), "id")
     size = F.char_length("chunk")
     return c.groupBy("source").agg(F.count("*").alias("n_chunks"), F.count_if(size >= 100).alias("n_included"), F.count_if(size < 100).alias("n_withheld"), F.countDistinct("lang").alias("n_tags"))
@@ -388,7 +380,7 @@ def _f8(spark, d):  # noqa: ANN001, ANN202
 
 @query("f14_phrase_array", "SELECT doc_id, array_to_string(list_filter(['idiot', 'scum', 'trash'], lambda p: contains(" + _FLAT + ", p)), ';') AS hits FROM documents")
 def _f14(spark, d):  # noqa: ANN001, ANN202
-    return table(spark, d, "documents").select("doc_id", F.array_join(x.phrase_hits(F.coalesce("text", F.lit("")), ["idiot", "scum", "trash"]), ";").alias("hits"))
+    return texts(spark, d).select("doc_id", F.array_join(x.phrase_hits(F.coalesce("text", F.lit("")), ["idiot", "scum", "trash"]), ";").alias("hits"))
 
 
 @query("f12_response_scores",

@@ -18,6 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents, dealt to all cores where the scan gives them fewer pieces.
+
+    Spark cuts scans into pieces of 4 MB or of a core's share, whichever is more, so only a small table, or one in files
+    that cannot be cut, has fewer pieces than there are cores; a large one is left as it is.
+    """
+    docs, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def rounded(col: Column, digits: int = 6) -> Column:
     return F.round(col, digits)
 
