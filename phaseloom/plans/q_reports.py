@@ -173,6 +173,7 @@ def _x15(spark, d):  # noqa: ANN001, ANN202
 
 # --- scores, lookups and small functions ---------------------------------------------------------------------------------
 
+# Fixed values of the score: weights of its dimensions.
 _WEIGHTS = {"support": 0.30, "depth": 0.20, "coherence": 0.15, "falsifiable": 0.20, "relevance": 0.15, "overclaim": -0.25}
 _CEILINGS = [("Brand#1", "C"), ("Brand#2", "B"), ("Brand#3", "B")]
 _INPUTS = {"support": 1, "depth": 3, "coherence": 7, "falsifiable": 11, "relevance": 13, "overclaim": 29}
