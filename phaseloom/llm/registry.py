@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from phaseloom.llm import bpe, clustering, decontaminate, html_extract, lang_id, line_dedup, lm_score, near_dedup, quality, token_counts, toxicity, warc
+from phaseloom.llm import bpe, clustering, decontaminate, html_extract, lang_id, line_dedup, lm_score, near_dedup, quality, ranked_search, token_counts, toxicity, warc
 
 _MODULES = {
     "op6_bpe": bpe,
@@ -15,6 +15,7 @@ _MODULES = {
     "op5_decontaminate": decontaminate,
     "op8_line_dedup": line_dedup,
     "op10_near_dedup": near_dedup,
+    "op11_ranked_search": ranked_search,
     "op12_centroid_clusters": clustering,
     "op13_language_id": lang_id,
 }
