@@ -29,7 +29,7 @@ BYTES = 3_000_000
 
 # Fixed sets of HTML: elements without content, with content that is never text of the page, and block elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("script style noscript template textarea select option button svg iframe object canvas audio video head title math".split())
+DROPPED = frozenset("script style noscript template textarea select option button svg iframe object canvas audio video head title".split())
 RAW = frozenset("script style noscript template textarea svg iframe title".split())
 SELF_CLOSING = frozenset({"svg"})  # elements of another namespace, where a slash before > ends the element
 BLOCK = frozenset(
@@ -55,12 +55,21 @@ KEYWORDS = {
     "hidden": r"hidden|sr-only|visually",
 }
 _KEY = [re.compile(p, re.I) for p in KEYWORDS.values()]
-FEATURES = ["bias", *(f"tag:{g}" for g in TAG_GROUPS), *(f"key:{k}" for k in KEYWORDS), "has text", "text>=25", "text>=80", "text>=250", "links>0.3", "links>0.7", "sub text>=100", "sub links>0.5", "sub empty", "stop mark", "copyright", "sole landmark"]
+FEATURES = ["bias", *(f"tag:{g}" for g in TAG_GROUPS), *(f"key:{k}" for k in KEYWORDS), "has text", "text>=25", "text>=80", "text>=250", "links>0.3", "links>0.7", "sub text>=100", "sub links>0.5", "sub empty", "stop mark", "copyright", "sole landmark", "plain page"]
 _AT = {f: i for i, f in enumerate(FEATURES)}
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
+_NAMED = [_AT[f"tag:{g}"] for g in ("nav", "header", "footer", "aside", "form", "article", "main")] + [_AT[f"key:{k}"] for k in KEYWORDS]
+
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile("[>\"']")
+#: A slash before > that ends an unquoted value is no end of the element.
+_OWN_END = re.compile(r"(?:^|[\s\"'])/\Z")
+#: Deeper blocks become siblings, as in browsers, which stop at a similar depth.
+MAX_DEPTH = 256
+#: After so many tags of a page whose quotes leave no end to the tag, the next > ends a tag, quoted or not.
+OPEN_QUOTES = 8
 _ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 #: Marks the parts of built-in layouts; read while training only.
+_RAW_END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
 _LABEL = re.compile(r'phaseloom-content="([01])"')
 #: Stands for the block of elements whose content is never text of the page.
 MUTED = -2
@@ -76,6 +85,7 @@ class Tree:
     text: list[tuple[int, str]] = field(default_factory=list)
     linked: list[int] = field(default_factory=list)
     label: list[int] = field(default_factory=list)
+    depth: list[int] = field(default_factory=list)
 
 
 def _attributes(source: str) -> str:
@@ -86,95 +96,157 @@ def _attributes(source: str) -> str:
     return " ".join(words)
 
 
+class _Open:
+    """Open elements, inline ones too, as (name, block they stand in); where each name, block and scope was opened."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int]] = [("html", 0)]
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = [0]
+        self.scopes: list[int] = [0]
+        self.links = 0
+
+    def push(self, name: str, node: int) -> None:
+        k = len(self.stack)
+        self.stack.append((name, node))
+        self.at.setdefault(name, []).append(k)
+        if name in BLOCK:
+            self.blocks.append(k)
+        if name in SCOPE or node == MUTED:
+            self.scopes.append(k)
+        self.links += name == "a"
+
+    def last(self, name: str) -> int:
+        """Place of the innermost open element of that name; 0 if none is open."""
+        found = self.at.get(name)
+        return found[-1] if found else 0
+
+    def close(self, k: int) -> bool:
+        """End the elements from place k on; True if a block is among them."""
+        block = self.blocks[-1] >= k
+        for name, _ in self.stack[k:]:
+            self.at[name].pop()
+            self.links -= name == "a"
+        for places in (self.blocks, self.scopes):
+            while places[-1] >= k:
+                places.pop()
+        del self.stack[k:]
+        return block
+
+
 def parse(source: str, labelled: bool = False) -> Tree:
-    """A forgiving parse: unclosed and misnested elements end where a browser would end most of them.
+    """A forgiving parse in linear time: unclosed and misnested elements end where a browser would end most of them.
 
-    The content of buttons, menus of choices, embedded objects and media is left out. labelled: read the labels of
-    built-in layouts.
+    The content of buttons, menus of choices, embedded objects and media is left out. A tag without an end is text.
+    labelled: read the labels of built-in layouts.
     """
-    tree = Tree([-1], ["html"], [""], [], [0], [0])
-    stack: list[tuple[str, int]] = [("html", 0)]  # open elements; inline ones stand for the block they are in
-    links, at, n = 0, 0, len(source)
-
-    def close(k: int) -> None:
-        nonlocal links
-        links -= sum(name == "a" for name, _ in stack[k:])
-        if len(stack) > k and any(name in BLOCK for name, _ in stack[k:]):
-            tree.text.append((-1, ""))
-        del stack[k:]
+    tree = Tree([-1], ["html"], [""], [], [0], [0], [0])
+    open_ = _Open()
+    at, n, last_end, unclosed = 0, len(source), source.rfind(">"), 0
+    gap = (-1, "")
 
     def say(piece: str) -> None:
-        node = stack[-1][1]
-        if node == MUTED:
+        node = open_.stack[-1][1]
+        if node == MUTED or not piece:
             return
         tree.text.append((node, piece))
-        if links:
+        if open_.links:
             tree.linked[node] += len(piece.strip())
 
+    def tag_end(start: int) -> int:
+        """Place of the > that ends the tag; one in quotes does not, unless the quotes leave no other."""
+        nonlocal unclosed
+        place = start
+        while unclosed < OPEN_QUOTES and (m := _STOP.search(source, place)):
+            if m[0] == ">":
+                return m.start()
+            place = source.find(m[0], m.end()) + 1
+            if not place:
+                break
+        unclosed += 1
+        return source.find(">", start)
+
     while at < n:
-        m = _TOKEN.search(source, at)
-        if m is None:
+        start = source.find("<", at)
+        while start >= 0:
+            if source.startswith("<!--", start):
+                break
+            if start > last_end:
+                start = -1
+            elif source.startswith(("<!", "<?"), start) or _NAME.match(source, start):
+                break
+            else:
+                start = source.find("<", start + 1)
+        if start < 0:
             say(source[at:])
             break
-        if m.start() > at:
-            say(source[at : m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
-        if not name:
+        say(source[at:start])
+        if source.startswith("<!--", start):
+            end = source.find("-->", start + 4)
+            at = end + 3 if end >= 0 else n
             continue
-        if m[1] or m[4]:
-            if name == "br" or name == "p" and not any(x == "p" for x, _ in stack):
-                tree.text.append((-1, ""))
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    break
-                if name not in BLOCK and name not in DROPPED and stack[k][0] in BLOCK:
-                    break
+        m = _NAME.match(source, start)
+        if m is None:
+            at = source.find(">", start) + 1
+            continue
+        end = tag_end(m.end())
+        at, name, attrs = end + 1, m[2].lower(), source[m.end() : end]
+        if m[1]:
+            k = open_.last(name)
+            if name == "br" or name == "p" and not k:
+                tree.text.append(gap)
+            elif k and (name in BLOCK or name in DROPPED or k > open_.blocks[-1]) and open_.close(k):
+                tree.text.append(gap)
             continue
-        attrs = m[3] if m[2] else m[6]
         if name in RAW:
             if name not in SELF_CLOSING or not attrs.endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(source, at)
-                at = end.end() if end else n
+                found = _RAW_END[name].search(source, at)
+                at = found.end() if found else n
             continue
         if name in ("html", "head"):
+            if labelled and (label := _LABEL.search(attrs)):
+                tree.label[0] = int(label[1])
             continue
         if name in VOID:
             if name in ("br", "hr"):
-                tree.text.append((-1, ""))
+                tree.text.append(gap)
             continue
         if name in DROPPED:
-            stack.append((name, MUTED))
+            open_.push(name, MUTED)
             continue
         if name in BLOCK:
-            ends = IMPLIED_END.get(name, set())
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in ends or stack[k][0] == "p":
-                    close(k)
-                    if name not in ends:
-                        break
-                elif stack[k][0] in SCOPE or stack[k][1] == MUTED:
+            ends = IMPLIED_END.get(name, frozenset())
+            while (k := max(map(open_.last, (*ends, "p")))) > open_.scopes[-1]:
+                if open_.close(k):
+                    tree.text.append(gap)
+                if name not in ends:
                     break
-            marks, above = _attributes(attrs) if attrs else "", stack[-1][1]
+            above = open_.stack[-1][1]
             if above == MUTED:
-                stack.append((name, MUTED))
+                open_.push(name, MUTED)
                 continue
             label = _LABEL.search(attrs) if labelled and attrs else None
+            if tree.depth[above] == MAX_DEPTH:
+                above = tree.parent[above]
             tree.parent.append(above)
+            tree.depth.append(tree.depth[above] + 1)
             tree.tag.append(name)
-            tree.marks.append(marks)
+            tree.marks.append(_attributes(attrs) if attrs else "")
             tree.linked.append(0)
             tree.label.append(tree.label[above] if label is None else int(label[1]))
-            tree.text.append((-1, ""))
-            stack.append((name, len(tree.tag) - 1))
-        elif not attrs.endswith("/"):
-            links += name == "a"
-            stack.append((name, stack[-1][1]))
+            tree.text.append(gap)
+            open_.push(name, len(tree.tag) - 1)
+        elif not _OWN_END.search(attrs):
+            open_.push(name, open_.stack[-1][1])
     return tree
 
 
+def _by_depth(depth: np.ndarray) -> list[np.ndarray]:
+    """Nodes at each depth, in order."""
+    order = np.argsort(depth, kind="stable")
+    return np.split(order, np.cumsum(np.bincount(depth))[:-1]) if len(depth) else []
+
+
 @dataclass
 class Forest:
     """Nodes of many pages; levels[d]: nodes at depth d."""
@@ -189,7 +261,7 @@ def forest(trees: list[Tree], masked: bool = False) -> Forest:
     """Node features; masked: tags that name the content by themselves count as plain ones."""
     first = np.cumsum([0, *(len(t.tag) for t in trees)])
     n = int(first[-1])
-    parent, depth = np.full(n, -1), np.zeros(n, int)
+    parent, depth = np.full(n, -1), np.array([d for t in trees for d in t.depth], int)
     own, linked = np.zeros(n), np.zeros(n)
     x = np.zeros((n, len(FEATURES)))
     x[:, _AT["bias"]] = 1
@@ -197,7 +269,7 @@ def forest(trees: list[Tree], masked: bool = False) -> Forest:
         for i, tag in enumerate(t.tag):
             k = lo + i
             if t.parent[i] >= 0:
-                parent[k], depth[k] = lo + t.parent[i], depth[lo + t.parent[i]] + 1
+                parent[k] = lo + t.parent[i]
             group = _GROUP.get(tag, "other")
             if masked and group in ("article", "main", "section"):
                 group = "div"
@@ -207,6 +279,9 @@ def forest(trees: list[Tree], masked: bool = False) -> Forest:
                     if key.search(t.marks[i]):
                         x[k, 1 + len(TAG_GROUPS) + j] = 1
             linked[k] = t.linked[i]
+        here = slice(lo, lo + len(t.tag))
+        if not (x[here][:, _NAMED].any() or linked[here].any()):  # nothing that names a part of the page, no link
+            x[here, _AT["plain page"]] = 1
         if not masked:
             for name in ("article", "main"):
                 if t.tag.count(name) == 1:
@@ -219,7 +294,7 @@ def forest(trees: list[Tree], masked: bool = False) -> Forest:
                     x[lo + i, _AT["stop mark"]] = 1
                 if "©" in s or "&copy;" in s:
                     x[lo + i, _AT["copyright"]] = 1
-    levels = [np.flatnonzero(depth == d) for d in range(int(depth.max(initial=0)) + 1)] if n else []
+    levels = _by_depth(depth)
     sub, sub_linked = own.copy(), linked.copy()
     for level in levels[:0:-1]:
         np.add.at(sub, parent[level], sub[level])
@@ -247,7 +322,7 @@ class TreeModel:
         for level in f.levels[:0:-1]:
             sent[level] = np.logaddexp(self.edge[None, :, 0] + up[level, :1], self.edge[None, :, 1] + up[level, 1:])
             for k in (0, 1):
-                up[:, k] += np.bincount(f.parent[level], sent[level, k], n)
+                np.add.at(up[:, k], f.parent[level], sent[level, k])
         belief = up.copy()
         pair = np.zeros((n, 2, 2))
         for level in f.levels[1:]:
@@ -347,6 +422,16 @@ def layouts(count: int = 160, seed: int = 11) -> list[str]:
         wrap = pick(("", ""), ('<div class="wrapper">', "</div>"), ('<div id="page"><div class="container">', "</div></div>"), ("<main>", "</main>"), ('<div class="row">', "</div>"))
         parts = some(notice, header, nav, ad) + wrap[0] + some(nav, ad, side, form) + content + some(comments, comments, side, ad, form) + wrap[1] + some(side, notice, comments) + some(footer, footer)
         out.append(f'<!DOCTYPE html><html><head><title>{words(4)}</title><style>p{{x:y}}</style></head><body phaseloom-content="0">{parts}<script>var a="<p>";</script></body></html>')
+    # Short pages: an article of a few words, or nothing but a paragraph or two.
+    few = lambda: words(int(rng.integers(1, 4))) + pick("", ".", "###")
+    for _ in range(count // 4):
+        short = pick(f"<h1>{few()}</h1><p>{few()}", f"<h1>{few()}</h1><p><b>{few()}<br>", f"<p>{few()}</p>", f"<h1>{few()}</h1>", f"<h2>{few()}</h2><p>{sentence()}</p>", few())
+        edge_top = pick("", f"<nav>{items()}</nav>", f"<header>{words(3)}<nav>{items()}</nav></header>", f'<div{mark("menu")}>{items()}</div>')
+        edge_end = pick("", f"<footer>&copy; {words(2)}</footer>", f'<div{mark("cookie-notice")}><p>{para()}</p></div>', f"<aside><h3>{words(2)}</h3>{items()}</aside>")
+        out.append(f'<html><body phaseloom-content="0">{edge_top}<article phaseloom-content="1">{short}</article>{edge_end}</body></html>')
+        bare = pick(para, few)()
+        bare = pick(bare, bare, bare, f"<p>{bare}", f"<p>{bare}</p><p>{para()}</p>", f"<div>{bare}</div>", f"<h1>{few()}</h1><p>{bare}</p>", f"<div><p>{bare}</p><p>{para()}</p><p>{para()}</p></div>", f"<ul><li>{bare}<li>{few()}</ul>")
+        out.append(f'<html phaseloom-content="1">{pick("", "", "<body>")}{bare}')
     return out
 
 
@@ -396,7 +481,7 @@ def _levels(parent: np.ndarray) -> list[np.ndarray]:
     for i, p in enumerate(parent.tolist()):
         if p >= 0:
             depth[i] = depth[p] + 1
-    return [np.flatnonzero(depth == d) for d in range(int(depth.max(initial=0)) + 1)] if len(parent) else []
+    return _by_depth(depth)
 
 
 def training_forest(given: list[Tree]) -> Forest:

@@ -1,4 +1,6 @@
 import itertools
+import re
+import time
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -87,3 +89,41 @@ def test_rows(spark, model):
     got = sorted((r.page_id or 0, r.main_text) for r in he.main_text(pages, model).collect())
     assert [g for g in got if g[0]] == [(1, ""), (2, ""), (2, "")] and len(got) == 4
     assert he.main_text(pages.limit(0), model).count() == 0
+
+
+BROKEN = {
+    "bold": "<b>" * 333_000, "links": "<a " * 333_000, "deep": "<div>" * 200_000, "both": "<b>" * 100_000 + "<p>x</p>" * 80_000, "quoted ends": '<a ">" ' * 140_000, "ends of inline": "<i><p>" + "<b>" * 200_000 + "</i>" * 100_000,
+    "signs": "<" * 1_000_000, "comments": "<!--" * 250_000, "items": "<li>" * 250_000, "quotes": "<a \"'" * 200_000, "buttons": "<button>" * 100_000 + "<p>" * 50_000,
+}
+
+
+@pytest.mark.parametrize("kind", BROKEN)
+def test_a_broken_megabyte_takes_linear_time(model, kind):
+    whole, half = BROKEN[kind], BROKEN[kind][: len(BROKEN[kind]) // 2]
+
+    def took(source):
+        began = time.process_time()
+        he.extract([he.parse(source)], model)
+        return time.process_time() - began
+
+    assert took(half) < 4 and took(whole) < 8  # a quadratic parse takes minutes
+
+
+def test_pages_without_landmarks_and_short_articles(model):
+    for page in [f"<p>{PARA}</p>", PARA, f"<body><div><p>{PARA}</p></div></body>", f"<html><body>{PARA}</body></html>"]:
+        assert one(model, page) == PARA
+    assert one(model, "<article><h1>That*** atly.###</h1><p><b>That*** atly.###<br></article>") == "That*** atly.### That*** atly.###"
+    for page in ["<nav><a href=/>Home</a></nav>", f'<div class="cookie-notice"><p>{PARA}</p></div>', "<ul><li><a href=/a/>One</a><li><a href=/b/>Two</a></ul>", f"<footer>{PARA}</footer>"]:
+        assert one(model, page) == ""
+
+
+def test_formulas_stay_and_unquoted_values_may_end_in_a_slash(model):
+    assert one(model, f"<article><p>Energy <math><mi>E</mi></math> end. {PARA}</article>") == f"Energy E end. {PARA}"
+    assert he.parse("<p><a href=/>Home</a></p>").linked[1] == 4 and he.parse('<p><a name="x"/>Home</p>').linked[1] == 0
+
+
+def test_every_page_with_text_in_its_article_has_text(spark):
+    rows = he.query(spark, "/root/testdata/sf0.1").select("page_id", "text").toPandas().set_index("page_id")["text"]
+    pages = pq.read_table("/root/testdata/sf0.1/pages.parquet", columns=["page_id", "html"]).to_pylist()
+    held = {p["page_id"]: re.search(r"<article[^>]*>(.*?)</article>", p["html"] or "", re.S) for p in pages}
+    assert [k for k, m in held.items() if m and re.sub(r"<[^>]*>", "", m[1]).strip() and not rows[k]] == []
