@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -75,14 +76,20 @@ def spread_join(many: DataFrame, few: DataFrame, keys: list[str], by: Column, ho
     return left.join(right, [*keys, "__place"], how).drop("__place")
 
 
-def hot_join(many: DataFrame, few: DataFrame, key: str, by: Column, limit: int, how: str = "inner", size: str = "", ways: int = 16) -> DataFrame:
+def hot_join(many: DataFrame, few: DataFrame, key: str, by: Column, limit: int | None = None, how: str = "inner", size: str = "", ways: int = 16) -> DataFrame:
     """Join on a key of which few has one row; keys with over limit rows in many are dealt to several places by a value of many.
 
-    Only the keys over limit, of which there are many's rows / limit at most, are broadcast: the caller's limit is what
-    bounds them. size: a column of few that holds a key's rows in many, if it has one.
+    The keys over limit, of which there are many's rows / limit at most, are looked up first: the caller's limit bounds
+    what the driver gets and what is broadcast, and where there are none the join is a plain one. size: a column of few
+    that holds a key's rows in many, if it has one; many and few should be stored tables. No limit: hot_limit() of many's
+    rows.
     """
+    limit = hot_limit(many.count()) if limit is None else limit
     counts = few.select(key, F.col(size).alias("__n")) if size else many.groupBy(key).agg(F.count("*").alias("__n"))
-    hot = F.broadcast(counts.filter(F.col("__n") > limit).select(key, F.lit(True).alias("__hot")))
+    found = counts.filter(F.col("__n") > limit).select(key).collect()
+    if not found:
+        return many.join(few, key, how)
+    hot = F.broadcast(many.sparkSession.createDataFrame(found, T.StructType([many.schema[key]])).withColumn("__hot", F.lit(True)))
     left = many.join(hot, key, "left").withColumn("__place", F.when(F.col("__hot"), F.pmod(F.xxhash64(by), F.lit(ways)).cast("int")).otherwise(0)).drop("__hot")
     places = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(ways - 1))).otherwise(F.array(F.lit(0)))
     right = few.join(hot, key, "left").withColumn("__place", F.explode(places)).drop("__hot")

@@ -11,8 +11,8 @@ No list of over PAIRS nodes is expanded into all pairs. The nodes of such lists
 their full sets, as many as a partner must share one of; the places of a shared one in both sets bound the overlap, and
 pairs that cannot reach the similarity are left out. Lists that are still large are compared with one leader a round;
 nodes already in one component need no comparison with each other. What lies in different components after ROUNDS rounds
-is compared exhaustively, block against block. Shingles and sets that hold a large part of all rows are dealt to several
-places where their lists are made and where copies find their component.
+is compared exhaustively, block against block. Shingles, sets, list leaders and components that hold a large part of all rows
+are looked up first and dealt to several places wherever their rows are joined.
 """
 
 from __future__ import annotations
@@ -101,12 +101,12 @@ def sketches(docs: DataFrame, size: int, id_col: str, text_col: str, full: bool
     return source.mapInArrow(run, schema)
 
 
-def _prefixes(nodes: DataFrame) -> DataFrame:
-    """(v, node): the rarest sketch values of nodes that can have a partner."""
+def _prefixes(nodes: DataFrame, limit: int) -> DataFrame:
+    """(v, node): the rarest sketch values of nodes that can have a partner; values of over limit nodes are dealt."""
     entries = nodes.select("node", F.size("values").alias("k"), F.explode("values").alias("v"))
-    shared = entries.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
+    shared = stored(entries.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
     need = F.ceil(F.col("k") * AGREE).cast("int")
-    rare = entries.join(shared, "v").groupBy("node").agg(F.first("k").alias("k"), F.array_sort(F.collect_list(F.struct("df", "v"))).alias("by"))
+    rare = hot_join(entries, shared, "v", F.col("node"), limit, size="df").groupBy("node").agg(F.first("k").alias("k"), F.array_sort(F.collect_list(F.struct("df", "v"))).alias("by"))
     # values that no other sketch has would come first, and count as passed over
     take = F.col("k") - need + 1 - (F.col("k") - F.size("by"))
     return rare.filter(F.size("by") >= need).select("node", F.explode(F.slice("by", 1, F.greatest(take, F.lit(0)))).alias("x")).select(F.col("x.v").alias("v"), "node")
@@ -125,11 +125,11 @@ def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int)
     return both.filter(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
 
 
-def _exact_prefixes(sets: DataFrame, percent: int) -> DataFrame:
+def _exact_prefixes(sets: DataFrame, percent: int, limit: int) -> DataFrame:
     """(v, node, at, n): the rarest shingles of each full set, n - ceil(n * percent / 100) + 1 of them, with their places."""
     entries = sets.select("node", F.explode("set").alias("v"))
-    df = entries.groupBy("v").agg(F.count("*").alias("df"))
-    rare = entries.join(df, "v").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("by")).withColumn("n", F.size("by"))
+    shared = stored(entries.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
+    rare = hot_join(entries, shared, "v", F.col("node"), limit, "left", "df").withColumn("df", F.coalesce("df", F.lit(1).cast("long"))).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("by")).withColumn("n", F.size("by"))
     take = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
     out = rare.select("node", "n", F.posexplode(F.slice("by", 1, take)).alias("at", "x")).filter("x.df > 1")
     return out.select(F.col("x.v").alias("v"), "node", "at", "n")
@@ -157,16 +157,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     rows = stored(sketches(docs, size, id_col, text_col), "sketches")
     total = rows.agg(F.count("*").alias("rows"), F.sum(F.size("values")).alias("entries"), F.sum("n").alias("shingles")).first()
     limit, entry_limit, shingle_limit = (hot_limit(x or 0) for x in total)
-    nodes = rows.filter("n > 0").groupBy("sig").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("values").alias("values"))
-    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbers are fixed once written
-    lists = _prefixes(nodes)
-    sizes = lists.groupBy("v").agg(F.count("*").alias("size")).filter("size > 1")
-    lists = stored(hot_join(lists, sizes, "v", F.col("node"), entry_limit, size="size"), "lists")
+    who = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("who")  # the smallest id, null ids last
+    nodes = rows.filter("n > 0").groupBy("sig").agg(who, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("values").alias("values"))
+    nodes = stored(nodes.select("sig", F.col("who.id").alias("first"), F.col("who.mark").alias("mark"), "copies", "n", "values").withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbers are fixed once written
+    lists = stored(_prefixes(nodes, entry_limit), "entries")
+    sizes = stored(lists.groupBy("v").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
+    lists = stored(hot_join(lists, sizes, "v", F.col("node"), size="size"), "lists")
     live = lists.select("node").distinct()
     few = stored(nodes.join(live, "node"), "live")
-    wanted = few.select(F.col("first").alias("want"), F.col("sig").alias("as"), "node")
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    texts = texts.join(wanted.select("want").distinct(), texts["__id"].eqNullSafe(F.col("want")), "left_semi")
+    wanted = few.select(F.col("first").alias("want"), F.col("mark").alias("want_mark"), F.col("sig").alias("as"), "node")
+    texts = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__mark"), F.col(text_col).alias("__text"))
+    texts = texts.join(wanted.select("want", "want_mark").distinct(), texts["__id"].eqNullSafe(F.col("want")) & (texts["__mark"] == F.col("want_mark")), "left_semi")
     sets = sketches(texts, size, "__id", "__text", full=True).select("sig", F.col("values").alias("set"))
     sets = stored(sets.join(wanted.select(F.col("as").alias("sig"), "node"), "sig").groupBy("node").agg(F.first("set").alias("set")), "sets")
 
@@ -176,24 +177,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
 
     def block_pairs(members: DataFrame) -> DataFrame:
         """All pairs of members of a list, block against block: no task gets a whole list."""
-        sizes = members.groupBy("v").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("of"))
-        own = members.join(sizes, "v").withColumn("mine", F.pmod(F.xxhash64(F.lit(3), "node"), "of").cast("int"))
+        sizes = stored(members.groupBy("v").agg(F.count("*").alias("size")), "sizes").withColumn("of", F.ceil(F.col("size") / BLOCK).cast("int"))
+        own = hot_join(members, sizes, "v", F.col("node"), size="size").drop("size").withColumn("mine", F.pmod(F.xxhash64(F.lit(3), "node"), "of").cast("int"))
         a, b = (own.select("v", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "at", "n", "root", "of", "mine"))) for x in ("a", "b"))
         a = a.withColumn("mine_b", F.explode(F.sequence(F.lit(0), F.col("of_a") - 1))).filter("mine_a <= mine_b")
         b = b.withColumn("mine_a", F.explode(F.sequence(F.lit(0), F.col("of_b") - 1))).filter("mine_a <= mine_b")
         return a.join(b, ["v", "mine_a", "mine_b"]).filter("mine_a < mine_b or node_a < node_b")
 
     hot = lists.filter(F.col("size") > PAIRS).select("node").distinct()
-    exact = _exact_prefixes(sets.join(hot, "node"), percent)
-    exact = stored(hot_join(exact, exact.groupBy("v").agg(F.count("*").alias("size")).filter("size > 1"), "v", F.col("node"), shingle_limit, size="size"), "exact")
+    exact = stored(_exact_prefixes(sets.join(hot, "node"), percent, shingle_limit), "prefixes")
+    sizes = stored(exact.groupBy("v").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
+    exact = stored(hot_join(exact, sizes, "v", F.col("node"), size="size"), "exact")
     large = exact.filter(F.col("size") > PAIRS).drop("size")
     close = _can_reach(percent, "at_a", "n_a", "at_b", "n_b")
 
     def with_leader(members: DataFrame, turn: int) -> DataFrame:
         """Members that can reach the leader of their list: first the one whose shared shingles begin soonest, then any."""
         by = F.struct("at", "node") if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "node"), "node")
-        leader = members.groupBy("v").agg(F.min_by(F.struct("node", "at", "n", "root"), by).alias("lead"))
-        led = members.join(leader, "v").select("node", "at", "n", "root", *(F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("node", "at", "n", "root")))
+        leader = stored(members.groupBy("v").agg(F.min_by(F.struct("node", "at", "n", "root"), by).alias("lead"), F.count("*").alias("size")), "leaders")
+        led = hot_join(members, leader, "v", F.col("node"), size="size").select("node", "at", "n", "root", *(F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("node", "at", "n", "root")))
         return led.filter("root <> lead_root").filter(_can_reach(percent, "at", "n", "lead_at", "lead_n")).select(*_ordered("node", "lead_node"))
 
     few_pairs = all_pairs(lists.filter(F.col("size") <= PAIRS).select("v", "node")).union(all_pairs(exact.filter(F.col("size") <= PAIRS).drop("size"), close))
@@ -201,9 +203,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     links = stored(_verified(tried, few, sets, percent), "verified")
     roots = components(links)
     for turn in range(1, ROUNDS + 2):
-        at = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_lists = at.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("v")
-        at = stored(at.join(open_lists, "v"), "open")
+        at = stored(large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+        open_lists = stored(at.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).filter("lo < hi").select("v", "size"), "lists")
+        at = stored(hot_join(at, open_lists, "v", F.col("node"), size="size").drop("size"), "open")
         if at.isEmpty():
             break
         pairs = with_leader(at, turn) if turn <= ROUNDS else block_pairs(at).filter(close & (F.col("root_a") != F.col("root_b"))).select(*_ordered("node_a", "node_b"))
@@ -216,9 +218,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
             links = links.union(found)
             roots = components(links)
 
-    named = nodes.join(roots, "node", "left").select("sig", "first", "copies", F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component"))
-    by_sig = named.join(least, "root").select("sig", "copies", "component")
+    named = stored(nodes.join(roots, "node", "left").select("sig", "first", "copies", F.coalesce("root", "node").alias("root")), "named")
+    least = stored(named.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("size")), "components")
+    by_sig = stored(hot_join(named, least, "root", F.col("sig"), size="size").select("sig", "copies", "component"), "by-set")
     rows = rows.select("id", "mark", "n", F.when(F.col("n") > 0, F.col("sig")).otherwise(F.unhex(F.hex(F.xxhash64("id", "mark")))).alias("sig"))
     out = hot_join(rows, by_sig, "sig", F.struct("id", "mark"), limit, "left", "copies").withColumn("component_id", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component")))
     return out.select(F.col("id").alias(id_col), F.col("mark").alias("text_hash"), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

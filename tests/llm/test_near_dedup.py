@@ -75,3 +75,34 @@ def test_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (900, 900)], "a long, b long")
     roots = {r.node: r.root for r in components(links).collect()}
     assert all(roots[i] == 0 for i in range(201)) and roots[501] == 500 and roots[900] == 900
+
+
+def test_hot_keys_are_dealt_and_nothing_is_lost(spark, monkeypatch):
+    """One line in all documents, one group of near copies of half of them: every join meets hot keys."""
+    from phaseloom.llm import common
+
+    monkeypatch.setattr(common, "HOT_LEAST", 5)
+    monkeypatch.setattr(near_dedup, "PAIRS", 6)
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefgh", k=4))
+    shared, base = [word() for _ in range(25)], [word() for _ in range(90)]
+    docs = []
+    for i in range(160):
+        own = list(base) if i % 2 else [word() for _ in range(rng.choice([5, 40, 90]))]
+        for _ in range(rng.choice([0, 1, 2])):
+            own[rng.randrange(len(own))] = word()
+        docs.append((i, " ".join(shared + own)))
+    docs += [(200, docs[1][1]), (201, docs[1][1])]
+    got = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), size=5)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got.collect())
+    assert got == brute(docs, 5, 80)
+
+
+def test_components_of_a_star_and_a_hub(spark, monkeypatch):
+    from phaseloom.llm import common
+
+    monkeypatch.setattr(common, "HOT_LEAST", 3)
+    links = [(0, i) for i in range(1, 60)] + [(i, 100) for i in range(70, 99)] + [(59, 98), (200, 201)]
+    roots = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert all(roots[x] == 0 for link in links[:-1] for x in link) and roots[201] == roots[200] == 200
