@@ -13,17 +13,17 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from phaseloom.llm.common import give_back, shared_dir, slices, spread_join, table
+from phaseloom.llm.common import give_back, shared_dir, slices, spread_join, stored, table
 
 #: Fixed by the gzip format: the first three bytes of a member, and an empty member.
 MAGIC = b"\x1f\x8b\x08"
 EMPTY = MAGIC + b"\x00\x00\x00\x00\x00\x00\x03\x03" + b"\x00" * 9
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 RECORD = "page_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, payload binary"
-LOOSE = RECORD + ", file string, block long, seq long, fragment binary"
+LOOSE = RECORD + ", file string, block long, seq long, starts boolean, fragment binary"
 NAMES = [x.split()[0] for x in LOOSE.split(", ")]
 
 
@@ -117,8 +117,9 @@ class _Scan:
         self.unpack = None
         self.out: list[tuple] = []
 
-    def fragment(self, raw: bytes) -> None:
-        self.out.append((*[None] * 7, self.file, self.block, self.seq, raw))
+    def fragment(self, raw: bytes, starts: bool = False) -> None:
+        """starts: the bytes are known to begin a member."""
+        self.out.append((*[None] * 7, self.file, self.block, self.seq, starts, raw))
         self.seq += 1
 
     def add(self, piece: bytes, head: bool) -> None:
@@ -150,20 +151,23 @@ class _Scan:
         if self.unpack.eof:
             for found in records(b"".join(self.text)):
                 self.whole = False  # from here on, what does not decode belongs to no member
-                self.out.append((*found, None, None, None, None))
+                self.out.append((*found, *[None] * 5))
             self.unpack = None
         return True
 
     def end(self) -> list[tuple]:
         if self.unpack is not None and self.raw:
             # the rest is in the ranges after
-            for raw in [b"".join(self.raw)] if sum(map(len, self.text)) >= 7 else self.raw:
-                self.fragment(raw)
+            if sum(map(len, self.text)) >= 7:
+                self.fragment(b"".join(self.raw), True)
+            else:
+                for raw in self.raw:
+                    self.fragment(raw)
         return self.out
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=NAMES)
 
 
@@ -172,9 +176,13 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
     Members that are damaged or hold no WARC record are passed over, and so is the rest of a member from a record with a
     missing or malformed length on; a member may hold several records. Header names count in any case. Empty files give
-    no rows. Nearly all records are whole within the pieces of one range: the second, small part of the plan decodes the
-    ranges once more and keeps only what lies across false magic numbers at their borders.
+    no rows. Nearly all records are whole within the pieces of one range. What lies across borders is written first, from a
+    decoding of its own, and put together member by member: a task gets the fragments of one member, not of one file. Only
+    a file that is one single member, which nothing can split, meets in one task. Names that end in .gz raise an error:
+    Spark's line reader would unpack such files itself, each in one task; give them another name.
     """
+    if [f for f in spark.read.format("binaryFile").load(path).inputFiles() if f.endswith(".gz")]:
+        raise ValueError("names of archives must not end in .gz")
     raw = spark.read.option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
     pieces = raw.select(F.col("value").cast("binary").alias("piece"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
 
@@ -199,18 +207,25 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             yield _batch(rest)
 
     found = pieces.mapInArrow(run, LOOSE)
-
-    def stitch(key: tuple, part: pa.Table) -> pa.Table:
-        """Fragments of one file in order: each run of them makes up the members that lie across ranges."""
-        scan = _Scan("", 0)
-        for x in sorted(part.select(["block", "seq", "fragment"]).to_pylist(), key=lambda x: (x["block"], x["seq"])):
-            scan.add(x["fragment"][len(MAGIC) :], False)
-        rows = [r for r in scan.out if r[2] is not None]
-        return pa.Table.from_batches([_batch(rows)]).select(NAMES[:7])
-
     whole = found.filter("file is null").select(*NAMES[:7])
-    torn = found.filter("file is not null").groupBy("file").applyInArrow(stitch, RECORD)
-    return whole.unionByName(torn)
+    torn = stored(found.filter("file is not null").select("file", "block", "seq", "starts", "fragment"), "torn")
+    # Runs of fragments that make up one member: each begins where a member is known to begin. The fragments stay behind.
+    runs = torn.select("file", "block", "seq", F.sum(F.col("starts").cast("long")).over(Window.partitionBy("file").orderBy("block", "seq")).alias("run"))
+
+    def stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan, run = None, None
+        for b in batches:
+            rows: list[tuple] = []
+            for file, number, raw in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("file", "run", "fragment")), strict=True):
+                if (file, number) != run:
+                    rows += scan.out if scan else []
+                    scan, run = _Scan("", 0), (file, number)
+                scan.add(raw[len(MAGIC) :], False)
+            rows, scan.out = rows + scan.out, []
+            yield _batch([r for r in rows if r[2] is not None]).select(NAMES[:7])
+
+    runs = torn.join(runs, ["file", "block", "seq"]).select("file", "run", "block", "seq", "fragment").repartition("file", "run").sortWithinPartitions("file", "run", "block", "seq")
+    return whole.unionByName(runs.mapInArrow(stitch, RECORD))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

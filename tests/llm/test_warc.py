@@ -69,3 +69,19 @@ def test_empty_table(spark):
     path = shared_dir(spark, "warc-test")
     warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), path)
     assert warc.read_warc(spark, path).count() == 0
+
+
+def test_members_over_several_ranges_and_plain_archives(spark, tmp_path):
+    """Ranges smaller than members; one file is a single member of many records, one is no archive at all."""
+    rng = random.Random(8)
+    text = lambda i, n: f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nContent-Length: {n}\r\n\r\n".encode() + rng.randbytes(n) + b"\r\n\r\n"
+    (tmp_path / "many.warc").write_bytes(b"".join(gzip.compress(text(i, rng.choice([10, 4000, 30_000]))) for i in range(30)))
+    (tmp_path / "single.warc").write_bytes(gzip.compress(b"".join(text(100 + i, 2000) for i in range(20))))
+    (tmp_path / "other.bin").write_bytes(gzip.compress(rng.randbytes(50_000)))
+    for size in ("900", "7000", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        got = sorted(int(r.page_id) for r in warc.read_warc(spark, str(tmp_path)).collect())
+        assert got == [*range(30), *range(100, 120)]
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
