@@ -3,7 +3,8 @@
 A suffix array of each text's words is built by prefix doubling with numpy, many texts at once; ranks of 1, 2, 4, ...
 words give the longest common prefix of neighbours, whose intervals are the maximal repeated substrings. Their spans are
 united; a text fails if repeats cover too much of it or one of them is too long. Texts are read where they lie: no
-shuffle, and memory is bounded by BYTES plus the longest text.
+shuffle. Memory is that of BYTES of text or of the longest text: about 8 bytes for each word and each doubling of the
+longest repeat, some 200 times a text of one-letter words that repeats throughout.
 """
 
 from __future__ import annotations

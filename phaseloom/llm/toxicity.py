@@ -36,16 +36,20 @@ HALF_Z, HALF_PULL = 4.0, 40.0
 #: Beside each word, its first letters count, to so many.
 STEMS = (4, 5)
 TERM = re.compile(r"[^\W\d_]+")
-#: Words whose hashes a worker keeps before it starts anew (some 20 MB).
-CACHE = 100_000
+#: Bytes of words and their hashes that a worker keeps before it starts anew.
+CACHE = 20_000_000
 
 
 class Terms(dict):
     """Buckets of a word and its stems, as packed 32-bit integers; fills itself."""
 
+    held = 0
+
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE:
+        self.held += 200 + 4 * len(word)
+        if self.held > CACHE:
             self.clear()
+            self.held = 0
         stems = [f"{word[:k]}*" for k in STEMS if len(word) > k]
         out = self[word] = array("i", [zlib.crc32(x.encode("utf-8", "replace")) % BUCKETS for x in (word, *stems)]).tobytes()
         return out
