@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from phaseloom.sources.readers import checkpointed, shared_path
+from phaseloom.sources.readers import shared_path
+from phaseloom.streaming.stateful import ChangePoints, Sessions, StatefulJob, TrailingDrops
 
+HOUR = 3_600_000_000
 
 _shared = shared_path
 
@@ -82,20 +83,10 @@ def sliding_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(user_id, start, n): bursts of a user's events with gaps of under six hours.
-
-    The stream gives the sessions that the watermark has closed; when it has been drained, those still open are taken
-    from the same feed as a batch.
-    """
-
-    def burst(e: DataFrame) -> DataFrame:
-        w = e.groupBy("user_id", F.session_window("ts", "6 hours").alias("s")).agg(F.count("*").alias("n"))
-        return w.select("user_id", F.date_format("s.start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("start"), "n")
-
-    closed = drained(burst(feed(spark, sf_dir).withWatermark("ts", "1 hour")))
-    whole = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    every = checkpointed(burst(whole), "sessions")  # an anti join may not be pushed below the merging of sessions
-    return closed.unionByName(every.join(closed.select("user_id", "start"), ["user_id", "start"], "left_anti"))
+    """(user_id, start, n): bursts of a user's events with gaps of under six hours, closed by timers; the last ones by the feed's end."""
+    job = StatefulJob(feed(spark, sf_dir), "user_id", [], Sessions(6 * HOUR), "1 hour")
+    job.run()
+    return job.finish().select("user_id", F.date_format(F.timestamp_micros("start"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("start"), "n")
 
 
 def latency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,51 +164,17 @@ SQL = {
 
 
 def change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(user_id, n_changes): how often a user's event type differs from the one before.
-
-    Each batch is ordered by time within a user by a window; the last type of the batches before, one row a user and
-    batch, stands before its first event. A batch that is run again replaces its own rows.
-    """
-    path = _shared(spark, "changes")
-
-    def fold(batch: DataFrame, number: int) -> None:
-        by = W.partitionBy("user_id").orderBy("ts", "event_id")
-        rows = batch.withColumn("before", F.lag("event_type").over(by))
-        if number:
-            last = spark.read.parquet(path).filter(F.col("__batch") < number).groupBy("user_id").agg(F.max_by("last", "__batch").alias("stored"))
-            rows = rows.join(last, "user_id", "left").withColumn("before", F.coalesce("before", "stored"))
-        out = rows.groupBy("user_id").agg(F.count_if(F.col("before") != F.col("event_type")).alias("n"), F.max_by("event_type", F.struct("ts", "event_id")).alias("last"))
-        out.write.mode("overwrite").parquet(f"{path}/__batch={number}")
-
-    e = feed(spark, sf_dir).select("user_id", "event_id", "ts", "event_type")
-    e.writeStream.foreachBatch(fold).option("checkpointLocation", _shared(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(path).groupBy("user_id").agg(F.sum("n").alias("n_changes"))
+    """(user_id, n_changes): how often a user's event type differs from the one before, a day at a time."""
+    job = StatefulJob(feed(spark, sf_dir), "user_id", ["event_id", "event_type"], ChangePoints(24 * HOUR), "1 day")
+    job.run()
+    return job.finish().groupBy("user_id").agg(F.sum("found").alias("n_changes"))
 
 
 def trailing_drops(spark: SparkSession, sf_dir: str, lag: int = 8, z: float = 1.0) -> DataFrame:
-    """(user_id, n_drops): how often a user's value falls z population deviations below the mean of its last `lag` values.
-
-    The last values of a user are kept as state between batches; a batch's rows come in pieces of bounded size and are
-    taken in order of time within the batch.
-    """
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def update(key: tuple, batches, state: GroupState):  # noqa: ANN001, ANN202
-        tail, n = state.get if state.exists else ([], 0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])  # one batch of one user
-        v = np.append(np.asarray(tail, float), rows["value"].to_numpy(float))
-        if len(v) > lag:
-            past = np.lib.stride_tricks.sliding_window_view(v, lag)[:-1]
-            drop = (v[lag:] - past.mean(1)) / (past.std(1) + 1e-12) < -z
-            n += int(drop.sum())
-        state.update((v[-lag:].tolist(), int(n)))
-        yield pd.DataFrame({"user_id": [key[0]], "n_drops": [int(n)]})
-
-    e = feed(spark, sf_dir).select("user_id", "event_id", "ts", "value")
-    out = e.groupBy("user_id").applyInPandasWithState(update, "user_id long, n_drops long", "tail array<double>, n long", "update", GroupStateTimeout.NoTimeout)
-    return _latest(gathered(out), ["user_id"])
+    """(user_id, n_drops): how often a user's value falls z population deviations below the mean of its last `lag` values."""
+    job = StatefulJob(feed(spark, sf_dir), "user_id", ["event_id", "value"], TrailingDrops(24 * HOUR, lag, z), "1 day")
+    job.run()
+    return job.finish().groupBy("user_id").agg(F.sum("found").alias("n_drops"))
 
 
 SQL["st5_trailing_drops"] = "WITH w AS (SELECT user_id, value, avg(value) OVER t AS m, stddev_pop(value) OVER t AS s, count(*) OVER t AS c FROM events WINDOW t AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)) SELECT user_id, count(*) FILTER (WHERE c = 8 AND (value - m) / (s + 1e-12) < -1) AS n_drops FROM w GROUP BY user_id"
