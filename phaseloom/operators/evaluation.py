@@ -9,13 +9,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from phaseloom.functions.exprs import hash_unit
+from phaseloom.operators import ordered
 
 
 def auc(scored: DataFrame, keys: list[str], score: str = "score", label: str = "y", one_class: float | None = 0.5) -> DataFrame:
-    """(keys, auc): concordant pairs, ties one half, from counts per distinct score; one_class where a class is missing."""
+    """(keys, auc): concordant pairs, ties one half, from counts per distinct score and a running sum over ranges; one_class where a class is missing."""
     c = scored.groupBy(*keys, score).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(W.partitionBy(*(keys or [F.lit(0)])).orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    c = c.withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
+    c = ordered.running_sum(ordered.ranges(c, keys, [score]), keys, [score], F.col("neg"), "below")
+    c = c.withColumn("won", F.col("pos") * (F.col("below") + F.col("neg") / 2))
     both = F.sum("pos") * F.sum("neg")
     return c.groupBy(*keys).agg(F.when(both == 0, F.lit(one_class).cast("double")).otherwise(F.sum("won") / both).alias("auc"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from phaseloom.operators import ordered
 from phaseloom.sources.readers import checkpointed
 
 
@@ -63,13 +64,22 @@ def inject_targets(rows: DataFrame, labels: DataFrame, key: str, value: str) ->
 def nearest_join(left: DataFrame, right: DataFrame, keys: list[str], row: str, t: str, other: str, tolerance: float) -> DataFrame:
     """left rows with the nearest right row in time within the tolerance, and the gap; earlier ones win ties.
 
-    Time is cut into buckets as wide as the tolerance, so the join is on equal keys and three buckets.
+    Both sides lie in one order of time; each left row meets the last right row before it and the first one after it, of
+    its range or carried into it, and no other. Of right rows of one time the least in all columns counts. Rows with a null
+    key or time find nothing.
     """
-    bucket = lambda c: F.floor(F.col(c) / tolerance)
-    a = left.withColumn("__b", F.explode(F.array(bucket(t) - 1, bucket(t), bucket(t) + 1)))
-    both = a.join(right.withColumn("__b", bucket(other)), [*keys, "__b"]).withColumn("gap", F.abs(F.col(t) - F.col(other))).filter(F.col("gap") <= tolerance)
-    best = F.row_number().over(W.partitionBy(row).orderBy("gap", other))
-    return both.withColumn("__r", best).filter("__r = 1").drop("__r", "__b")
+    time = lambda df, c, mine: df.select(*keys, F.col(c).cast("double").alias("__t"), F.struct(*mine.columns).alias("__l") if mine is left else F.lit(None).alias("__l"), F.struct(*mine.columns).alias("__r") if mine is right else F.lit(None).alias("__r"))
+    known = lambda df, c: df.filter(F.expr(" and ".join(f"`{k}` is not null" for k in [*keys, c])))
+    both = time(known(left, t), t, left).unionByName(time(known(right, other), other, right))
+    r = ordered.ranges(both, keys, ["__t"])
+    r = r.withColumn("__r", F.min("__r").over(W.partitionBy("__part", *keys, "__t")))  # rows of one time lie in one range
+    right_only = F.when(F.col("__r").isNotNull(), F.struct("__t", "__r"))
+    r = ordered.last_known(r, keys, ["__t"], right_only, "__behind")
+    r = ordered.last_known(r, keys, ["__t"], right_only, "__ahead", ahead=True).filter(F.col("__l").isNotNull())
+    gap = lambda c: F.abs(F.col(c)["__t"] - F.col("__t"))
+    best = F.when(F.col("__ahead").isNull() | (gap("__behind") <= gap("__ahead")), F.col("__behind")).otherwise(F.col("__ahead"))
+    r = r.withColumn("__b", best).withColumn("gap", gap("__b")).filter(F.col("gap") <= tolerance)
+    return r.select(*(F.col("__l")[c].alias(c) for c in left.columns), *(F.col("__b")["__r"][c].alias(c) for c in right.columns if c not in keys), "gap")
 
 
 def best_offset(left: DataFrame, right: DataFrame, keys: list[str], row: str, t: str, other: str, tolerance: float, offsets: list[float]) -> DataFrame:
@@ -125,9 +135,10 @@ def column_profile(df: DataFrame, columns: list[str], categories: int = 20) -> D
 
 
 def first_wins(df: DataFrame, key: str, order: str) -> DataFrame:
-    """(order, kept, duplicate): the first row of each key is kept."""
-    by = W.partitionBy(key).orderBy(order)
-    return df.select(order, F.first(order).over(by).alias("kept"), (F.row_number().over(by) > 1).alias("duplicate"))
+    """(order, kept, duplicate): the first row of each key is kept; order is unique. Null keys are one key."""
+    rows = df.select(order, F.struct(key).alias("__key"))
+    kept = dealt_join(rows, rows.groupBy("__key").agg(F.min(order).alias("kept")), "__key", F.col(order))
+    return kept.select(order, "kept", (F.col(order) != F.col("kept")).alias("duplicate"))
 
 
 def ranked(df: DataFrame, score: str, tie: str, name: str) -> DataFrame:
@@ -151,11 +162,19 @@ def dealt_join(many: DataFrame, few: DataFrame, key: str, by: Column, ways: int
 def probe_epochs(events: DataFrame, key: str, t: str, is_probe: Column, is_sample: Column, row: str, value: str, least: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """Probes with an epoch, from the probe before (not included) to their own, of `least` at least; and (row, n, total) of the samples in each.
 
-    Every sample goes to the next probe of its key in one pass over both, so none meets more than one probe.
+    Every sample goes to the next probe of its key along the order of time, so none meets more than one probe, and a key's
+    rows lie in as many ranges as they need.
     """
-    marked = events.withColumn("__probe", F.when(is_probe, F.col(row)))
-    ahead = W.partitionBy(key).orderBy(t, F.col("__probe").isNotNull(), row).rowsBetween(0, W.unboundedFollowing)
-    samples = marked.filter(is_probe | is_sample).withColumn("__next", F.first("__probe", ignorenulls=True).over(ahead)).filter(is_sample & F.col("__next").isNotNull())
+    marked = events.withColumn("__probe", F.when(is_probe, F.col(row))).withColumn("__after", F.col("__probe").isNotNull()).withColumn("__sample", is_sample)
+    ranged = ordered.ranges(marked.filter(F.col("__after") | F.col("__sample")), [key], [t, "__after", row])
+    ranged = ordered.last_known(ranged, [key], [t, "__after", row], F.col("__probe"), "__next", ahead=True)
+    samples = ranged.filter(F.col("__sample") & F.col("__next").isNotNull())
     held = samples.groupBy(F.col("__next").alias(row)).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
-    probes = events.filter(is_probe).withColumn("__p", F.lag(t).over(W.partitionBy(key).orderBy(t, row))).filter((F.col("__p").isNotNull()) & (F.col(t) - F.col("__p") >= least)).drop("__p")
-    return probes, held
+    only = ordered.ranges(events.filter(is_probe), [key], [t, row])
+    by = W.partitionBy("__part", key).orderBy(t, row)
+    # the probe before: in the range, or the last one of the ranges before, which the first row of the range gets
+    only = only.withColumn("__i", F.row_number().over(by)).withColumn("__in", F.lag(t).over(by))
+    last = only.groupBy("__part", key).agg(F.max(t).alias("__e"))
+    carried = last.withColumn("__carry", F.max("__e").over(W.partitionBy(key).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)))
+    only = ordered.with_carry(only, [key], carried).withColumn("__p", F.coalesce("__in", F.when(F.col("__i") == 1, F.col("__carry"))))
+    return only.filter(F.col("__p").isNotNull() & (F.col(t) - F.col("__p") >= least)).select(*events.columns), held

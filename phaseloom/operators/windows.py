@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Series whose sizes are broadcast, at most; rows of a piece of a series.
+SERIES, PIECE = 100_000, 8_192
+
 
 def tumbling(samples: DataFrame, keys: list[str], length: int, cap: int | None = None) -> DataFrame:
     """(keys, w, n_samples, status): windows of a series; a series shorter than one window gives one row marked short_window.
@@ -29,18 +32,25 @@ def spaced(samples: DataFrame, keys: list[str], length: int, count: int) -> Data
 
 def sliding(samples: DataFrame, keys: list[str], length: int, step: int) -> DataFrame:
     """samples with w, once for each full window that holds them; windows start at multiples of step."""
-    size = F.count("*").over(W.partitionBy(*keys))
+    sizes = samples.groupBy(*keys).agg(F.count("*").alias("__size"))
+    samples = samples.join(F.broadcast(sizes) if sizes.count() <= SERIES else sizes, keys)
     lo = F.greatest(F.lit(0), F.ceil((F.col("n") - length + 1) / step)).cast("int")
     hi = F.least(F.floor(F.col("n") / step), F.floor((F.col("__size") - length) / step)).cast("int")
-    s = samples.withColumn("__size", size).withColumn("__lo", lo).withColumn("__hi", hi).filter(F.col("__lo") <= F.col("__hi"))
+    s = samples.withColumn("__lo", lo).withColumn("__hi", hi).filter(F.col("__lo") <= F.col("__hi"))
     return s.withColumn("w", F.explode(F.sequence("__lo", "__hi"))).drop("__size", "__lo", "__hi")
 
 
 def trailing_drops(series: DataFrame, keys: list[str], order: str, x: str, lag: int = 5, z: float = 3.0) -> DataFrame:
-    """(keys, order, z): how far a value lies below the mean of the lag values before it, where over z standard deviations."""
-    back = W.partitionBy(*keys).orderBy(order).rowsBetween(-lag, -1)
-    s = series.select(*keys, order, x, F.avg(x).over(back).alias("mu"), F.stddev_pop(x).over(back).alias("sigma"), F.count(x).over(back).alias("__n"))
-    s = s.filter((F.col("__n") == lag) & (F.col("sigma") > 1e-9)).withColumn("z", (F.col("mu") - F.col(x)) / F.col("sigma"))
+    """(keys, order, z): how far a value lies below the mean of the lag values before it, where over z standard deviations.
+
+    order numbers the rows of a series without gaps: they are cut into pieces of that order, each with the lag rows before it.
+    """
+    piece = F.floor(F.col(order) / PIECE).cast("long")
+    mine = F.when(F.col(order) % PIECE >= PIECE - lag, F.array(piece, piece + 1)).otherwise(F.array(piece))
+    back = W.partitionBy(*keys, "__piece").orderBy(order).rowsBetween(-lag, -1)
+    series = series.select(*keys, order, x, F.explode(mine).alias("__piece"))
+    s = series.select(*keys, order, x, (piece == F.col("__piece")).alias("__own"), F.avg(x).over(back).alias("mu"), F.stddev_pop(x).over(back).alias("sigma"), F.count(x).over(back).alias("__n"))
+    s = s.filter(F.col("__own") & (F.col("__n") == lag) & (F.col("sigma") > 1e-9)).withColumn("z", (F.col("mu") - F.col(x)) / F.col("sigma"))
     return s.filter(F.col("z") > z).select(*keys, order, "z")
 
 
