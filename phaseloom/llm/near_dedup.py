@@ -128,8 +128,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int)
 def _exact_prefixes(sets: DataFrame, percent: int, limit: int) -> DataFrame:
     """(v, node, at, n): the rarest shingles of each full set, n - ceil(n * percent / 100) + 1 of them, with their places."""
     entries = sets.select("node", F.explode("set").alias("v"))
-    shared = stored(entries.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
-    rare = hot_join(entries, shared, "v", F.col("node"), limit, "left", "df").withColumn("df", F.coalesce("df", F.lit(1).cast("long"))).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("by")).withColumn("n", F.size("by"))
+    held = stored(entries.groupBy("v").agg(F.count("*").alias("df")), "held")
+    rare = hot_join(entries, held, "v", F.col("node"), limit, size="df").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("by")).withColumn("n", F.size("by"))
     take = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
     out = rare.select("node", "n", F.posexplode(F.slice("by", 1, take)).alias("at", "x")).filter("x.df > 1")
     return out.select(F.col("x.v").alias("v"), "node", "at", "n")
