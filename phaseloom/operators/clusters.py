@@ -1,4 +1,4 @@
-"""Density clusters, cell components and lineages of points, and plug-in metrics."""
+"""Lineages of points and plug-in metrics."""
 
 from __future__ import annotations
 
@@ -10,59 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def density_clusters(points: DataFrame, keys: list[str], eps: float, least: int) -> DataFrame:
-    """(keys, id, cluster): cores have at least `least` points, themselves included, within eps; borders join the smallest cluster near them; the rest is null.
-
-    points(keys, id, x, y): one group is one frame.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        near = np.hypot(pdf["x"].to_numpy()[:, None] - pdf["x"].to_numpy(), pdf["y"].to_numpy()[:, None] - pdf["y"].to_numpy()) <= eps
-        core = near.sum(1) >= least
-        label = np.where(core, np.arange(len(pdf)), len(pdf))
-        links = near & core[:, None] & core
-        while True:
-            new = np.minimum(label, np.where(links, label, len(pdf)).min(1))
-            if (new == label).all():
-                break
-            label = new
-        best = np.where(near & core, label, len(pdf)).min(1)
-        return pdf.assign(cluster=[pdf["id"].iloc[k] if k < len(pdf) else None for k in best])[[*keys, "id", "cluster"]]
-
-    types = dict(points.dtypes)
-    return points.select(*keys, "id", "x", "y").groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {types[k]}" for k in keys), f"id {types['id']}", f"cluster {types['id']}"]))
-
-
-def betti_numbers(cells: DataFrame, keys: list[str], thresholds: list[float], value: str = "theta") -> DataFrame:
-    """(keys, threshold, beta0, beta1) of the cells below each threshold: components by labels, loops from Euler's number.
-
-    cells(keys, i, j, value) are unit squares with their edges and corners; beta1 = beta0 - (V - E + F). One group is
-    one slice.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for t in thresholds:
-            on = {(int(i), int(j)) for i, j, v in zip(pdf["i"], pdf["j"], pdf["v"], strict=True) if v <= t}
-            rest, beta0 = set(on), 0
-            while rest:
-                beta0 += 1
-                todo = [rest.pop()]
-                while todo:
-                    i, j = todo.pop()
-                    near = {(i + a, j + b) for a in (-1, 0, 1) for b in (-1, 0, 1)} & rest
-                    rest -= near
-                    todo += near
-            corners = {(i + a, j + b) for i, j in on for a in (0, 1) for b in (0, 1)}
-            edges = {e for i, j in on for e in ((i, j, 0), (i + 1, j, 0), (i, j, 1), (i, j + 1, 1))}
-            out.append({**{k: pdf[k].iloc[0] for k in keys}, "threshold": t, "beta0": beta0, "beta1": beta0 - (len(corners) - len(edges) + len(on))})
-        return pd.DataFrame(out)
-
-    types = dict(cells.dtypes)
-    return cells.select(*keys, "i", "j", F.col(value).alias("v")).groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {types[k]}" for k in keys), "threshold double, beta0 long, beta1 long"]))
-
-
 def lineages(centroids: DataFrame, keys: list[str], frame: str, reach: float) -> DataFrame:
     """(keys, id_from, id_to): nearest unused centroid of the next frame within reach, taken greedily from the closest pair on."""
     both = centroids.select(*keys, F.col(frame).alias("pair"), F.lit(0).alias("side"), "id", "x", "y").unionByName(centroids.select(*keys, (F.col(frame) - 1).alias("pair"), F.lit(1).alias("side"), "id", "x", "y"))

@@ -96,25 +96,6 @@ def interval_masks(events: DataFrame, t: str, condition: str, lo: float, hi: flo
     return m.groupBy("tr").agg(F.countDistinct("c").alias("n_conditions"), F.when(F.countDistinct("c") == 1, F.min("c")).alias("cond"))
 
 
-def median_nearest(points: DataFrame, keys: list[str], row: str) -> DataFrame:
-    """(keys, n, median_nn): median over points of the distance to the nearest other point of their group.
-
-    Points are dealt to square cells, about four points each, and look in their own and the eight around it.
-    """
-    a, b = points, points.select(*keys, F.col(row).alias("__o"), F.col("x").alias("__x"), F.col("y").alias("__y"))
-    d = F.sqrt((F.col("x") - F.col("__x")) ** 2 + (F.col("y") - F.col("__y")) ** 2)
-    span = points.groupBy(*keys).agg(F.min("x").alias("__x0"), F.min("y").alias("__y0"), (F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")) * 2 / F.sqrt(F.count("*"))).alias("__w"))
-    cell = lambda c, o: F.when(F.col("__w") > 0, F.floor((F.col(c) - F.col(o)) / F.col("__w"))).otherwise(0)
-    placed = lambda df, x, y: df.join(span, keys).withColumn("__i", cell(x, "__x0")).withColumn("__j", cell(y, "__y0"))
-    here, there = placed(a, "x", "y").select(*keys, row, "x", "y", "__i", "__j", "__w"), placed(b, "__x", "__y").drop("__x0", "__y0", "__w")
-    near = here.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(8)))).withColumn("__i", F.col("__i") + F.col("__s") % 3 - 1).withColumn("__j", F.col("__j") + F.floor(F.col("__s") / 3) - 1)
-    best = near.join(there, [*keys, "__i", "__j"]).filter(F.col(row) != F.col("__o")).groupBy(*keys, row).agg(F.min(d).alias("d"), F.first("__w").alias("__w"))
-    # a neighbour within one cell's width is the nearest; points without one, few in all but odd layouts, look at their whole group
-    far = points.join(best.filter("d <= __w").select(*keys, row), [*keys, row], "left_anti").join(b, keys).filter(F.col(row) != F.col("__o")).groupBy(*keys, row).agg(F.min(d).alias("d"))
-    every = best.filter("d <= __w").select(*keys, row, "d").unionByName(far)
-    return every.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile("d", 0.5).alias("median_nn"))
-
-
 def dangling(rows: DataFrame, fk: str, parents: DataFrame, pk: str, row: str, name: str) -> DataFrame:
     """(violation, id): rows whose foreign key has no parent."""
     lost = rows.join(parents.select(F.col(pk).alias("__pk")), rows[fk] == F.col("__pk"), "left_anti")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from phaseloom.functions import exprs as x
 from phaseloom.operators import evaluation as ev
 from phaseloom.operators import relational as rel
+from phaseloom.operators import spatial as sp
 from phaseloom.plans.views import rounded, sql, table
 
 QUERIES = {}
@@ -398,13 +399,12 @@ def _j7(spark, d):  # noqa: ANN001, ANN202
 
 
 @query("j8_nearest_neighbour",
-        "WITH p AS (SELECT vec_id, label, embedding[1] AS x, embedding[2] AS y FROM embeddings), n AS (SELECT a.label, a.vec_id, min(sqrt(power(a.x - b.x, 2) "
-        "+ power(a.y - b.y, 2))) AS d FROM p a JOIN p b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY ALL) SELECT label, count(*) AS n, "
-        "round(median(d), 5) AS median_nn FROM n GROUP BY label"
+        "WITH n AS (SELECT a.label, a.vec_id, min(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) AS d FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id "
+        "GROUP BY ALL) SELECT label, count(*) AS n, round(median(d), 5) AS median_nn FROM n GROUP BY label"
     )
 def _j8(spark, d):  # noqa: ANN001, ANN202
-    p = table(spark, d, "embeddings").select("vec_id", "label", F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"))
-    return rel.median_nearest(p, ["label"], "vec_id").select("label", "n", rounded(F.col("median_nn"), 5).alias("median_nn"))
+    near = sp.nearest_distances(table(spark, d, "embeddings"), ["label"], "vec_id", "embedding")
+    return near.groupBy("label").agg(F.count("d").alias("n"), rounded(F.percentile("d", 0.5), 5).alias("median_nn")).filter("n > 0")
 
 
 @query("j12_integrity",

@@ -12,8 +12,10 @@ from phaseloom.operators import field_topology as ft
 from phaseloom.operators import nulls as nl
 from phaseloom.operators import phase_metrics as pm
 from phaseloom.operators import relational as rel
+from phaseloom.operators import spatial as sp
 from phaseloom.operators import windows as wn
 from phaseloom.plans.q_eval import _ASOF, _SCORED, _scored
+from phaseloom.plans.q_nulls import betti_sql
 from phaseloom.plans.q_signal import _SPEC
 from phaseloom.plans.views import channel_windows, field, phase, rounded, sensor, sql, table, windowed
 from phaseloom.sources import readers
@@ -128,9 +130,9 @@ def _v10(spark, d):  # noqa: ANN001, ANN202
     return nl.mean_distance(table(spark, d, "embeddings"), "label", "vec_id", "embedding").select("label", "n_pairs", rounded(F.col("mean_distance"), 5).alias("mean_distance"))
 
 
-@query("g10_betti_numbers")
+@query("g10_betti_numbers", betti_sql([-1.5, 0.0, 1.5]))
 def _g10(spark, d):  # noqa: ANN001, ANN202
-    return cl.betti_numbers(field(spark, d), ["t", "z"], [-1.5, 0.0, 1.5])
+    return sp.betti_numbers(field(spark, d), ["t", "z"], [-1.5, 0.0, 1.5])
 
 
 def _points(spark, d):  # noqa: ANN001, ANN202
@@ -138,9 +140,19 @@ def _points(spark, d):  # noqa: ANN001, ANN202
     return p.select("z", "t", F.concat_ws("-", "t", "z", "i", "j").alias("id"), F.col("i").cast("double").alias("x"), F.col("j").cast("double").alias("y"))
 
 
-@query("n7_density_clusters")
+@query(
+    "n7_density_clusters",
+    sql(
+        """, p AS (SELECT z, t, concat_ws('-', t, z, i, j) AS id, i::DOUBLE AS x, j::DOUBLE AS y FROM plaquette WHERE abs(q) > 0.5 AND patch < 0.2),
+        near AS (SELECT a.z, a.t, a.id, b.id AS other FROM p a JOIN p b ON a.z = b.z AND a.t = b.t AND sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) <= 1.5),
+        core AS (SELECT z, t, id FROM near GROUP BY ALL HAVING count(*) >= 3), link AS (SELECT n.* FROM near n JOIN core a USING (z, t, id) JOIN core b ON b.z = n.z AND b.t = n.t AND b.id = n.other),
+        reach AS (SELECT z, t, id, min(root) AS root FROM (WITH RECURSIVE r AS (SELECT z, t, id, id AS root FROM core UNION SELECT l.z, l.t, l.other AS id, r.root FROM r JOIN link l USING (z, t, id)) SELECT * FROM r) GROUP BY ALL)
+        SELECT p.z, p.t, p.id, coalesce(own.root, min(beside.root)) AS cluster FROM p LEFT JOIN reach own USING (z, t, id) LEFT JOIN near n USING (z, t, id) LEFT JOIN reach beside ON beside.z = n.z AND beside.t = n.t AND beside.id = n.other GROUP BY p.z, p.t, p.id, own.root""",
+        "plaquette",
+    ),
+)
 def _n7(spark, d):  # noqa: ANN001, ANN202
-    return cl.density_clusters(_points(spark, d), ["z", "t"], 1.5, 3)
+    return sp.density_clusters(_points(spark, d), ["z", "t"], 1.5, 3)
 
 
 @query("j15_lineages")

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from phaseloom.operators import clusters as cl
+from phaseloom.operators import spatial as sp
 from phaseloom.operators import surrogates as sg
 from phaseloom.operators import tracking as tk
 
@@ -9,14 +10,14 @@ from phaseloom.operators import tracking as tk
 def test_density_clusters(spark):
     pts = [("f", k, float(x), 0.0) for k, x in enumerate([0, 1, 2, 10, 11, 12, 13, 30, 3.4])]
     df = spark.createDataFrame(pts, "f string, id int, x double, y double")
-    got = {r.id: r.cluster for r in cl.density_clusters(df, ["f"], 1.5, 3).collect()}
+    got = {r.id: r.cluster for r in sp.density_clusters(df, ["f"], 1.5, 3).collect()}
     assert got == {0: 1, 1: 1, 2: 1, 8: 1, 3: 4, 4: 4, 5: 4, 6: 4, 7: None}
 
 
 def test_ring_has_one_component_and_one_loop(spark):
     cells = [(0, i, j, 0.0 if (i, j) != (1, 1) else 5.0) for i in range(3) for j in range(3)]
     df = spark.createDataFrame(cells, "s int, i int, j int, theta double")
-    got = {r.threshold: (r.beta0, r.beta1) for r in cl.betti_numbers(df, ["s"], [-1.0, 1.0, 9.0]).collect()}
+    got = {r.threshold: (r.beta0, r.beta1) for r in sp.betti_numbers(df, ["s"], [-1.0, 1.0, 9.0]).collect()}
     assert got == {-1.0: (0, 0), 1.0: (1, 1), 9.0: (1, 0)}
 
 

@@ -107,13 +107,3 @@ def test_phrases_inside_words(spark):
     got = {r.id: r.hits for r in rt.phrase_scan(docs, phrases, "id", "text").collect()}
     flat = {1: "unit one two threesome", 2: "one two three", 3: "one two", 4: "", 5: "stone two three four fives"}
     assert got == {i: [p for p in ("one two", "one two three", "two three four five") if p in t] for i, t in flat.items()}
-
-
-def test_median_nearest_against_pairs(spark):
-    rng = np.random.default_rng(9)
-    xy = np.concatenate([rng.normal(size=(60, 2)), [[40.0, 40.0]]])
-    df = spark.createDataFrame([("g", i, float(x), float(y)) for i, (x, y) in enumerate(xy)] + [("h", 0, 1.0, 1.0), ("h", 1, 1.0, 1.0)], "g string, i int, x double, y double")
-    d = np.hypot(*(xy[:, None] - xy).T)
-    np.fill_diagonal(d, np.inf)
-    got = {r.g: (r.n, r.median_nn) for r in rel.median_nearest(df, ["g"], "i").collect()}
-    assert got["g"][0] == 61 and got["g"][1] == pytest.approx(np.median(d.min(1))) and got["h"] == (2, 0.0)
