@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from phaseloom.functions import exprs as x
+from phaseloom.operators import claims as cm
 from phaseloom.operators import contracts as ct
 from phaseloom.operators import retrieval as rt
 from phaseloom.plans.views import rounded, table, texts
@@ -22,13 +23,15 @@ def query(name: str, statement: str | None):  # noqa: ANN201
     return put
 
 
-_PHRASES = "phrases AS (SELECT DISTINCT lower(regexp_extract(trim(text), '^(\\S+\\s+\\S+\\s+\\S+)', 1)) AS phrase FROM benchmark WHERE regexp_extract(trim(text), '^(\\S+\\s+\\S+\\s+\\S+)', 1) <> '')"
 _FLAT = "lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))"
+#: Whole benchmark texts and each of their sentences, down to single letters.
+_PHRASES = f"flat AS (SELECT {_FLAT} AS whole FROM benchmark), phrases AS (SELECT DISTINCT phrase FROM (SELECT whole AS phrase FROM flat UNION ALL SELECT trim(unnest(string_split(whole, '.'))) FROM flat) WHERE phrase <> '')"
 
 
 def _phrases(spark, d):  # noqa: ANN001, ANN202
-    p = F.lower(F.regexp_extract(F.trim("text"), r"^(\S+\s+\S+\s+\S+)", 1))
-    return table(spark, d, "benchmark").select(p.alias("phrase")).filter("phrase <> ''").distinct()
+    whole = table(spark, d, "benchmark").select(x.collapse(F.col("text")).alias("whole"))
+    sentences = whole.select(F.explode(F.split("whole", r"\.", -1)).alias("phrase")).select(F.trim("phrase").alias("phrase"))
+    return whole.select(F.col("whole").alias("phrase")).unionByName(sentences).filter("phrase <> ''").distinct()
 
 
 @query("x2_chunks",
@@ -43,7 +46,7 @@ def _x2(spark, d):  # noqa: ANN001, ANN202
 
 
 @query("x5_phrase_scan",
-        f"WITH {_PHRASES}, h AS (SELECT doc_id, string_agg(phrase, ';' ORDER BY phrase) AS hits FROM documents JOIN phrases ON contains({_FLAT}, phrase) GROUP "
+        f"WITH {_PHRASES}, t AS MATERIALIZED (SELECT doc_id, {_FLAT} AS flat FROM documents), h AS (SELECT doc_id, string_agg(phrase, ';' ORDER BY phrase) AS hits FROM t JOIN phrases ON contains(flat, phrase) GROUP "
         f"BY doc_id) SELECT d.doc_id, CASE WHEN hits IS NULL THEN 'clean' ELSE 'flagged' END AS status, coalesce(hits, '') AS hits FROM documents d LEFT JOIN h "
         f"USING (doc_id)"
     )
@@ -54,20 +57,31 @@ def _x5(spark, d):  # noqa: ANN001, ANN202
 
 @query("x6_line_hits",
         f"WITH {_PHRASES}, l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line_no, unnest(string_split(text, chr(10))) AS line "
-        f"FROM documents) SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, phrase, line[1:240] AS excerpt FROM l JOIN phrases ON "
-        f"contains({_FLAT.replace('text', 'line')}, phrase)"
+        f"FROM documents), t AS MATERIALIZED (SELECT doc_id, line_no, line, {_FLAT.replace('text', 'line')} AS flat FROM l) SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, phrase, line[1:240] AS excerpt FROM t JOIN phrases ON contains(flat, phrase)"
     )
 def _x6(spark, d):  # noqa: ANN001, ANN202
     return rt.line_hits(texts(spark, d), _phrases(spark, d), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
+def _has(text: str, words: list[str]) -> str:
+    return f"len(list_filter({words!r}, lambda k: contains({text}, k))) > 0"
+
+
+def _tier(k: int) -> str:
+    value = lambda v: "NULL" if v is None else repr(v) if isinstance(v, str) else str(v).lower()
+    return "CASE " + " ".join(f"WHEN {_has('lower(line)', words)} THEN {value(result[k])}" for words, *result in cm.TIERS) + f" ELSE {value(cm.OTHERWISE[k])} END"
+
+
 @query("x7_numbered_claims",
-        r"WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line FROM documents) "
-        r"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS claim_no, sha256(lower(trim(regexp_replace(line, '\s+', ' ', 'g')))) AS "
-        r"claim_hash, CASE WHEN length(line) > 200 THEN 'long' ELSE 'short' END AS tier FROM l WHERE contains(line, 'idiot') OR contains(line, '@')"
+        r"WITH l AS (SELECT doc_id, generate_subscripts(string_split(replace(text, chr(13), ''), chr(10)), 1) AS i, regexp_replace(unnest(string_split(replace(text, chr(13), ''), chr(10))), '^\s+|\s+$', '', 'g') AS line FROM documents), c AS (SELECT *, list_filter(["
+        + ", ".join(f"CASE WHEN {_has('lower(line)', words)} THEN '{name}' END" for name, words in cm.CATEGORIES.items())
+        + r"], lambda x: x IS NOT NULL) AS categories FROM l), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS claim_no FROM c WHERE len(categories) > 0) "
+        r"SELECT doc_id, claim_no, doc_id || '_c' || CASE WHEN claim_no < 10000 THEN lpad(claim_no::VARCHAR, 4, '0') ELSE claim_no::VARCHAR END AS claim_id, sha256(lower(trim(regexp_replace(line, '\s+', ' ', 'g')))) AS claim_hash, array_to_string(categories, ',') AS categories, "
+        f"{_tier(0)} AS tier, {_tier(1)} AS status, {_tier(2)} AS needs_rewrite, coalesce({_tier(3)}, '') AS flags FROM n"
     )
 def _x7(spark, d):  # noqa: ANN001, ANN202
-    return rt.claims(table(spark, d, "documents"), "doc_id", "text", ["idiot", "@"]).withColumnRenamed("id", "doc_id").select("doc_id", "claim_no", F.sha2(x.collapse(F.col("line")), 256).alias("claim_hash"), F.when(F.char_length("line") > 200, "long").otherwise("short").alias("tier"))
+    c = cm.tiered(cm.claims(table(spark, d, "documents"), "doc_id", "text"))
+    return c.select(F.col("id").alias("doc_id"), "claim_no", "claim_id", F.sha2("normalized", 256).alias("claim_hash"), F.array_join("categories", ",").alias("categories"), "tier", "status", "needs_rewrite", F.array_join("flags", ",").alias("flags"))
 
 
 _TOK = r"regexp_split_to_array(lower(coalesce(text, '')), '[^\wÀ-ɏ]+')"
@@ -122,55 +136,90 @@ def _t1(spark, d):  # noqa: ANN001, ANN202
     return _bm25(spark, d).filter("score > 0").select("query_id", F.col("id").alias("doc_id"), F.col("rank").cast("long"), rounded(F.col("score"), 5).alias("score"))
 
 
+_LEVELS = range(1, 7)
+_X1 = (
+        r"WITH p AS (SELECT page_id, string_split(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style)[ >].*?</(script|style)>', ' ', 'g'), "
+        r"'(?i)<h([1-6])([ >])', chr(1) || '\1\2', 'g'), chr(1)) AS parts FROM pages), s AS (SELECT page_id, generate_subscripts(parts, 1) - 1 AS section, "
+        r"unnest(parts) AS part FROM p), t AS (SELECT page_id, section, CASE WHEN section > 0 THEN CAST(part[1:1] AS INTEGER) ELSE 0 END AS level, CASE WHEN "
+        r"section > 0 THEN trim(regexp_replace(regexp_replace(regexp_extract(part, '(?is)^[1-6][^>]*>(.*?)</h', 1), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) END "
+        r"AS heading, trim(regexp_replace(regexp_replace(CASE WHEN section > 0 THEN regexp_extract(part, '(?is)</h[1-6]>(.*)$', 1) ELSE part END, '<[^>]*>', ' "
+        r"', 'g'), '\s+', ' ', 'g')) AS body FROM s), w AS (SELECT *, "
+     + ", ".join(
+        f"max(CASE WHEN level = {k} THEN section END) OVER u AS p{k}, max(CASE WHEN level BETWEEN 1 AND {k} - 1 THEN section END) OVER u AS q{k}, "
+        f"arg_max(heading, section) FILTER (WHERE level = {k}) OVER u AS h{k}"
+     for k in _LEVELS) +
+        " FROM t WINDOW u AS (PARTITION BY page_id ORDER BY section ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT page_id AS id, CAST(section AS "
+        "INTEGER) AS section, level, CASE WHEN level = 0 THEN '(root)' ELSE array_to_string(list_filter(["
+     + ", ".join(f"CASE WHEN p{k} > coalesce(q{k}, 0) THEN h{k} END" for k in _LEVELS) + "], lambda x: x IS NOT NULL), ' > ') END AS heading_path, body FROM w WHERE body <> ''"
+)
+
+# Chunks of the sections of pages, each with the headings it lies under.
 _CHUNKS = (
-        r"chunk AS (SELECT * FROM (SELECT doc_id, source, lang, part, regexp_replace(substring(text, part * 1050 + 1, 1200), '^\s+|\s+$', '', 'g') AS text FROM "
-        r"(SELECT doc_id, source, lang, text, unnest(range(0, CASE WHEN length(text) <= 1200 THEN 1 ELSE CAST(ceil((length(text) - 1200) / 1050) AS BIGINT) + 1 "
-        r"END)) AS part FROM documents)) WHERE text <> ''), piece AS (SELECT doc_id || '/' || part AS doc_id, source, lang, text, 'chk_' || sha256(doc_id || "
-        r"'|' || part)[1:16] AS chunk_id FROM chunk)"
+        f"sec AS ({_X1}), chunk AS (SELECT * FROM (SELECT id, section, heading_path, part, regexp_replace(substring(body, part * 1050 + 1, 1200), '^\\s+|\\s+$', '', 'g') AS text FROM (SELECT *, unnest(range(0, CASE WHEN length(body) <= 1200 THEN 1 ELSE "
+        f"CAST(ceil((length(body) - 1200) / 1050) AS BIGINT) + 1 END)) AS part FROM sec)) WHERE text <> ''), piece AS MATERIALIZED (SELECT id || '/' || section || '/' || part AS doc_id, url AS source, CAST(id AS VARCHAR) AS path, heading_path, text, "
+        f"'chk_' || sha256(id || '|' || section || '|' || heading_path || '|' || part)[1:16] AS chunk_id FROM chunk JOIN pages ON page_id = id)"
 )
 _PIECES = f"WITH {_CHUNKS}, {_SCORES.removeprefix('WITH ').replace('documents', 'piece')}, k AS (SELECT query_id, rank, piece.* FROM r JOIN piece USING (doc_id) WHERE rank <= 5 AND score > 0)"
 
 
 def _retrieved(spark, d):  # noqa: ANN001, ANN202
-    """The five best chunks of each question, with their texts."""
-    docs = texts(spark, d).select("doc_id", "source", "lang")
-    c = rt.chunks(texts(spark, d), "doc_id", "text").join(docs.withColumnRenamed("doc_id", "id"), "id")
-    c = checkpointed(c.select(F.concat(F.col("id").cast("string"), F.lit("/"), F.col("part").cast("string")).alias("doc_id"), "chunk_id", "source", "lang", F.col("chunk").alias("text")), "chunks")
+    """The five best chunks of each question among the sections of all pages, with their texts and headings."""
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("id"), "url")
+    c = rt.section_chunks(rt.heading_sections(table(spark, d, "pages"), "page_id", "html"), ["id", "section"]).join(pages, "id")
+    c = checkpointed(c.select(F.concat_ws("/", "id", "section", "part").alias("doc_id"), F.col("url").alias("source"), F.col("id").cast("string").alias("path"), "heading_path", "chunk_id", "text"), "chunks")
     s = rt.search(c, _questions(spark, d), "doc_id", "text")
     best = rt.top_k(s.withColumn("by", F.round("score", 8)), "query_id", "by", "id", 5).filter("score > 0")
     return best.select("query_id", "rank", F.col("id").alias("doc_id")).join(c, "doc_id")
 
 
-#: The line above each chunk of a prompt; documents have no headings, so their heading path is the root.
-_HEADER = "--- [{lang}] {source} | (root) ---"
-#: What an assembled prompt must hold, and what it must not: the fixed terms of the check.
-_MUST, _MUST_NOT = ["[", "the"], ["idiot", "<script"]
+#: The line above each chunk of a prompt.
+_HEADER = "--- [page] {source} | {heading_path} ---"
+#: The system part of all prompts, and a template for each mode.
+_SYSTEM = "You answer from the passages below.\nLabel every statement [Source] or [Inference].\nEnd every answer with a '## Sources used' section."
+_MODES = {
+    "explain": "Explain in plain words, step by step.\n\nQuestion: {question}\n\nPassages:\n{context}",
+    "compare": "Compare what the passages say and name where they differ.\n\nPassages:\n{context}\n\nQuestion: {question}",
+    "list": "Answer as a numbered list.\n\n{question}\n\n{context}",
+}
+_MODE = "CASE query_id // 50 % 3 WHEN 0 THEN 'explain' WHEN 1 THEN 'compare' ELSE 'list' END"
+#: What a prompt of each mode must hold, and what the system part must not.
+_MUST = {"explain": ["[Source]", "step by step"], "compare": ["differ", "[Inference]", "the"], "list": ["## Sources used", "numbered list", "certainty"]}
+_MUST_NOT = ["guaranteed", "passages below"]
+_USER = "CASE mode " + " ".join("WHEN '" + m + "' THEN '" + t.replace("'", "''").replace("{question}", "' || question || '").replace("{context}", "' || context || '") + "'" for m, t in _MODES.items()) + " END"
+_CONTEXT = "string_agg('--- [page] ' || source || ' | ' || heading_path || ' ---' || chr(10) || text, chr(10) || chr(10) ORDER BY rank)"
+
+
+def _prompts(spark, d):  # noqa: ANN001, ANN202
+    k = checkpointed(_retrieved(spark, d), "retrieved")
+    n = k.groupBy("query_id").agg(F.count("*").alias("retrieved"), F.countDistinct("source").alias("n_distinct"))
+    mode = F.element_at(F.array(*map(F.lit, _MODES)), (F.floor(F.col("query_id") / 50) % 3 + 1).cast("int"))
+    q = _questions(spark, d).withColumnRenamed("text", "question").withColumn("mode", mode)
+    return k, rt.chat_prompts(rt.context(k, "query_id", "rank", _HEADER, "text").join(n, "query_id").join(q, "query_id"), "mode", "question", "context", _SYSTEM, _MODES)
 
 
 @query("x11_retrieval_coverage",
-        f"{_PIECES}, c AS (SELECT query_id, count(*) AS n_sources, count(DISTINCT source) AS n_distinct, lower(string_agg('--- [' || lang || '] ' || source || "
-        f"' | (root) ---' || chr(10) || text, chr(10) || chr(10) ORDER BY rank)) AS prompt FROM k GROUP BY query_id), f AS (SELECT query_id, n_sources, "
-        f"n_distinct, list_filter(list_concat([CASE WHEN n_sources < 3 THEN 'min_sources' END], [CASE WHEN NOT contains(prompt, t) THEN 'missing ' || t END FOR "
-        f"t IN ['[', 'the']], [CASE WHEN contains(prompt, t) THEN 'found ' || t END FOR t IN ['idiot', '<script']]), lambda x: x IS NOT NULL) AS failures FROM "
-        f"c) SELECT query_id, n_sources, n_distinct, array_to_string(failures, '; ') AS failures, len(failures) = 0 AS passed FROM f"
+        f"{_PIECES}, c AS (SELECT query_id, count(*) AS retrieved, count(DISTINCT source) AS n_distinct, {_CONTEXT} AS context FROM k GROUP BY query_id), m AS (SELECT c.*, q.text AS question, {_MODE} AS mode FROM c JOIN q USING (query_id)), "
+        f"u AS (SELECT *, '{_SYSTEM.replace(chr(39), chr(39) * 2)}' AS system, {_USER} AS user_ FROM m), f AS (SELECT query_id, mode, retrieved, n_distinct, length(system || chr(10) || user_) AS n_chars, list_concat("
+        f"CASE WHEN retrieved < 5 THEN ['min_sources not met: need 5, got ' || retrieved] ELSE [] END, list_transform(list_filter(CASE mode "
+        + " ".join(f"WHEN '{m}' THEN {t!r}" for m, t in _MUST.items())
+        + f" END, lambda t: NOT contains(lower(system || chr(10) || user_), lower(t))), lambda t: 'missing ' || t), list_transform(list_filter({_MUST_NOT!r}, lambda t: contains(lower(system), lower(t))), lambda t: 'forbidden ' || t)) AS failures FROM u) "
+        "SELECT query_id, mode, retrieved, n_distinct, n_chars, array_to_string(failures, '; ') AS failures, len(failures) = 0 AS passed FROM f"
     )
 def _x11(spark, d):  # noqa: ANN001, ANN202
-    k = _retrieved(spark, d)
-    c = k.groupBy("query_id").agg(F.count("*").alias("n_sources"), F.countDistinct("source").alias("n_distinct"))
-    c = c.join(rt.context(k, "query_id", "rank", _HEADER, "text"), "query_id").withColumn("prompt", F.lower("context"))
-    checks = [F.when(F.col("n_sources") < 3, F.lit("min_sources"))]
-    checks += [F.when(~F.contains("prompt", F.lit(t)), F.lit(f"missing {t}")) for t in _MUST] + [F.when(F.contains("prompt", F.lit(t)), F.lit(f"found {t}")) for t in _MUST_NOT]
-    c = c.withColumn("failures", F.filter(F.array(*checks), lambda x: x.isNotNull()))
-    return c.select("query_id", "n_sources", "n_distinct", F.array_join("failures", "; ").alias("failures"), (F.size("failures") == 0).alias("passed"))
+    _, p = _prompts(spark, d)
+    must = F.element_at(F.create_map(*(y for m, t in _MUST.items() for y in (F.lit(m), F.array(*map(F.lit, t))))), F.col("mode"))
+    p = p.withColumn("min_sources", F.lit(5)).withColumn("must", must).withColumn("must_not", F.array(*map(F.lit, _MUST_NOT)))
+    c = rt.prompt_checks(p, "retrieved", "min_sources", "must", "must_not")
+    n_chars = F.char_length(F.concat("system", F.lit("\n"), "user")).cast("long")
+    return c.select("query_id", "mode", "retrieved", "n_distinct", n_chars.alias("n_chars"), F.array_join("failures", "; ").alias("failures"), "passed")
 
 
 @query("x12_context",
-        f"{_PIECES} SELECT query_id, string_agg('--- [' || lang || '] ' || source || ' | (root) ---' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS "
-        f"context, '## Sources used' || chr(10) || string_agg('- **' || source || '** (`' || doc_id || '`)' || chr(10) || '  - chunk `' || chunk_id || '` — "
-        f"(root)', chr(10) ORDER BY rank) AS sources FROM k GROUP BY query_id"
+        f"{_PIECES}, l AS (SELECT *, row_number() OVER (PARTITION BY query_id, source, path ORDER BY rank) = 1 AS first_ FROM k) SELECT query_id, {_CONTEXT} AS context, '## Sources used' || chr(10) || string_agg(CASE WHEN first_ THEN "
+        f"'- **' || source || '** (`' || path || '`)' || chr(10) ELSE '' END || '  - chunk `' || chunk_id || '` — ' || heading_path, chr(10) ORDER BY rank) AS sources FROM l GROUP BY query_id"
     )
 def _x12(spark, d):  # noqa: ANN001, ANN202
-    k = _retrieved(spark, d)
+    k, _ = _prompts(spark, d)
     return rt.context(k, "query_id", "rank", _HEADER, "text").join(rt.source_list(k, "query_id", "rank"), "query_id")
 
 
@@ -195,23 +244,7 @@ def _t2(spark, d):  # noqa: ANN001, ANN202
     return rt.top_k(s, "query_id", "s", "vec_id", 10).select("query_id", "vec_id", F.col("rank").cast("long"), F.col("s").alias("similarity"))
 
 
-_LEVELS = range(1, 7)
-
-
-@query("x1_heading_sections",
-        r"WITH p AS (SELECT page_id, string_split(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style)[ >].*?</(script|style)>', ' ', 'g'), "
-        r"'(?i)<h([1-6])([ >])', chr(1) || '\1\2', 'g'), chr(1)) AS parts FROM pages), s AS (SELECT page_id, generate_subscripts(parts, 1) - 1 AS section, "
-        r"unnest(parts) AS part FROM p), t AS (SELECT page_id, section, CASE WHEN section > 0 THEN CAST(part[1:1] AS INTEGER) ELSE 0 END AS level, CASE WHEN "
-        r"section > 0 THEN trim(regexp_replace(regexp_replace(regexp_extract(part, '(?is)^[1-6][^>]*>(.*?)</h', 1), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) END "
-        r"AS heading, trim(regexp_replace(regexp_replace(CASE WHEN section > 0 THEN regexp_extract(part, '(?is)</h[1-6]>(.*)$', 1) ELSE part END, '<[^>]*>', ' "
-        r"', 'g'), '\s+', ' ', 'g')) AS body FROM s), w AS (SELECT *, "
-     + ", ".join(
-        f"max(CASE WHEN level = {k} THEN section END) OVER u AS p{k}, max(CASE WHEN level BETWEEN 1 AND {k} - 1 THEN section END) OVER u AS q{k}, "
-        f"arg_max(heading, section) FILTER (WHERE level = {k}) OVER u AS h{k}"
-     for k in _LEVELS) +
-        " FROM t WINDOW u AS (PARTITION BY page_id ORDER BY section ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT page_id AS id, CAST(section AS "
-        "INTEGER) AS section, level, CASE WHEN level = 0 THEN '(root)' ELSE array_to_string(list_filter(["
-     + ", ".join(f"CASE WHEN p{k} > coalesce(q{k}, 0) THEN h{k} END" for k in _LEVELS) + "], lambda x: x IS NOT NULL), ' > ') END AS heading_path, body FROM w WHERE body <> ''")
+@query("x1_heading_sections", _X1)
 def _x1(spark, d):  # noqa: ANN001, ANN202
     return rt.heading_sections(table(spark, d, "pages"), "page_id", "html")
 

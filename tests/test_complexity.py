@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from phaseloom.operators import claims as cm
 from phaseloom.operators import complexity as cx
 from phaseloom.operators import evaluation as ev
 from phaseloom.operators import nulls as nl
@@ -101,9 +102,21 @@ def test_blocked_test_finds_the_design(spark):
         run([(1, "a", 1.0), (2, "a", 2.0)])
 
 
-def test_phrases_inside_words(spark):
-    docs = spark.createDataFrame([(1, "Unit One two threesome"), (2, "one  two\nthree"), (3, "one two"), (4, None), (5, "stone two three four fives")], "id int, text string")
-    phrases = spark.createDataFrame([("one two three",), ("one two",), ("two three four five",)], "phrase string")
-    got = {r.id: r.hits for r in rt.phrase_scan(docs, phrases, "id", "text").collect()}
-    flat = {1: "unit one two threesome", 2: "one two three", 3: "one two", 4: "", 5: "stone two three four fives"}
-    assert got == {i: [p for p in ("one two", "one two three", "two three four five") if p in t] for i, t in flat.items()}
+def test_phrases_of_any_length_inside_words(spark):
+    words = " ".join(f"w{k}" for k in range(70))
+    texts = {1: "Unit One two threesome", 2: "one  two\nthree", 3: "one two", 4: None, 5: "stone two three four fives", 6: f"x{words}y", 7: "ñ. a b", 8: ""}
+    phrases = ["one two three", "one two", "two three four five", words, words[:-1] + "x", "ñ", "ne", "thr", "a b", "e t", "zz", "two", "ones two"]
+    docs = spark.createDataFrame([*texts.items(), (3, "one two")], "id int, text string")
+    got = sorted((r.id, r.hits) for r in rt.phrase_scan(docs, spark.createDataFrame([(p,) for p in phrases], "phrase string"), "id", "text").collect())
+    want = [(i, sorted(p for p in phrases if p in " ".join((t or "").lower().split()))) for i, t in [*texts.items(), (3, "one two")]]
+    assert got == sorted(want)
+    assert {r.status for r in rt.phrase_scan(docs, spark.createDataFrame([], "phrase string"), "id", "text").collect()} == {"clean"}
+
+
+def test_claims_and_tiers(spark):
+    docs = spark.createDataFrame([(1, "  Soul proves it\r\nplain\nEEG entropy "), (2, None), (3, "An exit cost\n\ninstant arhat, it proves")], "id int, text string")
+    got = {r.claim_id: r for r in cm.tiered(cm.claims(docs, "id", "text")).collect()}
+    assert sorted(got) == ["1_c0000", "1_c0001", "3_c0000", "3_c0001"]
+    assert got["1_c0000"].categories == ["speculation"] and got["1_c0000"].status == "quarantine_only" and got["1_c0000"].needs_rewrite
+    assert got["1_c0001"].text == "EEG entropy" and got["1_c0001"].tier == "research_hypothesis" and got["1_c0001"].flags == []
+    assert (got["3_c0000"].status, got["3_c0001"].tier, got["3_c0001"].flags) == ("book_safe", "unsafe_or_requires_rewrite", ["unsafe"])
