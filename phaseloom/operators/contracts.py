@@ -38,13 +38,6 @@ def stage_contracts(spark: SparkSession, stages: dict[str, DataFrame], required:
     return j.groupBy("stage").agg(F.count("*").alias("n_required"), missing.alias("n_missing"), F.when(missing == 0, "ok").otherwise("error").alias("status"))
 
 
-def requirement_matrix(subjects: DataFrame, required: DataFrame, have: DataFrame, subject: str) -> DataFrame:
-    """(subject, req, n_required, n_missing, allowed): every subject against every requirement; required is a small table."""
-    grid = subjects.crossJoin(F.broadcast(required)).join(have.withColumn("__found", F.lit(True)), [subject, "kind"], "left")
-    missing = F.count_if(F.col("__found").isNull())
-    return grid.groupBy(subject, "req").agg(F.count("*").alias("n_required"), missing.alias("n_missing"), (missing == 0).alias("allowed"))
-
-
 def first_match(text: Column, rules: list[tuple[str, list[str]]], otherwise: str) -> Column:
     """The value of the first rule of which the text holds a needle; rules are a fixed, short table."""
     out = None
@@ -64,6 +57,10 @@ def first_match_sql(text: str, rules: list[tuple[str, list[str]]], otherwise: st
     return f"CASE {when} ELSE '{otherwise}' END"
 
 
+# Fixed values of the score's gates: bounds of the composite and of single dimensions.
+GATES = {"a": 3.8, "a_support": 4, "a_falsifiable": 4, "b": 3.0, "b_falsifiable": 3, "x_overclaim": 5, "x_support": 4}
+
+
 def weighted_status(rows: DataFrame, weights: dict[str, float], rejected: Column, ceilings: DataFrame, key: str) -> DataFrame:
     """rows with composite, status and gate_reasons: gates of a weighted score, then the ceiling of the row's key.
 
@@ -73,9 +70,9 @@ def weighted_status(rows: DataFrame, weights: dict[str, float], rejected: Column
     rank = lambda c: F.when(c == "A", 2).when(c == "B", 1).otherwise(0)
     s = rows.withColumn("composite", total).withColumn("rejected", rejected)
     gate = (
-        F.when(F.col("rejected") | ((F.col("overclaim") >= 5) & (F.col("support") < 4)), "X")
-        .when((F.col("composite") >= 3.8) & (F.col("support") >= 4) & (F.col("falsifiable") >= 4), "A")
-        .when((F.col("composite") >= 3.0) & (F.col("falsifiable") >= 3), "B").otherwise("C")
+        F.when(F.col("rejected") | ((F.col("overclaim") >= GATES["x_overclaim"]) & (F.col("support") < GATES["x_support"])), "X")
+        .when((F.col("composite") >= GATES["a"]) & (F.col("support") >= GATES["a_support"]) & (F.col("falsifiable") >= GATES["a_falsifiable"]), "A")
+        .when((F.col("composite") >= GATES["b"]) & (F.col("falsifiable") >= GATES["b_falsifiable"]), "B").otherwise("C")
     )
     s = s.withColumn("gate", gate).join(F.broadcast(ceilings), key, "left")
     held = (F.col("gate") != "X") & (rank(F.col("gate")) > rank(F.col("ceiling"))) & F.col("ceiling").isNotNull()

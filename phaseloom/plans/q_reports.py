@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from phaseloom.functions import exprs as x
+from phaseloom.operators import claim_graph as cg
 from phaseloom.operators import contracts as ct
 from phaseloom.operators import relational as rel
 from phaseloom.operators import retrieval as rt
@@ -179,22 +180,41 @@ _CEILINGS = [("Brand#1", "C"), ("Brand#2", "B"), ("Brand#3", "B")]
 _INPUTS = {"support": 1, "depth": 3, "coherence": 7, "falsifiable": 11, "relevance": 13, "overclaim": 29}
 
 
-@query(
-    "p11_ceilings",
+_LEDGER = (
     "WITH c AS (SELECT p_partkey, p_brand, " + ", ".join(f"5 - (p_partkey // {k}) % {6 if n != 'overclaim' else 5} * 0.5 AS {n}" if n != "overclaim" else f"CAST((p_partkey // {k}) % 6 AS DOUBLE) AS {n}" for n, k in _INPUTS.items())
     + " FROM part), s AS (SELECT *, " + "round(" + " + ".join(f"{n} * ({w})" for n, w in _WEIGHTS.items()) + """, 9) AS composite, p_partkey % 41 = 0 AS rejected FROM c),
     g AS (SELECT *, CASE WHEN rejected OR (overclaim >= 5 AND support < 4) THEN 'X' WHEN composite >= 3.8 AND support >= 4 AND falsifiable >= 4 THEN 'A' WHEN composite >= 3.0 AND falsifiable >= 3 THEN 'B' ELSE 'C' END AS gate FROM s),
-    h AS (SELECT g.*, ceiling, gate <> 'X' AND ceiling IS NOT NULL AND CASE gate WHEN 'A' THEN 2 WHEN 'B' THEN 1 ELSE 0 END > CASE ceiling WHEN 'A' THEN 2 WHEN 'B' THEN 1 ELSE 0 END AS held FROM g LEFT JOIN (VALUES """ + ", ".join(str(c) for c in _CEILINGS) + """) t(b, ceiling) ON b = p_brand)
-    SELECT p_partkey, round(composite, 4) + 0.0 AS composite, CASE WHEN held THEN ceiling ELSE gate END AS status, concat_ws(';', CASE WHEN held THEN 'ceiling:' || ceiling END, CASE WHEN rejected THEN 'rejected' END) AS gate_reasons FROM h""",
+    h AS (SELECT g.*, ceiling, gate <> 'X' AND ceiling IS NOT NULL AND CASE gate WHEN 'A' THEN 2 WHEN 'B' THEN 1 ELSE 0 END > CASE ceiling WHEN 'A' THEN 2 WHEN 'B' THEN 1 ELSE 0 END AS held FROM g LEFT JOIN (VALUES """ + ", ".join(str(c) for c in _CEILINGS) + """) t(b, ceiling) ON b = p_brand)"""
 )
-def _p11(spark, d):  # noqa: ANN001, ANN202
+
+
+def _claims(spark, d):  # noqa: ANN001, ANN202
     key = F.col("p_partkey")
     step = {n: F.floor(key / k) for n, k in _INPUTS.items()}
-    rows = table(spark, d, "part").select("p_partkey", "p_brand", *((5 - v % 6 * 0.5 if n != "overclaim" else (v % 6).cast("double")).alias(n) for n, v in step.items()))
-    s = ct.weighted_status(rows, _WEIGHTS, key % 41 == 0, spark.createDataFrame(_CEILINGS, "p_brand string, ceiling string"), "p_brand")
+    rows = table(spark, d, "part").select("p_partkey", "p_brand", *((5 - v % 6 * 0.5 if n != "overclaim" else (v % 6).cast("double")).alias(n) for n, v in step.items()), (key % 41 == 0).alias("no_go"))
+    return rows, spark.createDataFrame(_CEILINGS, "p_brand string, ceiling string")
+
+
+@query("p11_ceilings", _LEDGER + " SELECT p_partkey, round(composite, 4) + 0.0 AS composite, CASE WHEN held THEN ceiling ELSE gate END AS status, concat_ws(';', CASE WHEN held THEN 'ceiling:' || ceiling END, CASE WHEN rejected THEN 'rejected' END) AS gate_reasons FROM h")
+def _p11(spark, d):  # noqa: ANN001, ANN202
+    rows, ceilings = _claims(spark, d)
+    s = ct.weighted_status(rows, _WEIGHTS, F.col("no_go"), ceilings, "p_brand")
     return s.select("p_partkey", rounded(F.col("composite"), 4).alias("composite"), "status", "gate_reasons")
 
 
+@query(
+    "d8_ledger_report",
+    _LEDGER + """, l AS (SELECT l_partkey, list_sort(list(DISTINCT l_suppkey::VARCHAR)) AS ids, count(DISTINCT CASE WHEN l_returnflag = 'R' THEN l_orderkey END) AS n FROM lineitem GROUP BY l_partkey), e AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey)::VARCHAR AS no FROM part)
+    SELECT p_partkey, round(composite, 4) + 0.0 AS composite, CASE WHEN held THEN ceiling ELSE gate END AS status, concat_ws(';', CASE WHEN held THEN 'ceiling:' || ceiling END, CASE WHEN rejected THEN 'rejected' END) AS gate_reasons,
+    coalesce(array_to_string(ids, ','), '') AS source_ids, coalesce(n, 0) AS n_falsifiers, 'SEED-' || CASE WHEN length(no) < 3 THEN lpad(no, 3, '0') ELSE no END AS event_id, CASE WHEN held THEN ceiling ELSE gate END AS resulting_status FROM h JOIN e USING (p_partkey) LEFT JOIN l ON l_partkey = p_partkey""",
+)
+def _d8(spark, d):  # noqa: ANN001, ANN202
+    rows, ceilings = _claims(spark, d)
+    li = table(spark, d, "lineitem").withColumnRenamed("l_partkey", "p_partkey")
+    out = cg.ledger(rows, "p_partkey", "p_brand", _WEIGHTS, "no_go", ceilings, li.select("p_partkey", F.col("l_suppkey").alias("source")), li.filter("l_returnflag = 'R'").select("p_partkey", F.col("l_orderkey").alias("falsifier")))
+    return out.withColumn("composite", rounded(F.col("composite"), 4)).withColumn("source_ids", F.array_join("source_ids", ","))
+
+
 @query(
     "p12_change_requests",
     """WITH r AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND o_orderkey % 4 = 0 THEN 'closed' ELSE 'open' END AS status, CASE WHEN o_orderkey % 9 = 0 THEN o_orderkey + 1 END AS newer, o_orderkey % 3 = 0 AS empty, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey % 2 = 1 END AS own FROM orders)

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from phaseloom.functions import exprs as x
+from phaseloom.operators import claim_graph as cg
 from phaseloom.operators import claims as cm
 from phaseloom.operators import contracts as ct
 from phaseloom.operators import retrieval as rt
@@ -372,16 +373,56 @@ def _d5(spark, d):  # noqa: ANN001, ANN202
     return table(spark, d, "part").groupBy(F.col("p_brand").alias("artifact_type")).agg(F.count("*").alias("n"), rounded(F.sum("p_retailprice"), 2).alias("total"), F.max("p_size").alias("largest"))
 
 
+# Rule tables of the claim graph. Subjects are parts; their evidence is named by the line numbers of their larger items.
+_EVIDENCE = ["labels", "metrics", "nulls", "ablations", "leakage", "artifacts", "mechanism"]
+_SCOPES = [("runtime", 0, False), ("marker", 1, True), ("residual", 2, True), ("consistency", 3, True), ("mechanism", 4, True), ("candidate", 5, True)]
+_NEEDS = [("marker", "labels"), ("marker", "metrics"), *(("residual", e) for e in _EVIDENCE[:6]), ("consistency", "metrics"), *(("mechanism", e) for e in _EVIDENCE), *(("candidate", e) for e in (*_EVIDENCE, "replication", "review"))]
+_BRIDGES = [
+    ("B1", "runtime", "marker", True, False, False), ("B2", "marker", "residual", True, False, False), ("B3", "residual", "mechanism", True, True, False), ("B4", "mechanism", "candidate", True, True, False),
+    ("B5", "residual", "candidate", True, False, True), ("B6", "marker", "consistency", False, False, False), ("B7", "consistency", "mechanism", True, False, False),
+]
+_BRIDGE_NEEDS = [("B1", "labels"), ("B2", "nulls"), ("B2", "leakage"), ("B3", "mechanism"), ("B4", "replication"), ("B6", "metrics"), ("B7", "mechanism"), ("B7", "replication")]
+_GRAPH = (
+    f"subject AS (SELECT p_partkey, p_partkey % 10 = 0 AS mock FROM part), have AS (SELECT DISTINCT l_partkey AS p_partkey, ({_EVIDENCE!r})[l_linenumber] AS evidence FROM lineitem WHERE l_quantity >= 15 UNION SELECT p_partkey, 'replication' FROM part WHERE p_partkey % 3 = 0 UNION SELECT p_partkey, 'review' FROM part WHERE p_partkey % 4 <> 0), "
+    + ", ".join(f"{name} AS (SELECT * FROM (VALUES {', '.join(map(str, rows))}) t({columns}))" for name, columns, rows in (("scopes", "scope, level, needs_real", _SCOPES), ("needs", "scope, evidence", _NEEDS), ("bridges", "bridge, source, target, needs_real, needs_review, quarantined", _BRIDGES), ("bridge_needs", "bridge, evidence", _BRIDGE_NEEDS)))
+    + """, bm AS (SELECT s.p_partkey, mock, b.*, list_sort(coalesce(list(n.evidence) FILTER (WHERE n.evidence IS NOT NULL AND h.evidence IS NULL), [])) AS missing FROM subject s CROSS JOIN bridges b LEFT JOIN bridge_needs n USING (bridge) LEFT JOIN have h ON h.p_partkey = s.p_partkey AND h.evidence = n.evidence GROUP BY ALL),
+    status AS (SELECT bm.*, CASE WHEN quarantined THEN 'quarantined' WHEN mock AND needs_real THEN 'blocked_pending_real_execution' WHEN len(missing) > 0 THEN 'blocked_pending_evidence' WHEN needs_review AND r.evidence IS NULL THEN 'blocked_pending_review' ELSE 'promotable' END AS status FROM bm LEFT JOIN have r ON r.p_partkey = bm.p_partkey AND r.evidence = 'review')"""
+)
+
+
+def _claim_graph(spark, d):  # noqa: ANN001, ANN202
+    k = F.col("p_partkey")
+    subjects = table(spark, d, "part").select("p_partkey", (k % 10 == 0).alias("mock"))
+    items = table(spark, d, "lineitem").filter("l_quantity >= 15").select(F.col("l_partkey").alias("p_partkey"), F.get(F.array(*map(F.lit, _EVIDENCE)), F.col("l_linenumber") - 1).alias("evidence"))
+    have = items.unionByName(subjects.filter(k % 3 == 0).select("p_partkey", F.lit("replication").alias("evidence"))).unionByName(subjects.filter(k % 4 != 0).select("p_partkey", F.lit("review").alias("evidence")))
+    rules = [
+        spark.createDataFrame(_SCOPES, "scope string, level int, needs_real boolean"), spark.createDataFrame(_NEEDS, "scope string, evidence string"),
+        spark.createDataFrame(_BRIDGES, "bridge string, source string, target string, needs_real boolean, needs_review boolean, quarantined boolean"), spark.createDataFrame(_BRIDGE_NEEDS, "bridge string, evidence string"),
+    ]
+    return subjects, checkpointed(have.distinct(), "evidence"), rules
+
+
 @query("d6_claim_matrix",
-        "WITH r AS (SELECT * FROM (VALUES ('N1', 'supplier'), ('N2', 'supplier'), ('N2', 'customer')) t(req, kind)), have AS (SELECT DISTINCT s_nationkey AS "
-        "nation, 'supplier' AS kind FROM supplier WHERE s_acctbal > 5000 UNION SELECT DISTINCT c_nationkey, 'customer' FROM customer WHERE c_acctbal > 9900) "
-        "SELECT n_nationkey AS nation, req, count(*) AS n_required, count(*) FILTER (WHERE h.kind IS NULL) AS n_missing, count(*) FILTER (WHERE h.kind IS "
-        "NULL) = 0 AS allowed FROM nation CROSS JOIN r LEFT JOIN have h ON h.nation = n_nationkey AND h.kind = r.kind GROUP BY ALL"
+        f"""WITH RECURSIVE {_GRAPH}, m AS (SELECT p_partkey, scope, level, list_concat(CASE WHEN mock AND needs_real THEN ['real_execution'] ELSE [] END, missing) AS blockers FROM (SELECT s.p_partkey, mock, c.*, list_sort(coalesce(list(n.evidence) FILTER (WHERE n.evidence IS NOT NULL AND h.evidence IS NULL), [])) AS missing
+        FROM subject s CROSS JOIN scopes c LEFT JOIN needs n USING (scope) LEFT JOIN have h ON h.p_partkey = s.p_partkey AND h.evidence = n.evidence GROUP BY ALL)),
+        reach AS (SELECT p_partkey, scope FROM m WHERE scope = 'runtime' AND len(blockers) = 0 UNION SELECT r.p_partkey, t.target FROM reach r JOIN status t ON t.p_partkey = r.p_partkey AND t.source = r.scope AND t.status = 'promotable' JOIN m ON m.p_partkey = r.p_partkey AND m.scope = t.target AND len(m.blockers) = 0),
+        best AS (SELECT p_partkey, arg_max(scope, level) AS max_scope FROM reach JOIN scopes USING (scope) GROUP BY p_partkey),
+        e AS (SELECT p_partkey, coalesce(list(evidence) FILTER (WHERE evidence IS NOT NULL), []) AS e FROM subject LEFT JOIN have USING (p_partkey) GROUP BY p_partkey),
+        p AS (SELECT p_partkey, CASE WHEN mock THEN 'engineering_validated' WHEN NOT list_contains(e, 'labels') THEN 'blocked_pending_real_execution' WHEN NOT list_has_all(e, ['nulls', 'ablations', 'leakage', 'artifacts']) THEN 'blocked_pending_controls' WHEN NOT list_contains(e, 'review') THEN 'blocked_pending_review'
+        WHEN list_has_all(e, ['mechanism', 'replication']) THEN 'mechanism_candidate' ELSE 'empirical_candidate' END AS promotion_state FROM subject JOIN e USING (p_partkey))
+        SELECT m.p_partkey, m.scope, len(blockers) = 0 AS allowed, r.scope IS NOT NULL AS reached, array_to_string(blockers, ';') AS blockers, max_scope, promotion_state FROM m LEFT JOIN reach r ON r.p_partkey = m.p_partkey AND r.scope = m.scope LEFT JOIN best ON best.p_partkey = m.p_partkey JOIN p ON p.p_partkey = m.p_partkey"""
     )
 def _d6(spark, d):  # noqa: ANN001, ANN202
-    have = table(spark, d, "supplier").filter("s_acctbal > 5000").select(F.col("s_nationkey").alias("nation"), F.lit("supplier").alias("kind")).union(table(spark, d, "customer").filter("c_acctbal > 9900").select("c_nationkey", F.lit("customer"))).distinct()
-    req = spark.createDataFrame([("N1", "supplier"), ("N2", "supplier"), ("N2", "customer")], "req string, kind string")
-    return ct.requirement_matrix(table(spark, d, "nation").select(F.col("n_nationkey").alias("nation")), req, have, "nation")
+    subjects, have, (scopes, needs, bridges, bridge_needs) = _claim_graph(spark, d)
+    m = cg.claim_matrix(subjects, "p_partkey", have, scopes, needs, cg.bridge_statuses(subjects, "p_partkey", have, bridges, bridge_needs), "runtime")
+    state = cg.promotion_state(subjects, "p_partkey", have, "labels", ["nulls", "ablations", "leakage", "artifacts"], "mechanism", "replication")
+    return m.withColumn("blockers", F.array_join("blockers", ";")).join(state, "p_partkey")
+
+
+@query("d6_bridges", f"WITH {_GRAPH} SELECT p_partkey, bridge, source, target, status, array_to_string(missing, ';') AS missing FROM status")
+def _d6b(spark, d):  # noqa: ANN001, ANN202
+    subjects, have, (_, _, bridges, bridge_needs) = _claim_graph(spark, d)
+    return cg.bridge_statuses(subjects, "p_partkey", have, bridges, bridge_needs).withColumn("missing", F.array_join("missing", ";"))
 
 
 @query("d7_check_table",
@@ -394,18 +435,6 @@ def _d7(spark, d):  # noqa: ANN001, ANN202
     return a.unpivot([], ["rows", "unique_ids", "no_null_text"], "check_name", "ok")
 
 
-@query("d8_ledger_report",
-        "WITH s AS (SELECT n_nationkey AS claim, count(DISTINCT c_custkey) AS links, count(DISTINCT s_suppkey) AS falsifiers FROM nation LEFT JOIN customer ON "
-        "c_nationkey = n_nationkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL) SELECT CASE WHEN falsifiers > 4 THEN 'contested' WHEN links > "
-        "60 THEN 'supported' ELSE 'open' END AS status, count(*) AS n_claims, CAST(sum(links) AS BIGINT) AS n_links FROM s GROUP BY ALL"
-    )
-def _d8(spark, d):  # noqa: ANN001, ANN202
-    c = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("claim")).agg(F.count("*").alias("links"))
-    s = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("claim")).agg(F.count("*").alias("falsifiers"))
-    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("claim")).join(c, "claim", "left").join(s, "claim", "left").na.fill(0)
-    return n.groupBy(F.when(F.col("falsifiers") > 4, "contested").when(F.col("links") > 60, "supported").otherwise("open").alias("status")).agg(F.count("*").alias("n_claims"), F.sum("links").alias("n_links"))
-
-
 @query("f8_titles", r"SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, CAST(len(regexp_extract_all(html, '<h[1-6][ >]')) AS INTEGER) AS n_headings FROM pages")
 def _f8(spark, d):  # noqa: ANN001, ANN202
     return table(spark, d, "pages").select("page_id", F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"), F.size(F.regexp_extract_all("html", F.lit("<h[1-6][ >]"), 0)).alias("n_headings"))
