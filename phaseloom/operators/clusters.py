@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,15 +38,41 @@ METRICS: dict[str, Callable[[np.ndarray], float]] = {"range": lambda v: float(np
 
 
 def plugged_metric(windowed: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """(keys, value, error): a registered metric of each group; a failure gives a row with its message."""
+    """(keys, value, error): a registered metric of each group; a failure gives a row with its message.
+
+    Groups stand one after the other in their partitions, so a task calls the metric on slices of whole batches.
+    """
     metric = METRICS[name]
+    types = dict(windowed.dtypes)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = {k: pdf[k].iloc[0] for k in keys}
-        try:
-            return pd.DataFrame([{**head, "value": float(metric(pdf.sort_values("k")["v"].to_numpy())), "error": None}])
-        except Exception as e:  # a metric may fail on a group; the others go on  # noqa: BLE001
-            return pd.DataFrame([{**head, "value": None, "error": str(e)}])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for last, part in _with_last(batches):
+            part = part if rest is None else pd.concat([rest, part], ignore_index=True)
+            before = part[keys].shift()
+            fresh = ((part[keys] != before) & ~(part[keys].isna() & before.isna())).any(axis=1).to_numpy()
+            fresh[:1] = True
+            starts = np.flatnonzero(fresh)
+            ends = np.append(starts[1:], len(part))
+            whole = len(starts) if last else len(starts) - 1  # the last group may go on in the next batch
+            rest, v, out = part.iloc[ends[whole - 1] if whole else 0 :], part["v"].to_numpy(float), []
+            for a, b in zip(starts[:whole], ends[:whole], strict=True):
+                try:
+                    out.append((float(metric(v[a:b])), None))
+                except Exception as e:  # a metric may fail on a group; the others go on  # noqa: BLE001
+                    out.append((None, str(e)))
+            if whole:
+                yield part.iloc[starts[:whole]][keys].reset_index(drop=True).assign(value=[x for x, _ in out], error=[e for _, e in out])
 
-    types = dict(windowed.dtypes)
-    return windowed.select(*keys, "k", "v").groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {types[k]}" for k in keys), "value double", "error string"]))
+    rows = windowed.select(*keys, "k", "v").repartition(*keys).sortWithinPartitions(*keys, "k")
+    return rows.mapInPandas(run, ", ".join([*(f"{k} {types[k]}" for k in keys), "value double", "error string"]))
+
+
+def _with_last(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[bool, pd.DataFrame]]:
+    held = None
+    for b in batches:
+        if held is not None:
+            yield False, held
+        held = b
+    if held is not None and len(held):
+        yield True, held

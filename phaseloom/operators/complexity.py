@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from phaseloom.operators import ordered
 from phaseloom.operators.plugins import f_tail
+from phaseloom.operators.windows import SERIES
+from phaseloom.sources.readers import checkpointed
 
 
 def _schema(df: DataFrame, keys: list[str], more: str) -> str:
@@ -52,19 +55,49 @@ def fractal_dimension(windowed: DataFrame, keys: list[str], steps: int = 4, orde
     return mean.groupBy(*keys).agg(F.regr_slope(F.ln("l"), F.ln(1 / F.col("step"))).alias("dimension"))
 
 
-def multifractal(series: DataFrame, keys: list[str], order: str, v: str, scales: list[int], powers: list[float]) -> DataFrame:
-    """(keys, q, h): generalised fluctuation exponents; boxes of each scale are detrended by a line, their mean squares averaged to the power q / 2.
+#: Series of fewer samples give no multifractal estimates.
+LEAST_SAMPLES = 1_000
+#: The 16 powers from -4 to 4 in steps of one half, without 0.
+POWERS = [k / 2 for k in range(-8, 9) if k]
 
-    q = 0 takes the mean of logarithms. The spread of h over q is what tells a multifractal series.
+
+def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str = "n") -> DataFrame:
+    """rows, in ranges, with the place of each in its series, from 0."""
+    return ordered.running_sum(ordered.ranges(rows, keys, order), keys, order, F.lit(1), name)
+
+
+def multifractal(series: DataFrame, keys: list[str], order: str, v: str, powers: list[float] = POWERS, least: int = LEAST_SAMPLES) -> DataFrame:
+    """(keys, n, q, h, tau, alpha, f): detrended fluctuation exponents h(q), their masses tau = q h - 1 and the singularity spectrum.
+
+    alpha is the slope of tau over neighbouring powers, one-sided at the ends, and f = q alpha - tau. Lags are up to 30
+    whole numbers over 2, evenly spaced in the logarithm up to a quarter of the series; the profile, a running sum over
+    ranges, is cut into boxes of each lag from its start and from its end, each detrended by a line. Series of fewer than
+    `least` samples, or with fewer than five lags, give one row of nulls. order numbers the samples from 0 without gaps.
     """
-    at = W.partitionBy(*keys)
-    c = series.withColumn("mean_", F.avg(v).over(at)).withColumn("y", F.sum(F.col(v) - F.col("mean_")).over(at.orderBy(order).rowsBetween(W.unboundedPreceding, 0)))
-    c = c.withColumn("s", F.explode(F.array(*[F.lit(s) for s in scales]))).withColumn("box", F.floor(F.col(order) / F.col("s")))
-    rss = F.regr_syy("y", order) - F.when(F.regr_sxx("y", order) == 0, 0.0).otherwise(F.regr_sxy("y", order) ** 2 / F.regr_sxx("y", order))
-    b = c.groupBy(*keys, "s", "box").agg(F.count("*").alias("n"), rss.alias("rss")).filter("n = s").withColumn("f2", F.greatest(F.col("rss") / F.col("n"), F.lit(1e-30)))
-    f = b.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in powers]))).groupBy(*keys, "s", "q").agg(F.avg(F.when(F.col("q") == 0, F.ln("f2") / 2).otherwise(F.pow("f2", F.col("q") / 2))).alias("x"))
-    log_f = F.when(F.col("q") == 0, F.col("x")).otherwise(F.ln("x") / F.col("q"))
-    return f.groupBy(*keys, "q").agg(F.regr_slope(log_f, F.ln("s")).alias("h"))
+    stats = series.groupBy(*keys).agg(F.count("*").alias("__size"), F.avg(v).alias("mean"))
+    top = F.log10(F.col("__size") / 4)
+    lags = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(29)), lambda i: F.floor(F.pow(F.lit(10.0), 0.7 + i * (top - 0.7) / 29) + 1e-9).cast("long")))
+    stats = checkpointed(stats.withColumn("lags", F.filter(lags, lambda s: s > 2)), "series")
+    usable = stats.filter((F.col("__size") >= least) & (F.size("lags") >= 5))
+    x = series.select(*keys, order, v).join(F.broadcast(usable) if usable.count() <= SERIES else usable, keys)
+    x = ordered.ranges(x.withColumn("__d", F.col(v) - F.col("mean")), keys, [order])
+    x = ordered.running_sum(x, keys, [order], F.col("__d"), "__y").withColumn("y", F.col("__y") + F.col("__d")).select(*keys, order, "__size", "y", F.explode("lags").alias("s"))
+    boxes = F.array(F.floor(F.col(order) / F.col("s")), F.when(F.col(order) >= F.col("__size") % F.col("s"), -1 - F.floor((F.col(order) - F.col("__size") % F.col("s")) / F.col("s"))))
+    x = x.select(*keys, F.col(order).alias("t"), "y", "s", F.explode(F.array_compact(boxes)).alias("box"))
+    rss = F.regr_syy("y", "t") - F.regr_sxy("y", "t") ** 2 / F.regr_sxx("y", "t")
+    b = x.groupBy(*keys, "s", "box").agg(F.count("*").alias("held"), rss.alias("rss")).filter("held = s").withColumn("f2", F.greatest(F.col("rss") / F.col("held"), F.lit(1e-30)))
+    f = b.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in powers]))).groupBy(*keys, "s", "q").agg(F.avg(F.pow("f2", F.col("q") / 2)).alias("m"))
+    h = f.groupBy(*keys, "q").agg(F.regr_slope(F.ln("m") / F.col("q"), F.ln("s")).alias("h")).withColumn("tau", F.col("q") * F.col("h") - 1)
+    by = W.partitionBy(*keys).orderBy("q")  # as many rows a series as there are powers
+    ahead, behind = (lambda c: F.coalesce(F.lead(c).over(by), F.col(c))), (lambda c: F.coalesce(F.lag(c).over(by), F.col(c)))
+    h = h.withColumn("alpha", (ahead("tau") - behind("tau")) / (ahead("q") - behind("q"))).withColumn("f", F.col("q") * F.col("alpha") - F.col("tau"))
+    return stats.select(*keys, F.col("__size").alias("n")).join(h, keys, "left")
+
+
+def singularity_width(spectrum: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, alpha_min, alpha_max, width) of multifractal(); null where there is no spectrum."""
+    known = F.when(F.abs("alpha") < float("inf"), F.col("alpha"))
+    return spectrum.groupBy(*keys).agg(F.max("n").alias("n"), F.min(known).alias("alpha_min"), F.max(known).alias("alpha_max")).withColumn("width", F.col("alpha_max") - F.col("alpha_min"))
 
 
 def graph_paths(edges: DataFrame, keys: list[str], channels: int) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -148,3 +152,39 @@ def run_batch(rows: DataFrame, path: str, subject: str, least: int, run: int) ->
     out = todo.groupBy(subject).agg(F.count("*").alias("n_rows"), F.sum("value").alias("total"))
     status = F.when(F.col("n_rows") < least, "error: too few rows").otherwise("done")
     out.withColumn("status", status).write.mode("overwrite").parquet(f"{path}/run={run}")  # a run that is repeated replaces itself
+
+
+def _stored_runs(spark: SparkSession, path: str) -> DataFrame | None:
+    """What earlier runs have left under path, if there is anything."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def run_jobs(rows: DataFrame, path: str, subject: str, job: Callable[[pd.DataFrame], dict[str, float]], results: list[str]) -> int:
+    """Call job on the rows of each subject that no earlier run under path has done, and append a row a subject; gives the run's number.
+
+    A job that raises gives its subject a row with the error, and the others go on; such subjects are taken up again by
+    the next run, those that are done are not. The number follows from the runs that are there, so a run that was broken
+    off, and has left no rows, is repeated under its own number. job gets one subject's rows and returns the results by name.
+    """
+    spark = rows.sparkSession
+    before = _stored_runs(spark, path)
+    number = 1 if before is None else (before.agg(F.max("run")).first()[0] or 0) + 1
+    todo = rows if before is None else rows.join(before.filter("status = 'done'").select(subject).distinct(), subject, "left_anti")
+    kind = dict(rows.dtypes)[subject]
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        head = {subject: part[subject].iloc[0], "n_rows": len(part)}
+        try:
+            found = job(part)
+            return pd.DataFrame([{**head, **{r: float(found[r]) for r in results}, "status": "done"}])
+        except Exception as e:  # a job may fail on a subject  # noqa: BLE001
+            return pd.DataFrame([{**head, **dict.fromkeys(results), "status": f"error: {e}"}])
+
+    schema = ", ".join([f"{subject} {kind}", "n_rows long", *(f"{r} double" for r in results), "status string"])
+    todo.groupBy(subject).applyInPandas(run, schema).write.mode("overwrite").parquet(f"{path}/run={number}")
+    return number

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from phaseloom.functions.exprs import hash_unit
 from phaseloom.operators import ordered
+from phaseloom.sources.readers import checkpointed
 
 
 def auc(scored: DataFrame, keys: list[str], score: str = "score", label: str = "y", one_class: float | None = 0.5) -> DataFrame:
@@ -165,15 +168,69 @@ def bootstrap_mean(df: DataFrame, keys: list[str], row: str, value: str, replica
     return m.groupBy(*keys).agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
 
 
+def normal_two_sided(z: Column) -> Column:
+    """Two-sided p of a standard normal statistic."""
+
+    @F.pandas_udf("double")
+    def tail(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: math.erfc(abs(v) / math.sqrt(2)), na_action="ignore")
+
+    return tail(z)
+
+
 def within_effect(rows: DataFrame, subject: str, x: str, y: str) -> DataFrame:
-    """One row (effect, n_subjects, se): slope within subjects and its cluster-robust error, from three sums of each subject.
+    """One row (effect, n_subjects, n_obs, se, z, p): slope within subjects, its cluster-robust error and two-sided normal p, from three sums of each subject.
 
     A subject's score is what its centred rows leave of the normal equation; with the sums of squares and products of
-    every subject no second pass over the rows is needed.
+    every subject no second pass over the rows is needed. Rows with a null in any of the three do not count.
     """
+    rows = rows.filter(F.col(subject).isNotNull() & F.col(x).isNotNull() & F.col(y).isNotNull())
     n = F.count("*")
-    s = rows.groupBy(subject).agg((F.sum(F.col(x) * F.col(y)) - F.sum(x) * F.sum(y) / n).alias("xy"), (F.sum(F.col(x) * F.col(x)) - F.sum(x) * F.sum(x) / n).alias("xx"))
-    beta = s.agg((F.sum("xy") / F.sum("xx")).alias("effect"), F.sum("xx").alias("sxx"))
+    s = rows.groupBy(subject).agg((F.sum(F.col(x) * F.col(y)) - F.sum(x) * F.sum(y) / n).alias("xy"), (F.sum(F.col(x) * F.col(x)) - F.sum(x) * F.sum(x) / n).alias("xx"), n.alias("n"))
+    beta = s.agg((F.sum("xy") / F.sum("xx")).alias("effect"), F.sum("xx").alias("sxx"), F.sum("n").alias("n_obs"))
     score = F.col("xy") - F.col("effect") * F.col("xx")
     m = F.count("*")
-    return s.crossJoin(F.broadcast(beta)).agg(F.first("effect").alias("effect"), m.alias("n_subjects"), (F.sqrt(m / (m - 1) * F.sum(score * score)) / F.first("sxx")).alias("se"))  # beta is one row
+    t = s.crossJoin(F.broadcast(beta)).agg(F.first("effect").alias("effect"), m.alias("n_subjects"), F.first("n_obs").alias("n_obs"), (F.sqrt(m / (m - 1) * F.sum(score * score)) / F.first("sxx")).alias("se"))  # beta is one row
+    t = t.withColumn("z", F.col("effect") / F.when(F.col("se") > 0, F.col("se")))
+    return t.withColumn("p", normal_two_sided(F.col("z")))
+
+
+def mixed_effect(rows: DataFrame, subject: str, x: str, y: str, rounds: int = 6, points: int = 25) -> DataFrame:
+    """One row (effect, se, p, converged, n_obs, n_subjects, variance_ratio): slope of a model with a random constant for each subject, by restricted likelihood.
+
+    Six sums of each subject are enough: for a ratio of the variances between and within subjects, generalised least
+    squares and the likelihood are sums over subjects. Each round scores `points` ratios in one pass and goes on between
+    the neighbours of the best. converged: the best ratio lies inside the range that is looked through, and the rounds
+    have narrowed it. Null rows do not count; fewer than two subjects or no variation of x give nulls.
+    """
+    spark = rows.sparkSession
+    r = rows.select(F.col(subject).alias("s"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    sums = r.groupBy("s").agg(F.count("*").cast("double").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("y") * F.col("y")).alias("yy"))
+    sums = checkpointed(sums, "subject-sums")
+    lo, hi, best = -8.0, 6.0, None
+    for _ in range(rounds):
+        grid = [lo + (hi - lo) * k / (points - 1) for k in range(points)]
+        g = sums.crossJoin(F.broadcast(spark.createDataFrame([(v, 10.0**v) for v in grid], "at double, ratio double")))  # `points` rows
+        c = F.col("ratio") / (1 + F.col("n") * F.col("ratio"))
+        less = lambda a, b, m: F.sum(F.col(m) - c * F.col(a) * F.col(b))  # noqa: B023, E731
+        t = g.groupBy("at").agg(less("n", "n", "n").alias("a"), less("n", "sx", "sx").alias("b"), less("sx", "sx", "xx").alias("d"), less("n", "sy", "sy").alias("p"), less("sx", "sy", "xy").alias("q"), less("sy", "sy", "yy").alias("w"), F.sum("n").alias("n_obs"), F.count("*").alias("m"), F.sum(F.log1p(F.col("n") * F.col("ratio"))).alias("logs"))
+        found = []
+        for row in t.collect():  # `points` rows
+            det = row["a"] * row["d"] - row["b"] ** 2
+            if det <= 1e-12 * max(row["a"] * row["d"], 1e-300) or row["n_obs"] <= 2 or row["m"] < 2:
+                continue
+            slope, level = (row["a"] * row["q"] - row["b"] * row["p"]) / det, (row["d"] * row["p"] - row["b"] * row["q"]) / det
+            var = max((row["w"] - slope * row["q"] - level * row["p"]) / (row["n_obs"] - 2), 1e-300)
+            likelihood = -0.5 * ((row["n_obs"] - 2) * math.log(var) + row["logs"] + math.log(det))
+            found.append((likelihood, row["at"], slope, math.sqrt(var * row["a"] / det), int(row["n_obs"]), row["m"]))
+        if not found:
+            break
+        best = max(found)
+        step = (hi - lo) / (points - 1)
+        lo, hi = max(best[1] - step, -8.0), min(best[1] + step, 6.0)
+    schema = "effect double, se double, p double, converged boolean, n_obs long, n_subjects long, variance_ratio double"
+    if best is None:
+        return spark.createDataFrame([(None, None, None, False, int(r.count()), int(sums.count()), None)], schema)
+    _, at, slope, se, n_obs, m = best
+    p = math.erfc(abs(slope) / se / math.sqrt(2)) if se > 0 else None
+    return spark.createDataFrame([(slope, se, p, at < 5.9, n_obs, m, 10.0**at)], schema)

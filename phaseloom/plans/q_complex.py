@@ -59,18 +59,33 @@ def _q11b(spark, d):  # noqa: ANN001, ANN202
     return cx.fractal_dimension(channel_windows(spark, d), CH).withColumn("dimension", rounded(F.col("dimension"), 5))
 
 
-@query(
-    "q12_multifractal",
-    sql(
-        """, c AS (SELECT recording_id, channel, n, sum(v - m) OVER (PARTITION BY recording_id, channel ORDER BY n ROWS UNBOUNDED PRECEDING) AS y FROM (SELECT *, avg(v) OVER (PARTITION BY recording_id, channel) AS m FROM samples)),
-        b AS (SELECT recording_id, channel, s, n // s AS box, greatest((regr_syy(y, n) - CASE WHEN regr_sxx(y, n) = 0 THEN 0 ELSE power(regr_sxy(y, n), 2) / regr_sxx(y, n) END) / count(*), 1e-30) AS f2 FROM c, (VALUES (8), (16), (32)) t(s) GROUP BY ALL HAVING count(*) = s),
-        f AS (SELECT recording_id, channel, s, CAST(q AS DOUBLE) AS q, avg(CASE WHEN q = 0 THEN ln(f2) / 2 ELSE power(f2, q / 2) END) AS x FROM b, (VALUES (-4), (-2), (0), (2), (4)) t(q) GROUP BY ALL)
-        SELECT recording_id, channel, q, round(regr_slope(CASE WHEN q = 0 THEN x ELSE ln(x) / q END, ln(s)), 4) + 0.0 AS h FROM f GROUP BY ALL""",
-        "samples",
-    ),
-)
+_FRACTAL = """WITH s AS (SELECT event_type AS recording_id, CAST(-1 AS BIGINT) AS channel, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS t FROM events UNION ALL
+        SELECT event_type, user_id, value, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) - 1 FROM events WHERE user_id < 3),
+        st AS (SELECT recording_id, channel, count(*) AS n, avg(v) AS mean, list_filter(list_distinct(list_transform(range(0, 30), lambda i: CAST(floor(power(10.0, 0.7 + i * (log10(count(*) / 4) - 0.7) / 29) + 1e-9) AS BIGINT))), lambda x: x > 2) AS lags FROM s GROUP BY ALL),
+        y AS (SELECT recording_id, channel, t, n, lags, sum(v - mean) OVER (PARTITION BY recording_id, channel ORDER BY t ROWS UNBOUNDED PRECEDING) AS y FROM s JOIN st USING (recording_id, channel) WHERE n >= 1000 AND len(lags) >= 5),
+        e AS (SELECT * EXCLUDE lags, unnest(lags) AS s FROM y), x AS (SELECT recording_id, channel, t, y, s, t // s AS box FROM e UNION ALL SELECT recording_id, channel, t, y, s, -1 - (t - n % s) // s FROM e WHERE t >= n % s),
+        b AS (SELECT recording_id, channel, s, box, greatest((regr_syy(y, t) - power(regr_sxy(y, t), 2) / regr_sxx(y, t)) / count(*), 1e-30) AS f2 FROM x GROUP BY ALL HAVING count(*) = s),
+        f AS (SELECT recording_id, channel, s, q, avg(power(f2, q / 2)) AS m FROM b, (SELECT (k - 8) / 2.0::DOUBLE AS q FROM range(0, 17) r(k) WHERE k <> 8) GROUP BY ALL),
+        h AS (SELECT recording_id, channel, q, regr_slope(ln(m) / q, ln(s)) AS h FROM f GROUP BY ALL), tau AS (SELECT *, q * h - 1 AS tau FROM h),
+        a AS (SELECT *, (lead(tau, 1, tau) OVER w - lag(tau, 1, tau) OVER w) / (lead(q, 1, q) OVER w - lag(q, 1, q) OVER w) AS alpha FROM tau WINDOW w AS (PARTITION BY recording_id, channel ORDER BY q))"""
+
+
+def _spectrum(spark, d):  # noqa: ANN001, ANN202
+    """Whole recordings as channel -1, and the users 0 to 2 of each, most of which are too short."""
+    e = table(spark, d, "events").select(F.col("event_type").alias("recording_id"), F.col("user_id").alias("channel"), "ts", "event_id", F.col("value").alias("v"))
+    both = e.withColumn("channel", F.lit(-1).cast("long")).unionByName(e.filter("channel < 3"))
+    return cx.multifractal(cx.numbered(both, ["recording_id", "channel"], ["ts", "event_id"]), ["recording_id", "channel"], "n", "v")
+
+
+@query("q12_multifractal", _FRACTAL + " SELECT st.recording_id, st.channel, st.n, q, round(h, 4) + 0.0 AS h, round(tau, 4) + 0.0 AS tau, round(alpha, 4) + 0.0 AS alpha, round(q * alpha - tau, 4) + 0.0 AS f FROM st LEFT JOIN a USING (recording_id, channel)")
 def _q12(spark, d):  # noqa: ANN001, ANN202
-    return cx.multifractal(samples(spark, d), ["recording_id", "channel"], "n", "v", [8, 16, 32], [-4, -2, 0, 2, 4]).withColumn("h", rounded(F.col("h"), 4))
+    return _spectrum(spark, d).select("recording_id", "channel", "n", "q", *(rounded(F.col(c), 4).alias(c) for c in ("h", "tau", "alpha", "f")))
+
+
+@query("q12_singularity_width", _FRACTAL + " SELECT st.recording_id, st.channel, st.n, round(min(alpha), 4) + 0.0 AS alpha_min, round(max(alpha), 4) + 0.0 AS alpha_max, round(max(alpha) - min(alpha), 4) + 0.0 AS width FROM st LEFT JOIN a USING (recording_id, channel) GROUP BY ALL")
+def _q12b(spark, d):  # noqa: ANN001, ANN202
+    w = cx.singularity_width(_spectrum(spark, d), ["recording_id", "channel"])
+    return w.select("recording_id", "channel", "n", *(rounded(F.col(c), 4).alias(c) for c in ("alpha_min", "alpha_max", "width")))
 
 
 _PATHS = (
@@ -184,7 +199,7 @@ def _j15(spark, d):  # noqa: ANN001, ANN202
 
 @query("v9_spin_test")
 def _v9(spark, d):  # noqa: ANN001, ANN202
-    spins = cx.spin_assignments(sensor(spark).select("channel", "x", "y"), 200, 9)
+    spins = cx.spin_assignments(sensor(spark).select("channel", "x", "y"), 1000, 9)
     m = phase(spark, d).groupBy("recording_id", F.col("channel").alias("source")).agg(F.avg("theta").alias("v"))
     spun = m.join(F.broadcast(spins), "source").join(F.broadcast(sensor(spark).select("channel", "region")), "channel")  # eight sensors
     mean = lambda r: F.avg(F.when(F.col("region") == r, F.col("v")))

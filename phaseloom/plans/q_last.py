@@ -33,12 +33,18 @@ def query(name: str, statement: str | None = None):  # noqa: ANN201
     return put
 
 
-@query("s4_text_documents", r"SELECT CAST(page_id AS VARCHAR) AS stem, length(url) + 2 AS n_chars, url AS title FROM pages")
+@query("s4_text_documents",
+        "WITH f AS (SELECT source, '# ' || doc_id || chr(10) || coalesce(text, '') || chr(10) AS text FROM documents) SELECT source, sum(len(regexp_extract_all(text, '(?m)^#{1,3}[ \\t]'))) AS n_headings, CAST(sum(length(text)) AS BIGINT) AS n_chars, "
+        "bool_and(starts_with(text, '# ')) AS titled FROM f GROUP BY source"
+    )
 def _s4(spark, d):  # noqa: ANN001, ANN202
+    """Every document as a section of a file of its source, up to 100 in a file; the files are read whole."""
     path = jobs._shared(spark, "texts")
-    table(spark, d, "pages").select("page_id", F.concat(F.lit("# "), "url").alias("text")).repartition("page_id").write.partitionBy("page_id").option("lineSep", " ").text(path)
+    docs = table(spark, d, "documents").select("source", F.concat(F.lit("# "), F.col("doc_id").cast("string"), F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text"))
+    docs.repartition(F.col("source"), F.pmod(F.xxhash64("text"), F.lit(8))).write.partitionBy("source").option("maxRecordsPerFile", 100).text(path)
     t = readers.read_texts(spark, path)
-    return t.select(F.regexp_extract("path", "page_id=([0-9]+)", 1).alias("stem"), F.char_length(F.rtrim("text")).cast("long").alias("n_chars"), "title")
+    headings = F.size(F.regexp_extract_all("text", F.lit(r"(?m)^#{1,3}[ \t]"), 0))
+    return t.groupBy(F.regexp_extract("path", "source=([^/]+)", 1).alias("source")).agg(F.sum(headings).alias("n_headings"), F.sum(F.char_length("text")).cast("long").alias("n_chars"), F.bool_and(F.startswith("text", F.lit("# "))).alias("titled"))
 
 
 @query("s6_checkpoint_series", sql(" SELECT t, count(*) AS n_cells, round(avg(amp), 6) AS mean_amp FROM field GROUP BY t", "field"))

@@ -289,12 +289,21 @@ def _v6b(spark, d):  # noqa: ANN001, ANN202
     "v8_cluster_robust",
     f"""WITH {_COHORT}, b AS (SELECT subject, value - avg(value) OVER p AS y, (status = 'O')::INT - avg((status = 'O')::INT) OVER p AS x FROM cohort WHERE status IN ('O', 'F') WINDOW p AS (PARTITION BY subject)),
     f AS (SELECT sum(x * y) / sum(x * x) AS beta, sum(x * x) AS sxx FROM b), c AS (SELECT subject, sum(x * (y - beta * x)) AS score FROM b, f GROUP BY ALL)
-    SELECT round(any_value(beta), 4) + 0.0 AS effect, count(*) AS n_subjects, round(sqrt(count(*) / (count(*) - 1) * sum(score * score)) / any_value(sxx), 4) AS se FROM c, f""",
+, t AS (SELECT any_value(beta) AS effect, count(*) AS n_subjects, sqrt(count(*) / (count(*) - 1) * sum(score * score)) / any_value(sxx) AS se FROM c, f), n AS (SELECT count(*) AS n_obs FROM cohort WHERE status IN ('O', 'F') AND value IS NOT NULL),
+    p AS (SELECT *, least(abs(effect / se), 8) AS z FROM t) -- the normal tail by Simpson's rule
+    SELECT round(effect, 4) + 0.0 AS effect, n_subjects, n_obs, round(se, 4) AS se, round(1 - 2 * z / 6000 * list_sum(list_transform(range(0, 2001), lambda k: CASE WHEN k = 0 OR k = 2000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * exp(-power(z * k / 2000, 2) / 2))) / sqrt(2 * pi()), 6) + 0.0 AS p FROM p, n""",
 )
 def _v8(spark, d):  # noqa: ANN001, ANN202
     c = _cohort(spark, d).filter(F.col("status").isin("O", "F")).withColumn("on", (F.col("status") == "O").cast("int"))
     t = ev.within_effect(c, "subject", "on", "value")
-    return t.select(rounded(F.col("effect"), 4).alias("effect"), "n_subjects", rounded(F.col("se"), 4).alias("se"))
+    return t.select(rounded(F.col("effect"), 4).alias("effect"), "n_subjects", "n_obs", rounded(F.col("se"), 4).alias("se"), rounded(F.col("p")).alias("p"))
+
+
+@query("v8_mixed_effect")
+def _v8b(spark, d):  # noqa: ANN001, ANN202
+    c = _cohort(spark, d).filter(F.col("status").isin("O", "F")).withColumn("on", (F.col("status") == "O").cast("int"))
+    t = ev.mixed_effect(c, "subject", "on", "value")
+    return t.select(*(rounded(F.col(k), 4).alias(k) for k in ("effect", "se", "p", "variance_ratio")), "converged", "n_obs", "n_subjects")
 
 
 _METRICS = {"total": "value", "cents": "value % 100", "thousands": "floor(value / 1000)"}

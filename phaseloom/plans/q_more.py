@@ -197,11 +197,11 @@ def _t6(spark, d):  # noqa: ANN001, ANN202
 
 @query("f2_excess_ratios",
         "SELECT p_partkey, round((p_size + 10 - abs(p_size - 25)) / (abs(p_size - 25) + 1e-12), 0) AS ratio, round((p_size + 10 - abs(p_size - 25)) / (p_size "
-        "+ 10), 6) AS share FROM part WHERE p_size <> 25"
+        "+ 10), 6) AS share FROM part"
     )
 def _f2(spark, d):  # noqa: ANN001, ANN202
     a, n = (F.col("p_size") + 10).cast("double"), (F.col("p_size") - 25).cast("double")
-    return table(spark, d, "part").filter("p_size <> 25").select("p_partkey", rounded(x.excess_winding(a, n), 0).alias("ratio"), rounded(x.excess_share(a, n)).alias("share"))
+    return table(spark, d, "part").select("p_partkey", rounded(x.excess_winding(a, n), 0).alias("ratio"), rounded(x.excess_share(a, n)).alias("share"))
 
 
 @query("f5_replay_hash", """SELECT event_id, sha256('{"event_type":"' || event_type || '","user_id":' || user_id || '}') AS replay_hash FROM events""")
@@ -230,10 +230,11 @@ def _f11(spark, d):  # noqa: ANN001, ANN202
     return table(spark, d, "pages").select("page_id", F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#].*$", "").alias("path"))
 
 
-@query("f13_ring_sum", "SELECT vec_id, round(CAST(abs(embedding[1] - embedding[2]) + abs(embedding[2] - embedding[3]) + abs(embedding[3] - embedding[1]) AS DOUBLE), 4) AS ring FROM embeddings")
+@query("f13_ring_sum", "SELECT vec_id, round(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: abs(embedding[i]::DOUBLE - embedding[i % len(embedding) + 1]::DOUBLE))), 4) AS ring FROM embeddings")
 def _f13(spark, d):  # noqa: ANN001, ANN202
-    e = [F.get("embedding", F.lit(i)) for i in range(3)]
-    return table(spark, d, "embeddings").select("vec_id", rounded((F.abs(e[0] - e[1]) + F.abs(e[1] - e[2]) + F.abs(e[2] - e[0])).cast("double"), 4).alias("ring"))
+    after = F.concat(F.slice("embedding", 2, F.size("embedding")), F.slice("embedding", 1, 1))
+    steps = F.zip_with("embedding", after, lambda a, b: F.abs(a.cast("double") - b.cast("double")))
+    return table(spark, d, "embeddings").select("vec_id", rounded(F.aggregate(steps, F.lit(0.0), lambda t, v: t + v), 4).alias("ring"))
 
 
 @query("f15_nearest_bin", "SELECT event_id, CAST(floor(value / 10 + 0.5) AS BIGINT) AS bin, floor(value / 10 + 0.5) * 10 AS centre FROM events")

@@ -324,11 +324,6 @@ _TR = (
 )
 
 
-@query("j10_triangle_regions", sql(_TR + " SELECT tri_id, region FROM tr", "triangle", "sensor"))
-def _j10(spark, d):  # noqa: ANN001, ANN202
-    return pm.triangle_regions(triangle(spark), sensor(spark))
-
-
 @query("n5_region_charge", sql(_TR +
         " SELECT recording_id, w, k, region, round(sum(winding), 6) + 0.0 AS net, round(sum(abs(winding)), 6) AS absolute, count(*) AS n, "
         "round(avg(sign(round_even(winding, 0))), 6) + 0.0 AS chirality FROM winding JOIN tr USING (tri_id) GROUP BY ALL"
