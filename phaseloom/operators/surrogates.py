@@ -115,7 +115,7 @@ def lagged_predictability(windowed: DataFrame, keys: list[str], lag: int = 1) ->
 
 
 def graph_shape(edges: DataFrame, keys: list[str], weight: str, threshold: float, channels: int) -> DataFrame:
-    """(keys, beta0, beta1, spectral_dimension): components and independent loops, filled triangles taken off, of the graph of strong edges, and the slope of its Laplacian spectrum."""
+    """(keys, beta0, beta1, spectral_dimension): components and independent loops, filled triangles taken off, of the graph of strong edges, and twice the slope of the count of its Laplacian eigenvalues in logarithms, 0 for fewer than three."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pairs = {(int(a), int(b)) for a, b, x in zip(pdf["a"], pdf["b"], pdf[weight], strict=True) if x >= threshold}
@@ -142,13 +142,15 @@ def graph_shape(edges: DataFrame, keys: list[str], weight: str, threshold: float
                         if row:
                             pivots[row.bit_length()] = row
                             rank += 1
-        lap = np.zeros((channels, channels))
+        link = np.zeros((channels, channels))
         for a, b in pairs:
-            lap[a, b] = lap[b, a] = -1
-        lap -= np.diag(lap.sum(1))
-        ev = np.sort(np.linalg.eigvalsh(lap))
-        ev = ev[ev > 1e-9]
-        slope = float(np.polyfit(np.log(ev), np.log(np.arange(1, len(ev) + 1)), 1)[0]) * 2 if len(ev) >= 3 and np.ptp(ev) > 1e-9 else None
+            link[a, b] = link[b, a] = 1
+        frequencies = np.linalg.eigvalsh(np.diag(link.sum(1)) - link)
+        frequencies = frequencies[frequencies > 1e-9]
+        slope = 0.0  # too few to fit
+        if len(frequencies) >= 3:
+            counted = np.log(np.arange(1, len(frequencies) + 1))
+            slope = 2 * float(np.polyfit(np.log(frequencies), counted, 1)[0]) if np.ptp(frequencies) > 1e-9 else None
         return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "beta0": beta0, "beta1": len(pairs) - channels + beta0 - rank, "spectral_dimension": slope}])
 
     types = dict(edges.dtypes)

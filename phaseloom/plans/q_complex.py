@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from phaseloom.operators import complexity as cx
 from phaseloom.operators import evaluation as ev
 from phaseloom.operators import field_topology as ft
+from phaseloom.operators import montage as mt
 from phaseloom.operators import phase_metrics as pm
 from phaseloom.operators import surrogates as sg
 from phaseloom.operators import windows as wn
 from phaseloom.plans.q_signal import _CORR, _PAIR, _TOP, _TR, _edges
-from phaseloom.plans.views import _wrap, channel_windows, field, phase, rounded, samples, sensor, sql, table, triangle, windowed
+from phaseloom.plans.views import SENSORS, TRIANGLES, _wrap, channel_windows, field, phase, rounded, samples, sensor, sql, table, triangle, windowed
 
 QUERIES = {}
 KEY = ["recording_id", "w"]
@@ -249,27 +251,43 @@ def _n9(spark, d):  # noqa: ANN001, ANN202
     return pm.valid_triangles(pm.correlation(windowed(spark, d), KEY), KEY, "r", 0.3).withColumn("valid_share", rounded(F.col("valid_share")))
 
 
-_GRID = """, m AS (SELECT recording_id, w, channel, avg(cos(theta)) AS c, avg(sin(theta)) AS s FROM phase GROUP BY ALL), gr AS (SELECT a.i, b.j FROM range(4) a(i), range(3) b(j)),
-  f AS (SELECT recording_id, w, i, j, atan2(sum(s / (power(x - i, 2) + power(y - j / 2, 2) + 0.25)), sum(c / (power(x - i, 2) + power(y - j / 2, 2) + 0.25))) AS theta FROM m JOIN sensor USING (channel), gr GROUP BY ALL)"""
+
+
+
+#: An 8 x 8 grid that reaches half a unit beyond the sensors.
+_SIDE = 8
+
+
+def _weights() -> list[tuple[int, int, int, float]]:
+    xy = np.array([(x, y) for _, x, y, _ in SENSORS])
+    return mt.grid_weights(xy, [t[1:] for t in TRIANGLES], np.linspace(-0.5, 3.5, _SIDE), np.linspace(-0.5, 1.5, _SIDE))
+
+
+_MONTAGE = ", wt AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {j}, {s}, {w!r}::DOUBLE)" for i, j, s, w in _weights()) + ") t(i, j, channel, weight)), g AS (SELECT recording_id, w, k, i, j, sum(theta * weight) AS theta FROM phase JOIN wt USING (channel) GROUP BY ALL)"
+
+
+def _grids(spark, d):  # noqa: ANN001, ANN202
+    w = spark.createDataFrame(_weights(), "i int, j int, sensor long, weight double")
+    return mt.on_grid(phase(spark, d), [*KEY, "k"], "channel", "theta", w)
 
 
 @query(
     "n8_grid_charge",
     sql(
-        _GRID + f""", q AS (SELECT a.recording_id, a.w, ({_wrap('b.theta - a.theta')} + {_wrap('c.theta - b.theta')} + {_wrap('d.theta - c.theta')} + {_wrap('a.theta - d.theta')}) / (2 * pi()) AS q FROM f a
-        JOIN f b ON b.recording_id = a.recording_id AND b.w = a.w AND b.i = a.i + 1 AND b.j = a.j JOIN f c ON c.recording_id = a.recording_id AND c.w = a.w AND c.i = a.i + 1 AND c.j = a.j + 1 JOIN f d ON d.recording_id = a.recording_id AND d.w = a.w AND d.i = a.i AND d.j = a.j + 1)
-        SELECT recording_id, w, CAST(round_even(sum(q), 0) AS INTEGER) AS q, round(sum(abs(q)), 5) AS q_abs, count(*) AS n_patches FROM q GROUP BY ALL""",
-        "phase", "sensor",
+        _MONTAGE + f""", q AS (SELECT a.recording_id, a.w, a.k, ({_wrap('b.theta - a.theta')} + {_wrap('c.theta - b.theta')} + {_wrap('d.theta - c.theta')} + {_wrap('a.theta - d.theta')}) / (2 * pi()) AS q FROM g a
+        JOIN g b ON b.recording_id = a.recording_id AND b.w = a.w AND b.k = a.k AND b.i = a.i + 1 AND b.j = a.j JOIN g c ON c.recording_id = a.recording_id AND c.w = a.w AND c.k = a.k AND c.i = a.i + 1 AND c.j = a.j + 1 JOIN g d ON d.recording_id = a.recording_id AND d.w = a.w AND d.k = a.k AND d.i = a.i AND d.j = a.j + 1)
+        SELECT recording_id, w, k, CAST(round_even(sum(q), 0) AS INTEGER) AS q, round(sum(abs(q)), 5) AS q_abs, count(*) AS n_patches FROM q GROUP BY ALL""",
+        "phase",
     ),
 )
 def _n8(spark, d):  # noqa: ANN001, ANN202
-    m = phase(spark, d).groupBy(*CH).agg(F.avg(F.cos("theta")).alias("c"), F.avg(F.sin("theta")).alias("s"))
-    g = spark.range(12).select((F.col("id") % 4).alias("i"), F.floor(F.col("id") / 4).alias("j"))
-    weight = 1 / ((F.col("x") - F.col("i")) ** 2 + (F.col("y") - F.col("j") / 2) ** 2 + 0.25)
-    j = m.join(F.broadcast(sensor(spark)), "channel").crossJoin(F.broadcast(g))  # eight sensors, twelve grid points
-    f = j.groupBy(*KEY, "i", "j").agg(F.atan2(F.sum(F.col("s") * weight), F.sum(F.col("c") * weight)).alias("theta"))
-    p = ft.plaquettes(f, KEY, amp=None)
-    return p.groupBy(*KEY).agg(F.rint(F.sum("q")).cast("int").alias("q"), rounded(F.sum(F.abs("q")), 5).alias("q_abs"), F.count("*").alias("n_patches"))
+    p = ft.plaquettes(_grids(spark, d), [*KEY, "k"], amp=None)
+    return p.groupBy(*KEY, "k").agg(F.rint(F.sum("q")).cast("int").alias("q"), rounded(F.sum(F.abs("q")), 5).alias("q_abs"), F.count("*").alias("n_patches"))
+
+
+@query("n8_interpolated_grid", sql(_MONTAGE + " SELECT recording_id, w, k, i, j, round(theta, 6) + 0.0 AS theta FROM g", "phase"))
+def _n8b(spark, d):  # noqa: ANN001, ANN202
+    return _grids(spark, d).withColumn("theta", rounded(F.col("theta")))
 
 
 @query("q4_state_metrics")

@@ -297,21 +297,6 @@ def _g13(spark, d):  # noqa: ANN001, ANN202
     return g.join(m, [*KEY, "c"], "left").select(*KEY, F.floor(F.col("c") / 3).alias("i"), (F.col("c") % 3).alias("j"), rounded(F.coalesce("theta", F.lit(0.0))).alias("theta"))
 
 
-@query("n8_interpolated_grid", sql(
-        ", m AS (SELECT recording_id, w, channel, avg(cos(theta)) AS c, avg(sin(theta)) AS s FROM phase GROUP BY ALL), g AS (SELECT a.i, b.j FROM range(4) "
-        "a(i), range(3) b(j)) SELECT recording_id, w, i, j, round(atan2(sum(s / (power(x - i, 2) + power(y - j / 2, 2) + 0.25)), sum(c / (power(x - i, 2) + "
-        "power(y - j / 2, 2) + 0.25))), 6) + 0.0 AS theta FROM m JOIN sensor USING (channel), g GROUP BY ALL"
-    , "phase", "sensor"))
-def _n8(spark, d):  # noqa: ANN001, ANN202
-    from phaseloom.plans.views import sensor
-
-    m = phase(spark, d).groupBy(*CH).agg(F.avg(F.cos("theta")).alias("c"), F.avg(F.sin("theta")).alias("s"))
-    g = spark.range(12).select((F.col("id") % 4).alias("i"), F.floor(F.col("id") / 4).alias("j"))
-    weight = 1 / ((F.col("x") - F.col("i")) ** 2 + (F.col("y") - F.col("j") / 2) ** 2 + 0.25)
-    j = m.join(F.broadcast(sensor(spark)), "channel").crossJoin(F.broadcast(g))
-    return j.groupBy(*KEY, "i", "j").agg(rounded(F.atan2(F.sum(F.col("s") * weight), F.sum(F.col("c") * weight))).alias("theta"))
-
-
 @query("q17_tall_metrics", sql(
         ", r AS (SELECT recording_id, w, k, sqrt(power(avg(cos(theta)), 2) + power(avg(sin(theta)), 2)) AS r FROM phase GROUP BY ALL), s AS (SELECT "
         "recording_id, w, channel, "

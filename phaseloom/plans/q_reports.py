@@ -567,7 +567,7 @@ def _total_job(part):  # noqa: ANN001, ANN202
 
 @query("s10_isolated_jobs",
         "WITH u AS (SELECT user_id AS subject, count(*) AS n_rows, sum(value) AS total, max(abs(value - m)) AS spread FROM (SELECT *, avg(value) OVER (PARTITION BY user_id) AS m FROM events) GROUP BY user_id) "
-        "SELECT subject, n_rows, CASE WHEN n_rows >= 50 THEN round(total, 4) END AS total, CASE WHEN n_rows >= 50 THEN round(spread, 4) END AS spread, CASE WHEN n_rows < 50 THEN 'error: too few rows' ELSE 'done' END AS status, run FROM u, (VALUES (1), (2)) t(run) "
+        "SELECT subject, n_rows, CASE WHEN n_rows >= 50 THEN round(total, 4) END AS total, CASE WHEN n_rows >= 50 THEN round(spread, 2) END AS spread, CASE WHEN n_rows < 50 THEN 'error: too few rows' ELSE 'done' END AS status, run FROM u, (VALUES (1), (2)) t(run) "
         "WHERE CASE WHEN run = 1 THEN subject % 3 = 0 ELSE subject % 3 <> 0 OR n_rows < 50 END"
     )
 def _s10b(spark, d):  # noqa: ANN001, ANN202
@@ -575,7 +575,7 @@ def _s10b(spark, d):  # noqa: ANN001, ANN202
     path = shared_path(spark, "jobs")
     for rows in (e.filter("subject % 3 = 0"), e):  # a first run saw a third of the subjects; failed ones are taken up again
         ct.run_jobs(rows, path, "subject", _total_job, ["total", "spread"])
-    return spark.read.parquet(path).select("subject", "n_rows", rounded(F.col("total"), 4).alias("total"), rounded(F.col("spread"), 4).alias("spread"), "status", "run")
+    return spark.read.parquet(path).select("subject", "n_rows", rounded(F.col("total"), 4).alias("total"), rounded(F.col("spread"), 2).alias("spread"), "status", "run")
 
 
 @query("s13_stage_inventory",

@@ -45,7 +45,7 @@ def discover(spark: SparkSession, path: str, pattern: str, largest: int, ignored
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, text, title): whole files; the title is the first heading or else the first line."""
-    t = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     title = F.coalesce(F.nullif(F.regexp_extract("text", r"(?m)^#\s+(.+)$", 1), F.lit("")), F.split_part("text", F.lit("\n"), F.lit(1)))
     return t.withColumn("title", F.trim(title))
 
