@@ -66,6 +66,14 @@ def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str = "n"
     return ordered.running_sum(ordered.ranges(rows, keys, order), keys, order, F.lit(1), name)
 
 
+def profile(series: DataFrame, keys: list[str], order: str, v: str) -> DataFrame:
+    """series with y, the running sum of the differences from the series' mean up to each sample."""
+    means = series.groupBy(*keys).agg(F.avg(v).alias("__mean"))
+    x = series.join(F.broadcast(means) if means.count() <= SERIES else means, keys).withColumn("__d", F.col(v) - F.col("__mean"))
+    x = ordered.running_sum(ordered.ranges(x, keys, [order]), keys, [order], F.col("__d"), "__y")
+    return x.withColumn("y", F.col("__y") + F.col("__d")).drop("__mean", "__d", "__y", "__part")
+
+
 def multifractal(series: DataFrame, keys: list[str], order: str, v: str, powers: list[float] = POWERS, least: int = LEAST_SAMPLES) -> DataFrame:
     """(keys, n, q, h, tau, alpha, f): detrended fluctuation exponents h(q), their masses tau = q h - 1 and the singularity spectrum.
 
@@ -74,14 +82,13 @@ def multifractal(series: DataFrame, keys: list[str], order: str, v: str, powers:
     ranges, is cut into boxes of each lag from its start and from its end, each detrended by a line. Series of fewer than
     `least` samples, or with fewer than five lags, give one row of nulls. order numbers the samples from 0 without gaps.
     """
-    stats = series.groupBy(*keys).agg(F.count("*").alias("__size"), F.avg(v).alias("mean"))
+    stats = series.groupBy(*keys).agg(F.count("*").alias("__size"))
     top = F.log10(F.col("__size") / 4)
     lags = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(29)), lambda i: F.floor(F.pow(F.lit(10.0), 0.7 + i * (top - 0.7) / 29) + 1e-9).cast("long")))
     stats = checkpointed(stats.withColumn("lags", F.filter(lags, lambda s: s > 2)), "series")
-    usable = stats.filter((F.col("__size") >= least) & (F.size("lags") >= 5))
+    usable = stats.filter((F.col("__size") >= least) & (F.size("lags") >= 5)).select(*keys, "__size", "lags")
     x = series.select(*keys, order, v).join(F.broadcast(usable) if usable.count() <= SERIES else usable, keys)
-    x = ordered.ranges(x.withColumn("__d", F.col(v) - F.col("mean")), keys, [order])
-    x = ordered.running_sum(x, keys, [order], F.col("__d"), "__y").withColumn("y", F.col("__y") + F.col("__d")).select(*keys, order, "__size", "y", F.explode("lags").alias("s"))
+    x = profile(x, keys, order, v).select(*keys, order, "__size", "y", F.explode("lags").alias("s"))
     boxes = F.array(F.floor(F.col(order) / F.col("s")), F.when(F.col(order) >= F.col("__size") % F.col("s"), -1 - F.floor((F.col(order) - F.col("__size") % F.col("s")) / F.col("s"))))
     x = x.select(*keys, F.col(order).alias("t"), "y", "s", F.explode(F.array_compact(boxes)).alias("box"))
     rss = F.regr_syy("y", "t") - F.regr_sxy("y", "t") ** 2 / F.regr_sxx("y", "t")

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from phaseloom.functions import exprs as x
+from phaseloom.operators import complexity as cx
 from phaseloom.operators import evaluation as ev
 from phaseloom.operators import phase_metrics as pm
 from phaseloom.operators import relational as rel
@@ -318,8 +319,7 @@ def _q17(spark, d):  # noqa: ANN001, ANN202
         "channel, round(regr_slope(ln(f), ln(s)), 4) AS alpha FROM f GROUP BY ALL"
     , "samples"))
 def _q12(spark, d):  # noqa: ANN001, ANN202
-    at = W.partitionBy("recording_id", "channel")
-    c = samples(spark, d).withColumn("m", F.avg("v").over(at)).withColumn("y", F.sum(F.col("v") - F.col("m")).over(at.orderBy("n").rowsBetween(W.unboundedPreceding, 0)))
+    c = cx.profile(samples(spark, d), ["recording_id", "channel"], "n", "v")
     c = c.withColumn("s", F.explode(F.array(*[F.lit(s) for s in (4, 8, 16, 32)]))).withColumn("box", F.floor(F.col("n") / F.col("s")))
     rss = F.regr_syy("y", "n") - F.when(F.regr_sxx("y", "n") == 0, 0.0).otherwise(F.regr_sxy("y", "n") ** 2 / F.regr_sxx("y", "n"))
     b = c.groupBy("recording_id", "channel", "s", "box").agg(F.count("*").alias("k"), rss.alias("rss")).filter("k = s")

@@ -1,5 +1,7 @@
 """Every registered query with an oracle statement gives the statement's rows at the smallest scale."""
 
+from decimal import Decimal
+
 import duckdb
 import pytest
 
@@ -25,7 +27,7 @@ def flat(v):
     if isinstance(v, (list, tuple)):
         parts = [flat(x) for x in v]
         return "[" + ",".join(t for t, _ in parts) + "]", [n for _, ns in parts for n in ns]
-    return ("#", [v]) if isinstance(v, float) else (str(v), [])
+    return ("#", [float(v)]) if isinstance(v, (float, Decimal)) else (str(v), [])
 
 
 def rows_of(rows, names, at):
