@@ -208,8 +208,8 @@ def density_clusters(points: DataFrame, keys: list[str], eps: float, least: int)
     steps = F.array(*(F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj")) for a in range(-2, 3) for b in range(-2, 3) if abs(a) + abs(b) < 4))
 
     def around(df: DataFrame) -> DataFrame:
-        s = df.select(*keys, F.col("id").alias("of"), F.col("x").alias("ox"), F.col("y").alias("oy"), "i", "j", F.explode(steps).alias("s"))
-        return s.select(*keys, "of", "ox", "oy", (F.col("i") + F.col("s.di")).alias("i"), (F.col("j") + F.col("s.dj")).alias("j")).withColumn("key", F.struct(*keys, "i", "j")).select("key", "of", "ox", "oy")
+        s = df.select(*keys, F.col("id").alias("of"), F.col("x").alias("ox"), F.col("y").alias("oy"), "i", "j", F.explode(steps).alias("__s"))
+        return s.select(*keys, "of", "ox", "oy", (F.col("i") + F.col("__s.di")).alias("i"), (F.col("j") + F.col("__s.dj")).alias("j")).withColumn("key", F.struct(*keys, "i", "j")).select("key", "of", "ox", "oy")
 
     within = F.sqrt((F.col("x") - F.col("ox")) ** 2 + (F.col("y") - F.col("oy")) ** 2) <= eps
     seen = dealt_join(p.select("key", "id", "x", "y"), around(p.filter("not full")), "key", F.col("id")).filter(within)
@@ -218,7 +218,7 @@ def density_clusters(points: DataFrame, keys: list[str], eps: float, least: int)
     cores = checkpointed(p.filter("full").select(*keys, "id", "x", "y", "i", "j", "cell").unionByName(p.join(more, [*keys, "id"], "left_semi").select(*keys, "id", "x", "y", "i", "j", "cell")), "cores")
     cells = checkpointed(cores.groupBy(*keys, "i", "j", "cell").agg(F.count("*").alias("n"), F.min("id").alias("first")), "core-cells")
     half = F.array(*(F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj")) for a in range(-2, 3) for b in range(-2, 3) if abs(a) + abs(b) < 4 and (a, b) > (0, 0)))
-    beside = cells.select(*keys, F.col("cell").alias("a"), F.col("n").alias("n_a"), "i", "j", F.explode(half).alias("s")).select(*keys, "a", "n_a", (F.col("i") + F.col("s.di")).alias("i"), (F.col("j") + F.col("s.dj")).alias("j"))
+    beside = cells.select(*keys, F.col("cell").alias("a"), F.col("n").alias("n_a"), "i", "j", F.explode(half).alias("__s")).select(*keys, "a", "n_a", (F.col("i") + F.col("__s.di")).alias("i"), (F.col("j") + F.col("__s.dj")).alias("j"))
     beside = checkpointed(beside.join(cells.select(*keys, "i", "j", F.col("cell").alias("b"), F.col("n").alias("n_b")), [*keys, "i", "j"]).select(*keys, "a", "b", (F.col("n_a") * F.col("n_b") <= DIRECT).alias("direct")), "beside")
     direct = beside.filter("direct").join(cores.select(*keys, F.col("cell").alias("a"), F.col("x").alias("ox"), F.col("y").alias("oy")), [*keys, "a"]).join(cores.select(*keys, F.col("cell").alias("b"), "x", "y"), [*keys, "b"]).filter(within)
     linked = direct.select(*keys, "a", "b").distinct()
@@ -267,12 +267,12 @@ def betti_numbers(cells: DataFrame, keys: list[str], thresholds: list[float], va
     types = dict(cells.dtypes)
     c = cells.select(*keys, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col(value).cast("double").alias("v"))
     ahead = lambda x: F.when(F.pmod(F.col(x), F.lit(tile)) == tile - 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    c = c.withColumn("di", F.explode(ahead("i"))).withColumn("dj", F.explode(ahead("j")))
-    c = c.withColumn("ti", F.floor(F.col("i") / tile) + F.col("di")).withColumn("tj", F.floor(F.col("j") / tile) + F.col("dj"))
+    c = c.withColumn("__di", F.explode(ahead("i"))).withColumn("__dj", F.explode(ahead("j")))
+    c = c.withColumn("__ti", F.floor(F.col("i") / tile) + F.col("__di")).withColumn("__tj", F.floor(F.col("j") / tile) + F.col("__dj"))
     schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "threshold double, i long, j long, label string, regions long, euler long"])
 
     def run(part: pa.Table) -> pa.Table:
-        at = [part["ti"][0].as_py() * tile, part["tj"][0].as_py() * tile]
+        at = [part["__ti"][0].as_py() * tile, part["__tj"][0].as_py() * tile]
         grid = np.full((tile + 1, tile + 1), np.inf)  # the first row and column belong to the tiles before
         v = part["v"].to_numpy(zero_copy_only=False).astype(float)
         grid[part["i"].to_numpy() - at[0] + 1, part["j"].to_numpy() - at[1] + 1] = np.where(np.isnan(v), np.inf, v)
@@ -292,11 +292,11 @@ def betti_numbers(cells: DataFrame, keys: list[str], thresholds: list[float], va
         kinds = [pa.float64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
         return pa.Table.from_arrays([*head, *(pa.array([r[n] for r in rows], k) for n, k in enumerate(kinds))], names=[*keys, "threshold", "i", "j", "label", "regions", "euler"])
 
-    found = checkpointed(c.select(*keys, "i", "j", "v", "ti", "tj").groupBy(*keys, "ti", "tj").applyInArrow(run, schema), "tiles")
+    found = checkpointed(c.select(*keys, "i", "j", "v", "__ti", "__tj").groupBy(*keys, "__ti", "__tj").applyInArrow(run, schema), "tiles")
     border = found.filter("label is not null").select(*keys, "threshold", "i", "j", "label")
     steps = F.array(*(F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj")) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) > (0, 0)))
-    other = border.select(*keys, "threshold", "i", "j", F.col("label").alias("from"), F.explode(steps).alias("s"))
-    other = other.withColumn("ni", F.col("i") + F.col("s.di")).withColumn("nj", F.col("j") + F.col("s.dj"))
+    other = border.select(*keys, "threshold", "i", "j", F.col("label").alias("from"), F.explode(steps).alias("__s"))
+    other = other.withColumn("ni", F.col("i") + F.col("__s.di")).withColumn("nj", F.col("j") + F.col("__s.dj"))
     other = other.filter((F.floor(F.col("i") / tile) != F.floor(F.col("ni") / tile)) | (F.floor(F.col("j") / tile) != F.floor(F.col("nj") / tile)))
     touch = other.select(*keys, "threshold", F.col("ni").alias("i"), F.col("nj").alias("j"), "from").join(border, [*keys, "threshold", "i", "j"])
     node = lambda x: F.struct(*keys, "threshold", F.col(x).alias("label"))

@@ -25,12 +25,28 @@ def test_assignment_is_optimal():
     import itertools
 
     rng = np.random.default_rng(2)
-    for n, m in ((1, 1), (2, 4), (4, 2), (5, 5)):
-        c = rng.uniform(size=(n, m))
-        got = sum(c[i, j] for i, j in tk.assignment(c))
-        a, b = (c, m) if n <= m else (c.T, n)
-        want = min(sum(a[i, p[i]] for i in range(len(a))) for p in itertools.permutations(range(b), len(a)))
-        assert got == pytest.approx(want)
+    for n, m in ((1, 1), (2, 4), (4, 2), (5, 5), (0, 3), (6, 7)):
+        p, q = rng.uniform(size=(n, 2)), rng.uniform(size=(m, 2))
+        d = np.hypot(p[:, None, 0] - q[None, :, 0], p[:, None, 1] - q[None, :, 1])
+        got = tk.assignment(p, q)
+        assert len(got) == min(n, m) == len({i for i, _ in got}) == len({j for _, j in got})
+        least = min(sum(d[i, j] for i, j in (zip(range(n), x, strict=True) if n <= m else zip(x, range(m), strict=True))) for x in itertools.permutations(range(max(n, m)), min(n, m)))
+        assert sum(d[i, j] for i, j in got) == pytest.approx(least)
+
+
+def test_sparse_assignment_equals_the_dense_one(monkeypatch):
+    """Clumps, where the nearest partners are far from enough, and blocks of a few distances."""
+    monkeypatch.setattr(tk, "HELD", 500)
+    rng = np.random.default_rng(4)
+    for n, m in ((60, 60), (40, 90), (90, 40)):
+        p, q = np.concatenate([rng.normal(0, 0.1, (n // 2, 2)), rng.normal(5, 1, (n - n // 2, 2))]), rng.normal(2, 2, (m, 2))
+        d = np.hypot(p[:, None, 0] - q[None, :, 0], p[:, None, 1] - q[None, :, 1])
+        got = tk.assignment(p, q)
+        column_of, price, paid = tk._augmented([dict(enumerate(map(float, row))) for row in (d if n <= m else d.T)], max(n, m), 1e9)
+        dense = sum((d if n <= m else d.T)[i, j] for i, j in enumerate(column_of))
+        assert sum(d[i, j] for i, j in got) == pytest.approx(dense)
+        assert ((d if n <= m else d.T) - price[:, None] - paid >= -1e-9).all() and (paid <= 1e-12).all()  # prices prove it
+
 
 
 def test_tracks(spark):
