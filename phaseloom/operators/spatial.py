@@ -55,6 +55,8 @@ def _cells(points: DataFrame, keys: list[str], leaf: int) -> tuple[DataFrame, Da
     rows = checkpointed(points.withColumn("cell", F.lit("")), "cells")
     done, tree = None, rows.select(*keys, "cell", F.lit(None).cast("string").alias("parent")).distinct()
     while True:
+        if rows.groupBy(*keys, "cell").agg(F.count("*").alias("n")).filter(F.col("n") > leaf).isEmpty():
+            return (rows if done is None else done.unionByName(rows)), checkpointed(tree, "tree")
         dims = rows.select(*keys, "cell", F.posexplode("v").alias("i", "x"))
         spread = dims.groupBy(*keys, "cell", "i").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.percentile_approx("x", 0.5, 1_000).alias("mid"), F.count("*").alias("n"))
         cut = spread.groupBy(*keys, "cell").agg(F.max_by(F.struct("i", "lo", "mid"), F.col("hi") - F.col("lo")).alias("at"), F.max(F.col("hi") - F.col("lo")).alias("width"), F.max("n").alias("n"))
@@ -113,6 +115,9 @@ def nearest_distances(points: DataFrame, keys: list[str], row: str, vector: str,
     first = small.groupBy(*keys, "cell").applyInArrow(own, schema)
     equal = placed.join(sizes.filter(F.col("n") > leaf).select(*keys, "cell"), [*keys, "cell"], "left_semi").select(*keys, row, "cell", "v", F.lit(0.0).alias("d"))
     first = checkpointed(first.unionByName(equal), "first")
+    known = F.when(F.col("d") < float("inf"), F.col("d"))
+    if tree.filter("parent is not null").isEmpty():  # every group is one cell
+        return first.select(*keys, row, known.alias("d"))
 
     bounds = first.select(*keys, "cell", "d", F.posexplode("v").alias("i", "x")).groupBy(*keys, "cell", "i").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.max("d").alias("d"))
     boxed = lambda b: b.groupBy(*keys, "cell").agg(F.array_sort(F.collect_list(F.struct("i", "lo", "hi"))).alias("x"), F.max("d").alias("reach")).select(*keys, "cell", F.col("x.lo").alias("lo"), F.col("x.hi").alias("hi"), "reach")
@@ -151,7 +156,7 @@ def nearest_distances(points: DataFrame, keys: list[str], row: str, vector: str,
 
     more = asked.unionByName(given).groupBy(*keys, "cell", "part").applyInArrow(across, schema)
     best = first.select(*keys, row, "d").unionByName(more.select(*keys, row, "d")).groupBy(*keys, row).agg(F.min("d").alias("d"))
-    return best.withColumn("d", F.when(F.col("d") < float("inf"), F.col("d")))
+    return best.withColumn("d", known)
 
 
 # --- density clusters -------------------------------------------------------------------------------------------------

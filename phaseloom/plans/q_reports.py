@@ -311,12 +311,11 @@ def _f12(spark, d):  # noqa: ANN001, ANN202
 
 
 @query("f13_whole_vectors",
-        "WITH e AS (SELECT vec_id, CAST(embedding[1:12] AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT vec_id, avg(abs(v[i] - v[j])) AS gap FROM e, range(1, "
-        "13) a(i), range(1, 13) b(j) WHERE i < j GROUP BY vec_id) SELECT vec_id, round(list_sum([abs(v[i] - v[i % 12 + 1]) FOR i IN range(1, 13)]), 4) AS "
-        "ring, round(gap, 5) AS mean_gap, CAST(220 AS BIGINT) AS n_triples FROM e JOIN p USING (vec_id)"
+        "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, len(embedding) AS n FROM embeddings), p AS (SELECT vec_id, avg(abs(v[i] - v[j])) AS gap FROM (SELECT vec_id, v, n, unnest(range(1, n + 1)) AS i FROM e), LATERAL (SELECT unnest(range(i + 1, n + 1)) AS j) GROUP BY vec_id) "
+        "SELECT vec_id, round(list_sum(list_transform(range(1, n + 1), lambda i: abs(v[i] - v[i % n + 1]))), 4) AS ring, round(gap, 5) AS mean_gap, CAST(n * (n - 1) * (n - 2) // 6 AS BIGINT) AS n_triples FROM e JOIN p USING (vec_id)"
     )
 def _f13(spark, d):  # noqa: ANN001, ANN202
-    e = table(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 12), lambda v: v.cast("double")).alias("v"))
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("v"))
     return e.select("vec_id", rounded(x.ring_sum("v"), 4).alias("ring"), rounded(x.mean_pair_gap("v"), 5).alias("mean_gap"), x.choose_three(F.size("v")).alias("n_triples"))
 
 
