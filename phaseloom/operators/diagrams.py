@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 def _on_grid(diagram: DataFrame, start: float, step: float, points: int) -> DataFrame:
-    return diagram.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("at", start + F.col("g") * step)
+    """Each bar at each grid point; grid points are the decimals that start and step are written as, not sums of rounded ones."""
+    at = (F.lit(Decimal(str(start))) + F.col("g") * F.lit(Decimal(str(step)))).cast("double")
+    return diagram.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("at", at)
 
 
 def betti_curve(diagram: DataFrame, keys: list[str], start: float, step: float, points: int) -> DataFrame:
