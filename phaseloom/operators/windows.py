@@ -5,12 +5,21 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 #: Series whose sizes are broadcast, at most; rows of a piece of a series.
 SERIES, PIECE = 100_000, 8_192
 
 
+def whole(keys: list[str], order: str) -> WindowSpec:
+    """All rows of a key, added up in their order: a mean has the same last bits wherever the rows came from.
+
+    Values that lie on the mean, or means on the edge between two rounded numbers, fall to one side or the other by them.
+    """
+    return W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+
+
 def tumbling(samples: DataFrame, keys: list[str], length: int, cap: int | None = None) -> DataFrame:
     """(keys, w, n_samples, status): windows of a series; a series shorter than one window gives one row marked short_window.
 
@@ -127,15 +136,16 @@ def binned_entropy(windowed: DataFrame, keys: list[str], v: str = "v", bins: int
 def substring_diversity(windowed: DataFrame, keys: list[str], order: str = "k", v: str = "v", longest: int = 4) -> DataFrame:
     """(keys, lzc): distinct substrings of up to so many symbols of the thresholded series, for each sample."""
     at = W.partitionBy(*keys)
-    s = windowed.withColumn("bit", F.when(F.col(v) >= F.avg(v).over(at), "1").otherwise("0"))
+    s = windowed.withColumn("bit", F.when(F.col(v) >= F.avg(v).over(whole(keys, order)), "1").otherwise("0"))
     run = at.orderBy(order)
     parts = [F.when(F.lead("bit", k - 1).over(run).isNotNull(), F.concat(*[F.lead("bit", i).over(run) if i else F.col("bit") for i in range(k)])) for k in range(1, longest + 1)]
     s = s.select(*keys, F.array(*parts).alias("subs"), F.count("*").over(at).alias("n")).select(*keys, "n", F.explode(F.array_compact("subs")).alias("sub"))
     return s.groupBy(*keys).agg((F.countDistinct("sub") / F.max("n")).alias("lzc"))
 
 
-def power(windowed: DataFrame, keys: list[str], v: str = "v") -> DataFrame:
-    return windowed.groupBy(*keys).agg(F.avg(F.col(v) * F.col(v)).alias("power"))
+def power(windowed: DataFrame, keys: list[str], order: str = "k", v: str = "v") -> DataFrame:
+    s = windowed.withColumn("p", F.avg(F.col(v) * F.col(v)).over(whole(keys, order)))
+    return s.groupBy(*keys).agg(F.max("p").alias("power"))
 
 
 def spectrum(windowed: DataFrame, keys: list[str], length: int, order: str = "k", v: str = "v") -> DataFrame:

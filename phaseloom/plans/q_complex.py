@@ -14,7 +14,7 @@ from phaseloom.operators import phase_metrics as pm
 from phaseloom.operators import surrogates as sg
 from phaseloom.operators import windows as wn
 from phaseloom.plans.q_signal import _CORR, _PAIR, _TOP, _TR, _edges
-from phaseloom.plans.views import SENSORS, TRIANGLES, _wrap, channel_windows, field, phase, rounded, samples, sensor, sql, table, triangle, windowed
+from phaseloom.plans.views import SENSORS, TRIANGLES, _wrap, channel_windows, field, phase, rounded, rounded_double, samples, sensor, sql, table, triangle, windowed
 
 QUERIES = {}
 KEY = ["recording_id", "w"]
@@ -316,7 +316,7 @@ def _q4(spark, d):  # noqa: ANN001, ANN202
 def _q15(spark, d):  # noqa: ANN001, ANN202
     w = channel_windows(spark, d)
     out = wn.power(w, CH).join(wn.rounded_entropy(w, CH), CH).join(wn.substring_diversity(w, CH), CH)
-    return out.select(*CH, rounded(F.col("power"), 2).alias("spectral_power_proxy"), rounded(F.col("entropy"), 5).alias("entropy_proxy"), rounded(F.col("lzc")).alias("lzc_proxy"))
+    return out.select(*CH, rounded_double(F.col("power"), 2).alias("spectral_power_proxy"), rounded(F.col("entropy"), 5).alias("entropy_proxy"), rounded(F.col("lzc")).alias("lzc_proxy"))
 
 
 @query("v3_two_sided_gate")

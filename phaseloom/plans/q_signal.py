@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from phaseloom.operators import phase_metrics as pm
 from phaseloom.operators import windows as wn
-from phaseloom.plans.views import channel_windows, _wrap, phase, rounded, samples, sensor, sql, triangle, windowed
+from phaseloom.plans.views import channel_windows, _wrap, phase, rounded, rounded_double, samples, sensor, sql, triangle, windowed
 
 QUERIES = {}
 KEY = ["recording_id", "w"]
@@ -156,7 +156,7 @@ def _q4(spark, d):  # noqa: ANN001, ANN202
         "recording_id, w, channel, round(sum(d) / (2 * pi()), 6) + 0.0 AS q, round(sum(abs(d)) / (2 * pi()), 6) AS q_abs FROM s GROUP BY ALL"
     , "windowed@own"))
 def _q5(spark, d):  # noqa: ANN001, ANN202
-    th = F.when(F.col("v") - F.avg("v").over(W.partitionBy(*CH)) >= 0, 0.0).otherwise(F.pi())
+    th = F.when(F.col("v") - F.avg("v").over(wn.whole(CH, "k")) >= 0, 0.0).otherwise(F.pi())
     s = channel_windows(spark, d).withColumn("th", th).withColumn("d", F.col("th") - F.lag("th").over(W.partitionBy(*CH).orderBy("k")))
     return s.groupBy(*CH).agg(rounded(F.sum("d") / (2 * F.pi())).alias("q"), rounded(F.sum(F.abs("d")) / (2 * F.pi())).alias("q_abs"))
 
@@ -277,7 +277,7 @@ _LEVEL_M = sql(
 def _q15(spark, d):  # noqa: ANN001, ANN202
     w = channel_windows(spark, d)
     out = wn.power(w, CH).join(wn.rounded_entropy(w, CH), CH).join(wn.artifact(w, CH), CH)
-    return out.select(*CH, rounded(F.col("power"), 2).alias("spectral_power_proxy"), rounded(F.col("entropy"), 5).alias("entropy_proxy"), rounded(F.col("artifact_score"), 5).alias("artifact_score"), F.when(F.col("artifact_score") >= 0.9, "artifact").otherwise("ok").alias("feature_status"))
+    return out.select(*CH, rounded_double(F.col("power"), 2).alias("spectral_power_proxy"), rounded(F.col("entropy"), 5).alias("entropy_proxy"), rounded(F.col("artifact_score"), 5).alias("artifact_score"), F.when(F.col("artifact_score") >= 0.9, "artifact").otherwise("ok").alias("feature_status"))
 
 
 @query("n1_triangle_winding", sql(" SELECT recording_id, w, k, tri_id, round(winding, 6) + 0.0 AS winding FROM winding", "winding"))
