@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from hashlib import sha256
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -14,6 +16,9 @@ from phaseloom.functions.exprs import hash_unit
 from phaseloom.operators import ordered
 from phaseloom.sources.readers import checkpointed
 
+#: Keys times permutations whose cuts are broadcast, at most; keys whose replicates a task holds at once.
+CUTS, HELD = 100_000, 64
+
 
 def auc(scored: DataFrame, keys: list[str], score: str = "score", label: str = "y", one_class: float | None = 0.5) -> DataFrame:
     """(keys, auc): concordant pairs, ties one half, from counts per distinct score and a running sum over ranges; one_class where a class is missing."""
@@ -85,22 +90,32 @@ def permutation_test(
     """(keys, observed, exceed, n, p): label-shuffle test; statistic combines two columns, null outside their group, by aggregates.
 
     Each permutation orders the rows by a hash of (seed, permutation, row) and gives the first as many as the first group
-    has to it. The rows of a permutation are dealt to 256 ranges of the hash: whole ranges go to one side or the other by
-    a running count, only the range where the groups meet is sorted, so no task gets a whole permutation.
+    has to it. Ranges of the hash go to one side or the other as a whole, by a running count of their sizes; only the rows
+    of the range where the groups meet are dealt out and sorted. The other rows are aggregated where they are read.
     """
     rows = df.select(*keys, row, F.col(value).alias("v"), (F.col(group) == first).alias("is_first"))
+    rows = checkpointed(rows, "labelled")
     p = rows.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations))))
     by_label = F.when(F.col("is_first"), "0").otherwise("f")
     p = p.withColumn("h", F.when(F.col("perm") == 0, by_label).otherwise(F.sha2(F.concat_ws("|", F.lit(seed), F.col("perm").cast("string"), F.col(row).cast("string")), 256)))
-    p = p.withColumn("range", F.conv(F.rpad(F.substring("h", 1, 2), 2, "0"), 16, 10).cast("int"))
+    p = p.withColumn("range", F.rpad(F.substring("h", 1, 2), 2, "0"))
     sizes = p.groupBy(*keys, "perm", "range").agg(F.count("*").alias("held"), F.count_if("is_first").alias("firsts"))
     at = W.partitionBy(*keys, "perm")
     before = F.coalesce(F.sum("held").over(at.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select(*keys, "perm", "range", (F.sum("firsts").over(at) - before).alias("room"))
-    r = F.row_number().over(W.partitionBy(*keys, "perm", "range").orderBy("h", row))
-    dealt = p.withColumn("r", r).join(sizes, [*keys, "perm", "range"]).withColumn("side", F.col("r") <= F.col("room"))
-    d = dealt.groupBy(*keys, "perm").agg(statistic(F.when(F.col("side"), F.col("v")), F.when(~F.col("side"), F.col("v"))).alias("stat"))
-    return _null_share(d, keys, "stat", alternative)
+    sizes = sizes.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("perm").alias("__perm"), F.col("range").alias("cut"), "held", (F.sum("firsts").over(at) - before).alias("room"))
+    # one row a key and permutation: the range that has rows of both sides, or the last one that is full
+    cuts = sizes.filter("room > 0").groupBy(*(f"__{k}" for k in keys), "__perm").agg(F.max_by(F.struct("cut", "room"), "cut").alias("at"))
+    cuts = checkpointed(cuts.select("*", "at.cut", "at.room").drop("at"), "cuts")
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] + [F.col("perm") == F.col("__perm")]
+    met = p.join(F.broadcast(cuts) if cuts.count() <= CUTS else cuts, same, "left").drop("__perm", *(f"__{k}" for k in keys))
+    met = met.withColumn("cut", F.coalesce("cut", F.lit("")))  # a permutation without a first group
+    apart = met.filter("range <> cut").select(*keys, "perm", "v", (F.col("range") < F.col("cut")).alias("side"))
+    r = F.row_number().over(W.partitionBy(*keys, "perm").orderBy("h", row))
+    dealt = met.filter("range = cut AND perm > 0").select(*keys, "perm", "v", (r <= F.col("room")).alias("side"))
+    seen = met.filter("range = cut AND perm = 0").select(*keys, "perm", "v", F.lit(True).alias("side"))
+    sides = apart.unionByName(dealt).unionByName(seen)
+    d = sides.groupBy(*keys, "perm").agg(statistic(F.when(F.col("side"), F.col("v")), F.when(~F.col("side"), F.col("v"))).alias("stat"))
+    return _null_share(checkpointed(d, "statistics"), keys, "stat", alternative)
 
 
 def sign_flip_test(diffs: DataFrame, keys: list[str], subject: str, diff: str, permutations: int, seed: str, alternative: str = "two-sided") -> DataFrame:
@@ -156,15 +171,42 @@ def null_summary(nulls: DataFrame, keys: list[str], value: str, observed: str) -
 
 def bootstrap_mean(df: DataFrame, keys: list[str], row: str, value: str, replicates: int, seed: str) -> DataFrame:
     """(keys, lo, hi): 95 % interval of the mean; each replicate weighs rows by Poisson(1) counts drawn from hashes."""
-    r = df.select(*keys, row, F.col(value).alias("v")).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    u = hash_unit(F.lit(seed), F.col("rep"), F.col(row))
     steps, total, term = [], 0.0, 0.36787944117144233
     for k in range(8):
         total += term
-        steps.append(F.when(u >= total, 1).otherwise(0))
+        steps.append(total)
         term /= k + 1
-    weight = sum(steps[1:], steps[0])
-    m = r.withColumn("c", weight).groupBy(*keys, "rep").agg((F.sum(F.col("c") * F.col("v")) / F.sum("c")).alias("m"))
+    drawn = [f"{seed}|{rep}".encode() for rep in range(1, replicates + 1)]
+    types = dict(df.dtypes)
+
+    def totals(groups: dict) -> Iterator[pd.DataFrame]:
+        for key, (c, cv, known) in groups.items():
+            out = pd.DataFrame({"rep": range(1, replicates + 1), "c": c, "cv": cv if known else None})
+            yield out.assign(**dict(zip(keys, key, strict=True)))[[*keys, "rep", "c", "cv"]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        groups: dict = {}
+        for b in batches:
+            for *key, at, v in b.itertuples(index=False, name=None):
+                own = b"" if at is None else b"|" + at.encode()
+                u = np.frombuffer(b"".join([sha256(x + own).digest()[:4] for x in drawn]), ">u4") / 4294967296
+                weight = np.searchsorted(steps, u, side="right")
+                if tuple(key) not in groups:
+                    if len(groups) >= HELD:
+                        yield from totals(groups)
+                        groups = {}
+                    groups[tuple(key)] = [np.zeros(replicates, np.int64), np.zeros(replicates), False]
+                held = groups[tuple(key)]
+                held[0] += weight
+                if v == v and v is not None:
+                    held[1] += weight * v
+                    held[2] = True
+        yield from totals(groups)
+
+    rows = df.select(*keys, F.col(row).cast("string").alias("__row"), F.col(value).cast("double").alias("v"))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = rows.repartition(4 * cores).mapInPandas(run, ", ".join([*(f"{k} {types[k]}" for k in keys), "rep int, c long, cv double"]))
+    m = parts.groupBy(*keys, "rep").agg((F.sum("cv") / F.nullif(F.sum("c"), F.lit(0))).alias("m"))
     return m.groupBy(*keys).agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
 
 

@@ -118,3 +118,39 @@ def test_decoding_statuses(spark):
     assert dc.decoding(df, "id", "label", ["a"], folds=3, draws=5).first().status == "insufficient_data"
     assert dc.decoding(df.filter("id > 0"), "id", "label", ["a"], draws=5).first().status == "not_applicable"
     assert dc.decoding(df.limit(0), "id", "label", ["a"], draws=5).first().n_samples == 0
+
+
+def test_bootstrap_weights_are_hashed_once_a_row_and_replicate(spark):
+    """Weights follow the hash of (seed, replicate, row), null values count as rows, and the replicates of many keys are added up."""
+    import hashlib
+
+    from phaseloom.operators import evaluation as ev
+
+    rows = [(f"k{i % 100}", i, None if i == 7 else float(i % 13)) for i in range(700)]
+    got = {r.k: (r.lo, r.hi) for r in ev.bootstrap_mean(spark.createDataFrame(rows, "k string, i long, v double"), ["k"], "i", "v", 40, "s").collect()}
+    edges = np.cumsum([math.exp(-1) / math.factorial(j) for j in range(8)])
+    for key in ("k7", "k50"):
+        means = []
+        for rep in range(1, 41):
+            c = [(int((int(hashlib.sha256(f"s|{rep}|{i}".encode()).hexdigest()[:8], 16) / 4294967296 >= edges).sum()), v) for k, i, v in rows if k == key]
+            if n := sum(x for x, _ in c):
+                means.append(sum(x * v for x, v in c if v is not None) / n)
+        assert np.allclose(got[key], np.quantile(means, [0.025, 0.975]))
+
+
+def test_permutations_leave_few_rows_to_sort(spark):
+    """Only the rows of the range of hashes where the groups meet are dealt out: the share that a window sorts is a 256th or so."""
+    import hashlib
+
+    from phaseloom.operators import evaluation as ev
+
+    rows = [(i, float((i * 37) % 101), "a" if i % 3 else "b") for i in range(900)]
+    df = spark.createDataFrame(rows, "i long, v double, g string")
+    t = ev.permutation_test(df, [], "i", "v", "g", "a", 30, "s").first()
+    n, values = sum(g == "a" for *_, g in rows), {i: v for i, v, _ in rows}
+    stats = []
+    for perm in range(1, 31):
+        order = sorted(values, key=lambda i: hashlib.sha256(f"s|{perm}|{i}".encode()).hexdigest())
+        stats.append(np.mean([values[i] for i in order[:n]]) - np.mean([values[i] for i in order[n:]]))
+    seen = np.mean([v for _, v, g in rows if g == "a"]) - np.mean([v for _, v, g in rows if g == "b"])
+    assert abs(t.observed - seen) < 1e-9 and t.exceed == sum(abs(x) >= abs(seen) - 1e-9 for x in stats) and t.n == 30
