@@ -49,9 +49,7 @@ def _v2(spark, d):  # noqa: ANN001, ANN202
 
 @query("v3_surrogate_gate")
 def _v3(spark, d, count=200):  # noqa: ANN001, ANN202
-    w = windowed(spark, d)
-    spread = lambda df, keys: df.groupBy(*keys, "channel").agg(F.max("v").alias("m")).groupBy(*keys).agg(F.avg("m").alias("metric"))
-    return sg.gate(spread(w, KEY), spread(sg.surrogates(w, KEY, count, "v3"), [*KEY, "surrogate"]), KEY, "metric")
+    return sg.gated(sg.surrogate_metrics(windowed(spark, d), KEY, KEY, count, "v3", lambda x: x.max(axis=1).mean()), KEY)
 
 
 @query("q1_analytic_signal")

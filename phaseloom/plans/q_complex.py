@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from phaseloom.operators import clusters as cl
 from phaseloom.operators import complexity as cx
 from phaseloom.operators import evaluation as ev
 from phaseloom.operators import field_topology as ft
@@ -321,11 +322,11 @@ def _q15(spark, d):  # noqa: ANN001, ANN202
 
 @query("v3_two_sided_gate")
 def _v3(spark, d):  # noqa: ANN001, ANN202
-    s = sg.surrogates(channel_windows(spark, d), KEY, 50, "v3")
-    rough = lambda df, keys: df.withColumn("d", F.abs(F.col("v") - F.lag("v").over(W.partitionBy(*keys).orderBy("k")))).groupBy(*keys).agg(F.avg("d").alias("x"))
-    nulls = rough(s, [*CH, "surrogate"]).withColumnRenamed("surrogate", "perm").withColumn("perm", F.col("perm") + 1)
-    seen = rough(channel_windows(spark, d), CH).withColumn("perm", F.lit(0))
-    both = nulls.select(*CH, "perm", "x").unionByName(seen.select(*CH, "perm", "x"))
-    mean = nulls.groupBy(*CH).agg(F.avg("x").alias("m"))
-    t = ev._null_share(both.join(mean, CH).select(*CH, "perm", (F.col("x") - F.col("m")).alias("x")), CH, "x", "two-sided")
+    m = sg.surrogate_metrics(channel_windows(spark, d), KEY, CH, 50, "v3", cl.METRICS["roughness"])
+    known = F.filter("nulls", lambda x: x.isNotNull())
+    m = m.select(*CH, "observed", known.alias("nulls")).filter(F.size("nulls") > 0)
+    mean = F.aggregate("nulls", F.lit(0.0), lambda t, x: t + x) / F.size("nulls")
+    t = m.select(*CH, (F.col("observed") - mean).alias("observed"), F.transform("nulls", lambda x: x - mean).alias("nulls"))
+    hits = F.size(F.filter("nulls", lambda x: ev.EXTREME["two-sided"](x, F.col("observed")))).cast("long")
+    t = t.select(*CH, "observed", hits.alias("exceed"), F.size("nulls").cast("long").alias("n")).withColumn("p", (F.col("exceed") + 1) / (F.col("n") + 1))
     return t.select(*CH, rounded(F.col("observed")).alias("observed"), "exceed", "n", rounded(F.col("p")).alias("p"))

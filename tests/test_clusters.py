@@ -83,3 +83,42 @@ def test_long_tracks(spark):
     pts = [("z", t, f"p{t:03d}", float(t), 0.0) for t in range(150)]
     p = spark.createDataFrame(pts, "z string, t int, id string, x double, y double")
     assert {r.track for r in tk.tracks(p, tk.frame_links(p, ["z"], "t", 3.0)).collect()} == {"p000"}
+
+
+def test_surrogate_metrics_are_those_of_the_rows(spark):
+    """Batches of whole series give each series the surrogates of its own seeds, at any batch border, and the gate of the rows."""
+    rng = np.random.default_rng(3)
+    rows = [(f"r{w % 2}", w, c, k, float(rng.normal())) for w in range(9) for c in range(2) for k in range(16)]
+    df = spark.createDataFrame(rows, "recording_id string, w int, channel long, k int, v double")
+    keys, each = ["recording_id", "w"], ["recording_id", "w", "channel"]
+    rough = lambda v: float(np.abs(np.diff(v)).mean())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        for kind, one in (("ft", sg.randomized), ("iaaft", sg.adjusted)):
+            made = sg.surrogates(df, keys, 3, "s", kind).collect()
+            got = {}
+            for x in sorted(made, key=lambda x: x.k):
+                got.setdefault((x.recording_id, x.w, x.channel, x.surrogate), []).append(x.v)
+            assert len(got) == 9 * 2 * 3
+            for (r, w, c, n), y in got.items():
+                x = np.array([v for *at, v in rows if at[:3] == [r, w, c]])
+                assert np.allclose(y, one(x, np.random.default_rng(sg._seed("s", r, w, c, n))))
+        nulls = spark.createDataFrame([(*k[:3], rough(np.array(v))) for k, v in _series(sg.surrogates(df, keys, 5, "s"), [*each, "surrogate"]).items()], "recording_id string, w int, channel long, x double")
+        seen = spark.createDataFrame([(*k, rough(np.array(v))) for k, v in _series(df, each).items()], "recording_id string, w int, channel long, x double")
+        want = {tuple(r)[:3]: tuple(r)[3:] for r in sg.gate(seen, nulls, each, "x").collect()}
+        have = {tuple(r)[:3]: tuple(r)[3:] for r in sg.gated(sg.surrogate_metrics(df, keys, each, 5, "s", rough), each).collect()}
+        assert have.keys() == want.keys() and all(np.allclose(have[k], want[k]) for k in want)
+        z = {(r.recording_id, r.w, r.channel, r.k): r.amp for r in sg.analytic_signal(df, each, 2, 5).collect()}
+        x = np.array([v for r, w, c, k, v in rows if (w, c) == (4, 1)])
+        spec = np.fft.fft(x)
+        spec[[i for i in range(16) if not 2 <= i <= 5]] = 0
+        assert np.allclose([z["r0", 4, 1, k] for k in range(16)], np.abs(np.fft.ifft(2 * spec)))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def _series(df, keys):
+    out = {}
+    for r in df.orderBy(*keys, "k").collect():
+        out.setdefault(tuple(r[k] for k in keys), []).append(r.v)
+    return out
