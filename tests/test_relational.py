@@ -79,3 +79,14 @@ def test_search_in_blocks_meets_every_row(spark):
     rows, queries = spark.range(7).withColumnRenamed("id", "r"), spark.range(11).withColumnRenamed("id", "q")
     for block in (100, 3):
         assert sorted((x.r, x.q) for x in against_all(rows, queries, "q", block).collect()) == [(r, q) for r in range(7) for q in range(11)]
+
+
+def test_bm25_does_not_shuffle_hits(spark):
+    from phaseloom.operators import retrieval as rt
+
+    docs = spark.createDataFrame([(i, f"alpha beta w{i % 3} w{i % 5}") for i in range(40)], "id long, text string")
+    ask = spark.createDataFrame([(0, "alpha w1 w1"), (1, "beta nothing")], "query_id long, text string")
+    scores = rt.search(docs, ask, "id", "text")
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" not in plan and "hashpartitioning(id" in plan
+    assert scores.count() == 80 and scores.select("query_id", "id").distinct().count() == 80
