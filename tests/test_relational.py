@@ -90,3 +90,16 @@ def test_bm25_does_not_shuffle_hits(spark):
     plan = scores._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(query_id" not in plan and "hashpartitioning(id" in plan
     assert scores.count() == 80 and scores.select("query_id", "id").distinct().count() == 80
+
+
+def test_line_hits_carry_excerpts_only_with_the_lines(spark):
+    from phaseloom.operators import retrieval as rt
+
+    docs = spark.createDataFrame([(i, f"alpha beta gamma {i}\nnothing here\nbeta gamma\nalpha") for i in range(20)], "id long, text string")
+    phrases = spark.createDataFrame([("beta gamma",), ("alpha",), ("alpha beta gamma",)], "phrase string")
+    hits = rt.line_hits(docs, phrases, "id", "text")
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("pid" in line and "excerpt" in line for line in plan.splitlines() if "Aggregate" in line)
+    got = [(r.line_no, r.phrase, r.excerpt) for r in hits.filter("id = 3").orderBy("line_no", "phrase").collect()]
+    assert got == [(1, "alpha", "alpha beta gamma 3"), (1, "alpha beta gamma", "alpha beta gamma 3"), (1, "beta gamma", "alpha beta gamma 3"), (3, "beta gamma", "beta gamma"), (4, "alpha", "alpha")]
+    assert hits.count() == 100
