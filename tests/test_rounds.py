@@ -3,9 +3,13 @@
 import glob
 
 import numpy as np
+import pandas as pd
+import pytest
 
 from phaseloom.operators import nulls
 from phaseloom.sources.readers import shared_path
+from phaseloom.streaming import stateful
+from phaseloom.streaming.jobs import HOUR
 
 
 def _folders(spark, what):
@@ -23,3 +27,92 @@ def test_surrogates_of_a_spread_are_not_stored_and_rounds_agree(spark, monkeypat
     parts = nulls.spread_against_null(df, "vec_id", "embedding", 5, "r").first()
     assert np.allclose(once[1:6], parts[1:6])
     assert once.observed == parts.observed or abs(once.observed - np.linalg.norm(x[:, None] - x[None], axis=2)[np.triu_indices(30, 1)].mean()) < 1e-9
+
+
+class _State:
+    """Stands in for the store of one key and counts what is asked of it."""
+
+    def __init__(self):
+        self.calls, self.timers, self.values = 0, set(), {}
+
+    def getValueState(self, name, schema):
+        return _Value(self, name)
+
+    def getMapState(self, name, key, value):
+        return _Map(self, name)
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+    def listTimers(self):
+        return iter(self.timers)
+
+
+class _Value:
+    def __init__(self, state, name):
+        self.state, self.name = state, name
+
+    def exists(self):
+        return self.name in self.state.values
+
+    def get(self):
+        return self.state.values[self.name]
+
+    def update(self, value):
+        self.state.calls += 1
+        self.state.values[self.name] = value
+
+    def clear(self):
+        self.state.values.pop(self.name, None)
+
+
+class _Map:
+    def __init__(self, state, name):
+        self.state, self.rows = state, state.values.setdefault(name, {})
+
+    def iterator(self):
+        return iter(list(self.rows.items()))
+
+    def keys(self):
+        return iter(list(self.rows))
+
+    def containsKey(self, key):
+        return key in self.rows
+
+    def getValue(self, key):
+        return self.rows[key]
+
+    def updateValue(self, key, value):
+        self.state.calls += 1
+        self.rows[key] = value
+
+    def removeKey(self, key):
+        del self.rows[key]
+
+
+class _Times:
+    def getCurrentWatermarkInMs(self):
+        return 10**13
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs
+
+
+@pytest.mark.parametrize("kind", ["sessions", "drops", "changes"])
+def test_calls_to_the_store_do_not_grow_with_bursts_and_days(kind):
+    day = 24 * HOUR
+    rows = pd.DataFrame({"us": np.arange(60) * day + 19_712 * day, "event_id": range(60), "value": 1.0, "event_type": list("ab") * 30, "ends": False})
+    job = {"sessions": stateful.Sessions(6 * HOUR), "drops": stateful.TrailingDrops(day, 8, 1.0), "changes": stateful.ChangePoints(day)}[kind]
+    state = _State()
+    job.init(state)
+    assert not list(job.handleInputRows((1,), iter([rows]), None))
+    assert state.calls <= 4 and len(state.timers) == 1  # 60 bursts or days
+    out = pd.concat(list(job.handleExpiredTimer((1,), _Times(), _Times())))
+    assert len(out) == out["n"].sum() == 60
+    assert not state.values.get("waiting") and "open" not in state.values
+    if kind != "sessions":
+        assert out["found"].sum() == {"drops": 0, "changes": 59}[kind]
