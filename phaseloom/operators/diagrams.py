@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from decimal import Decimal
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,8 +25,27 @@ def betti_curve(diagram: DataFrame, keys: list[str], start: float, step: float,
 
 
 def landscape(diagram: DataFrame, keys: list[str], start: float, step: float, points: int, layers: int) -> DataFrame:
-    """(keys, g, layer, height): the highest tents over each grid point."""
-    t = _on_grid(diagram, start, step, points).withColumn("height", F.greatest(F.lit(0.0), F.least(F.col("at") - F.col("birth"), F.col("death") - F.col("at"))))
+    """(keys, g, layer, height): the highest tents over each grid point.
+
+    Each batch of bars gives the highest of each key first, so that bars times grid points are never rows or sorted.
+    """
+    at = [float(Decimal(str(start)) + g * Decimal(str(step))) for g in range(points)]
+    tents = F.array(*(F.greatest(F.lit(0.0), F.least(F.lit(x) - F.col("birth"), F.col("death") - F.lit(x))) for x in at))
+    bars = diagram.select(*keys, tents.alias("heights"))
+
+    def highest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            h = np.stack(b["heights"].to_numpy()) if len(b) else np.zeros((0, points))
+            group = b.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+            order = np.argsort(group, kind="stable")
+            kept = []
+            for rows in np.split(order, np.flatnonzero(np.diff(group[order])) + 1) if len(b) else []:
+                top = np.sort(h[rows], axis=0)[::-1][:layers]
+                kept.append(b.iloc[rows[: len(top)]][keys].assign(heights=list(top)))
+            if kept:
+                yield pd.concat(kept)[[*keys, "heights"]]
+
+    t = bars.mapInPandas(highest, bars.schema).select(*keys, F.posexplode("heights").alias("g", "height"))
     r = F.row_number().over(W.partitionBy(*keys, "g").orderBy(F.desc("height")))
     return t.withColumn("layer", r).filter(F.col("layer") <= layers).select(*keys, "g", "layer", "height")
 

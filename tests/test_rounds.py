@@ -1,12 +1,13 @@
 """Work that is done in rounds, blocks and pages gives what it gives at once, and leaves no more behind."""
 
 import glob
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
 import pytest
 
-from phaseloom.operators import nulls
+from phaseloom.operators import claim_graph, diagrams, nulls, resampling, windows
 from phaseloom.sources.readers import shared_path
 from phaseloom.streaming import stateful
 from phaseloom.streaming.jobs import HOUR
@@ -116,3 +117,60 @@ def test_calls_to_the_store_do_not_grow_with_bursts_and_days(kind):
     assert not state.values.get("waiting") and "open" not in state.values
     if kind != "sessions":
         assert out["found"].sum() == {"drops": 0, "changes": 59}[kind]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_landscape_cuts_batches_before_grid_points_are_rows(spark):
+    rng = np.random.default_rng(6)
+    bars = [(k, float(b), float(b + d)) for k, b, d in zip("ab" * 40, rng.uniform(0, 1, 80), rng.uniform(0, 1, 80), strict=True)] + [("a", 0.1, float("inf")), ("c", 0.2, 0.9)]
+    df = diagrams.landscape(spark.createDataFrame(bars, "k string, birth double, death double"), ["k"], 0.1, 0.1, 9, 3)
+    plan = _plan(df)
+    assert plan.index("Generate") < plan.index("MapInPandas")  # the plan begins with its last step
+    want = []
+    for k in "abc":
+        for g in range(9):
+            at = float(Decimal("0.1") + g * Decimal("0.1"))
+            tents = sorted((max(0.0, min(at - b, d - at)) for x, b, d in bars if x == k), reverse=True)
+            want += [(k, g, i + 1, h) for i, h in enumerate(tents[:3])]
+    assert sorted((r.k, r.g, r.layer, r.height) for r in df.collect()) == want
+
+
+def test_islands_of_hits_are_worked_on_in_batches(spark):
+    rng = np.random.default_rng(7)
+    hits = [(k, int(n)) for k in ("a", None, "b") for n in np.flatnonzero(rng.random(400) < 0.4)]
+    df = windows.refractory(spark.createDataFrame(hits, "k string, n long"), ["k"], "n", 3)
+    assert "FlatMapGroupsInPandas" not in _plan(df)
+    want = []
+    for k in ("a", None, "b"):
+        last = -9
+        for n in sorted(n for x, n in hits if x == k):
+            if n - last >= 3:
+                want.append((str(k), n))
+                last = n
+    assert sorted((str(r.k), r.n) for r in df.collect()) == sorted(want)
+
+
+def test_scopes_are_reached_within_the_row(spark):
+    before = _folders(spark, "front") | _folders(spark, "scopes")
+    subjects = spark.createDataFrame([(1, False), (2, False), (3, True)], "s long, mock boolean")
+    have = spark.createDataFrame([(1, "x"), (1, "review")], "s long, evidence string")
+    scopes = spark.createDataFrame([("base", 0, False), ("mid", 1, False), ("top", 2, True)], "scope string, level int, needs_real boolean")
+    needs = spark.createDataFrame([("mid", "x")], "scope string, evidence string")
+    bridges = spark.createDataFrame([("b1", "base", "mid", False, False, False), ("b2", "mid", "top", False, True, False)], "bridge string, source string, target string, needs_real boolean, needs_review boolean, quarantined boolean")
+    bridge_needs = spark.createDataFrame([], "bridge string, evidence string")
+    m = claim_graph.claim_matrix(subjects, "s", have, scopes, needs, claim_graph.bridge_statuses(subjects, "s", have, bridges, bridge_needs), "base").collect()
+    assert {(r.s, r.scope) for r in m if r.reached} == {(1, "base"), (1, "mid"), (1, "top"), (2, "base"), (3, "base")}
+    assert {r.s: r.max_scope for r in m} == {1: "top", 2: "base", 3: "base"}
+    assert _folders(spark, "front") | _folders(spark, "scopes") == before
+
+
+def test_permutations_are_unpacked_a_slice_at_a_time(spark, monkeypatch):
+    df = spark.createDataFrame([(i, i % 2, [float(i), float(i * i % 7)]) for i in range(30)], "id long, y int, v array<double>")
+    permuted = resampling.with_permutations(df, "id", "y", 2, 6, "u").coalesce(1)
+    once = {r.perm: (r.n, list(r.sums)) for r in resampling.class_sums(permuted, "v", "y", 6, 1).collect()}
+    monkeypatch.setattr(resampling, "SLICE", 7)
+    assert {r.perm: (r.n, list(r.sums)) for r in resampling.class_sums(permuted, "v", "y", 6, 1).collect()} == once
+    assert once[0] == (15, [225.0, sum(float(i * i % 7) for i in range(1, 30, 2))])
