@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
+from phaseloom.operators.ordered import last_known, ranges, with_carry
+from phaseloom.operators.surrogates import in_groups
+
 #: Series whose sizes are broadcast, at most; rows of a piece of a series.
 SERIES, PIECE = 100_000, 8_192
 
@@ -67,21 +71,28 @@ def refractory(hits: DataFrame, keys: list[str], order: str, gap: int = 3) -> Da
     """(keys, order): hits that are at least gap after the last one kept.
 
     A hit that lies gap or more after the one before it is kept whatever came before, so the hits fall into islands that
-    are worked on apart; one group is one island of hits in close succession.
+    are worked on apart, many in a batch; one group is one island of hits in close succession. Islands are cut within
+    ranges of the hits, to which the last hit and the last island of the ranges before are carried.
     """
-    at = W.partitionBy(*keys).orderBy(order)
-    fresh = F.coalesce((F.col(order) - F.lag(order).over(at) >= gap).cast("int"), F.lit(1))
-    h = hits.select(*keys, F.col(order).cast("long").alias(order)).withColumn("__fresh", fresh).withColumn("__island", F.sum("__fresh").over(at)).drop("__fresh")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, last, keep = pdf.sort_values(order), None, []
-        for i in pdf[order]:
-            keep.append(last is None or i - last >= gap)
-            last = i if keep[-1] else last
-        return pdf[keep][[*keys, order]]
+    h = ranges(hits.select(*keys, F.col(order).cast("long").alias(order)), keys, [order])
+    ends = h.groupBy("__part", *keys).agg(F.max(order).alias("__last"))
+    carry = ends.withColumn("__carry", F.max("__last").over(W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)))
+    h = with_carry(h.withColumn("__before", F.lag(order).over(W.partitionBy("__part", *keys).orderBy(order))), keys, carry)
+    fresh = F.coalesce(F.col(order) - F.coalesce("__before", "__carry") >= gap, F.lit(True))
+    h = last_known(h.select("__part", *keys, order, F.when(fresh, F.col(order)).alias("__fresh")), keys, [order], F.col("__fresh"), "__island")
+
+    def make(part: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
+        at, keep = part[order].to_numpy(), np.zeros(ends[-1], bool)
+        keep[starts] = True
+        for a, b in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
+            last = at[a]
+            for i in range(a + 1, b):
+                if at[i] - last >= gap:
+                    keep[i], last = True, at[i]
+        return part.iloc[np.flatnonzero(keep)][[*keys, order]]
 
     types = dict(h.dtypes)
-    return h.groupBy(*keys, "__island").applyInPandas(run, ", ".join(f"{k} {types[k]}" for k in [*keys, order]))
+    return in_groups(h.select(*keys, "__island", order), [*keys, "__island"], [order], make, ", ".join(f"{k} {types[k]}" for k in [*keys, order]))
 
 
 def scaled(df: DataFrame, col: str, keys: list[str] | None = None) -> Column:
