@@ -11,18 +11,20 @@ from pyspark.sql import functions as F
 
 from phaseloom.operators import contracts as ct
 from phaseloom.operators.relational import ranked
-from phaseloom.sources.readers import checkpointed
 
 REVIEW = "review"
 
 
 def _missing(subjects: DataFrame, subject: str, rules: DataFrame, needs: DataFrame, rule: str, have: DataFrame) -> DataFrame:
-    """subjects beside every rule, with missing: the evidence that the rule needs and the subject has not, sorted."""
-    grid = subjects.crossJoin(F.broadcast(rules))  # rules are a fixed, small table
-    wanted = grid.select(subject, rule).join(F.broadcast(needs), rule)
-    lost = wanted.join(have.select(subject, "evidence").distinct(), [subject, "evidence"], "left_anti")
-    lost = lost.groupBy(subject, rule).agg(F.array_sort(F.collect_set("evidence")).alias("missing"))
-    return grid.join(lost, [subject, rule], "left").withColumn("missing", F.coalesce("missing", F.array().cast("array<string>")))
+    """subjects beside every rule, with held, the subject's evidence, and missing: what the rule needs of it and the subject has not, sorted.
+
+    Evidence is gathered by subject once; each rule then looks into it within the row.
+    """
+    held = have.groupBy(subject).agg(F.collect_set("evidence").alias("held"))
+    rules = rules.join(needs.groupBy(rule).agg(F.collect_set("evidence").alias("__needs")), rule, "left")
+    none = F.array().cast("array<string>")
+    grid = subjects.join(held, subject, "left").withColumn("held", F.coalesce("held", none)).crossJoin(F.broadcast(rules))  # rules are a fixed, small table
+    return grid.withColumn("missing", F.array_sort(F.array_except(F.coalesce("__needs", none), "held"))).drop("__needs")
 
 
 def bridge_statuses(subjects: DataFrame, subject: str, have: DataFrame, bridges: DataFrame, bridge_needs: DataFrame) -> DataFrame:
@@ -32,28 +34,27 @@ def bridge_statuses(subjects: DataFrame, subject: str, have: DataFrame, bridges:
     review; else the bridge is promotable.
     """
     m = _missing(subjects, subject, bridges, bridge_needs, "bridge", have)
-    reviewed = have.filter(F.col("evidence") == REVIEW).select(subject, F.lit(True).alias("reviewed")).distinct()
-    m = m.join(reviewed, subject, "left")
     status = (
         F.when(F.col("quarantined"), "quarantined").when(F.col("mock") & F.col("needs_real"), "blocked_pending_real_execution").when(F.size("missing") > 0, "blocked_pending_evidence")
-        .when(F.col("needs_review") & F.col("reviewed").isNull(), "blocked_pending_review").otherwise("promotable")
+        .when(F.col("needs_review") & ~F.array_contains("held", REVIEW), "blocked_pending_review").otherwise("promotable")
     )
     return m.select(subject, "bridge", "source", "target", status.alias("status"), "missing")
 
 
-def reachable_scopes(allowed: DataFrame, subject: str, statuses: DataFrame, base: str) -> DataFrame:
-    """(subject, scope): scopes that promotable bridges connect to the base, one after the other, each of them allowed.
+def reachable_scopes(allowed: DataFrame, subject: str, statuses: DataFrame, base: str, rounds: int) -> DataFrame:
+    """(subject, reached, max_scope): the scopes that promotable bridges connect to the base, one after the other, each of them allowed, and that of the highest level.
 
-    A round a step; there are no more than there are scopes.
+    A subject has as many scopes and bridges as there are rules, so it goes from scope to scope within its row; rounds: the
+    number of scopes.
     """
-    open_ = statuses.filter("status = 'promotable'").select(subject, F.col("source").alias("scope"), "target")
-    ok = allowed.filter("allowed").select(subject, "scope")
-    seen = front = checkpointed(ok.filter(F.col("scope") == base), "reached")
-    while not front.isEmpty():
-        step = front.join(open_, [subject, "scope"]).select(subject, F.col("target").alias("scope")).distinct()
-        front = checkpointed(step.join(ok, [subject, "scope"]).join(seen, [subject, "scope"], "left_anti"), "front")
-        seen = seen.unionByName(front)
-    return seen
+    ok = allowed.groupBy(subject).agg(F.collect_set(F.when(F.col("allowed"), F.struct("level", "scope"))).alias("ok"))
+    promotable = F.when(F.col("status") == "promotable", F.struct("source", "target"))
+    open_ = statuses.groupBy(subject).agg(F.collect_set(promotable).alias("open"))
+    s = ok.join(open_, subject, "left").withColumn("may", F.transform("ok", lambda x: x["scope"]))
+    s = s.withColumn("open", F.filter(F.coalesce("open", F.array().cast(s.schema["open"].dataType)), lambda o: F.array_contains("may", o["target"])))
+    step = lambda seen, _: F.array_union(seen, F.transform(F.filter("open", lambda o: F.array_contains(seen, o["source"])), lambda o: o["target"]))
+    s = s.withColumn("reached", F.aggregate(F.sequence(F.lit(1), F.lit(max(rounds, 1))), F.filter("may", lambda x: x == base), step))
+    return s.select(subject, "reached", F.array_max(F.filter("ok", lambda x: F.array_contains("reached", x["scope"])))["scope"].alias("max_scope"))
 
 
 def claim_matrix(subjects: DataFrame, subject: str, have: DataFrame, scopes: DataFrame, needs: DataFrame, statuses: DataFrame, base: str) -> DataFrame:
@@ -64,12 +65,10 @@ def claim_matrix(subjects: DataFrame, subject: str, have: DataFrame, scopes: Dat
     """
     m = _missing(subjects, subject, scopes, needs, "scope", have)
     mocked = F.when(F.col("mock") & F.col("needs_real"), F.array(F.lit("real_execution"))).otherwise(F.array().cast("array<string>"))
-    m = m.withColumn("blockers", F.concat(mocked, "missing")).withColumn("allowed", F.size("blockers") == 0)
-    m = checkpointed(m.select(subject, "scope", "level", "allowed", "blockers"), "scopes")
-    reached = reachable_scopes(m, subject, statuses, base).withColumn("reached", F.lit(True))
-    m = m.join(reached, [subject, "scope"], "left").withColumn("reached", F.coalesce("reached", F.lit(False)))
-    best = m.filter("reached").groupBy(subject).agg(F.max_by("scope", "level").alias("max_scope"))
-    return m.join(best, subject, "left").drop("level")
+    m = m.withColumn("blockers", F.concat(mocked, "missing")).withColumn("allowed", F.size("blockers") == 0).select(subject, "scope", "level", "allowed", "blockers")
+    far = reachable_scopes(m, subject, statuses, base, scopes.count())
+    m = m.join(far, subject, "left").withColumn("reached", F.coalesce(F.array_contains("reached", F.col("scope")), F.lit(False)))
+    return m.select(subject, "scope", "allowed", "blockers", "reached", "max_scope")
 
 
 def promotion_state(subjects: DataFrame, subject: str, have: DataFrame, labels: str, controls: list[str], mechanism: str, replication: str) -> DataFrame:
