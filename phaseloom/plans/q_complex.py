@@ -267,9 +267,8 @@ def _weights() -> list[tuple[int, int, int, float]]:
 _MONTAGE = ", wt AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {j}, {s}, {w!r}::DOUBLE)" for i, j, s, w in _weights()) + ") t(i, j, channel, weight)), g AS (SELECT recording_id, w, k, i, j, sum(theta * weight) AS theta FROM phase JOIN wt USING (channel) GROUP BY ALL)"
 
 
-def _grids(spark, d):  # noqa: ANN001, ANN202
-    w = spark.createDataFrame(_weights(), "i int, j int, sensor long, weight double")
-    return mt.on_grid(phase(spark, d), [*KEY, "k"], "channel", "theta", w)
+def _montage(spark, d):  # noqa: ANN001, ANN202
+    return phase(spark, d), [*KEY, "k"], "channel", "theta", spark.createDataFrame(_weights(), "i int, j int, sensor long, weight double")
 
 
 @query(
@@ -282,13 +281,13 @@ def _grids(spark, d):  # noqa: ANN001, ANN202
     ),
 )
 def _n8(spark, d):  # noqa: ANN001, ANN202
-    p = ft.plaquettes(_grids(spark, d), [*KEY, "k"], amp=None)
+    p = mt.grid_patches(*_montage(spark, d))
     return p.groupBy(*KEY, "k").agg(F.rint(F.sum("q")).cast("int").alias("q"), rounded(F.sum(F.abs("q")), 5).alias("q_abs"), F.count("*").alias("n_patches"))
 
 
 @query("n8_interpolated_grid", sql(_MONTAGE + " SELECT recording_id, w, k, i, j, round(theta, 6) + 0.0 AS theta FROM g", "phase"))
 def _n8b(spark, d):  # noqa: ANN001, ANN202
-    return _grids(spark, d).withColumn("theta", rounded(F.col("theta")))
+    return mt.on_grid(*_montage(spark, d)).withColumn("theta", rounded(F.col("theta")))
 
 
 @query("q4_state_metrics")

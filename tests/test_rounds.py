@@ -1,13 +1,15 @@
 """Work that is done in rounds, blocks and pages gives what it gives at once, and leaves no more behind."""
 
 import glob
+import math
 from decimal import Decimal
 
 import numpy as np
 import pandas as pd
 import pytest
 
-from phaseloom.operators import claim_graph, diagrams, nulls, resampling, windows
+from phaseloom.operators import claim_graph, diagrams, field_topology, montage, nulls, resampling, surrogates, windows
+from phaseloom.plans import views
 from phaseloom.sources.readers import shared_path
 from phaseloom.streaming import stateful
 from phaseloom.streaming.jobs import HOUR
@@ -174,3 +176,18 @@ def test_permutations_are_unpacked_a_slice_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(resampling, "SLICE", 7)
     assert {r.perm: (r.n, list(r.sums)) for r in resampling.class_sums(permuted, "v", "y", 6, 1).collect()} == once
     assert once[0] == (15, [225.0, sum(float(i * i % 7) for i in range(1, 30, 2))])
+
+
+def test_patches_of_a_grid_equal_those_of_its_points_without_a_shuffle_of_points(spark):
+    w = [(i, j, s, 1.0 / (1 + abs(s - i - 2 * j))) for i in range(3) for j in range(3) for s in (range(4) if i < 2 else [i])]
+    rows = [(k, s, math.sin(7 * k + 3 * s) * 3 if (k, s) != (1, 2) else None) for k in range(4) for s in range(4) if (k, s) != (2, 2)]
+    args = spark.createDataFrame(rows, "k int, channel int, v double"), ["k"], "channel", "v", spark.createDataFrame(w, "i int, j int, sensor int, weight double")
+    patches = montage.grid_patches(*args)
+    assert "Window" not in _plan(patches)
+    both = [sorted((r.k, r.i, r.j, -9.0 if r.q is None else round(r.q, 9) + 0.0) for r in df.collect()) for df in (patches, field_topology.plaquettes(montage.on_grid(*args), ["k"], "v", None))]
+    assert both[0] == both[1] and len({r[0] for r in both[0]}) == 4
+
+
+def test_windows_stand_in_a_given_number_of_places(spark):
+    df = views.windowed(spark, "/root/testdata/sf0.001")
+    assert df.rdd.getNumPartitions() == surrogates.places(spark)  # what Spark does not coalesce by bytes
