@@ -7,8 +7,9 @@ from decimal import Decimal
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from phaseloom.operators import claim_graph, diagrams, field_topology, montage, nulls, resampling, surrogates, windows
+from phaseloom.operators import claim_graph, claims, diagrams, field_topology, montage, nulls, resampling, retrieval, surrogates, windows
 from phaseloom.plans import views
 from phaseloom.sources.readers import shared_path
 from phaseloom.streaming import stateful
@@ -191,3 +192,33 @@ def test_patches_of_a_grid_equal_those_of_its_points_without_a_shuffle_of_points
 def test_windows_stand_in_a_given_number_of_places(spark):
     df = views.windowed(spark, "/root/testdata/sf0.001")
     assert df.rdd.getNumPartitions() == surrogates.places(spark)  # what Spark does not coalesce by bytes
+
+
+def test_searches_of_vectors_make_no_rows_of_pairs(spark, monkeypatch):
+    for name, value in (("ROWS", 9), ("QUERIES", 3), ("STRIPE", 2)):
+        monkeypatch.setattr(retrieval, name, value)
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 3)]) for i in range(40)] + [(40, None), (41, [1.0, None, 2.0]), (42, [1.0, 2.0]), (43, [0.0] * 3)]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    whole = retrieval.cosine_scores(df, "id", "v", "id % 5 = 0")
+    assert "Join" not in _plan(whole)
+    q = df.filter("id % 5 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("w"))
+    product = retrieval.norm(F.col("w")) * retrieval.norm(F.col("v"))
+    want = df.crossJoin(q).select("query_id", "id", F.when(product == 0, 0.0).otherwise(retrieval.dot(F.col("w"), F.col("v")) / product).alias("s"))
+    got = {(r.query_id, r.id): r.similarity for r in whole.collect()}
+    assert len(got) == 44 * 9
+    for r in want.collect():
+        assert (got[r.query_id, r.id] is None and r.s is None) or abs(got[r.query_id, r.id] - r.s) < 1e-12
+    best = {}
+    for r in retrieval.cosine_scores(df, "id", "v", "id % 5 = 0", best=4).collect():
+        best.setdefault(r.query_id, []).append((r.similarity is None, -round(r.similarity or 0, 6), r.id))
+    for name, found in best.items():
+        full = sorted((s is None, -round(s or 0, 6), i) for (n, i), s in got.items() if n == name and i != name)
+        assert sorted(found)[:4] == full[:4]
+
+
+def test_lines_of_claims_are_lowered_once(spark):
+    df = claims.claims(spark.createDataFrame([(1, "the EEG\n\n soul \x0b\r\nnothing")], "id long, t string"), "id", "t")
+    plan = _plan(df)
+    assert plan.count("lower(") <= 2  # not once for each word
+    assert [(r.claim_no, r.text, r.categories) for r in df.orderBy("claim_no").collect()] == [(0, "the EEG", ["science"]), (1, "soul", ["speculation"])]
