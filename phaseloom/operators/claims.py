@@ -38,8 +38,10 @@ def claims(docs: DataFrame, id_col: str, text_col: str, categories: dict[str, li
     Words are sought anywhere in the lower-cased line. A null text has no lines; rows that repeat an id are one document,
     whose equal lines are numbered in any order.
     """
-    lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.regexp_replace(F.coalesce(text_col, F.lit("")), "\r", ""), "\n", -1)).alias("pos", "line"))
-    lines = lines.withColumn("text", F.regexp_replace("line", r"^\s+|\s+$", "")).withColumn("low", F.lower("text"))
+    whole = F.split(F.regexp_replace(F.coalesce(text_col, F.lit("")), "\r", ""), "\n", -1)
+    bare = F.transform(whole, lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r")))
+    both = F.transform(bare, lambda x: F.struct(x.alias("text"), F.lower(x).alias("low")))  # before the lines are rows: a filter on them would repeat it for each word
+    lines = docs.select(F.col(id_col).alias("id"), F.posexplode(both).alias("pos", "line")).select("id", "pos", "line.text", "line.low")
     of = F.array_compact(F.array(*(F.when(_any(F.col("low"), ws), F.lit(name)) for name, ws in categories.items())))
     lines = lines.withColumn("categories", of).filter(F.size("categories") > 0)
     no = F.row_number().over(W.partitionBy("id").orderBy("pos", "text")) - 1  # lines of one document
@@ -50,11 +52,14 @@ def claims(docs: DataFrame, id_col: str, text_col: str, categories: dict[str, li
 
 def tiered(found: DataFrame, text_col: str = "text", tiers: list[tuple] = TIERS, otherwise: tuple = OTHERWISE) -> DataFrame:
     """found with tier, status, needs_rewrite and flags of the first tier that has a word in the lower-cased text."""
-    low, out = F.lower(text_col), []
+    def first(low: Column) -> Column:
+        at = F.lit(len(tiers))
+        for k, (words, *_) in reversed(list(enumerate(tiers))):
+            at = F.when(_any(low, words), F.lit(k)).otherwise(at)
+        return at
+
+    out = found.withColumn("__tier", F.transform(F.array(F.lower(text_col)), first)[0])
+    rows = [*(tuple(result) for _, *result in tiers), otherwise]
     for k, (name, kind) in enumerate((("tier", "string"), ("status", "string"), ("needs_rewrite", "boolean"), ("reason", "string"))):
-        value = F.lit(otherwise[k]).cast(kind)
-        for words, *result in reversed(tiers):
-            value = F.when(_any(low, words), F.lit(result[k]).cast(kind)).otherwise(value)
-        out.append((name, value))
-    out = found.withColumns(dict(out))
-    return out.withColumn("flags", F.array_compact(F.array("reason"))).drop("reason")
+        out = out.withColumn(name, F.get(F.array(*(F.lit(r[k]).cast(kind) for r in rows)), F.col("__tier")))
+    return out.withColumn("flags", F.array_compact(F.array("reason"))).drop("reason", "__tier")
