@@ -113,6 +113,32 @@ def test_phrases_of_any_length_inside_words(spark):
     assert {r.status for r in rt.phrase_scan(docs, spark.createDataFrame([], "phrase string"), "id", "text").collect()} == {"clean"}
 
 
+def test_phrases_are_found_where_texts_are_read(spark, monkeypatch):
+    rows = [(1, "One two three"), (1, "One two three"), (None, "two"), (2, None), (3, "tw o")]
+    docs = spark.createDataFrame(rows, "id int, text string")
+    phrases = spark.createDataFrame([("one two",), ("two",), ("",), (None,), ("two",), ("e t",), ("three one",)], "phrase string")
+    plan = rt.phrase_matches(docs, ["id"], "text", phrases)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(x in plan for x in ("Join", "Generate", "Aggregate"))
+    want = [(None, "two"), *[(1, p) for p in ("e t", "one two", "two") for _ in "ab"]]
+    for size in (rt.PHRASE_BYTES, 5):  # all phrases at once; in groups
+        monkeypatch.setattr(rt, "PHRASE_BYTES", size)
+        monkeypatch.setattr(rt, "PLACES", size)
+        got = [(r.id, r.phrase) for r in rt.line_hits(docs, phrases, "id", "text").collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)  # as many as rows of the table, those without an id too
+
+
+def test_phrases_in_against_brute_force():
+    rng = np.random.default_rng(8)
+    for letters in ("ab", "abc ", "añ b", "a"):
+        texts = ["".join(rng.choice(list(letters), n)).encode() for n in (0, 1, 300, 0, 7, 40, 150, 0)]
+        phrases = {"".join(rng.choice(list(letters), n)).encode() for n in range(1, 14)} | {texts[2][i : i + n] for i, n in ((0, 300), (3, 64), (90, 129), (200, 100))} | {texts[2] + texts[4]}
+        phrases, ends = sorted(phrases), np.cumsum([0, *map(len, texts)])
+        want = [(i, k) for i, t in enumerate(texts) for k, p in enumerate(phrases) if p in t]
+        for places in (1, 50, 1000):
+            row, which = rt.phrases_in(b"".join(texts), ends, rt.phrase_table(phrases), places)
+            assert sorted(zip(row.tolist(), which.tolist(), strict=True)) == want
+
+
 def test_claims_and_tiers(spark):
     docs = spark.createDataFrame([(1, "  Soul proves it\r\nplain\nEEG entropy "), (2, None), (3, "An exit cost\n\ninstant arhat, it proves")], "id int, text string")
     got = {r.claim_id: r for r in cm.tiered(cm.claims(docs, "id", "text")).collect()}
