@@ -24,6 +24,18 @@ def whole(keys: list[str], order: str) -> WindowSpec:
     return W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
 
 
+def with_mean(df: DataFrame, v: str, keys: list[str], order: str, name: str) -> DataFrame:
+    """df with the mean of each key's values, to which the mean of what they leave over is added.
+
+    Doubles lose their last bits in a sum, and a value that lies on the mean would fall under it by them; the second
+    sum is of small numbers, and gives these bits back.
+    """
+    over = whole(keys, order)
+    df = df.withColumn("__rough", F.avg(v).over(over))
+    rest = F.avg(F.col(v) - F.col("__rough")).over(over)
+    return df.withColumn(name, F.nanvl(F.col("__rough") + rest, F.col("__rough"))).drop("__rough")
+
+
 def tumbling(samples: DataFrame, keys: list[str], length: int, cap: int | None = None) -> DataFrame:
     """(keys, w, n_samples, status): windows of a series; a series shorter than one window gives one row marked short_window.
 
@@ -147,7 +159,7 @@ def binned_entropy(windowed: DataFrame, keys: list[str], v: str = "v", bins: int
 def substring_diversity(windowed: DataFrame, keys: list[str], order: str = "k", v: str = "v", longest: int = 4) -> DataFrame:
     """(keys, lzc): distinct substrings of up to so many symbols of the thresholded series, for each sample."""
     at = W.partitionBy(*keys)
-    s = windowed.withColumn("bit", F.when(F.col(v) >= F.avg(v).over(whole(keys, order)), "1").otherwise("0"))
+    s = with_mean(windowed, v, keys, order, "__mean").withColumn("bit", F.when(F.col(v) >= F.col("__mean"), "1").otherwise("0"))
     run = at.orderBy(order)
     parts = [F.when(F.lead("bit", k - 1).over(run).isNotNull(), F.concat(*[F.lead("bit", i).over(run) if i else F.col("bit") for i in range(k)])) for k in range(1, longest + 1)]
     s = s.select(*keys, F.array(*parts).alias("subs"), F.count("*").over(at).alias("n")).select(*keys, "n", F.explode(F.array_compact("subs")).alias("sub"))

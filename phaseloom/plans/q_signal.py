@@ -156,8 +156,8 @@ def _q4(spark, d):  # noqa: ANN001, ANN202
         "recording_id, w, channel, round(sum(d) / (2 * pi()), 6) + 0.0 AS q, round(sum(abs(d)) / (2 * pi()), 6) AS q_abs FROM s GROUP BY ALL"
     , "windowed@own"))
 def _q5(spark, d):  # noqa: ANN001, ANN202
-    th = F.when(F.col("v") - F.avg("v").over(wn.whole(CH, "k")) >= 0, 0.0).otherwise(F.pi())
-    s = channel_windows(spark, d).withColumn("th", th).withColumn("d", F.col("th") - F.lag("th").over(W.partitionBy(*CH).orderBy("k")))
+    th = F.when(F.col("v") - F.col("mean") >= 0, 0.0).otherwise(F.pi())
+    s = wn.with_mean(channel_windows(spark, d), "v", CH, "k", "mean").withColumn("th", th).withColumn("d", F.col("th") - F.lag("th").over(W.partitionBy(*CH).orderBy("k")))
     return s.groupBy(*CH).agg(rounded(F.sum("d") / (2 * F.pi())).alias("q"), rounded(F.sum(F.abs("d")) / (2 * F.pi())).alias("q_abs"))
 
 

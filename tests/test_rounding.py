@@ -35,6 +35,20 @@ def test_means_of_windows_are_added_up_in_order(spark):
         assert wn.power(df, ["w"]).first()["power"] == square / 8
 
 
+def test_a_value_on_the_mean_is_not_under_it(spark):
+    values = [38.2, 71.25, 20.05, 55.96, 27.16, 7.28, 65.81, 75.54, 203.55, 117.64, 172.17, 115.86, 26.38, 105.05, 20.88, 17.22]
+    total = 0.0
+    for v in values:
+        total += v
+    assert total / 16 > 71.25 == math.fsum(values) / 16
+    df = spark.createDataFrame([(1, k, v) for k, v in enumerate(values)], "w int, k int, v double")
+    bits = ["1" if v >= 71.25 else "0" for v in values]
+    assert wn.substring_diversity(df, ["w"]).first()["lzc"] == len({"".join(bits[i : i + n]) for n in range(1, 5) for i in range(17 - n)}) / 16
+    assert wn.with_mean(df, "v", ["w"], "k", "m").select("m").distinct().collect() == [(71.25,)]
+    odd = spark.createDataFrame([(1, 0, math.inf), (1, 1, 1.0), (2, 0, None), (2, 1, 3.0), (3, 0, None)], "w int, k int, v double")
+    assert dict(wn.with_mean(odd, "v", ["w"], "k", "m").select("w", "m").distinct().collect()) == {1: math.inf, 2: 3.0, 3: None}
+
+
 def test_doubles_are_rounded_as_in_statements(spark):
     x = 4121.034999999999
     while math.floor(x * 100 + 0.5) == math.floor(4121.034 * 100 + 0.5):
