@@ -8,6 +8,7 @@ from hashlib import sha256
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from phaseloom.sources.readers import checkpointed
 
 #: Keys times permutations whose cuts are broadcast, at most; keys whose replicates a task holds at once.
 CUTS, HELD = 100_000, 64
+#: Rows whose hashes are held at once; half the width of the band of hashes that is sorted, in standard deviations of the place of its cut.
+HASHED, BAND = 128, 2.5
 
 
 def auc(scored: DataFrame, keys: list[str], score: str = "score", label: str = "y", one_class: float | None = 0.5) -> DataFrame:
@@ -90,11 +93,23 @@ def permutation_test(
     """(keys, observed, exceed, n, p): label-shuffle test; statistic combines two columns, null outside their group, by aggregates.
 
     Each permutation orders the rows by a hash of (seed, permutation, row) and gives the first as many as the first group
-    has to it. Ranges of the hash go to one side or the other as a whole, by a running count of their sizes; only the rows
-    of the range where the groups meet are dealt out and sorted. The other rows are aggregated where they are read.
+    has to it. Differences of means need no row for each row and permutation; other statistics do.
     """
     rows = df.select(*keys, row, F.col(value).alias("v"), (F.col(group) == first).alias("is_first"))
     rows = checkpointed(rows, "labelled")
+    if statistic is _difference_of_means:
+        d = _shuffled_means(rows, keys, row, permutations, seed)
+    else:
+        d = _shuffled(rows, keys, row, permutations, seed, statistic)
+    return _null_share(checkpointed(d, "statistics"), keys, "stat", alternative)
+
+
+def _shuffled(rows: DataFrame, keys: list[str], row: str, permutations: int, seed: str, statistic: Callable[[Column, Column], Column]) -> DataFrame:
+    """(keys, perm, stat): any statistic, from a row for each row and permutation.
+
+    Ranges of the hash go to one side or the other as a whole, by a running count of their sizes; only the rows of the
+    range where the groups meet are dealt out and sorted. The other rows are aggregated where they are read.
+    """
     p = rows.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations))))
     by_label = F.when(F.col("is_first"), "0").otherwise("f")
     p = p.withColumn("h", F.when(F.col("perm") == 0, by_label).otherwise(F.sha2(F.concat_ws("|", F.lit(seed), F.col("perm").cast("string"), F.col(row).cast("string")), 256)))
@@ -114,8 +129,115 @@ def permutation_test(
     dealt = met.filter("range = cut AND perm > 0").select(*keys, "perm", "v", (r <= F.col("room")).alias("side"))
     seen = met.filter("range = cut AND perm = 0").select(*keys, "perm", "v", F.lit(True).alias("side"))
     sides = apart.unionByName(dealt).unionByName(seen)
-    d = sides.groupBy(*keys, "perm").agg(statistic(F.when(F.col("side"), F.col("v")), F.when(~F.col("side"), F.col("v"))).alias("stat"))
-    return _null_share(checkpointed(d, "statistics"), keys, "stat", alternative)
+    return sides.groupBy(*keys, "perm").agg(statistic(F.when(F.col("side"), F.col("v")), F.when(~F.col("side"), F.col("v"))).alias("stat"))
+
+
+def _shuffled_means(rows: DataFrame, keys: list[str], row: str, permutations: int, seed: str) -> DataFrame:
+    """(keys, perm, stat): differences of means; a row's hashes of all permutations are taken and added up where it is read.
+
+    The cut between the sides lies near the first group's share of all hashes. Rows outside a band around it only add to
+    sums, those within it become rows and are sorted. Permutations whose cut lies outside the band are drawn again, with a
+    band twice as wide, until none is left.
+    """
+    label = F.coalesce("is_first", F.lit(False))
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("__n"), F.count_if(label).alias("__firsts"))
+    n_keys, at = sizes.count(), [*keys, "perm"]
+    few = n_keys <= HELD
+    dealt = rows.select(*keys, F.col(row).cast("string").alias("__row"), F.col("v").cast("double").alias("v"))
+    dealt = _beside(dealt, F.broadcast(sizes) if n_keys <= CUTS else sizes, keys)
+    # keys that share a row share its hashes where they are few; many come one after the other
+    order, places = ["__row", *keys] if few else [*keys, "__row"], 4 * rows.sparkSession.sparkContext.defaultParallelism
+    dealt = (dealt.repartition(places, "__row") if few else dealt.repartitionByRange(places, *order)).sortWithinPartitions(*order)
+    out = rows.groupBy(*keys).agg((F.avg(F.when(label, F.col("v"))) - F.avg(F.when(~label, F.col("v")))).alias("stat")).select(*keys, F.lit(0).alias("perm"), "stat")
+    perms, width = list(range(1, permutations + 1)), BAND
+    types = dict(rows.dtypes)
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "perm int, hash binary, place int, v double, firsts long, below long, n_first long, sum_first double, n_rest long, sum_rest double"])
+    while perms:
+        drawn = checkpointed(dealt.mapInArrow(_drawn(keys, perms, seed, width), schema), "drawn")
+        sums = drawn.filter("hash is null").groupBy(*at).agg(F.first("firsts").alias("firsts"), *(F.sum(c).alias(c) for c in ("below", "n_first", "sum_first", "n_rest", "sum_rest")))
+        room = sums.select(*at, (F.col("firsts") - F.col("below")).alias("room"))
+        near = _beside(drawn.filter("hash is not null").select(*at, "hash", "place", "v"), F.broadcast(room) if n_keys * len(perms) <= CUTS else room, at)
+        near = near.withColumn("side", F.row_number().over(W.partitionBy(*at).orderBy("hash", "v")) <= F.col("room"))
+        part = [f(F.when(side, F.col("v"))).alias(f"{c}_{name}") for name, side in (("near_first", F.col("side")), ("near_rest", ~F.col("side"))) for c, f in (("n", F.count), ("sum", F.sum))]
+        near = near.groupBy(*at).agg(F.count_if(F.col("place") < 0).alias("under"), F.count_if(F.col("place") <= 0).alias("upto"), *part)
+        sums = _beside(sums, near, at, "left").fillna(0, ["under", "upto", *(f"{c}_near_{side}" for c in ("n", "sum") for side in ("first", "rest"))])
+        mean = lambda side: (F.col(f"sum_{side}") + F.col(f"sum_near_{side}")) / F.nullif(F.col(f"n_{side}") + F.col(f"n_near_{side}"), F.lit(0))
+        inside = (F.col("firsts") - F.col("below")).between(F.col("under"), F.col("upto"))
+        sums = checkpointed(sums.select(*at, (mean("first") - mean("rest")).alias("stat"), inside.alias("inside")), "differences")
+        found = sums.groupBy("perm").agg(F.bool_and("inside").alias("inside"))  # one row a permutation
+        perms, width = sorted(r["perm"] for r in found.filter("NOT inside").select("perm").collect()), 2 * width
+        out = out.unionByName(sums.join(found.filter("inside").select("perm"), "perm", "left_semi").select(*at, "stat"))
+    return out
+
+
+def _beside(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """df with the columns of other, which has one row a key; null keys are equal."""
+    if not keys:
+        return df.crossJoin(F.broadcast(other))  # one row
+    named = other.withColumnsRenamed({k: f"__{k}" for k in keys})
+    return df.join(named, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], how).drop(*(f"__{k}" for k in keys))
+
+
+def _drawn(keys: list[str], perms: list[int], seed: str, width: float):  # noqa: ANN202
+    """For mapInArrow over rows(keys, __row, v, __n, __firsts): counts and sums beside the bands, one row a key and permutation, and the rows within them.
+
+    place is -1 under the band, 0 within it and 1 over it. Values that are no finite numbers always become rows.
+    """
+    prefixes, names = [f"{seed}|{p}".encode() for p in perms], [*keys, "perm", "hash", "place", "v", "firsts", "below", "n_first", "sum_first", "n_rest", "sum_rest"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+
+        def totals() -> Iterator[pa.RecordBatch]:
+            for key, (firsts, t) in held.items():
+                n = len(perms)
+                null = [pa.nulls(n, k) for k in (pa.binary(), pa.int32(), pa.float64())]
+                cells = [pa.array(perms, pa.int32()), *null, pa.array([firsts] * n, pa.int64()), pa.array(t[0].astype(np.int64)), pa.array(t[1].astype(np.int64)), pa.array(t[2]), pa.array(t[3].astype(np.int64)), pa.array(t[4])]
+                yield pa.RecordBatch.from_arrays([*(pa.array([k] * n, kind) for k, kind in zip(key, kinds, strict=True)), *cells], names=names)
+            held.clear()
+
+        for batch in batches:
+            kinds = [batch.schema.field(k).type for k in keys]
+            for at in range(0, batch.num_rows, HASHED):
+                part = batch.slice(at, HASHED)
+                column = lambda c: part.column(part.schema.get_field_index(c))  # noqa: B023, E731
+                own = column("__row").to_pylist()
+                place_of = {r: i for i, r in enumerate(dict.fromkeys(own))}
+                of_row = np.array([place_of[r] for r in own])
+                tails = [b"" if r is None else b"|" + r.encode() for r in place_of]
+                digests = np.frombuffer(b"".join([sha256(p + t).digest() for t in tails for p in prefixes]), np.uint8).reshape(len(tails), len(perms), 32)
+                hashes = np.ascontiguousarray(digests[:, :, :8]).view(">u8")[:, :, 0].astype(np.uint64)[of_row]
+                v = column("v").to_numpy(zero_copy_only=False).astype(float)  # nulls are NaN
+                known = np.asarray(column("v").is_valid())
+                odd = known & ~np.isfinite(v)
+                n, firsts = column("__n").to_numpy(), column("__firsts").to_numpy()
+                share = firsts / n
+                half = width * np.sqrt(share * (1 - share) / n) + 2 * width / n
+                edge = lambda x: np.array([min(max(int(a * 2.0**64), 0), (1 << 64) - 1) for a in x], np.uint64)[:, None]
+                place = (hashes > edge(share + half)).astype(np.int8) - (hashes < edge(share - half))
+                of: dict = {}
+                for i, key in enumerate(zip(*(column(k).to_pylist() for k in keys), strict=True) if keys else [()] * len(own)):
+                    of.setdefault(key, []).append(i)
+                for key, some in of.items():
+                    if key not in held:
+                        if len(held) >= HELD:
+                            yield from totals()
+                        held[key] = int(firsts[some[0]]), np.zeros((5, len(perms)))
+                    some = np.array(some)[~odd[some]]
+                    has, x = known[some].astype(float), np.where(known[some], v[some], 0.0)
+                    under, over = (place[some] < 0).astype(float), (place[some] > 0).astype(float)
+                    held[key][1][:3] += np.stack([np.ones(len(some)), has, x]) @ under
+                    held[key][1][3:] += np.stack([has, x]) @ over
+                i, j = np.nonzero((place == 0) | odd[:, None])
+                if len(i):
+                    data = digests[of_row[i], j, :16]
+                    binary = pa.Array.from_buffers(pa.binary(), len(i), [None, pa.py_buffer(np.arange(0, 16 * len(i) + 1, 16, dtype=np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+                    none = [pa.nulls(len(i), k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64())]
+                    rows = [*(column(k).take(pa.array(i)) for k in keys), pa.array(np.array(perms, np.int32)[j]), binary, pa.array(place[i, j].astype(np.int32)), column("v").take(pa.array(i)), *none]
+                    yield pa.RecordBatch.from_arrays(rows, names=names)
+        yield from totals()
+
+    return run
 
 
 def sign_flip_test(diffs: DataFrame, keys: list[str], subject: str, diff: str, permutations: int, seed: str, alternative: str = "two-sided") -> DataFrame:

@@ -211,13 +211,15 @@ def _m8(spark, d):  # noqa: ANN001, ANN202
 
 #: Permutations of the registered group tests; their statements draw the same ones.
 DRAWS = 200
+#: Those of the group report, as in the reference.
+REPORT_DRAWS = 2000
 
 
-def _shuffle_sql(source: str, keys: str, first: str, seed: str, stat: str = "avg(v) FILTER (WHERE r <= n) - avg(v) FILTER (WHERE r > n)", row: str = "subject") -> str:
+def _shuffle_sql(source: str, keys: str, first: str, seed: str, stat: str = "avg(v) FILTER (WHERE r <= n) - avg(v) FILTER (WHERE r > n)", row: str = "subject", draws: int = DRAWS) -> str:
     part = f"{keys}, perm" if keys else "perm"
     per = f"PARTITION BY {keys}" if keys else ""
     return f"""(SELECT {part}, {stat} AS stat FROM (SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY CASE WHEN perm = 0 THEN CASE WHEN g = '{first}' THEN '0' ELSE 'f' END ELSE sha256('{seed}|' || perm || '|' || {row}) END, {row}) AS r
-      FROM (SELECT *, count(*) FILTER (WHERE g = '{first}') OVER ({per}) AS n FROM {source}) q, range(0, {DRAWS + 1}) p(perm)) GROUP BY {part})"""
+      FROM (SELECT *, count(*) FILTER (WHERE g = '{first}') OVER ({per}) AS n FROM {source}) q, range(0, {draws + 1}) p(perm)) GROUP BY {part})"""
 
 
 def _flip_sql(source: str, keys: str, seed: str) -> str:
@@ -312,15 +314,15 @@ _TALL_METRICS = " UNION ALL ".join(f"SELECT '{m}' AS metric, o_orderkey AS row_,
 
 @query(
     "v7_group_report",
-    f"""WITH {_COHORT}, u AS ({_TALL_METRICS}), cells AS (SELECT metric, subject, g, avg(v) AS v FROM u GROUP BY ALL), a AS {_shuffle_sql('u', 'metric', 'BUILDING', 'v7', row='row_')}, b AS {_shuffle_sql('cells', 'metric', 'BUILDING', 'v7')}
+    f"""WITH {_COHORT}, u AS ({_TALL_METRICS}), cells AS (SELECT metric, subject, g, avg(v) AS v FROM u GROUP BY ALL), a AS {_shuffle_sql('u', 'metric', 'BUILDING', 'v7', row='row_', draws=REPORT_DRAWS)}, b AS {_shuffle_sql('cells', 'metric', 'BUILDING', 'v7', draws=REPORT_DRAWS)}
     {_share_sql('a', 'metric', _HITS['two-sided'], "'window_pooled' AS kind, ")} UNION ALL {_share_sql('b', 'metric', _HITS['two-sided'], "'subject_blocked' AS kind, ")}""",
 )
 def _v7(spark, d):  # noqa: ANN001, ANN202
     c = _cohort(spark, d).filter(F.col("segment").isin("BUILDING", "FURNITURE")).select("subject", F.col("o_orderkey").alias("row_"), F.col("segment").alias("g"), *(F.expr(e).cast("double").alias(m) for m, e in _METRICS.items()))
     u = c.unpivot(["subject", "row_", "g"], list(_METRICS), "metric", "v")
-    pooled = ev.permutation_test(u, ["metric"], "row_", "v", "g", "BUILDING", DRAWS, "v7").withColumn("kind", F.lit("window_pooled"))
+    pooled = ev.permutation_test(u, ["metric"], "row_", "v", "g", "BUILDING", REPORT_DRAWS, "v7").withColumn("kind", F.lit("window_pooled"))
     cells = u.groupBy("metric", "subject", "g").agg(F.avg("v").alias("v"))
-    blocked = ev.permutation_test(cells, ["metric"], "subject", "v", "g", "BUILDING", DRAWS, "v7").withColumn("kind", F.lit("subject_blocked"))
+    blocked = ev.permutation_test(cells, ["metric"], "subject", "v", "g", "BUILDING", REPORT_DRAWS, "v7").withColumn("kind", F.lit("subject_blocked"))
     return _shown(pooled.unionByName(blocked), "metric", "kind")
 
 

@@ -154,3 +154,40 @@ def test_permutations_leave_few_rows_to_sort(spark):
         stats.append(np.mean([values[i] for i in order[:n]]) - np.mean([values[i] for i in order[n:]]))
     seen = np.mean([v for _, v, g in rows if g == "a"]) - np.mean([v for _, v, g in rows if g == "b"])
     assert abs(t.observed - seen) < 1e-9 and t.exceed == sum(abs(x) >= abs(seen) - 1e-9 for x in stats) and t.n == 30
+
+
+def _brute(rows, first, draws, seed):
+    import hashlib
+
+    seen = [v for _, v, g in rows if g == first and v is not None], [v for _, v, g in rows if g != first and v is not None]
+    n, out = sum(g == first for *_, g in rows), []
+    for perm in range(1, draws + 1):
+        order = sorted(rows, key=lambda r: hashlib.sha256(f"s|{perm}|{r[0]}".encode()).hexdigest())
+        sides = [[v for _, v, _ in part if v is not None] for part in (order[:n], order[n:])]
+        out.append(np.mean(sides[0]) - np.mean(sides[1]) if all(sides) else None)
+    observed = np.mean(seen[0]) - np.mean(seen[1])
+    return observed, sum(x is not None and abs(x) >= abs(observed) - 1e-9 for x in out)
+
+
+@pytest.mark.parametrize(("band", "held"), [(4.0, 64), (0.01, 64), (0.5, 1)])
+def test_differences_of_means_equal_brute_force(spark, monkeypatch, band, held):
+    """Cuts outside their band are drawn again; nulls are dealt but do not count, numbers without end do."""
+    from phaseloom.operators import evaluation as ev
+
+    monkeypatch.setattr(ev, "BAND", band)
+    monkeypatch.setattr(ev, "HELD", held)
+    rows = {k: [(i, None if i % 19 == 3 else float((i * 37 + len(k)) % 101), "a" if i % m else "b") for i in range(n)] for k, n, m in (("x", 400, 3), ("yy", 150, 2), ("zzz", 7, 5))}
+    df = spark.createDataFrame([(k, *r) for k, part in rows.items() for r in part], "k string, i long, v double, g string")
+    got = {r.k: (r.observed, r.exceed, r.n) for r in ev.permutation_test(df, ["k"], "i", "v", "g", "a", 60, "s").collect()}
+    for k, part in rows.items():
+        observed, exceed = _brute(part, "a", 60, "s")
+        assert abs(got[k][0] - observed) < 1e-9 and got[k][1:] == (exceed, 60)
+    endless = [(i, math.inf if i == 5 else float(i), "a" if i % 2 else "b") for i in range(300)]
+    t = ev.permutation_test(spark.createDataFrame(endless, "i long, v double, g string"), [], "i", "v", "g", "a", 20, "s").first()
+    assert (t.observed, t.exceed, t.n) == (math.inf, 20, 20)
+
+
+def test_group_report_draws_as_often_as_the_reference(spark):
+    from phaseloom.plans import catalog
+
+    assert {r.n for r in catalog.queries()["v7_group_report"](spark, "/root/testdata/sf0.001").collect()} == {2000}
