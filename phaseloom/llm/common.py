@@ -48,10 +48,14 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, what: str, rows_a_file: int = 0) -> DataFrame:
+    """Write df to the shared folder and read it again: cuts lineage, survives lost executors.
+
+    rows_a_file: for rows of megabytes. The writer holds a hundred rows before it looks at their bytes, the reader up to
+    4,096 of a file; a file of few rows bounds both.
+    """
     path = shared_dir(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_a_file).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -33,6 +33,8 @@ K = 50
 PAIR_TERMS = 128
 #: A block's documents and bytes of text, at most; a longer text is a block of its own.
 BLOCK_DOCS, BLOCK_BYTES = 4_096, 8_000_000
+#: Blocks of a file.
+FILE_BLOCKS = 2
 #: Terms whose counts a task holds before it hands them on.
 COUNTED = 200_000
 #: Queries and bytes of their texts that go through the index at once.
@@ -160,7 +162,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield block(part)
         give_back()
 
-    return Index(stored(source.mapInArrow(run, schema), "search-blocks"), counts.filter("term is not null").select("term", "df"), n_docs, total, frequent, weights)
+    return Index(stored(source.mapInArrow(run, schema), "search-blocks", FILE_BLOCKS), counts.filter("term is not null").select("term", "df"), n_docs, total, frequent, weights)
 
 
 class _Block:

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from phaseloom.llm import ranked_search as rs
@@ -90,3 +91,11 @@ def test_empty_tables(spark):
     assert rs.build_index(docs.limit(0)) is None
     assert rs.search(None, items).collect() == [] and rs.search(rs.build_index(docs), items.limit(0)).collect() == []
     assert [tuple(r)[:3] for r in rs.search(rs.build_index(docs), items).collect()] == [(1, 1, 1)]
+
+
+def test_files_of_the_index_hold_few_blocks(spark, monkeypatch):
+    """Blocks are megabytes, and Spark reads a file's rows together."""
+    monkeypatch.setattr(rs, "BLOCK_DOCS", 10)
+    docs = spark.createDataFrame([(i, f"word{i % 7} and more") for i in range(100)], "doc_id long, text string").coalesce(1)
+    files = rs.build_index(docs).blocks.groupBy(F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in files) == 10 and max(r["count"] for r in files) <= rs.FILE_BLOCKS
