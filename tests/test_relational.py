@@ -1,10 +1,13 @@
 import itertools
+import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from phaseloom.operators import evaluation as ev
 from phaseloom.operators import relational as rel
+from phaseloom.operators import retrieval as rt
 from phaseloom.operators import windows as wn
 
 
@@ -103,3 +106,40 @@ def test_line_hits_carry_excerpts_only_with_the_lines(spark):
     got = [(r.line_no, r.phrase, r.excerpt) for r in hits.filter("id = 3").orderBy("line_no", "phrase").collect()]
     assert got == [(1, "alpha", "alpha beta gamma 3"), (1, "alpha beta gamma", "alpha beta gamma 3"), (1, "beta gamma", "alpha beta gamma 3"), (3, "beta gamma", "beta gamma"), (4, "alpha", "alpha")]
     assert hits.count() == 100
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_bm25_of_all_and_of_the_best_equal_brute_force(spark, monkeypatch, small):
+    """Copies tie by id, rows of one id are one document."""
+    from collections import Counter
+
+    if small:
+        monkeypatch.setattr(rt, "ASKED", 7)
+        monkeypatch.setattr(rt, "SCORED", 5)
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(12)]
+    docs = [(i, " ".join(rng.choices(words, k=rng.randrange(1, 9)))) for i in range(60)] + [(100 + i, "w1 w2 w3") for i in range(40)] + [(200, None), (201, "")]
+    ask = [(q, " ".join(rng.choices([*words, "unknown"], k=5))) for q in range(9)] + [(9, "unknown"), (10, None)]
+
+    def brute(docs):
+        held = {}
+        for i, t in docs:
+            held[i] = held.get(i, Counter()) + Counter((t or "").split())
+        df, mean, out = Counter(t for c in held.values() for t in c), sum(c.total() for c in held.values()) / len(docs), {}
+        for q, t in ask:
+            for i, c in held.items():
+                s = sum(n * math.log((len(docs) - df[w] + 0.5) / (df[w] + 0.5) + 1) * c[w] * 2.5 / (c[w] + 1.5 * (0.25 + 0.75 * c.total() / mean)) for w, n in Counter((t or "").split()).items() if c[w])
+                if s:
+                    out[q, i] = s
+        return out
+
+    queries = spark.createDataFrame(ask, "query_id int, text string")
+    for rows in (docs, [*docs, (5, "w1 w1 w7"), (5, None), (None, "w2"), (None, "w3 w3")]):
+        table, want = spark.createDataFrame(rows, "id long, text string"), brute(rows)
+        found = rt.search(table, queries, "id", "text")
+        assert {(r.query_id, r.id): pytest.approx(r.score) for r in found.collect()} == want and found.count() == len(want)
+        first = rt.top_k(rt.search(table, queries, "id", "text", best=5).withColumn("by", F.round("score", 8)), "query_id", "by", "id", 5).collect()
+        got = {(r.query_id, r["rank"]): r.id for r in first}
+        for q in range(11):
+            order = sorted(((-round(s, 8), i is not None, i) for (p, i), s in want.items() if p == q))[:5]
+            assert [got.get((q, k + 1)) for k in range(len(order))] == [i for *_, i in order] and (q, len(order) + 1) not in got
