@@ -143,3 +143,19 @@ def test_bm25_of_all_and_of_the_best_equal_brute_force(spark, monkeypatch, small
         for q in range(11):
             order = sorted(((-round(s, 8), i is not None, i) for (p, i), s in want.items() if p == q))[:5]
             assert [got.get((q, k + 1)) for k in range(len(order))] == [i for *_, i in order] and (q, len(order) + 1) not in got
+
+
+@pytest.mark.parametrize("known_bytes", [1 << 24, 0])
+def test_new_line_hits_meet_lines_once(spark, monkeypatch, known_bytes):
+    """Known lines go by their excerpts, wherever the phrase stands; lines in fences and excluded ones are not looked up."""
+    monkeypatch.setattr(rt, "KNOWN_BYTES", known_bytes)
+    long = "x" * 10
+    docs = [(1, f"{long} alpha\nold alpha"), (2, f"{long} no\nalpha beta\n ```\nalpha inside\n```\n # alpha\n{long} alpha\nold alpha"), (None, "beta"), (3, None), (4, "alpha\n```\nbeta")]
+    docs = spark.createDataFrame(docs, "id long, text string")
+    known = spark.createDataFrame([(long,), ("old alpha",), ("old alpha",), (None,)], "excerpt string")
+    phrases = spark.createDataFrame([("alpha",), ("beta",)], "phrase string")
+    hits = rt.new_line_hits(docs, phrases, "id", "text", known, r"^\s*#", 10)
+    want = {(2, 2, "alpha", "alpha beta"), (2, 2, "beta", "alpha beta"), (None, 1, "beta", "beta"), (4, 1, "alpha", "alpha")}
+    rows = [tuple(r) for r in hits.collect()]
+    assert set(rows) == want and len(rows) == 4
+    assert "Exchange hashpartitioning" not in hits._jdf.queryExecution().executedPlan().toString()
