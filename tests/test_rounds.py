@@ -222,3 +222,9 @@ def test_lines_of_claims_are_lowered_once(spark):
     plan = _plan(df)
     assert plan.count("lower(") <= 2  # not once for each word
     assert [(r.claim_no, r.text, r.categories) for r in df.orderBy("claim_no").collect()] == [(0, "the EEG", ["science"]), (1, "soul", ["speculation"])]
+
+
+def test_vectors_are_not_copied_for_blocks_of_queries(spark):
+    df = spark.createDataFrame([(i, [1.0 * i, 2.0]) for i in range(40)], "id long, v array<double>")
+    found = retrieval.cosine_scores(df, "id", "v", "id % 5 = 0")
+    assert "Generate" not in _plan(found) and found.count() == 320
