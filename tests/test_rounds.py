@@ -228,3 +228,12 @@ def test_vectors_are_not_copied_for_blocks_of_queries(spark):
     df = spark.createDataFrame([(i, [1.0 * i, 2.0]) for i in range(40)], "id long, v array<double>")
     found = retrieval.cosine_scores(df, "id", "v", "id % 5 = 0")
     assert "Generate" not in _plan(found) and found.count() == 320
+
+
+def test_distances_are_added_up_in_tiles(monkeypatch):
+    monkeypatch.setattr(nulls, "STRIPE", 4)
+    x = np.random.default_rng(2).normal(size=(23, 5))
+    pairs = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for n in (1, 4, 11, 23):
+        assert abs(nulls.distance_sum(x[:n], x[:n], True) - np.triu(pairs[:n, :n], 1).sum()) < 1e-9
+        assert abs(nulls.distance_sum(x[:n], x[n:], False) - pairs[:n, n:].sum()) < 1e-9
